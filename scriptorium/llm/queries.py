@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, urlrules
+from . import mixing, packing, sketch, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,20 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sketch.edits(_table(spark, sf_dir, "documents"))
+    a, b, after = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        sketch.text_form(a).alias("fingerprint"),
+        sketch.text_form(b).alias("edited_fingerprint"),
+        sketch.resemblance(a, b).alias("near_edited"),
+        sketch.resemblance(a, after).alias("near_next"),
+    )
+
+
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -22,7 +37,13 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(_table(spark, sf_dir, "pages"), urlrules.rule_table(spark, RULES))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op5_url_filters": op5_url_filters}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_fingerprints, op5_url_filters, op7_packing)}
 
 ORACLES = {
     "op5_url_filters": r"""
