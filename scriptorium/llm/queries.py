@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sketch, urlrules
+from . import mixing, packing, radixdedup, simhash, sketch, urlrules, weaksup
+from .common import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weaksup.score(_table(spark, sf_dir, "documents"), Scratch(spark, "quality"))
+
+
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
@@ -37,13 +42,22 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(_table(spark, sf_dir, "pages"), urlrules.rule_table(spark, RULES))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.group(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_fingerprints, op5_url_filters, op7_packing)}
+def op9_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radixdedup.report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_fingerprints, op4_quality_rules, op5_url_filters, op6_simhash, op7_packing, op9_radix_dedup)}
 
 ORACLES = {
     "op5_url_filters": r"""
