@@ -92,9 +92,9 @@ def neighbours(dealt: DataFrame, order: list[str], carry: list[str], ring: bool
     whole = ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     last = F.last("_last").over(whole) if ring else F.lit(None)
     first = F.first("_first").over(whole) if ring else F.lit(None)
-    ends = ends.select("_range", F.coalesce(F.lag("_last").over(ranges), last).alias("_b"), F.coalesce(F.lead("_first").over(ranges), first).alias("_a"))
+    ends = ends.select("_range", F.coalesce(F.lag("_last").over(ranges), last).alias("_end_b"), F.coalesce(F.lead("_first").over(ranges), first).alias("_end_a"))
     rows = rows.join(ends, "_range")
-    return rows.withColumns({"_before": F.coalesce("_before", "_b"), "_after": F.coalesce("_after", "_a")}).drop("_b", "_a")
+    return rows.withColumns({"_before": F.coalesce("_before", "_end_b"), "_after": F.coalesce("_after", "_end_a")}).drop("_end_b", "_end_a")
 
 
 def text_or_empty(name: str = "text") -> Column:

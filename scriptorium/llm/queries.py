@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, radixdedup, simhash, sketch, urlrules, weaksup
+from . import licenses, mixing, packing, pagediff, radixdedup, simhash, sketch, urlrules, weaksup
 from .common import Scratch
 
 
@@ -31,6 +31,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagediff.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weaksup.score(_table(spark, sf_dir, "documents"), Scratch(spark, "quality"))
 
@@ -57,7 +61,13 @@ def op9_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radixdedup.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_fingerprints, op4_quality_rules, op5_url_filters, op6_simhash, op7_packing, op9_radix_dedup)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.scan(_table(spark, sf_dir, "documents"))
+    names = F.transform("matches", lambda m: m["licence"])
+    return rows.select("doc_id", "n_sentences", F.size("matches").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licences"), "matches")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_fingerprints, op3_html_extraction, op4_quality_rules, op5_url_filters, op6_simhash, op7_packing, op9_radix_dedup, op10_license_scan)}
 
 ORACLES = {
     "op5_url_filters": r"""
