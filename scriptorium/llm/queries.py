@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, packing, pagediff, radixdedup, simhash, sketch, urlrules, weaksup
+from . import licenses, mixing, ngrams, packing, pagediff, radixdedup, simhash, sketch, urlrules, weaksup
 from .common import Scratch
 
 
@@ -57,6 +57,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ngrams.fit_and_score(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radixdedup.report(_table(spark, sf_dir, "documents"))
 
@@ -67,7 +72,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_sentences", F.size("matches").cast("long").alias("n_matches"), F.array_join(names, ",").alias("licences"), "matches")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_fingerprints, op3_html_extraction, op4_quality_rules, op5_url_filters, op6_simhash, op7_packing, op9_radix_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_fingerprints, op3_html_extraction, op4_quality_rules, op5_url_filters, op6_simhash, op7_packing, op8_lm_scoring, op9_radix_dedup, op10_license_scan)}
 
 ORACLES = {
     "op5_url_filters": r"""
