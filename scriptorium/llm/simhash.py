@@ -181,20 +181,108 @@ def group(docs: DataFrame, radius: int = 2, words: int = WORDS) -> DataFrame:
     return rows.join(named, "_print").select("doc_id", "_print", "component_id")
 
 
-def dedupe(docs: DataFrame, radius: int = 2, words: int = WORDS) -> DataFrame:
-    """docs without near-duplicates: of each component the document with the smallest id stays, and of its repeated rows one.
+def remove(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs of which found has doc_id and component_id: of each component the document with the smallest id stays.
 
-    A component of null ids alone keeps one row.
+    Of its repeated rows one stays; a component of null ids alone keeps one row.
     """
-    scratch = Scratch(docs.sparkSession, "dedupe")
-    found = group(docs, radius, words)
     # what goes, by id: usually few rows, so that texts are joined with these
     key = {"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()}
-    counted = found.groupBy("doc_id", "component_id").agg(F.count("*").alias("_rows"))
-    counted = scratch.keep(counted, "groups")
+    counted = scratch.keep(found.groupBy("doc_id", "component_id").agg(F.count("*").alias("_rows")), "groups")
     gone = counted.filter("doc_id is null and component_id is not null or doc_id != component_id").withColumns(key).select(*key).distinct()
     names = docs.columns
     kept = docs.withColumns(key).join(gone, list(key), "left_anti")
     if counted.filter("_rows > 1 and (doc_id = component_id or component_id is null)").limit(1).count():
         kept = kept.dropDuplicates(list(key))
     return kept.select(*(F.col(f"`{n}`") for n in names))
+
+
+def dedupe(docs: DataFrame, radius: int = 2, words: int = WORDS) -> DataFrame:
+    """docs without those near to another in their fingerprints."""
+    return remove(docs, group(docs, radius, words), Scratch(docs.sparkSession, "dedupe"))
+
+
+#: Bands and values in a band of the min-hash keys that shard the trees for wide radii.
+BANDS, ROWS = 8, 2
+_MULTIPLY = np.random.default_rng(11).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(text: str | None, words: int = 5) -> list[int]:
+    """Keys, signed, of the shards of a text: texts of resemblance r on shingles of so many words share one at least with probability 1 - (1 - r ** ROWS) ** BANDS."""
+    import xxhash
+
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return []
+    joined = b" ".join(parts)
+    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+    starts = [0, *(ends[:-1] + 1).tolist()]
+    digest = xxhash.xxh3_64_intdigest
+    hashes = np.array([digest(joined[a:b]) for a, b in zip(starts, ends[words - 1 :].tolist() or [len(joined)], strict=False)], np.uint64)
+    least = []
+    for m in _MULTIPLY:
+        own = hashes * m
+        own ^= own >> np.uint64(32)
+        least.append((own * m).min())
+    values = np.array(least, np.uint64).reshape(BANDS, ROWS)
+    return [xxhash.xxh3_64_intdigest(v.tobytes(), i) - (1 << 63) for i, v in enumerate(values)]
+
+
+def similar(docs: DataFrame, radius: int = 12, words: int = 5, tree: int = TREE) -> DataFrame:
+    """doc_id and component_id of every row, for near-duplicates that differ in more bits than blocks can shard.
+
+    At a resemblance of 0.8 fingerprints of three-word shingles differ in some 5 to 10 bits. The trees are sharded by min-hash
+    bands instead, under which texts of resemblance 0.8 miss one another with probability 0.0003. In a shard, fingerprints
+    are taken in their order; one that has no centre within half the radius becomes a centre, and each is linked to every
+    centre within the radius, so that a large group of copies costs its fingerprints times its centres. Equal texts are one.
+    """
+    scratch = Scratch(docs.sparkSession, "similar")
+
+    @F.pandas_udf("array<bigint>")
+    def keys(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([bands(t, words) for t in texts], dtype=object)
+
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "_print", hashed.alias("_text"), keys("text").alias("_keys"))
+    rows = scratch.keep(rows, "prints")
+    nodes = rows.groupBy("_text").agg(F.min("doc_id").alias("_least"), F.first("_print").alias("_print"), F.first("_keys").alias("_keys"))
+    nodes = scratch.keep(nodes, "nodes")
+    at = nodes.select("_text", "_print", F.explode("_keys").alias("key"))
+    counts = at.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / tree).cast("int").alias("trees"))
+    at = at.join(counts, "key").withColumn("_own", F.pmod(F.xxhash64("_text"), F.col("trees")).cast("int"))
+    at = at.withColumn("tree", F.explode(F.sequence("_own", F.col("trees") - 1))).select("key", "tree", (F.col("_own") == F.col("tree")).alias("_in"), "_print", "_text")
+    dealt = at.repartition("key", "tree").sortWithinPartitions("key", "tree", F.desc("_in"), "_print", "_text")
+    mask = (1 << 64) - 1
+
+    def search(batches):
+        import pyarrow as pa
+
+        last, grown, names = None, Tree(), {}
+        for batch in batches:
+            a, b = [], []
+            for key, at, inside, x, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (key, at) != last:
+                    last, grown, names = (key, at), Tree(), {}
+                x &= mask
+                met = grown.within(x, radius)
+                for v in met:
+                    a.append(names[v])
+                    b.append(text)
+                if inside and not any((v ^ x).bit_count() * 2 <= radius for v in met):
+                    grown.add(x)
+                    names[x] = text
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    edges = scratch.keep(dealt.mapInArrow(search, "a long, b long").distinct(), "links")
+    roots = components(edges, scratch)
+    joined = nodes.join(roots, nodes["_text"] == roots["node"], "left").select("_text", "_least", F.coalesce("root", "_text").alias("_root"))
+    joined = scratch.keep(joined, "roots")
+    ids = joined.groupBy("_root").agg(F.min("_least").alias("component_id"))
+    named = joined.join(ids, "_root").select("_text", "component_id")
+    return rows.select("doc_id", "_text").join(named, "_text").select("doc_id", "component_id")
+
+
+def dedupe_similar(docs: DataFrame, **how) -> DataFrame:
+    """docs without near-duplicates as similar() finds them."""
+    return remove(docs, similar(docs, **how), Scratch(docs.sparkSession, "dedupe"))

@@ -92,3 +92,26 @@ def test_group_and_dedupe(spark, frame):
     assert kept.columns[-2:] == ["_print", "component_id"]
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(set(least.values()))
     assert simhash.dedupe(frame([])).count() == 0 and simhash.group(frame([])).count() == 0
+
+
+def test_similar_finds_near_copies(spark, frame):
+    rng = random.Random(9)
+    rows, base = [], {}
+    for i in range(60):
+        words = ["w%d" % rng.randrange(3000) for _ in range(rng.choice((60, 200, 500)))]
+        base[i] = words
+        rows.append(doc(i, " ".join(words)))
+        for k in range(i % 4):  # up to one word in a hundred changed
+            other = list(words)
+            for _ in range(max(1, len(words) // 100)):
+                other[rng.randrange(len(other))] = "changed%d" % rng.randrange(99)
+            rows.append(doc(1000 + 10 * i + k, " ".join(other)))
+    rows += [doc(5000, rows[0][1]), doc(5001, None), doc(5002, ""), doc(None, rows[1][1])]
+    for tree in (simhash.TREE, 2):
+        got = {r.doc_id: r.component_id for r in simhash.similar(frame(rows), tree=tree).collect()}
+        assert len(got) == len(rows)
+        for i, c in got.items():
+            want = i if i is not None and i < 1000 else (i - 1000) // 10 if i is not None and i < 5000 else {5000: 0, 5001: 5001, 5002: 5001, None: 1}[i] if i in (5000, 5001, 5002, None) else None
+            assert c == (want if i != 1 else 1), (i, c)
+    assert sorted(r.doc_id for r in simhash.dedupe_similar(frame(rows)).collect()) == [*range(60), 5001]
+    assert simhash.similar(frame([])).count() == 0
