@@ -5,7 +5,393 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import lexicons as L
+from ..functions import text as T
+from ..operators import corpus, features, integrity, scoring, similarity
+from ..session import table
+from ..sources import html
+from . import sql as S
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "e11_ai_likeness_by_source"
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    def put(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if oracle:
+            ORACLES[name or f.__name__] = oracle
+        return f
+
+    return put
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+# ---------------------------------------------------------------- text functions
+
+
+@query(f"SELECT doc_id, {S.wc('coalesce(text, chr(32))')}::BIGINT AS words FROM documents")
+def c1_word_count(spark, d):
+    return documents(spark, d).select("doc_id", T.word_count(F.col("text")).cast("long").alias("words"))
+
+
+@query(f"WITH a AS (SELECT doc_id, {S.sents('text', '.!?।॥')} AS s FROM documents) SELECT doc_id, len(s)::BIGINT AS n, coalesce(list_max(list_transform(s, lambda x: length(x))), 0)::BIGINT AS longest, md5(array_to_string(s, '|')) AS digest FROM a")
+def c3_sentences(spark, d):
+    rows = documents(spark, d).select("doc_id", T.sentences(F.col("text"), ".!?।॥").alias("s"))
+    return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).cast("long").alias("longest"), F.md5(F.array_join("s", "|")).alias("digest"))
+
+
+@query()
+def c5_chunks(spark, d):
+    rows = documents(spark, d).select("doc_id", F.posexplode(T.chunk_sentences(F.col("text"), 900)).alias("pos", "chunk"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk", F.length("chunk").cast("long").alias("n_chars"))
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+b AS (SELECT doc_id, pos, p, {S.wc("p")} AS n FROM a WHERE {S.wc("p")} >= 8),
+c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM b)
+SELECT doc_id, count(*)::BIGINT AS paragraphs, sum(n)::BIGINT AS words FROM c WHERE k = 1 OR upto <= 420 GROUP BY doc_id"""
+)
+def c6_trim_paragraphs(spark, d):
+    """Whole paragraphs of 8 words or more while they stay within 420 words, the first always."""
+    from pyspark.sql import Window
+
+    rows = documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "p")).withColumn("n", T.word_count(F.col("p"))).filter("n >= 8")
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    rows = rows.withColumns({"upto": F.sum("n").over(w), "k": F.row_number().over(w)}).filter("k = 1 or upto <= 420")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("paragraphs"), F.sum("n").cast("long").alias("words"))
+
+
+@query(f"SELECT doc_id, translate(text, {S.quoted(L.INDIC_DIGITS)}, {S.quoted(L.ASCII_DIGITS)}) AS text, len(regexp_extract_all(text, '[0-9]'))::BIGINT AS n_digits FROM documents")
+def c7_normalise_digits(spark, d):
+    return documents(spark, d).select("doc_id", T.ascii_digits(F.col("text")).alias("text"), T.regex_count(F.col("text"), "[0-9]").cast("long").alias("n_digits"))
+
+
+@query(f"SELECT doc_id, {S.hits('lower(text)', ['the', 'de', 'und'])}::BIGINT AS n, {S.rx('text', '[A-Z][a-z]+')}::BIGINT AS capitalised FROM documents")
+def c8_c9_counts(spark, d):
+    return documents(spark, d).select("doc_id", T.phrase_count(F.lower("text"), ["the", "de", "und"]).alias("n"), T.regex_count(F.col("text"), "[A-Z][a-z]+").cast("long").alias("capitalised"))
+
+
+@query(
+    rf"""SELECT doc_id, round(len(list_filter({S.toks("text")}, lambda w: regexp_full_match(w, '[A-Za-z][A-Za-z''.-]*'))) / greatest(1, {S.wc("text")}), 6) AS latin,
+CASE WHEN {S.rx("text", chr(92) + "p{L}")} = 0 THEN 0.0 ELSE round({S.rx("text", "[A-Za-z]")} / {S.rx("text", chr(92) + "p{L}")}, 6) END AS latin_letters FROM documents"""
+)
+def c10_c11_script_shares(spark, d):
+    return documents(spark, d).select("doc_id", F.round(T.latin_share(F.col("text")), 6).alias("latin"), F.round(T.script_share(F.col("text"), "Latin"), 6).alias("latin_letters"))
+
+
+_FLESCH = f"""WITH a AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z'']+') AS ws, len(list_filter({S.sents("text", ".!?।॥")}, lambda s: {S.wc("s")} > 1)) AS n FROM documents),
+b AS (SELECT doc_id, n, len(ws) AS k, coalesce(list_sum(list_transform(list_transform(ws, lambda w: regexp_replace(lower(w), '[^a-z]', '', 'g')),
+    lambda w: CASE WHEN length(w) = 0 THEN 0 WHEN length(w) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(regexp_replace(regexp_replace(w, '([^laeiouy]es|ed|[^laeiouy]e)$', ''), '^y', ''), '[aeiouy]{{1,2}}'))) END)), 0) AS syl FROM a),
+c AS (SELECT doc_id, CASE WHEN n = 0 OR k = 0 THEN 0.0 ELSE round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 206.835::DOUBLE - 1.015::DOUBLE * (k::DOUBLE / n) - 84.6::DOUBLE * (syl::DOUBLE / k))), 1) END::DOUBLE AS flesch FROM b)
+SELECT doc_id, flesch, CASE WHEN flesch >= 80 THEN 'very easy' WHEN flesch >= 70 THEN 'easy' WHEN flesch >= 60 THEN 'fairly easy' WHEN flesch >= 50 THEN 'standard' WHEN flesch >= 30 THEN 'fairly hard' ELSE 'hard' END AS band FROM c"""
+
+
+@query(_FLESCH)
+def c12_c13_flesch(spark, d):
+    rows = documents(spark, d).select("doc_id", T.flesch(F.col("text")).alias("flesch"))
+    return rows.withColumn("band", T.flesch_band(F.col("flesch")))
+
+
+@query(f"SELECT doc_id, {S.hits('lower(text)', ['the'])}::BIGINT AS n, round({S.hits('lower(text)', ['the'])} / greatest(1, {S.wc('text')}) * 100.0::DOUBLE, 2) AS density FROM documents")
+def c14_keyword_density(spark, d):
+    n = T.phrase_count(F.lower("text"), ["the"])
+    return documents(spark, d).select("doc_id", n.alias("n"), F.round(n / F.greatest(F.lit(1), T.word_count(F.col("text"))) * 100.0, 2).alias("density"))
+
+
+@query(
+    f"""{S.pages()}, q AS (SELECT page_id, list_sort({S.token_set("title", L.SITE_STOP)}) AS a, list_sort({S.token_set("title", L.AUDIT_STOP, 3)}) AS b FROM p)
+SELECT page_id, array_to_string(a, ' ') AS site_tokens, array_to_string(b, ' ') AS topic_tokens FROM q"""
+)
+def c16_c17_token_sets(spark, d):
+    rows = html.page_rows(table(spark, d, "pages"))
+    return rows.select("page_id", F.array_join(F.array_sort(T.token_set(F.col("title"), L.SITE_STOP)), " ").alias("site_tokens"), F.array_join(F.array_sort(T.token_set(F.col("title"), L.AUDIT_STOP, 3)), " ").alias("topic_tokens"))
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) AS pos FROM documents),
+b AS (SELECT doc_id, w, count(*) AS n, min(pos) AS first FROM a WHERE length(w) > 3 AND NOT list_contains({S.names(L.AUDIT_STOP)}, w) GROUP BY ALL),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS k FROM b)
+SELECT doc_id, w AS term, n::BIGINT AS n, k::BIGINT AS k FROM c WHERE k <= 12"""
+)
+def c18_secondary_terms(spark, d):
+    """The twelve most frequent terms of each document, ties by first place."""
+    from pyspark.sql import Window
+
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    rows = documents(spark, d).select("doc_id", F.posexplode(words).alias("pos", "term")).filter((F.length("term") > 3) & ~F.col("term").isin(L.AUDIT_STOP))
+    rows = rows.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    k = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
+    return rows.select("doc_id", "term", "n", k.cast("long").alias("k")).filter("k <= 12")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 60 THEN rtrim(left(text, 59), ' ') || '…' ELSE text END AS shown, left(sha256('en|hi|' || text), 32) AS key FROM documents")
+def c24_c27_cut_and_key(spark, d):
+    return documents(spark, d).select("doc_id", T.serp_cut(F.col("text"), 60).alias("shown"), T.cache_key(F.lit("en"), F.lit("hi"), F.col("text")).alias("key"))
+
+
+_SLUG = f"regexp_replace(regexp_replace(lower(regexp_replace(translate(left(text, 90), {S.quoted(T.ACCENTED)}, {S.quoted(T.PLAIN)}), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(f"WITH a AS (SELECT doc_id, {_SLUG} AS s FROM documents), b AS (SELECT doc_id, CASE WHEN length(s) > 60 THEN regexp_replace(left(s, 60), '-[^-]*$', '') ELSE s END AS s FROM a) SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM b")
+def c2_slug(spark, d):
+    """The slug of a title: here the first 90 characters of the text."""
+    return documents(spark, d).select("doc_id", T.slug(F.substring("text", 1, 90)).alias("slug"))
+
+
+# ---------------------------------------------------------------- measurements and scores
+
+
+@query(f"{S.english()} SELECT doc_id, {', '.join(features.ENGLISH)} FROM f")
+def d_english_features(spark, d):
+    return features.english(documents(spark, d)).select("doc_id", *features.ENGLISH)
+
+
+@query(f"{S.detect()} SELECT lang, source, count(*)::BIGINT AS n, round(avg(round(100.0::DOUBLE - total, 1)), 4) AS mean_ai, sum(all_passed::BIGINT)::BIGINT AS n_passed, sum(words)::BIGINT AS words FROM d GROUP BY lang, source")
+def e11_ai_likeness_by_source(spark, d):
+    return scoring.ai_likeness_by(documents(spark, d), ["lang", "source"])
+
+
+@query(f"{S.detect()} SELECT doc_id, {', '.join(f'round(s_{k}, 1) AS s_{k}' for k in L.DETECT_BANDS)}, round(total, 1) AS score, round(100.0::DOUBLE - total, 1) AS ai_likeness, all_passed FROM d")
+def e11_detect(spark, d):
+    return scoring.detect(documents(spark, d)).select("doc_id", *(f"s_{k}" for k in L.DETECT_BANDS), "score", "ai_likeness", "all_passed")
+
+
+@query(
+    f"""{S.english()}, g AS (SELECT *, len(list_filter(list_transform({S.sents("t", ".!?।॥")}, lambda s: {S.wc("s")}), lambda n: n > 1)) < 5 AS short, CASE WHEN len(paras) > 3 THEN {S.cv("paras")} ELSE 0.40::DOUBLE END AS p_cv FROM f)
+SELECT doc_id, CASE WHEN short THEN 75.0 ELSE round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 0.50::DOUBLE * {S.norm("sent_cv", 0.60, 0.25)} + 0.28::DOUBLE * {S.norm("p_cv", 0.45, 0.10)} + 0.22::DOUBLE * {S.norm("rep_open", 0.0, 0.20)})), 1) END::DOUBLE AS burstiness, round(p_cv, 3) AS p_cv,
+concat_ws(',', CASE WHEN short THEN 'too_short' END, CASE WHEN NOT short AND sent_cv < 0.42 THEN 'uniform_sentences' END, CASE WHEN NOT short AND len(paras) > 3 AND p_cv < 0.28 THEN 'uniform_paragraphs' END, CASE WHEN NOT short AND rep_open > 0.08 THEN 'repeated_openings' END) AS flags FROM g"""
+)
+def e6_burstiness(spark, d):
+    rows = scoring.burstiness(documents(spark, d))
+    return rows.select("doc_id", "burstiness", "p_cv", F.array_join(F.transform("flags", lambda f: f["kind"]), ",").alias("flags"))
+
+
+@query(
+    f"""{S.english()}, l AS (SELECT f.*, labels.quality = 1 AS pos FROM f JOIN labels USING (doc_id)), h AS (SELECT ttr AS v, count(*) FILTER (pos) AS p, count(*) FILTER (NOT pos) AS q FROM l GROUP BY ttr),
+r AS (SELECT *, coalesce(sum(q) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM h)
+SELECT round(sum(p * (2 * below + q)) / (2.0::DOUBLE * sum(p) * sum(q)), 6) AS auc, sum(p)::BIGINT AS n_pos, sum(q)::BIGINT AS n_neg FROM r"""
+)
+def h7_auc(spark, d):
+    """How well the type-token ratio tells good documents from others."""
+    rows = features.english(documents(spark, d)).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    return corpus.auc(rows, "ttr", F.col("quality") == 1)
+
+
+_FEATURES = ["sent_cv", "para_cv", "rep_open", "passive_ratio", "ttr", "mean_len"]
+
+
+@query(
+    f"""{S.english()}, l AS (SELECT f.*, labels.quality = 1 AS pos FROM f JOIN labels USING (doc_id)), u AS ({" UNION ALL ".join(f"SELECT pos, '{k}' AS feature, {k} AS v FROM l" for k in _FEATURES)}),
+g AS (SELECT feature, avg(v) FILTER (pos) AS mp, avg(v) FILTER (NOT pos) AS mq, var_samp(v) FILTER (pos) AS vp, var_samp(v) FILTER (NOT pos) AS vq, count(v) FILTER (pos) AS np, count(v) FILTER (NOT pos) AS nq FROM u GROUP BY feature),
+h AS (SELECT *, sqrt(((np - 1) * vp + (nq - 1) * vq) / (np + nq - 2)) AS pooled FROM g)
+SELECT feature, round(mp, 5) AS mean_pos, round(mq, 5) AS mean_neg, round((mp - mq) / greatest(abs(mp), 1e-6), 5) AS sep, CASE WHEN pooled > 0 THEN round((mp - mq) / pooled, 5) END AS d FROM h"""
+)
+def h8_separation(spark, d):
+    rows = features.english(documents(spark, d)).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    return corpus.separation(rows, _FEATURES, F.col("quality") == 1)
+
+
+# ---------------------------------------------------------------- integrity of edits: turns of conversations
+
+
+def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn with the one after it."""
+    a = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("before"))
+    b = table(spark, d, "conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("after"))
+    return a.join(b, ["conv_id", "turn"])
+
+
+_PAIRS = "pairs AS (SELECT a.conv_id, a.turn, a.text AS before, b.text AS after FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn - 1)"
+
+
+def _numbers(t: str) -> str:
+    cleaned = f"translate(coalesce({t}, ''), {S.quoted(L.INDIC_DIGITS)}, {S.quoted(L.ASCII_DIGITS)})"
+    # no look-around in RE2: each is a pass that puts back what it has read
+    cleaned = f"regexp_replace(regexp_replace({cleaned}, '([0-9]),([0-9]{{3}})($|[^\\p{{L}}\\p{{N}}_])', '\\1\\2\\3', 'g'), '([0-9]),([0-9]{{3}})($|[^\\p{{L}}\\p{{N}}_])', '\\1\\2\\3', 'g')"
+    cleaned = f"regexp_replace({cleaned}, '(^|[^0-9])[0-9]{{1,2}}[.)]([ \\t\\n\\r]|$)', '\\1 \\2', 'g')"
+    return f"list_sort(list_distinct(list_transform(regexp_extract_all({cleaned}, '[0-9]+(\\.[0-9]+)?'), lambda v: CASE WHEN ltrim(v, '0') = '' THEN '0' ELSE ltrim(v, '0') END)))"
+
+
+@query(f"WITH {_PAIRS}, n AS (SELECT conv_id, turn, {_numbers('before')} AS s, {_numbers('after')} AS t FROM pairs) SELECT conv_id, turn, array_to_string(list_filter(t, lambda x: NOT list_contains(s, x)), ',') AS invented, array_to_string(list_filter(s, lambda x: NOT list_contains(t, x)), ',') AS dropped FROM n")
+def f2_number_diff(spark, d):
+    rows = integrity.number_diff(turn_pairs(spark, d), "before", "after")
+    return rows.select("conv_id", "turn", F.array_join("invented", ",").alias("invented"), F.array_join("dropped", ",").alias("dropped"))
+
+
+@query(f"WITH {_PAIRS}, n AS (SELECT conv_id, turn, {_numbers('before')} AS s, {_numbers('after')} AS t FROM pairs) SELECT CASE WHEN len(list_filter(t, lambda x: NOT list_contains(s, x))) > 0 THEN 'blocking' WHEN len(list_filter(s, lambda x: NOT list_contains(t, x))) > 0 THEN 'review' ELSE 'safe' END AS verdict, count(*)::BIGINT AS n FROM n GROUP BY 1")
+def f6_fix_verdicts(spark, d):
+    return integrity.fix_verdict(turn_pairs(spark, d), "before", "after").groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query()
+def f1_protected_spans(spark, d):
+    return integrity.protected_spans(documents(spark, d), "text", ["doc_id"])
+
+
+@query()
+def f3_protected_diff(spark, d):
+    return integrity.protected_diff(turn_pairs(spark, d), "before", "after", ["conv_id", "turn"])
+
+
+@query(
+    f"""WITH {_PAIRS}, g AS (SELECT conv_id, turn, lower(before) AS s, lower(after) AS t FROM pairs)
+SELECT conv_id, turn, array_to_string(list_filter({S.names(integrity.CLAIMS)}, lambda c: contains(t, c) AND NOT contains(s, c)), ',') AS new_claims,
+len(list_filter({S.names(integrity.HEDGES)}, lambda c: contains(s, c))) > 0 AND len(list_filter({S.names(integrity.HEDGES)}, lambda c: contains(t, c))) = 0 AS hedge_lost FROM g"""
+)
+def e2_guard(spark, d):
+    rows = integrity.guard(turn_pairs(spark, d), "before", "after")
+    return rows.select("conv_id", "turn", F.array_join("new_claims", ",").alias("new_claims"), "hedge_lost")
+
+
+@query(
+    f"""WITH {_PAIRS}, n AS (SELECT *, {_numbers("before")} AS ns, {_numbers("after")} AS nt, {S.token_set("before", L.OVERLAP_STOP, 3, "[a-z]+")} AS a, {S.token_set("after", L.OVERLAP_STOP, 3, "[a-z]+")} AS b, {S.wc("before")} AS ws, {S.wc("after")} AS wt FROM pairs),
+o AS (SELECT *, CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(a) END::DOUBLE AS overlap, CASE WHEN ws = 0 THEN 1.0 ELSE wt / ws END::DOUBLE AS ratio,
+    len(list_filter(nt, lambda x: NOT list_contains(ns, x))) + len(list_filter(ns, lambda x: NOT list_contains(nt, x))) AS wrong FROM n)
+SELECT conv_id, turn, round(overlap, 3) AS overlap, round(ratio, 3) AS length_ratio, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 0.55::DOUBLE * {S.norm("overlap", 0.80, 0.35)} + 0.25::DOUBLE * {S.norm("least(ratio, 1.0)", 1.0, 0.60)} + 20.0::DOUBLE - 12.0::DOUBLE * (wrong + CASE WHEN ratio < 0.7 THEN 1 ELSE 0 END))), 1) AS fidelity FROM o"""
+)
+def e1_fidelity(spark, d):
+    return integrity.fidelity(turn_pairs(spark, d), "before", "after", L.OVERLAP_STOP).select("conv_id", "turn", "overlap", "length_ratio", "fidelity")
+
+
+# ---------------------------------------------------------------- pages
+
+
+@query(f"{S.pages()} SELECT page_id, title, description, lang, array_to_string(h1, '|') AS h1, words, content_hash, len(links)::BIGINT AS n_links, images::BIGINT AS images FROM p")
+def b12_page_rows(spark, d):
+    rows = html.page_rows(table(spark, d, "pages"))
+    return rows.select("page_id", "title", "description", "lang", F.array_join("h1", "|").alias("h1"), "words", "content_hash", F.size("links").cast("long").alias("n_links"), "images")
+
+
+@query(
+    f"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '{S.NOISE}', '', 'g'), '{S.FURNITURE}', ' ', 'g') AS h FROM pages),
+b AS (SELECT page_id, list_filter(string_split(regexp_replace(h, '(?i)<(h[1-4]|p|li|blockquote|pre)(?:[ \\t\\n][^>]*)?>', chr(1) || '\\1' || chr(2), 'g'), chr(1)), lambda x: contains(x, chr(2))) AS parts FROM a),
+c AS (SELECT page_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM b),
+e AS (SELECT page_id, i, lower(string_split(x, chr(2))[1]) AS k, {S.plain("regexp_extract(x, '(?s)' || chr(2) || '(.*)', 1)")} AS text FROM c),
+f AS (SELECT page_id, i, CASE k WHEN 'h4' THEN 'h3' WHEN 'blockquote' THEN 'quote' WHEN 'pre' THEN 'code' ELSE k END AS type, text FROM e WHERE length(text) >= 2),
+g AS (SELECT *, lag(type) OVER w AS lt, lag(text) OVER w AS lx FROM f WINDOW w AS (PARTITION BY page_id ORDER BY i))
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::BIGINT AS pos, type, text FROM g WHERE NOT (lt IS NOT DISTINCT FROM type AND lx IS NOT DISTINCT FROM text)"""
+)
+def b2_b6_blocks(spark, d):
+    return html.block_rows(table(spark, d, "pages"), "page_id")
+
+
+@query(f"{S.pages()} SELECT page_id, {S.host('url')} AS host, regexp_extract(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '([^/]*)/*$', 1) AS slug FROM p")
+def b14_hosts_and_slugs(spark, d):
+    return table(spark, d, "pages").select("page_id", html.host(F.col("url")).alias("host"), html.slug(F.col("url")).alias("slug"))
+
+
+@query(
+    f"""{S.pages()} SELECT 'title' AS what, lower(title) AS value, count(*)::BIGINT AS n, min(url) AS first_url FROM p WHERE title <> '' GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'content', content_hash, count(*)::BIGINT, min(url) FROM p WHERE words > 100 GROUP BY ALL HAVING count(*) > 1"""
+)
+def h1_duplicates(spark, d):
+    rows = html.page_rows(table(spark, d, "pages"))
+    titles = corpus.duplicates(rows, F.lower("title")).withColumn("what", F.lit("title"))
+    return titles.unionByName(corpus.duplicates(rows.filter("words > 100"), F.col("content_hash")).withColumn("what", F.lit("content")))
+
+
+def _defect(kind: str, severity: str, when: str) -> str:
+    return f"SELECT '{kind}' AS kind, '{severity}' AS severity, count(*)::BIGINT AS n FROM p WHERE {when} HAVING count(*) > 0"
+
+
+@query(
+    f"{S.pages()} "
+    + " UNION ALL ".join(
+        [
+            _defect("missing_title", "fail", "title = ''"),
+            _defect("title_length", "warn", "title <> '' AND NOT length(title) BETWEEN 30 AND 60"),
+            _defect("missing_meta", "fail", "description = ''"),
+            _defect("thin", "warn", "words > 0 AND words < 300"),
+            _defect("no_h1", "warn", "len(h1) = 0"),
+            _defect("multi_h1", "warn", "len(h1) > 1"),
+            _defect("no_schema", "warn", "len(schema_types) = 0"),
+        ]
+    )
+)
+def h2_defects(spark, d):
+    return corpus.defects(html.page_rows(table(spark, d, "pages")))
+
+
+_LINKS = f"""l0 AS (SELECT url, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) AS base, list_filter(links, lambda x: starts_with(x, '/') OR starts_with(x, 'http')) AS ls FROM p),
+l1 AS (SELECT DISTINCT url, unnest(list_transform(ls, lambda x: rtrim(regexp_replace(CASE WHEN starts_with(x, '/') THEN base || x ELSE x END, '#.*$', ''), '/'))) AS target FROM l0)"""
+
+
+@query(f"{S.pages()}, {_LINKS} SELECT {S.host('url')} AS host, target, count(*)::BIGINT AS n FROM l1 GROUP BY ALL")
+def b4_link_targets(spark, d):
+    """How many pages link to each target, furniture links too."""
+    rows = corpus.link_rows(html.page_rows(table(spark, d, "pages")))
+    return rows.withColumn("host", html.host(F.col("url"))).groupBy("host", "target").agg(F.count("*").alias("n"))
+
+
+@query(f"{S.pages()}, {_LINKS} SELECT target, count(*)::BIGINT AS n FROM l1 WHERE {S.host('url')} = {S.host('target')} AND target IN (SELECT rtrim(url, '/') FROM p) GROUP BY target")
+def h3_in_degree(spark, d):
+    rows = html.page_rows(table(spark, d, "pages"))
+    return corpus.in_degree(corpus.link_rows(rows), rows)
+
+
+@query(f"{S.pages()}, s AS (SELECT list_sort(list(words)) AS w FROM p) SELECT w[len(w) // 2 + 1] AS median FROM s")
+def h4_median_words(spark, d):
+    return corpus.upper_median(html.page_rows(table(spark, d, "pages")), "words")
+
+
+def _title_sets(spark: SparkSession, d: str) -> DataFrame:
+    rows = html.page_rows(table(spark, d, "pages")).select("page_id", T.token_set(F.col("title"), L.SITE_STOP).alias("tokens"))
+    return rows.filter(F.size("tokens") > 1)
+
+
+@query(
+    f"""{S.pages()}, t AS (SELECT page_id, list_sort({S.token_set("title", L.SITE_STOP)}) AS s FROM p), u AS (SELECT *, min(page_id) OVER (PARTITION BY s) AS first FROM t WHERE len(s) > 1),
+v AS (SELECT a.page_id AS a, b.page_id AS b, 2 * len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s)) AS f1 FROM u a JOIN u b ON a.page_id < b.page_id WHERE a.page_id = a.first AND b.page_id = b.first)
+SELECT a, b, round(f1, 6) AS f1 FROM v WHERE f1 >= 0.72 UNION ALL SELECT first, page_id, 1.0 FROM u WHERE page_id <> first"""
+)
+def g1_title_pairs(spark, d):
+    """Pages whose titles compete."""
+    return similarity.f1_pairs(_title_sets(spark, d), "page_id", "tokens", 0.72).withColumn("f1", F.round("f1", 6))
+
+
+@query(
+    f"""{S.pages()}, q AS (SELECT page_id, {S.token_set("title", L.SITE_STOP)} AS s FROM p), e AS (SELECT doc_id, {S.token_set("string_split(text, chr(10))[1]", L.SITE_STOP)} AS t FROM documents),
+m AS (SELECT page_id, doc_id, 2 * len(list_intersect(s, t)) / (len(s) + len(t)) AS f1 FROM q, e WHERE len(list_intersect(s, t)) > 0),
+b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY f1 DESC, doc_id) AS k FROM m)
+SELECT q.page_id, CASE WHEN f1 >= 0.85 THEN 'covered' WHEN f1 >= 0.45 THEN 'partial' ELSE 'gap' END AS status, CASE WHEN f1 >= 0.3 THEN doc_id END AS match, round(coalesce(f1, 0.0), 2) AS score FROM q LEFT JOIN b ON q.page_id = b.page_id AND k = 1"""
+)
+def g2_best_match(spark, d):
+    """Which document's first line covers each page's title."""
+    queries = html.page_rows(table(spark, d, "pages")).select("page_id", T.token_set(F.col("title"), L.SITE_STOP).alias("tokens"))
+    index = documents(spark, d).select("doc_id", T.token_set(F.split("text", "\n")[0], L.SITE_STOP).alias("tokens"))
+    return similarity.best_match(queries, index, "page_id", "doc_id")
+
+
+# ---------------------------------------------------------------- ledgers and windows: events
+
+
+@query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY user_id")
+def m1_last_wins(spark, d):
+    rows = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    return corpus.last_wins(rows.withColumn("seq", F.col("event_id")), "user_id", "seq").select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
+
+
+@query(
+    """WITH a AS (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent FROM events WHERE event_type = 'error')
+SELECT user_id, event_id, recent::BIGINT AS recent, recent >= 2 AS locked FROM a"""
+)
+def i9_throttle(spark, d):
+    """Errors as failed logins; the window is a day, as the events are sparse."""
+    rows = table(spark, d, "events").filter("event_type = 'error'")
+    return corpus.throttled(rows, "user_id", "ts", 86_400, 2).select("user_id", "event_id", "recent", "locked")
+
+
+@query("SELECT user_id FROM events WHERE event_type = 'click' GROUP BY user_id EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase'")
+def m6_pending(spark, d):
+    """Requests without a response: users who clicked and didn't buy."""
+    events = table(spark, d, "events")
+    return events.filter("event_type = 'click'").select("user_id").distinct().join(events.filter("event_type = 'purchase'").select("user_id"), "user_id", "left_anti")
