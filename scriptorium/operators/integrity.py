@@ -47,7 +47,10 @@ def protected_spans(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     for kind, pattern in PROTECTED.items():
         rows = rows.withColumn(f"_{kind}", F.regexp_extract_all("_rest", F.lit(pattern), F.lit(0)))
         rows = rows.withColumn("_rest", F.regexp_replace("_rest", pattern, " \u0001 "))
-    found = F.flatten(F.array(*(F.transform(f"_{k}", lambda v, k=k: F.struct(F.lit(k).alias("kind"), F.trim(v).alias("value"))) for k in PROTECTED)))
+    def named(kind: str) -> Column:
+        return F.transform(f"_{kind}", lambda v: F.struct(F.lit(kind).alias("kind"), F.trim(v).alias("value")))
+
+    found = F.flatten(F.array(*map(named, PROTECTED)))
     return rows.select(*keys, F.explode(found).alias("_s")).select(*keys, "_s.kind", "_s.value")
 
 

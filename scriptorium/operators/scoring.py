@@ -135,5 +135,8 @@ def composite(df: DataFrame) -> DataFrame:
 
 def brief(df: DataFrame, limit: int = 14) -> DataFrame:
     """Flags as lines, errors first, stable, so many at most (column brief)."""
-    ranked = F.flatten(F.array(*(F.filter("flags", lambda f, s=s: f["severity"] == s) for s in ("error", "warn", "note"))))
+    def of(severity: str) -> Column:
+        return F.filter("flags", lambda f: f["severity"] == severity)
+
+    ranked = F.flatten(F.array(*map(of, ("error", "warn", "note"))))
     return df.withColumn("brief", F.transform(F.slice(ranked, 1, limit), lambda f: F.concat(F.lit("["), f["severity"], F.lit("] "), f["kind"])))

@@ -275,7 +275,7 @@ def b12_page_rows(spark, d):
     f"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '{S.NOISE}', '', 'g'), '{S.FURNITURE}', ' ', 'g') AS h FROM pages),
 b AS (SELECT page_id, list_filter(string_split(regexp_replace(h, '(?i)<(h[1-4]|p|li|blockquote|pre)(?:[ \\t\\n][^>]*)?>', chr(1) || '\\1' || chr(2), 'g'), chr(1)), lambda x: contains(x, chr(2))) AS parts FROM a),
 c AS (SELECT page_id, unnest(parts) AS x, generate_subscripts(parts, 1) AS i FROM b),
-e AS (SELECT page_id, i, lower(string_split(x, chr(2))[1]) AS k, {S.plain("regexp_extract(x, '(?s)' || chr(2) || '(.*)', 1)")} AS text FROM c),
+e AS (SELECT page_id, i, lower(string_split(x, chr(2))[1]) AS k, {S.plain("regexp_extract(x, '(?is)' || chr(2) || '(.*?)(</(h[1-4]|p|li|blockquote|pre)>|$)', 1)")} AS text FROM c),
 f AS (SELECT page_id, i, CASE k WHEN 'h4' THEN 'h3' WHEN 'blockquote' THEN 'quote' WHEN 'pre' THEN 'code' ELSE k END AS type, text FROM e WHERE length(text) >= 2),
 g AS (SELECT *, lag(type) OVER w AS lt, lag(text) OVER w AS lx FROM f WINDOW w AS (PARTITION BY page_id ORDER BY i))
 SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::BIGINT AS pos, type, text FROM g WHERE NOT (lt IS NOT DISTINCT FROM type AND lx IS NOT DISTINCT FROM text)"""

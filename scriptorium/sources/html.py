@@ -71,7 +71,7 @@ def block_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     parts = F.filter(F.split(marked, "\u0001"), lambda p: F.contains(p, F.lit("\u0002")))
     kind = F.lower(F.regexp_extract(F.col("_p"), "^([^\u0002]*)\u0002", 1))
     rows = pages.select(key, F.posexplode(parts).alias("_i", "_p"))
-    rows = rows.select(key, "_i", F.when(kind == "h4", "h3").when(kind == "blockquote", "quote").when(kind == "pre", "code").otherwise(kind).alias("type"), plain(F.regexp_extract("_p", "(?s)\u0002(.*)", 1)).alias("text"))
+    rows = rows.select(key, "_i", F.when(kind == "h4", "h3").when(kind == "blockquote", "quote").when(kind == "pre", "code").otherwise(kind).alias("type"), plain(F.regexp_extract("_p", "(?is)\u0002(.*?)(</(h[1-4]|p|li|blockquote|pre)>|$)", 1)).alias("text"))
     rows = rows.filter(F.length("text") >= 2)
     from pyspark.sql import Window
 
