@@ -104,8 +104,33 @@ class Tree:
         return found
 
 
+class Joined:
+    """Which of a tree's fingerprints are connected already, so that each tree gives a forest of links and not all pairs."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+
+    def _root(self, x: int) -> int:
+        above = self.above
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = above[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether they weren't connected before."""
+        x, y = self._root(x), self._root(y)
+        if x == y:
+            return False
+        self.above[x] = y
+        return True
+
+
 def links(prints: DataFrame, radius: int, scratch: Scratch, tree: int = TREE) -> DataFrame:
-    """a < b, as signed longs: all pairs of the distinct fingerprints (column _print) that differ in radius bits at most."""
+    """a, b, as signed longs: pairs of the distinct fingerprints (column _print) that differ in radius bits at most.
+
+    All such pairs are met, and of each tree's a forest is returned that connects what they connect.
+    """
     cuts = blocks(radius)
     keys = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("_print", a).bitwiseAND((1 << n) - 1 if n < 64 else -1).alias("value")) for i, (a, n) in enumerate(cuts)))
     rows = prints.select("_print", F.explode(keys).alias("_key")).select("_print", "_key.block", "_key.value")
@@ -122,20 +147,17 @@ def links(prints: DataFrame, radius: int, scratch: Scratch, tree: int = TREE) ->
     def search(batches):
         import pyarrow as pa
 
-        last, grown = None, Tree()
+        last, grown, joined = None, Tree(), Joined()
         for batch in batches:
             a, b = [], []
             for block, value, at, inside, x in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if (block, value, at) != last:
-                    last, grown = (block, value, at), Tree()
+                    last, grown, joined = (block, value, at), Tree(), Joined()
                 u = x & mask
                 for v in grown.within(u, radius):
-                    # met in the first block in which they agree, and no other
-                    apart = u ^ v
-                    if next(i for i, (s, n) in enumerate(cuts) if not (apart >> s) & ((1 << n) - 1)) == block:
-                        v = v - (1 << 64) if v >> 63 else v
-                        a.append(min(x, v))
-                        b.append(max(x, v))
+                    if joined.join(u, v):
+                        a.append(x)
+                        b.append(v - (1 << 64) if v >> 63 else v)
                 if inside:
                     grown.add(u)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -258,17 +280,18 @@ def similar(docs: DataFrame, radius: int = 12, words: int = 5, tree: int = TREE)
     def search(batches):
         import pyarrow as pa
 
-        last, grown, names = None, Tree(), {}
+        last, grown, names, joined = None, Tree(), {}, Joined()
         for batch in batches:
             a, b = [], []
             for key, at, inside, x, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if (key, at) != last:
-                    last, grown, names = (key, at), Tree(), {}
+                    last, grown, names, joined = (key, at), Tree(), {}, Joined()
                 x &= mask
                 met = grown.within(x, radius)
                 for v in met:
-                    a.append(names[v])
-                    b.append(text)
+                    if joined.join(names[v], text):
+                        a.append(names[v])
+                        b.append(text)
                 if inside and not any((v ^ x).bit_count() * 2 <= radius for v in met):
                     grown.add(x)
                     names[x] = text
