@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,11 @@ class Scratch:
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.path}/{name}"), True)
 
+    def free(self) -> None:
+        """Has Spark delete the shuffle files of finished jobs now: its cleaner acts when the driver collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def close(self) -> None:
         self._fs.delete(self._path(self.path), True)
 

@@ -10,7 +10,7 @@ the same places, so nothing is lost by it.
    window in them is repeated.
 3. Groups with different contexts go on by digits of the windows' place: first the bytes that all windows of a run of places
    share, then, where these are equal, each window's own. A group of up to SMALL contexts is sorted in one task, by the bytes
-   themselves; larger ones by two passes of distributed counts of hashes.
+   themselves; larger ones by two passes of distributed counts of hashes, in which equal contexts of a run are one.
 
 Windows that hold an equal one elsewhere mark their bytes, in every document and also the first time.
 
@@ -133,6 +133,7 @@ def _contexts(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     """item, g, alone, hot, lo, hi and the bytes of each item's context, cut from one text that has it."""
     wanted = items.groupBy(*KEY).agg(F.collect_list(F.struct("item", "g", "at", "lo", "hi", "alone", "hot")).alias("_items"))  # at most the anchors of a text
     texts = docs.select(*KEY, "text").join(wanted, KEY).select("text", "_items")
+    again = docs.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
 
     def rows(batches):
         import pyarrow as pa
@@ -148,7 +149,8 @@ def _contexts(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
                     out["context"].append(coded[x["at"] - x["hi"] : x["at"] - x["lo"] + width])
             yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in kinds], names=list(out))
 
-    return texts.mapInArrow(rows, "item long, g long, alone boolean, hot boolean, lo short, hi short, context binary").dropDuplicates(["item"])
+    found = texts.mapInArrow(rows, "item long, g long, alone boolean, hot boolean, lo short, hi short, context binary")
+    return found.dropDuplicates(["item"]) if again else found  # equal rows give their contexts each
 
 
 def _runs(reach: int) -> list[tuple[int, int]]:
@@ -223,22 +225,36 @@ def _small(contexts: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(rows, "item long, lo short, hi short")
 
 
-def _large(contexts: DataFrame, width: int) -> DataFrame:
+def _large(contexts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
+    """The same for groups of any size: by counts of the hashes of runs of places, then of single places.
+
+    As with whole contexts, where all that a run's windows reach (its hull) is equal, every window of the run is repeated;
+    and of equal hulls one goes on for all.
+    """
     runs = _runs(width - anchor_width(width) + 1)
 
-    def cores(batches):
+    def digits(batches):
         import pyarrow as pa
         import xxhash
 
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             out = []
-            for item, lo, hi, context in zip(*(batch.column(n).to_pylist() for n in ("item", "lo", "hi", "context")), strict=True):
-                out += [(item, r, xxhash.xxh3_64_intdigest(context[hi - a : hi - b + width]) - (1 << 63)) for r, (a, b) in enumerate(runs) if lo <= b and hi >= a]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int16(), pa.int64()))], names=["item", "run", "core"])
-
-    first = contexts.mapInArrow(cores, "item long, run short, core long")
-    both = first.groupBy("run", "core").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    going = first.join(both, ["run", "core"]).groupBy("item").agg(F.collect_list("run").alias("runs"))  # at most all runs
+            for item, alone, lo, hi, context in zip(*(batch.column(n).to_pylist() for n in ("item", "alone", "lo", "hi", "context")), strict=True):
+                for r, (a, b) in enumerate(runs):
+                    if lo <= b and hi >= a:
+                        first, last = max(lo, a), min(hi, b)
+                        hull = digest(context[hi - last : hi - first + width], first << 16 | last)
+                        out.append((item, alone, r, digest(context[hi - a : hi - b + width]) - (1 << 63), hull - (1 << 63)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.bool_(), pa.int16(), pa.int64(), pa.int64()))], names=["item", "alone", "run", "core", "hull"])
+
+    rows = scratch.keep(contexts.mapInArrow(digits, "item long, alone boolean, run short, core long, hull long"), "runs")
+    hulls = scratch.keep(rows.groupBy("run", "core", "hull").agg(F.count("*").alias("n"), F.min("item").alias("item")), "hulls")
+    starts, ends = (F.array(*(F.lit(r[i]).cast("short") for r in runs)) for i in (0, 1))
+    met = rows.filter("alone").join(hulls.filter("n > 1").select("run", "core", "hull"), ["run", "core", "hull"])
+    whole = met.select("item", starts[F.col("run").cast("int")].alias("lo"), ends[F.col("run").cast("int")].alias("hi"))
+    open_ = hulls.groupBy("run", "core").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).filter("kinds > 1 and fewest = 1")
+    going = hulls.join(open_.select("run", "core"), ["run", "core"]).groupBy("item").agg(F.collect_list("run").alias("runs"))  # at most all runs
 
     def windows(batches):
         import pyarrow as pa
@@ -252,9 +268,11 @@ def _large(contexts: DataFrame, width: int) -> DataFrame:
                         out.append((item, g, p, xxhash.xxh3_64_intdigest(context[hi - p : hi - p + width]) - (1 << 63)))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int16(), pa.int64()))], names=["item", "g", "place", "w"])
 
-    second = contexts.join(going, "item").mapInArrow(windows, "item long, g long, place short, w long")
+    second = scratch.keep(contexts.join(going, "item").mapInArrow(windows, "item long, g long, place short, w long"), "windows")
     equal = second.groupBy("g", "place", "w").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    return second.join(equal, ["g", "place", "w"]).select("item", F.col("place").alias("lo"), F.col("place").alias("hi"))
+    alone = contexts.filter("alone").select("item")
+    single = second.join(equal, ["g", "place", "w"]).join(alone, "item").select("item", F.col("place").alias("lo"), F.col("place").alias("hi"))
+    return scratch.keep(whole.unionAll(single), "large")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -271,22 +289,28 @@ def spans(docs: DataFrame, width: int = WIDTH, small: int = SMALL) -> DataFrame:
     twice = every.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     met = scratch.keep(every.join(twice, "g"), "met")
     scratch.drop("anchors")
+    scratch.free()
 
     context = ["g", "lo", "hi", "c"]
     items = met.groupBy(*context).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "at")).alias("one"))
     items = scratch.keep(items.select(*context, "n", *(F.col(f"one.{k}").alias(k) for k in (*KEY, "at")), F.monotonically_increasing_id().alias("item")), "items")
     groups = items.groupBy("g").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).filter("kinds > 1 and fewest = 1")
     mixed = items.join(groups, "g").withColumns({"alone": F.col("n") == 1, "hot": F.col("kinds") > small})
-    cut = _contexts(docs, mixed, width)
+    cut = scratch.keep(_contexts(docs, mixed, width), "contexts")
+    scratch.free()
+    parts = scratch.keep(_small(cut.filter("not hot"), width), "small")
     if mixed.filter("hot").limit(1).count():
-        cut = scratch.keep(cut, "contexts")
-        parts = _small(cut.filter("not hot"), width).unionAll(_large(cut.filter("hot"), width))
-    else:
-        parts = _small(cut, width)
+        parts = parts.unionAll(_large(cut.filter("hot"), width, scratch))
+    bounds = items.filter("n = 1").select("item", *KEY, "at", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    parts = bounds.join(parts, "item").withColumns({"lo": F.greatest("lo", "_lo"), "hi": F.least("hi", "_hi")})
     reach = F.struct((F.col("at") - F.col("hi")).cast("long").alias("first"), (F.col("at") - F.col("lo") + width).cast("long").alias("end"))
-    single = items.filter("n = 1").drop("lo", "hi").join(parts, "item").select(*KEY, reach.alias("span"))
+    single = parts.select(*KEY, reach.alias("span"))
     whole = met.join(items.filter("n > 1").select(*context), context).select(*KEY, reach.alias("span"))
-    return scratch.keep(single.unionAll(whole).groupBy(*KEY).agg(F.collect_set("span").alias("spans")), "spans")  # at most the anchors of a text
+    found = scratch.keep(single.unionAll(whole).groupBy(*KEY).agg(F.collect_set("span").alias("spans")), "spans")  # at most the anchors of a text
+    for name in ("met", "items", "contexts", "small", "runs", "hulls", "windows", "large"):
+        scratch.drop(name)
+    scratch.free()
+    return found
 
 
 def merged(found) -> list[tuple[int, int]]:
