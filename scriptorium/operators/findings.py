@@ -149,3 +149,24 @@ def readiness(chunked: DataFrame, key: str, size: int = 320) -> DataFrame:
     orphan, large = F.rlike("text", F.lit(ORPHAN)), F.col("words") > size * 1.6
     rows = chunked.groupBy(key).agg(F.count("*").alias("n"), F.sum(orphan.cast("long")).alias("orphans"), F.sum(large.cast("long")).alias("oversized"))
     return rows.withColumn("readiness", F.round(F.greatest(F.lit(0.0), 100.0 - 55.0 * F.col("orphans") / F.col("n") - 15.0 * F.col("oversized") / F.col("n")), 1))
+
+
+def keyword_placement(df: DataFrame, key: str, body: str = "body", keyword: str = "keyword", slug: str = "slug") -> DataFrame:
+    """Density, place in the first hundred words and in the slug, of each document's keyword; a warning where there is none."""
+    kw, low = F.col(keyword), F.lower(F.coalesce(F.col(body), F.lit("")))
+    rows = df.withColumns({"_low": low, "_has": kw != ""})
+    hits = (F.length("_low") - F.length(F.replace("_low", kw, F.lit("")))) / F.greatest(F.length(kw), F.lit(1))
+    rows = rows.withColumn("_density", F.when(F.col("_has"), F.round(hits / F.greatest(F.lit(1), T.word_count(F.col("_low"))) * 100.0, 2)))
+    density, has = F.col("_density"), F.col("_has")
+    first = F.array_join(F.slice(T.tokens(F.col("_low")), 1, 100), " ")
+    status = F.when((density == 0) | (density > 3.0), "fail").when((density > 2.0) | (density < 0.3), "warn").otherwise("pass")
+    impact = F.when(F.col("_density").isNull(), "medium").when((density == 0) | (density > 3.0), "high").when(density > 2.0, "medium").when(density < 0.3, "low").otherwise("medium")
+    dashed = F.replace(kw, F.lit(" "), F.lit("-"))
+    return _rows(
+        rows,
+        key,
+        finding("keywords", "detected", F.when(~has, "warn"), "medium"),
+        finding("keywords", "density", F.when(has, status), impact),
+        finding("keywords", "first_paragraph", F.when(has, _either(~F.contains(first, kw))), "medium"),
+        finding("keywords", "url", F.when(has & (F.col(slug) != "") & ~F.contains(F.lower(F.col(slug)), dashed), "warn"), "medium"),
+    )

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..operators import articles, corpus, features, scoring
+from ..functions import text as T
+from ..operators import articles, corpus, features, findings, scoring
 from ..session import table
-from ..sources import html
+from ..sources import files, html, site_files
 from . import sql as S
-from .catalog import _LINKS, query
+from .catalog import _LINKS, query, turn_pairs
 
 #: Literal texts for the Hindi measures: plain prose, prose with calques and spaced stops, mixed script, honorifics.
 HINDI = [
@@ -126,3 +127,57 @@ def g3_link_suggestions(spark, d):
     links = corpus.link_rows(rows)
     found = articles.link_suggestions(rows, links.select("url", "target"), corpus.in_degree(links, rows))
     return found.select("target", "source", "shared", "score", F.col("k").cast("long").alias("k"))
+
+
+_KEYWORD_SQL = f"""{S.pages()}, {_BLOCKS}, t AS (SELECT p.page_id, url, {_TERMS} AS ts, coalesce(body, '') AS body FROM p LEFT JOIN body USING (page_id)),
+n AS (SELECT page_id, url, ts, body, list_filter(list_transform(range(1, len(ts) - 1), lambda i: ts[i] || ' ' || ts[i + 1] || ' ' || ts[i + 2]), lambda q: {_COUNT.format("q")} >= 2) AS tri,
+    list_filter(list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]), lambda q: {_COUNT.format("q")} >= 2) AS bi, list_transform(ts, lambda w: {_COUNT.format("w")}) AS cs FROM t),
+kw AS (SELECT page_id, url, body, coalesce(tri[1], bi[1], CASE WHEN len(ts) > 0 THEN ts[list_position(cs, list_max(cs))] END, '') AS keyword FROM n)"""
+
+
+@query(
+    f"""{_KEYWORD_SQL}, k1 AS (SELECT page_id, keyword, body, regexp_extract(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '([^/]*)/*$', 1) AS slug,
+CASE WHEN keyword <> '' THEN round(((length(body) - length(replace(body, keyword, ''))) / greatest(length(keyword), 1)) / greatest(1, {S.wc("body")}) * 100.0::DOUBLE, 2) END AS density FROM kw)
+SELECT page_id, 'keywords' AS "group", 'detected' AS "check", 'warn' AS status, 'medium' AS impact FROM k1 WHERE keyword = ''
+UNION ALL SELECT page_id, 'keywords', 'density', CASE WHEN density = 0 OR density > 3.0 THEN 'fail' WHEN density > 2.0 OR density < 0.3 THEN 'warn' ELSE 'pass' END, CASE WHEN density = 0 OR density > 3.0 THEN 'high' WHEN density > 2.0 THEN 'medium' WHEN density < 0.3 THEN 'low' ELSE 'medium' END FROM k1 WHERE keyword <> ''
+UNION ALL SELECT page_id, 'keywords', 'first_paragraph', CASE WHEN contains(array_to_string({S.toks("body")}[1:100], ' '), keyword) THEN 'pass' ELSE 'warn' END, 'medium' FROM k1 WHERE keyword <> ''
+UNION ALL SELECT page_id, 'keywords', 'url', 'warn', 'medium' FROM k1 WHERE keyword <> '' AND slug <> '' AND NOT contains(lower(slug), replace(keyword, ' ', '-'))"""
+)
+def e20_keyword_findings(spark, d):
+    rows = articles.keyword(page_articles(spark, d).withColumn("body", articles.body_text()))
+    return findings.keyword_placement(rows, "page_id")
+
+
+@query(
+    f"""{S.pages()}, s AS (SELECT *, coalesce(nullif(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*/([^/?#]+)/', 1), ''), 'pages') AS section FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY words DESC, url) AS k FROM s)
+SELECT section, count(*)::BIGINT AS n, string_agg('- [' || title || '](' || url || ')', chr(10) ORDER BY k) AS text FROM k WHERE k <= 40 GROUP BY section"""
+)
+def e31_llms_txt(spark, d):
+    """The site's sections with their forty longest pages each."""
+    return site_files.llms_txt(html.page_rows(table(spark, d, "pages")))
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 200")
+def j5_latest(spark, d):
+    """The ledger's view of the latest 200 lines."""
+    return table(spark, d, "events").orderBy(F.desc("ts"), "event_id").limit(200).select("event_id", "user_id", "event_type")
+
+
+@query(
+    f"""WITH pairs AS (SELECT a.conv_id, a.turn, {S.token_set("a.text", L.AUDIT_STOP)} AS s, {S.token_set("b.text", L.AUDIT_STOP)} AS t FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn - 1)
+SELECT conv_id, turn, len(list_intersect(s, t))::BIGINT AS shared, len(list_filter(t, lambda w: NOT list_contains(s, w)))::BIGINT AS added, len(list_filter(s, lambda w: NOT list_contains(t, w)))::BIGINT AS gone FROM pairs"""
+)
+def k1_k2_set_differences(spark, d):
+    rows = turn_pairs(spark, d).select("conv_id", "turn", T.token_set(F.col("before"), L.AUDIT_STOP).alias("s"), T.token_set(F.col("after"), L.AUDIT_STOP).alias("t"))
+    return rows.select("conv_id", "turn", *(F.size(c).cast("long").alias(n) for n, c in (("shared", F.array_intersect("s", "t")), ("added", F.array_except("t", "s")), ("gone", F.array_except("s", "t")))))
+
+
+@query(
+    f"""{S.pages()}, fs AS (SELECT page_id, 'meta' AS "group", 'present' AS "check", 'fail' AS status, 'high' AS impact FROM p WHERE description = ''
+UNION ALL SELECT page_id, 'headings', 'structure', 'fail', 'high' FROM p WHERE len(h2) = 0)
+SELECT * FROM fs ORDER BY CASE "check" WHEN 'present' THEN 1 ELSE 2 END, page_id, "group", "check" LIMIT 20"""
+)
+def j2_first_actions(spark, d):
+    """The twenty first things to do over all pages: with these tables, descriptions that are missing."""
+    return files.prioritise(findings.page(html.page_rows(table(spark, d, "pages"))), "page_id")
