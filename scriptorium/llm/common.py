@@ -26,6 +26,17 @@ def scratch_root(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows in an Arrow batch of texts; Spark's own 10,000 hold some 100 MB on either side of a worker's pipe.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long rows: batches of them are smaller, unless the session has set their size itself."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH))
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive lost executors.
 
@@ -33,6 +44,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         jvm = spark._jvm
