@@ -62,16 +62,14 @@ class EliasFano:
         n, bits = (int(x) for x in arrays[f"{name}.size"])
         return cls(n, bits, arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.zeros"])
 
-    def _below(self, part: np.ndarray) -> np.ndarray:
-        """How many numbers have a high part below this one: the ones before the zero that ends the part before."""
-        out = np.zeros(len(part), np.int64)
-        some = part > 0
-        k = part[some].astype(np.int64) - 1
-        k = np.minimum(k, int(self.zeros[-1]) - 1)
+    def _starts(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the numbers of each high part start: place in the unary code, and how many numbers are before."""
+        k = part.astype(np.int64) - 1  # the zero that ends the part before
         word = np.searchsorted(self.zeros, k, side="right") - 1
-        place = (word << 6) + _select(~self.high[word], k - self.zeros[word]).astype(np.int64)
-        out[some] = place - k
-        return np.minimum(out, self.n)
+        word[k < 0] = 0
+        place = (word << 6) + _select(~self.high[word], np.maximum(k - self.zeros[word], 0)).astype(np.int64)
+        place[k < 0] = -1
+        return place + 1, place - k
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -90,16 +88,27 @@ class EliasFano:
         if not self.n:
             return out
         part, low = x >> U(self.bits), x & U((1 << self.bits) - 1)
-        inside = np.flatnonzero(part < U(len(self.high) * 64))
-        at, end = self._below(part[inside]), self._below(part[inside] + U(1))
-        while len(inside):
-            going = at < end
-            inside, at, end = inside[going], at[going], end[going]
+        inside = np.flatnonzero(part < U(max(0, int(self.zeros[-1]) - 1)))
+        low = low[inside]
+        bit, at = self._starts(part[inside])
+        for _ in range(3):  # most high parts have few numbers
+            going = np.flatnonzero((self.high[bit >> 6] >> (bit & 63).astype(U)) & U(1))  # one: a number of this part
+            inside, low, bit, at = inside[going], low[going], bit[going], at[going]
             here = self._lows(at)
-            same = here == low[inside]
-            out[inside[same]] = at[same]
-            on = here < low[inside]
-            inside, at, end = inside[on], at[on] + 1, end[on]
+            out[inside[here == low]] = at[here == low]
+            on = np.flatnonzero(here < low)
+            inside, low, bit, at = inside[on], low[on], bit[on] + 1, at[on] + 1
+        end = self._starts(part[inside] + U(1))[1]
+        while len(inside):  # the rest by halves
+            on = np.flatnonzero(at < end)
+            inside, low, at, end = inside[on], low[on], at[on], end[on]
+            middle = (at + end) >> 1
+            here = self._lows(middle)
+            out[inside[here == low]] = middle[here == low]
+            end = np.where(here > low, middle, end)
+            at = np.where(here < low, middle + 1, at)
+            on = np.flatnonzero(here != low)
+            inside, low, at, end = inside[on], low[on], at[on], end[on]
         return out
 
     def values(self) -> np.ndarray:
@@ -127,7 +136,7 @@ def save(path: str, arrays: dict[str, np.ndarray]) -> None:
 
 def load(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file, memory-mapped."""
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.asarray(np.memmap(path, np.uint8, "r"))
     n = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8 : 8 + n].tobytes())
     base = 8 + n

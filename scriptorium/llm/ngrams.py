@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -37,9 +37,9 @@ from .eliasfano import EliasFano, load, save
 ADD = 0.1
 GRID = tuple(2.0**i for i in range(-2, 23, 2))
 #: Words in a shard of level 1 and tokens in a shard of level 2, about.
-WORDS_A_SHARD, TOKENS_A_SHARD = 1 << 20, 4_000_000
+WORDS_A_SHARD, TOKENS_A_SHARD = 1 << 20, 1_500_000
 #: Tokens that a task counts or scores at once.
-BLOCK = 1_500_000
+BLOCK = 600_000
 END = b""
 NONE = np.int64(-1)
 
@@ -72,19 +72,23 @@ class Blocks:
         self.texts = texts
 
     def __iter__(self):
-        place: dict[bytes, int] = {}
-        ids: list[int] = []
-        sizes: list[int] = []
+        place, ids, sizes = self._new(), [], []
         for text in self.texts:
             own = tokens(text)
-            ids += [place.setdefault(w, len(place)) for w in own]
+            ids += map(place.__getitem__, own)
             sizes.append(len(own))
             if len(ids) >= BLOCK:
                 yield list(place), np.array(ids, np.int64), np.array(sizes, np.int64)
-                place, ids, sizes = {}, [], []
+                place, ids, sizes = self._new(), [], []
         if sizes:
             yield list(place), np.array(ids, np.int64), np.array(sizes, np.int64)
 
+    @staticmethod
+    def _new() -> defaultdict[bytes, int]:
+        place: defaultdict[bytes, int] = defaultdict()
+        place.default_factory = place.__len__
+        return place
+
 
 def _before(ids: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     """Of each token the one before it in its text, at the start the end token."""
@@ -194,26 +198,27 @@ class Model:
             self._pairs[shard] = arrays and {"context": EliasFano.of(arrays, "context"), "follower": EliasFano.of(arrays, "follower"), "code": arrays["code"], "book": arrays["book"]}
         return self._pairs[shard]
 
-    def logs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """log10 P(b | a) of pairs of numbers; -1 is an unknown word."""
-        counts = self.counts(a)
-        rest = self.base(self.counts(b))
-        out = np.log10(np.where(counts > 0, self.k * rest / (counts + self.k), rest))
-        known = np.flatnonzero((a >= 0) & (b >= 0))
-        shard = self.shard(a[known], b[known])
+    def logs(self, a: np.ndarray, b: np.ndarray, number: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 P(b | a) of pairs of words, sorted by a, as places in number and counts; number -1 is an unknown word."""
+        rest = self.base(counts)
+        own = counts[a]
+        out = np.log10(np.where(own > 0, self.k * rest[b] / (own + self.k), rest[b]))
+        known = np.flatnonzero((number[a] >= 0) & (number[b] >= 0))
+        a, b = number[a[known]], number[b[known]]
+        shard = self.shard(a, b)
         order = np.argsort(shard, kind="stable")
-        known, shard = known[order], shard[order]
+        known, shard, a, b = known[order], shard[order], a[order], b[order]
         borders = np.flatnonzero(np.diff(shard, prepend=-1, append=-1)) if len(shard) else []
         for lo, hi in zip(borders, borders[1:], strict=False):
             level = self._level2(int(shard[lo]))
             if level is None:
                 continue
-            own = known[lo:hi]
-            place = level["context"].find(a[own].astype(np.uint64))
-            own, place = own[place >= 0], place[place >= 0]
-            at = level["follower"].find(place.astype(np.uint64) * np.uint64(self.vocabulary) + b[own].astype(np.uint64))
+            first = np.flatnonzero(np.diff(a[lo:hi], prepend=-1))  # each context is sought once
+            place = np.repeat(level["context"].find(a[lo:hi][first].astype(np.uint64)), np.diff([*first, hi - lo]))
+            some = np.flatnonzero(place >= 0)
+            at = level["follower"].find(place[some].astype(np.uint64) * np.uint64(self.vocabulary) + b[lo:hi][some].astype(np.uint64))
             met = at >= 0
-            out[own[met]] = level["book"][level["code"][at[met]]]
+            out[known[lo:hi][some[met]]] = level["book"][level["code"][at[met]]]
         return out
 
 
@@ -372,11 +377,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for words, ids, sizes in Blocks(t.as_py() for t in batch.column(1)):
                 number = model.numbers(_digest(words))
                 counts = model.counts(number)
-                own = number[ids]
-                before = _before(own, sizes, int(model.numbers(_digest([END]))[0]))
-                pairs, inverse = np.unique((before + 1).astype(np.uint64) << np.uint64(32) | (own + 1).astype(np.uint64), return_inverse=True)
-                a, b = _split(pairs)
-                logs = model.logs(a - 1, b - 1)[inverse]
+                before = _before(ids, sizes, words.index(END))
+                pairs, inverse = np.unique(before * len(words) + ids, return_inverse=True)
+                logs = model.logs(*np.divmod(pairs, len(words)), number, counts)[inverse]
                 starts = np.cumsum(sizes) - sizes
                 sums = lambda x: np.add.reduceat(x, starts)  # noqa: B023, E731
                 out = (batch.column(0).slice(at, len(sizes)), pa.array(sizes), pa.array(sums((counts > 0)[ids].astype(np.int64))), pa.array(sums(np.log10(model.base(counts))[ids])), pa.array(sums(logs)))
