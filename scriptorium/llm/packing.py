@@ -262,6 +262,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2, ids: bo
     """doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset of every piece."""
     scratch = Scratch(docs.sparkSession, "pack")
     made = tokenise(docs, path, capacity, end, ids).withColumn("_key", F.xxhash64("doc_id", "piece", "ids_crc32"))
+    made = scratch.keep(made, "made")  # dealing by ranges reads it twice
     dealt = ordered(made, ["length", "_key"], scratch, "pieces")
     counts = {r[0]: r[1] for r in dealt.groupBy("length").count().collect()}  # a number for each length up to the capacity
     table = layout(counts, plan(counts, capacity, groups))
