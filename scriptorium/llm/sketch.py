@@ -90,15 +90,16 @@ def edits(docs: DataFrame, size: int = SIZE) -> DataFrame:
     text = text_or_empty()
     keyed = docs.select("doc_id", text.alias("text"))
     key = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_null": F.col("doc_id").isNotNull(), "_hash": F.xxhash64("text")}
+    kind = dict(docs.dtypes)["doc_id"]
     ids = keyed.select(F.length("text").alias("_n"), *(c.alias(n) for n, c in key.items())).groupBy(*KEY).agg(F.max("_n").alias("_n"), F.count("*").alias("_rows"))
     order = ["_null", "_id", "_hash"]
-    dealt = ordered(ids, order, scratch, "ids")
+    dealt = ordered(scratch.keep(ids, "units"), order, scratch, "ids")
     again = dealt.agg(F.max("_rows")).first()[0] or 0
     # of each document as the next one: whom it follows, and how much that one takes
     chain = neighbours(dealt, order, [*KEY, "_n"], ring=True).select(*KEY, *(F.col(f"_before.{k}").alias(f"to{k}") for k in KEY), F.floor(F.col("_before._n") / 2).cast("int").alias("_take"))
     chain = scratch.keep(chain, "chain")
 
-    texts = keyed.withColumns(key).repartition(*KEY)
+    texts = keyed.select(*(c.alias(n) for n, c in key.items()), "text").repartition(*KEY)  # the same columns in both uses: one shuffle
     follow = texts.join(chain, KEY).withColumn("_start", F.substring(F.col("text"), F.lit(1), F.col("_take")))
     follow = with_sketch(follow, "text", "next_sketch", size).select(*(F.col(f"to{k}").alias(k) for k in KEY), "_start", "next_sketch")
     if again > 1:  # rows that stand more than once
@@ -107,4 +108,4 @@ def edits(docs: DataFrame, size: int = SIZE) -> DataFrame:
     n = F.length("text")
     rows = rows.withColumn("edited_text", F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 2).cast("int")), "_start"))
     rows = with_sketch(rows, "edited_text", "edited_sketch", size)
-    return rows.select("doc_id", n.cast("long").alias("n_chars"), "edited_text", "sketch", "edited_sketch", "next_sketch")
+    return rows.select(F.when(F.col("_null"), F.col("_id")).cast(kind).alias("doc_id"), n.cast("long").alias("n_chars"), "edited_text", "sketch", "edited_sketch", "next_sketch")
