@@ -117,6 +117,9 @@ class Joined:
             x = above[x]
         return x
 
+    def connected(self, x: int, y: int) -> bool:
+        return self._root(x) == self._root(y)
+
     def join(self, x: int, y: int) -> bool:
         """Whether they weren't connected before."""
         x, y = self._root(x), self._root(y)
@@ -226,11 +229,13 @@ def dedupe(docs: DataFrame, radius: int = 2, words: int = WORDS) -> DataFrame:
 
 #: Bands and values in a band of the min-hash keys that shard the trees for wide radii, and values that estimate resemblance.
 BANDS, ROWS, VALUES = 8, 2, 128
+#: Shingles of a wide-radius tree's texts: their sets are 64 MB in a task at most.
+SHINGLES = 8_000_000
 _MULTIPLY = np.random.default_rng(11).integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def least(text: str | None, words: int = 5) -> np.ndarray | None:
-    """The least of each permutation of the hashes of a text's shingles; None without words."""
+def shingles(text: str | None, words: int = 5) -> np.ndarray | None:
+    """Hashes of a text's shingles, as often as they stand; None without words."""
     import xxhash
 
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -240,13 +245,26 @@ def least(text: str | None, words: int = 5) -> np.ndarray | None:
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = [0, *(ends[:-1] + 1).tolist()]
     digest = xxhash.xxh3_64_intdigest
-    hashes = np.array([digest(joined[a:b]) for a, b in zip(starts, ends[words - 1 :].tolist() or [len(joined)], strict=False)], np.uint64)
+    return np.array([digest(joined[a:b]) for a, b in zip(starts, ends[words - 1 :].tolist() or [len(joined)], strict=False)], np.uint64)
+
+
+def least(text: str | None, words: int = 5) -> np.ndarray | None:
+    """The least of each permutation of the hashes of a text's shingles; None without words."""
+    hashes = shingles(text, words)
+    if hashes is None:
+        return None
     found = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 2048):
         np.minimum(found, (hashes[at : at + 2048, None] * _MULTIPLY).min(axis=0), out=found)
     return found
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The resemblance of two sets of distinct hashes. A quotient, so that exactly four in five is 0.8."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
 def bands(found: np.ndarray) -> list[int]:
     """Keys, signed, of the shards of a text: texts of resemblance r share one at least with probability 1 - (1 - r ** ROWS) ** BANDS."""
     import xxhash
@@ -264,18 +282,24 @@ def similar(docs: DataFrame, radius: int = 18, resemblance: float = 0.8, words:
 
     At a resemblance of 0.8 fingerprints of three-word shingles differ in some 5 to 10 bits. The trees are sharded by min-hash
     bands instead, under which texts of resemblance 0.8 miss one another with probability 0.0003. Those that a tree finds
-    within the radius are linked if VALUES min-hashes estimate their resemblance (standard error 0.035 at 0.8) at no more
-    than two standard errors below the one asked for. Equal texts are one, and a text of which all values are those of one
-    in the tree is linked to that and not added; each tree gives a forest of links.
+    within the radius are candidates if VALUES min-hashes estimate their resemblance (standard error 0.035 at 0.8) at no more
+    than five standard errors below the one asked for, and are linked if the Jaccard index of their sets of shingles is at
+    least that. Pairs that confirmed links connect already are not confirmed again: each tree gives a forest of links. Equal
+    texts are one, and a text with the set and the fingerprint of one in the tree is linked to that and not added.
     """
     scratch = Scratch(docs.sparkSession, "similar")
-    needed = VALUES * (resemblance - 2 * (resemblance * (1 - resemblance) / VALUES) ** 0.5)
+    needed = VALUES * (resemblance - 5 * (resemblance * (1 - resemblance) / VALUES) ** 0.5)
 
-    @F.pandas_udf("keys array<bigint>, sign binary")
+    @F.pandas_udf("keys array<bigint>, sign binary, size long")
     def signed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             found = [least(t, words) for t in texts]
-            yield pd.DataFrame({"keys": [[] if f is None else bands(f) for f in found], "sign": [None if f is None else short(f) for f in found]})
+            yield pd.DataFrame({"keys": [[] if f is None else bands(f) for f in found], "sign": [None if f is None else short(f) for f in found], "size": [len((t or "").split()) for t in texts]})
+
+    @F.pandas_udf("binary")
+    def distinct(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([np.unique(shingles(t, words)).astype("<u8").tobytes() for t in texts], dtype=object)
 
     hashed = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "_print", hashed.alias("_text"), signed("text").alias("_s"))
@@ -283,11 +307,19 @@ def similar(docs: DataFrame, radius: int = 18, resemblance: float = 0.8, words:
     nodes = rows.groupBy("_text").agg(F.min("doc_id").alias("_least"), F.first("_print").alias("_print"), F.first("_s").alias("_s"))
     nodes = scratch.keep(nodes, "nodes")
     scratch.free()
-    at = nodes.select("_text", F.explode("_s.keys").alias("key"))
-    counts = at.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / tree).cast("int").alias("trees"))
-    at = at.join(counts, "key").withColumn("_own", F.pmod(F.xxhash64("_text"), F.col("trees")).cast("int"))
+    at = nodes.select("_text", "_s.size", F.explode("_s.keys").alias("key"))
+    counts = at.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size")).filter("n > 1")
+    counts = counts.select("key", F.ceil(F.greatest(F.col("n") / tree, F.col("size") / SHINGLES)).cast("int").alias("trees"))
+    at = scratch.keep(at.drop("size").join(counts, "key"), "keys")
+    # the sets of texts that share a key with another, of one row of each text (more only if its id is repeated or null)
+    hit = nodes.join(at.select("_text").distinct(), "_text").select("_text", "_least", "_print", "_s.sign")
+    own = docs.select(F.col("doc_id").alias("_id"), hashed.alias("_named"), "text")
+    met = own.join(hit, (F.col("_named") == F.col("_text")) & F.col("_id").eqNullSafe(F.col("_least")))
+    sets = scratch.keep(met.select("_text", "_print", "sign", distinct("text").alias("set")), "sets")
+    scratch.free()
+    at = at.withColumn("_own", F.pmod(F.xxhash64("_text"), F.col("trees")).cast("int"))
     at = at.withColumn("tree", F.explode(F.sequence("_own", F.col("trees") - 1))).select("key", "tree", (F.col("_own") == F.col("tree")).alias("_in"), "_text")
-    at = at.join(nodes.select("_text", "_print", "_s.sign"), "_text").select("key", "tree", "_in", "_print", "_text", "sign")
+    at = at.join(sets, "_text").select("key", "tree", "_in", "_print", "_text", "sign", "set")
     dealt = at.repartition("key", "tree").sortWithinPartitions("key", "tree", F.desc("_in"), "_print", "_text")
     mask = (1 << 64) - 1
 
@@ -297,7 +329,7 @@ def similar(docs: DataFrame, radius: int = 18, resemblance: float = 0.8, words:
         last, grown, names, joined = None, Tree(), {}, Joined()
         for batch in batches:
             a, b = [], []
-            for key, at, inside, x, text, sign in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for key, at, inside, x, text, sign, held in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if (key, at) != last:
                     last, grown, names, joined = (key, at), Tree(), {}, Joined()
                 x &= mask
@@ -305,14 +337,19 @@ def similar(docs: DataFrame, radius: int = 18, resemblance: float = 0.8, words:
                 others = [o for v in grown.within(x, radius) for o in names[v]]
                 if others:
                     equal = (np.array([o[1] for o in others]) == own).sum(axis=1)
-                    for (other, _), n in zip(others, equal.tolist(), strict=True):
-                        if n >= needed and joined.join(other, text):
+                    mine = np.frombuffer(held, "<u8")
+                    for i in np.argsort(-equal, kind="stable").tolist():  # the likeliest first
+                        if equal[i] < needed:
+                            break
+                        other, _, theirs = others[i]
+                        if not joined.connected(other, text) and jaccard(np.frombuffer(theirs, "<u8"), mine) >= resemblance:
+                            joined.join(other, text)
                             a.append(other)
                             b.append(text)
-                    same = bool(equal.max() == VALUES)
+                    same = any(o[2] == held for o in names.get(x, ()))
                 if inside and not same:
                     grown.add(x)
-                    names.setdefault(x, []).append((text, own))
+                    names.setdefault(x, []).append((text, own, held))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     edges = scratch.keep(dealt.mapInArrow(search, "a long, b long").distinct(), "links")

@@ -118,3 +118,24 @@ def test_similar_finds_near_copies(spark, frame):
             assert c == (want if i != 1 else 1), (i, c)
     assert sorted(r.doc_id for r in simhash.dedupe_similar(frame(rows)).collect()) == [*range(60), 5001]
     assert simhash.similar(frame([])).count() == 0
+
+
+def test_similar_equals_brute_force_around_the_resemblance_asked_for(spark, frame):
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):  # 180 shingles, five of which go with each changed word: of four exactly 0.8 is left, of five 0.76
+        words = ["w%d" % rng.randrange(10**6) for _ in range(184)]
+        rows.append(doc(10 * i, " ".join(words)))
+        for k, changed in enumerate({0: (4,), 1: (5,), 2: (3, 5), 3: (4, 1), 4: (6,)}[i % 5]):  # two: links that chain
+            words = list(words)
+            at = rng.randrange(5, 9)
+            for n in range(changed):
+                words[at + 40 * k + 20 * n if changed < 6 else at + 25 * n] = f"changed{i}x{k}x{n}"
+            rows.append(doc(10 * i + 1 + k, " ".join(words)))
+    sets = {r[0]: {tuple(r[1].split()[j : j + 5]) for j in range(180)} for r in rows}
+    near = {frozenset((a, b)) for a in sets for b in range(a // 10 * 10, a) if b in sets and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    exact = [p for p in near if len(sets[min(p)] & sets[max(p)]) * 5 == len(sets[min(p)] | sets[max(p)]) * 4]
+    assert len(exact) >= 30 and 60 <= len(near) < len(rows) - 150
+    want = closure(sorted(sets), lambda a, b: frozenset((a, b)) in near)
+    for tree in (simhash.TREE, 3):
+        assert {r.doc_id: r.component_id for r in simhash.similar(frame(rows), tree=tree).collect()} == want
