@@ -100,10 +100,9 @@ GAP = 2
 #: Every known sentence has one of these; texts without them are passed over.
 MARKS = ("licen", "copyright", "redistribut", "public domain", "rights reserved", "warrant")
 
-_known = {v: k for k, v in SENTENCES.items()}
 _SENTENCE = re.compile(r"(?:[^.!?;:\n]|[.:](?=\S))+(?:[.!?;:]+|(?=\n)|\Z)?")
-_WRAPPED = re.compile(r"(?:[^.!?;:\n]|[.:](?=\S)|\n(?!\s*\n))+(?:[.!?;:]+|(?=\n)|\Z)?")
-_LONG = re.compile(r"(?:[^.\n]|\.(?=\S)|\n(?!\s*\n))+(?:\.+|(?=\n)|\Z)?")  # semicolons and colons within
+_STOP = re.compile(r"\n|[.!?;:]*(?:[!?;]|[.:](?!\S))[.!?;:]*")  # what stands before and after a sentence
+_APART = re.compile(r"\n\s*\n|\.(?!\S)")  # what stands in no sentence
 _GLUE = re.compile(r"[\W_]+")
 
 
@@ -111,17 +110,37 @@ def normal(sentence: str) -> str:
     return _GLUE.sub(" ", sentence.lower()).strip()
 
 
+_PATTERNS = {k: re.compile(rf"(?<![^\W_]){r'[\W_]+'.join(s.split())}(?![^\W_])", re.I) for k, s in SENTENCES.items()}
+
+
+def _borders(text: str, a: int, b: int) -> tuple[int, int] | None:
+    """Start and end of the words at a to b with their stop, if the ends of lines or sentences stand on both sides."""
+    before, after = a, b
+    while before and not text[before - 1].isalnum():
+        before -= 1
+    while after < len(text) and not text[after].isalnum():
+        after += 1
+    stops = list(_STOP.finditer(text[before : a + 1]))
+    end = _STOP.search(text[b : after + 1])
+    if before and not stops or after < len(text) and not end:
+        return None
+    start = before + (stops[-1].end() if stops else 0)
+    start += len(text[start:a]) - len(text[start:a].lstrip())
+    tail = text[b:after] if end is None else text[b : b + (end.start() if end[0] == "\n" else end.end())]
+    return start, b + len(tail.rstrip())
+
+
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, end, identifier) of the known sentences, in order; of overlapping ones the longest."""
     low = text.lower()
-    if not any(m in low for m in MARKS):
+    if not any(m.split()[-1] in low for m in MARKS):  # a mark's words may stand on two lines
         return []
-    found = {}
-    for pattern in (_LONG, _WRAPPED, _SENTENCE):
-        for m in pattern.finditer(text):
-            if name := _known.get(normal(m[0])):
-                start = m.start() + len(m[0]) - len(m[0].lstrip())
-                found.setdefault((start, m.start() + len(m[0].rstrip())), name)
+    flat, found = f" {normal(text)} ", {}
+    for name, known in SENTENCES.items():
+        if f" {known} " in flat:
+            for m in _PATTERNS[name].finditer(text):
+                if not _APART.search(m[0]) and (place := _borders(text, *m.span())):
+                    found.setdefault(place, name)
     out: list[tuple[int, int, str]] = []
     for (a, b), name in sorted(found.items(), key=lambda x: (x[0][0], -x[0][1])):
         if not out or a >= out[-1][1]:

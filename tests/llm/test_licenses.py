@@ -28,6 +28,19 @@ def test_every_sentence_has_a_mark_and_every_rule_is_known():
             assert [m[0] for m in licenses.recognise(text)] == [licence], (rule, text)
 
 
+def test_every_sentence_on_lines_of_its_own_and_wrapped_anywhere():
+    spdx = {"spdx:mit": "MIT", "spdx:apache-2.0": "Apache-2.0", "spdx:gpl-3.0-only": "GPL-3.0-only", "spdx:bsd-3-clause": "BSD-3-Clause"}
+    for name, words in licenses.SENTENCES.items():
+        own = f"SPDX-License-Identifier: {spdx[name]}" if name in spdx else words
+        spaces = [i for i, c in enumerate(own) if c == " "]
+        for written in (own, *(own[:i] + gap + own[i + 1 :] for i in spaces for gap in ("\n", "  ", "\n# "))):
+            for before, after in itertools.product(("", "int a\n", "// Copyright 2020 us\n", "One. "), ("", "\nint b() {", "\nmore; words: here", ". Two")):
+                text = before + written + after
+                assert [(text[a:b].rstrip("."), n) for a, b, n in licenses.sentences(text)] == [(written, name)], text
+    for text in ("SPDX-License-Identifier: MIT OR Zlib", "not all rights reserved", "all rights\n\nreserved", "All rights. Reserved"):
+        assert licenses.sentences(text) == []
+
+
 def test_wrapped_header():
     found = licenses.recognise("intro line\n\n" + APACHE + "\nmore text")
     assert {m[0] for m in found} == {"apache-2.0"}
