@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,12 +15,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder every executor shares: spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder every executor shares: spark.checkpoint.dir; a temporary one only in local mode where none is set, as in tests."""
     if root := spark.conf.get("spark.checkpoint.dir", None):
         return root
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = tempfile.mkdtemp(prefix="scriptorium-")
     spark.sparkContext.setCheckpointDir(root)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -28,13 +30,23 @@ def scratch_root(spark: SparkSession) -> str:
 
 #: Rows in an Arrow batch of texts; Spark's own 10,000 hold some 100 MB on either side of a worker's pipe.
 BATCH = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts are long rows: batches of them are smaller, unless the session has set their size itself."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH))
+@contextmanager
+def writing(spark: SparkSession):
+    """Settings while a table is written: smaller Arrow batches of texts, unless the session has set their size itself, and
+    shuffle files that go when the table is whole. The session's own settings come back afterwards."""
+    held = {n: spark.conf.get(n, None) for n in (_ROWS, _FREE)}
+    if held[_ROWS] == "10000":
+        spark.conf.set(_ROWS, str(BATCH))
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        for name, value in held.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 class Scratch:
@@ -44,7 +56,6 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        small_batches(spark)
         self.spark = spark
         self.path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         jvm = spark._jvm
@@ -54,17 +65,13 @@ class Scratch:
         self._fs.deleteOnExit(self._path(self.path))
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        with writing(self.spark):
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.path}/{name}"), True)
 
-    def free(self) -> None:
-        """Has Spark delete the shuffle files of finished jobs now: its cleaner acts when the driver collects its garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def close(self) -> None:
         self._fs.delete(self._path(self.path), True)
 
@@ -115,5 +122,19 @@ def neighbours(dealt: DataFrame, order: list[str], carry: list[str], ring: bool
     return rows.withColumns({"_before": F.coalesce("_before", "_end_b"), "_after": F.coalesce("_after", "_end_a")}).drop("_end_b", "_end_a")
 
 
+#: Rows of a key or two that are sent to every task at most: some 20 MB.
+SENT = 500_000
+
+
+def small(df: DataFrame, rows: int = SENT) -> DataFrame:
+    """The table, marked to be sent to every task if it has so few rows; joined by a shuffle otherwise. df must be narrow and written."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def renamed(df: DataFrame) -> DataFrame:
+    """The table with its columns named c0, c1, ..., which clash with nothing."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))

@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 #: Known sentences of public licences, normalised, by identifier. Fixed values.
 SENTENCES = {
@@ -173,7 +172,6 @@ def recognise(text: str | None) -> list[tuple[str, int, int, int]]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (known ones) and matches (licence, start, end, sentences) of every document."""
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf("n_sentences long, matches array<struct<licence: string, start: bigint, end: bigint, sentences: bigint>>")
     def judge(texts: pd.Series) -> pd.DataFrame:

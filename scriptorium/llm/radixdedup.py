@@ -289,7 +289,6 @@ def spans(docs: DataFrame, width: int = WIDTH, small: int = SMALL) -> DataFrame:
     twice = every.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     met = scratch.keep(every.join(twice, "g"), "met")
     scratch.drop("anchors")
-    scratch.free()
 
     context = ["g", "lo", "hi", "c"]
     items = met.groupBy(*context).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "at")).alias("one"))
@@ -297,7 +296,6 @@ def spans(docs: DataFrame, width: int = WIDTH, small: int = SMALL) -> DataFrame:
     groups = items.groupBy("g").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).filter("kinds > 1 and fewest = 1")
     mixed = items.join(groups, "g").withColumns({"alone": F.col("n") == 1, "hot": F.col("kinds") > small})
     cut = scratch.keep(_contexts(docs, mixed, width), "contexts")
-    scratch.free()
     parts = scratch.keep(_small(cut.filter("not hot"), width), "small")
     if mixed.filter("hot").limit(1).count():
         parts = parts.unionAll(_large(cut.filter("hot"), width, scratch))
@@ -309,7 +307,6 @@ def spans(docs: DataFrame, width: int = WIDTH, small: int = SMALL) -> DataFrame:
     found = scratch.keep(single.unionAll(whole).groupBy(*KEY).agg(F.collect_set("span").alias("spans")), "spans")  # at most the anchors of a text
     for name in ("met", "items", "contexts", "small", "runs", "hulls", "windows", "large"):
         scratch.drop(name)
-    scratch.free()
     return found
 
 

@@ -2,13 +2,17 @@
 
 A document's fingerprint has a bit set where over half of its shingle hashes have it. Distinct fingerprints are sharded: by
 the pigeonhole principle, two that differ in `radius` bits at most agree in one of radius + 1 blocks of bits, so each
-fingerprint goes to the shard of each of its blocks. A shard's fingerprints form BK-trees of at most TREE nodes, whose
-children are keyed by the Hamming distance to their parent; a query follows only the edges within the radius. A shard with
-more fingerprints has several trees, and each of its fingerprints, as queries in blocks, meets each of them: none is
-dropped. Links join into components by rounds of joins, whatever their size, with one table written in each round.
+fingerprint goes to the shard of each of its blocks. A shard's fingerprints form BK-trees of at most some TREE nodes, whose
+children are keyed by the Hamming distance to their parent; a search follows only the edges within the radius (linking.py
+says how shards of several trees are met in full). Links join into components by rounds of joins, whatever their size.
 
-Defined results: a null text is an empty one; texts without words have fingerprint zero. Null ids take part; a component's id
-is the smallest id in it that isn't null. Repeated rows are returned as often as they stand. Only doc_id and text are read.
+Near-duplicates by the resemblance of their shingle sets (similar) take trees in two steps: in shards of min-hash bands,
+with fingerprints and estimates, to find candidates; then in shards of connected candidates, with the exact Jaccard index.
+
+Defined results: a null text is an empty one; texts without words have fingerprint zero and are near-duplicates of equal
+texts only under similar(). Null ids take part; a component's id is the smallest id in it that isn't null. Repeated rows are
+returned as often as they stand; remove() keeps one of them. An empty table gives an empty result. Whole texts are read,
+however long, in memory that grows with one text. Only doc_id and text are read; further columns pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, renamed, small
+from .linking import components
+from .linking import links as shard_links
 
 SEED = 42
 WORDS = 3
@@ -69,128 +75,21 @@ def blocks(radius: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(borders, borders[1:], strict=False)]
 
 
-class Tree:
-    """A BK-tree of unsigned 64-bit numbers under the Hamming distance."""
-
-    def __init__(self) -> None:
-        self.root: tuple[int, dict] | None = None
-
-    def add(self, x: int) -> None:
-        if self.root is None:
-            self.root = (x, {})
-            return
-        node = self.root
-        while True:
-            d = (node[0] ^ x).bit_count()
-            if d == 0:
-                return
-            child = node[1].get(d)
-            if child is None:
-                node[1][d] = (x, {})
-                return
-            node = child
-
-    def within(self, x: int, radius: int) -> list[int]:
-        found, stack = [], [self.root] if self.root else []
-        while stack:
-            value, children = stack.pop()
-            d = (value ^ x).bit_count()
-            if d <= radius:
-                found.append(value)
-            if children:
-                for e in range(d - radius, d + radius + 1):
-                    if child := children.get(e):
-                        stack.append(child)
-        return found
-
-
-class Joined:
-    """Which of a tree's fingerprints are connected already, so that each tree gives a forest of links and not all pairs."""
-
-    def __init__(self) -> None:
-        self.above: dict[int, int] = {}
-
-    def _root(self, x: int) -> int:
-        above = self.above
-        while (up := above.get(x, x)) != x:
-            above[x] = above.get(up, up)
-            x = above[x]
-        return x
-
-    def connected(self, x: int, y: int) -> bool:
-        return self._root(x) == self._root(y)
-
-    def join(self, x: int, y: int) -> bool:
-        """Whether they weren't connected before."""
-        x, y = self._root(x), self._root(y)
-        if x == y:
-            return False
-        self.above[x] = y
-        return True
-
-
 def links(prints: DataFrame, radius: int, scratch: Scratch, tree: int = TREE) -> DataFrame:
-    """a, b, as signed longs: pairs of the distinct fingerprints (column _print) that differ in radius bits at most.
+    """a, b, as signed longs: links that connect what all pairs of the distinct fingerprints (column _print) do that differ in
+    radius bits at most."""
+    keys = (F.xxhash64(F.lit(i), F.shiftrightunsigned("_print", a).bitwiseAND((1 << n) - 1 if n < 64 else -1)) for i, (a, n) in enumerate(blocks(radius)))
+    rows = prints.select(F.explode(F.array(*keys)).alias("_shard"), F.col("_print").alias("_node"), "_print", F.lit(1).alias("_size"), F.lit(None).cast("binary").alias("_payload"))
+    return shard_links(rows, radius, tree, scratch, "prints")
 
-    All such pairs are met, and of each tree's a forest is returned that connects what they connect.
-    """
-    cuts = blocks(radius)
-    keys = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("_print", a).bitwiseAND((1 << n) - 1 if n < 64 else -1).alias("value")) for i, (a, n) in enumerate(cuts)))
-    rows = prints.select("_print", F.explode(keys).alias("_key")).select("_print", "_key.block", "_key.value")
-    counts = rows.groupBy("block", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    counts = counts.withColumn("trees", F.ceil(F.col("n") / tree).cast("int")).drop("n")
-    rows = rows.join(counts, ["block", "value"])
-    own = F.pmod(F.xxhash64("_print"), F.col("trees")).cast("int")
-    # to the tree it is in, and as a query to that one and, so that pairs across trees are met once, to the later ones
-    rows = rows.withColumn("_own", own).withColumn("tree", F.explode(F.sequence("_own", F.col("trees") - 1)))
-    rows = rows.select("block", "value", "tree", (F.col("_own") == F.col("tree")).alias("_in"), "_print")
-    dealt = rows.repartition("block", "value", "tree").sortWithinPartitions("block", "value", "tree", F.desc("_in"))
-    mask = (1 << 64) - 1
-
-    def search(batches):
-        import pyarrow as pa
-
-        last, grown, joined = None, Tree(), Joined()
-        for batch in batches:
-            a, b = [], []
-            for block, value, at, inside, x in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if (block, value, at) != last:
-                    last, grown, joined = (block, value, at), Tree(), Joined()
-                u = x & mask
-                for v in grown.within(u, radius):
-                    if joined.join(u, v):
-                        a.append(x)
-                        b.append(v - (1 << 64) if v >> 63 else v)
-                if inside:
-                    grown.add(u)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return scratch.keep(dealt.mapInArrow(search, "a long, b long"), "links")
-
-
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, root of every node of the edges (a, b): the smallest node it is connected with.
-
-    Large-star and small-star rounds: each node's neighbours are linked to the smallest of them, until nothing changes.
-    Minima are aggregated before they are joined, so that a node with many links is no group in memory.
-    """
-    edges, turn = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 0
-    edges = scratch.keep(edges, "star0")
-    while True:
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = scratch.keep(large.filter("a != b").distinct(), f"large{turn}")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select("a", F.col("m").alias("b")).unionAll(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a != b").distinct()
-        small = scratch.keep(small, f"star{turn + 1}")
-        changed = bool(small.exceptAll(edges).limit(1).count() or edges.exceptAll(small).limit(1).count())
-        scratch.drop(f"large{turn}")
-        scratch.drop(f"star{turn}")
-        edges, turn = small, turn + 1
-        if not changed:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+def _named(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """_node, component_id of nodes (_node, _least), written: the smallest _least of what edges connect."""
+    roots = components(edges, scratch)
+    joined = nodes.join(roots, nodes["_node"] == roots["node"], "left").select("_node", "_least", F.coalesce("root", "_node").alias("_root"))
+    joined = scratch.keep(joined, "roots")
+    ids = scratch.keep(joined.groupBy("_root").agg(F.min("_least").alias("component_id")), "ids")
+    return scratch.keep(joined.join(ids, "_root").select("_node", "component_id"), "named")
 
 
 def group(docs: DataFrame, radius: int = 2, words: int = WORDS) -> DataFrame:
@@ -198,12 +97,8 @@ def group(docs: DataFrame, radius: int = 2, words: int = WORDS) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.keep(with_fingerprint(docs.select("doc_id", "text"), words=words).select("doc_id", "_print"), "prints")
     nodes = scratch.keep(rows.groupBy("_print").agg(F.min("doc_id").alias("_least")), "nodes")
-    roots = components(links(nodes, radius, scratch), scratch)
-    joined = nodes.join(roots, nodes["_print"] == roots["node"], "left").select("_print", "_least", F.coalesce("root", "_print").alias("_root"))
-    joined = scratch.keep(joined, "roots")
-    ids = joined.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = joined.join(ids, "_root").select("_print", "component_id")
-    return rows.join(named, "_print").select("doc_id", "_print", "component_id")
+    named = _named(nodes.withColumnRenamed("_print", "_node"), links(nodes, radius, scratch), scratch)
+    return rows.join(named, rows["_print"] == named["_node"]).select("doc_id", "_print", "component_id")
 
 
 def remove(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
@@ -212,14 +107,16 @@ def remove(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     Of its repeated rows one stays; a component of null ids alone keeps one row.
     """
     # what goes, by id: usually few rows, so that texts are joined with these
-    key = {"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()}
+    key = lambda c: {"_id": F.coalesce(c.cast("long"), F.lit(0).cast("long")), "_none": c.isNull()}
     counted = scratch.keep(found.groupBy("doc_id", "component_id").agg(F.count("*").alias("_rows")), "groups")
-    gone = counted.filter("doc_id is null and component_id is not null or doc_id != component_id").withColumns(key).select(*key).distinct()
+    gone = counted.filter("doc_id is null and component_id is not null or doc_id != component_id").withColumns(key(F.col("doc_id"))).select("_id", "_none").distinct()
+    gone = scratch.keep(gone, "gone")
     names = docs.columns
-    kept = docs.withColumns(key).join(gone, list(key), "left_anti")
+    rows = renamed(docs)
+    rows = rows.withColumns(key(F.col(f"c{names.index('doc_id')}"))).join(small(gone), ["_id", "_none"], "left_anti")
     if counted.filter("_rows > 1 and (doc_id = component_id or component_id is null)").limit(1).count():
-        kept = kept.dropDuplicates(list(key))
-    return kept.select(*(F.col(f"`{n}`") for n in names))
+        rows = rows.dropDuplicates(["_id", "_none"])
+    return rows.drop("_id", "_none").toDF(*names)
 
 
 def dedupe(docs: DataFrame, radius: int = 2, words: int = WORDS) -> DataFrame:
@@ -228,8 +125,8 @@ def dedupe(docs: DataFrame, radius: int = 2, words: int = WORDS) -> DataFrame:
 
 
 #: Bands and values in a band of the min-hash keys that shard the trees for wide radii, and values that estimate resemblance.
-BANDS, ROWS, VALUES = 8, 2, 128
-#: Shingles of a wide-radius tree's texts: their sets are 64 MB in a task at most.
+BANDS, ROWS, VALUES = 20, 5, 128
+#: Shingles of a tree's texts: their sets are 64 MB in a task at most.
 SHINGLES = 8_000_000
 _MULTIPLY = np.random.default_rng(11).integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -248,11 +145,8 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray | None:
     return np.array([digest(joined[a:b]) for a, b in zip(starts, ends[words - 1 :].tolist() or [len(joined)], strict=False)], np.uint64)
 
 
-def least(text: str | None, words: int = 5) -> np.ndarray | None:
-    """The least of each permutation of the hashes of a text's shingles; None without words."""
-    hashes = shingles(text, words)
-    if hashes is None:
-        return None
+def least(hashes: np.ndarray) -> np.ndarray:
+    """The least of each permutation of the hashes of a text's shingles."""
     found = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 2048):
         np.minimum(found, (hashes[at : at + 2048, None] * _MULTIPLY).min(axis=0), out=found)
@@ -273,92 +167,73 @@ def bands(found: np.ndarray) -> list[int]:
 
 
 def short(found: np.ndarray) -> bytes:
-    """Sixteen bits of each value."""
-    return ((found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype("<u2").tobytes()
+    """Eight bits of each value."""
+    return ((found * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def _matching(resemblance: float):
+    """Whether two sets of distinct hashes are as near as that."""
+
+    def match(a: np.ndarray, b: np.ndarray) -> bool:
+        few, many = sorted((len(a), len(b)))
+        return few >= resemblance * many and jaccard(a, b) >= resemblance
 
+    return match
 
-def similar(docs: DataFrame, radius: int = 18, resemblance: float = 0.8, words: int = 5, tree: int = TREE // 4) -> DataFrame:
-    """doc_id and component_id of every row, for near-duplicates that differ in more bits than blocks can shard.
 
-    At a resemblance of 0.8 fingerprints of three-word shingles differ in some 5 to 10 bits. The trees are sharded by min-hash
-    bands instead, under which texts of resemblance 0.8 miss one another with probability 0.0003. Those that a tree finds
-    within the radius are candidates if VALUES min-hashes estimate their resemblance (standard error 0.035 at 0.8) at no more
-    than five standard errors below the one asked for, and are linked if the Jaccard index of their sets of shingles is at
-    least that. Pairs that confirmed links connect already are not confirmed again: each tree gives a forest of links. Equal
-    texts are one, and a text with the set and the fingerprint of one in the tree is linked to that and not added.
+def similar(docs: DataFrame, resemblance: float = 0.8, words: int = 5, radius: int = 24, tree: int = TREE // 4, shingle_cap: int = SHINGLES) -> DataFrame:
+    """doc_id and component_id of every row: texts are linked if the Jaccard index of their shingle sets is `resemblance` or more.
+
+    At a resemblance of 0.8 fingerprints differ in 9.7 bits, with a deviation of 2.9, so the radius is five of these above.
+    Candidates are texts that share a min-hash band (a pair at 0.8 shares none with probability 0.0004), that a tree finds
+    within the radius and whose VALUES min-hashes estimate a resemblance of no more than five standard errors below the one
+    asked for. Candidates that are connected form the second step's shards, where the exact index decides. Equal texts are one.
     """
     scratch = Scratch(docs.sparkSession, "similar")
     needed = VALUES * (resemblance - 5 * (resemblance * (1 - resemblance) / VALUES) ** 0.5)
 
-    @F.pandas_udf("keys array<bigint>, sign binary, size long")
+    @F.pandas_udf("print long, keys array<bigint>, sign binary, size long")
     def signed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
-            found = [least(t, words) for t in texts]
-            yield pd.DataFrame({"keys": [[] if f is None else bands(f) for f in found], "sign": [None if f is None else short(f) for f in found], "size": [len((t or "").split()) for t in texts]})
+            out = []
+            for t in texts:
+                hashes = shingles(t, words)
+                if hashes is None:
+                    out.append((0, [], None, 0))
+                    continue
+                own = np.unique(hashes)
+                found, value = least(own), _majority(own)
+                out.append((value - (1 << 64) if value >> 63 else value, bands(found), short(found), len(own)))
+            yield pd.DataFrame(out, columns=["print", "keys", "sign", "size"])
 
     @F.pandas_udf("binary")
     def distinct(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([np.unique(shingles(t, words)).astype("<u8").tobytes() for t in texts], dtype=object)
 
+    def alike(a: np.ndarray, b: np.ndarray) -> bool:
+        return int((a == b).sum()) >= needed
+
     hashed = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "_print", hashed.alias("_text"), signed("text").alias("_s"))
-    rows = scratch.keep(rows, "prints")
-    nodes = rows.groupBy("_text").agg(F.min("doc_id").alias("_least"), F.first("_print").alias("_print"), F.first("_s").alias("_s"))
-    nodes = scratch.keep(nodes, "nodes")
-    scratch.free()
-    at = nodes.select("_text", "_s.size", F.explode("_s.keys").alias("key"))
-    counts = at.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size")).filter("n > 1")
-    counts = counts.select("key", F.ceil(F.greatest(F.col("n") / tree, F.col("size") / SHINGLES)).cast("int").alias("trees"))
-    at = scratch.keep(at.drop("size").join(counts, "key"), "keys")
-    # the sets of texts that share a key with another, of one row of each text (more only if its id is repeated or null)
-    hit = nodes.join(at.select("_text").distinct(), "_text").select("_text", "_least", "_print", "_s.sign")
+    rows = scratch.keep(docs.select("doc_id", hashed.alias("_node"), signed("text").alias("_s")), "prints")
+    nodes = rows.groupBy("_node").agg(F.min("doc_id").alias("_least"), F.first("_s").alias("_s"))
+    nodes = scratch.keep(nodes.select("_node", "_least", "_s.*"), "nodes")
+    at = nodes.select("_node", F.explode("keys").alias("_shard"))
+    shared = scratch.keep(at.groupBy("_shard").agg(F.count("*").alias("n")).filter("n > 1").select("_shard"), "shared")
+    at = at.join(shared, "_shard")
+    at = scratch.keep(at.join(nodes.select("_node", "print", "sign"), "_node").select("_shard", "_node", F.col("print").alias("_print"), F.lit(1).alias("_size"), F.col("sign").alias("_payload")), "banded")
+    near = shard_links(at, radius, tree, scratch, "near", alike, lambda x: np.frombuffer(x, np.uint8))
+    # candidates, by what connects them; of each text the set of one row (more only if its id is repeated or null)
+    hit = components(near, scratch, "candidates").join(nodes.select("_node", "_least", "print", "size"), F.col("node") == F.col("_node"))
+    hit = scratch.keep(hit.select(F.col("root").alias("_shard"), "_node", "_least", F.col("print").alias("_print"), F.col("size").alias("_size")), "hit")
     own = docs.select(F.col("doc_id").alias("_id"), hashed.alias("_named"), "text")
-    met = own.join(hit, (F.col("_named") == F.col("_text")) & F.col("_id").eqNullSafe(F.col("_least")))
-    sets = scratch.keep(met.select("_text", "_print", "sign", distinct("text").alias("set")), "sets")
-    scratch.free()
-    at = at.withColumn("_own", F.pmod(F.xxhash64("_text"), F.col("trees")).cast("int"))
-    at = at.withColumn("tree", F.explode(F.sequence("_own", F.col("trees") - 1))).select("key", "tree", (F.col("_own") == F.col("tree")).alias("_in"), "_text")
-    at = at.join(sets, "_text").select("key", "tree", "_in", "_print", "_text", "sign", "set")
-    dealt = at.repartition("key", "tree").sortWithinPartitions("key", "tree", F.desc("_in"), "_print", "_text")
-    mask = (1 << 64) - 1
-
-    def search(batches):
-        import pyarrow as pa
-
-        last, grown, names, joined = None, Tree(), {}, Joined()
-        for batch in batches:
-            a, b = [], []
-            for key, at, inside, x, text, sign, held in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if (key, at) != last:
-                    last, grown, names, joined = (key, at), Tree(), {}, Joined()
-                x &= mask
-                own, same = np.frombuffer(sign, "<u2"), False
-                others = [o for v in grown.within(x, radius) for o in names[v]]
-                if others:
-                    equal = (np.array([o[1] for o in others]) == own).sum(axis=1)
-                    mine = np.frombuffer(held, "<u8")
-                    for i in np.argsort(-equal, kind="stable").tolist():  # the likeliest first
-                        if equal[i] < needed:
-                            break
-                        other, _, theirs = others[i]
-                        if not joined.connected(other, text) and jaccard(np.frombuffer(theirs, "<u8"), mine) >= resemblance:
-                            joined.join(other, text)
-                            a.append(other)
-                            b.append(text)
-                    same = any(o[2] == held for o in names.get(x, ()))
-                if inside and not same:
-                    grown.add(x)
-                    names.setdefault(x, []).append((text, own, held))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    edges = scratch.keep(dealt.mapInArrow(search, "a long, b long").distinct(), "links")
-    roots = components(edges, scratch)
-    joined = nodes.join(roots, nodes["_text"] == roots["node"], "left").select("_text", "_least", F.coalesce("root", "_text").alias("_root"))
-    joined = scratch.keep(joined, "roots")
-    ids = joined.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    named = joined.join(ids, "_root").select("_text", "component_id")
-    return rows.select("doc_id", "_text").join(named, "_text").select("doc_id", "component_id")
+    met = own.join(small(hit), (F.col("_named") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_least")))
+    sets = scratch.keep(met.select("_shard", "_node", "_print", "_size", distinct("text").alias("_payload")), "sets")
+    edges = shard_links(sets, radius, shingle_cap, scratch, "exact", _matching(resemblance), lambda x: np.frombuffer(x, "<u8"))
+    named = _named(nodes.select("_node", "_least"), edges, scratch)
+    for name in ("shared", "banded", "sets", "hit"):
+        scratch.drop(name)
+    return rows.select("doc_id", "_node").join(named, "_node").select("doc_id", "component_id")
 
 
 def dedupe_similar(docs: DataFrame, **how) -> DataFrame:

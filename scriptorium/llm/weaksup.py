@@ -22,7 +22,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
 
 SYMBOLS = "#*$%&|<>"
 #: The most frequent function words of the corpus languages. Fixed values.
@@ -105,7 +104,6 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 def measured(docs: DataFrame, name: str = "_measures") -> DataFrame:
     """docs with a struct of the base counts and votes."""
-    small_batches(docs.sparkSession)
 
     @F.pandas_udf(MEASURES)
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from conftest_llm import doc
-from scriptorium.llm import simhash
+from scriptorium.llm import linking, simhash
 from scriptorium.llm.common import WORD, Scratch
 
 
@@ -67,9 +67,9 @@ def test_components(spark):
     nodes = sorted({x for e in edges for x in e if e[0] != e[1]})
     pairs = {frozenset(e) for e in edges}
     want = closure(nodes, lambda a, b: frozenset((a, b)) in pairs)
-    got = simhash.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()
+    got = linking.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()
     assert {r.node: r.root for r in got} == want and len(got) == len(want)
-    assert simhash.components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
+    assert linking.components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
 
 
 def test_group_and_dedupe(spark, frame):
@@ -110,8 +110,8 @@ def test_similar_finds_near_copies(spark, frame):
                 other[rng.randrange(len(other))] = "changed%d" % rng.randrange(99)
             rows.append(doc(1000 + 10 * i + k, " ".join(other)))
     rows += [doc(5000, rows[0][1]), doc(5001, None), doc(5002, ""), doc(None, rows[1][1])]
-    for tree in (simhash.TREE, 2):
-        got = {r.doc_id: r.component_id for r in simhash.similar(frame(rows), tree=tree).collect()}
+    for tree, cap in ((simhash.TREE, simhash.SHINGLES), (2, 300)):
+        got = {r.doc_id: r.component_id for r in simhash.similar(frame(rows), tree=tree, shingle_cap=cap).collect()}
         assert len(got) == len(rows)
         for i, c in got.items():
             want = i if i is not None and i < 1000 else (i - 1000) // 10 if i is not None and i < 5000 else {5000: 0, 5001: 5001, 5002: 5001, None: 1}[i] if i in (5000, 5001, 5002, None) else None
@@ -137,5 +137,5 @@ def test_similar_equals_brute_force_around_the_resemblance_asked_for(spark, fram
     exact = [p for p in near if len(sets[min(p)] & sets[max(p)]) * 5 == len(sets[min(p)] | sets[max(p)]) * 4]
     assert len(exact) >= 30 and 60 <= len(near) < len(rows) - 150
     want = closure(sorted(sets), lambda a, b: frozenset((a, b)) in near)
-    for tree in (simhash.TREE, 3):
-        assert {r.doc_id: r.component_id for r in simhash.similar(frame(rows), tree=tree).collect()} == want
+    for tree, cap in ((simhash.TREE, simhash.SHINGLES), (3, 400)):
+        assert {r.doc_id: r.component_id for r in simhash.similar(frame(rows), tree=tree, shingle_cap=cap).collect()} == want
