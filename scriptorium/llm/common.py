@@ -126,9 +126,9 @@ def neighbours(dealt: DataFrame, order: list[str], carry: list[str], ring: bool
 SENT = 500_000
 
 
-def small(df: DataFrame, rows: int = SENT) -> DataFrame:
-    """The table, marked to be sent to every task if it has so few rows; joined by a shuffle otherwise. df must be narrow and written."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, counted: DataFrame | None = None, rows: int = SENT) -> DataFrame:
+    """The table, marked to be sent to every task if it, or the written table it is of, has so few narrow rows; else joined by a shuffle."""
+    return F.broadcast(df) if (counted or df).limit(rows + 1).count() <= rows else df
 
 
 def renamed(df: DataFrame) -> DataFrame:

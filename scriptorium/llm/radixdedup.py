@@ -15,7 +15,8 @@ the same places, so nothing is lost by it.
 Windows that hold an equal one elsewhere mark their bytes, in every document and also the first time.
 
 Defined results: a null text is an empty one. Rows equal in doc_id and text are different documents with equal strings.
-Texts shorter than the width keep all. An empty table gives an empty result. apply() keeps every column of its input.
+Texts shorter than the width keep all. An empty table gives an empty result. apply() keeps every column of its input,
+whatever its name. Texts are read in blocks, whole and however long; what is kept of a text in a row are its maximal runs.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_or_empty
+from .common import Scratch, renamed, small, text_or_empty
 
 WIDTH = 400
 #: Different contexts of a group that is sorted in one task: their bytes are under a MB.
@@ -38,7 +39,7 @@ SMALL = 256
 RUN = 16
 #: Anchors are found in blocks of so many places, so that memory doesn't grow with the text.
 BLOCK = 1 << 17
-KEY = ["_id", "_none", "_hash"]
+KEY = ["_id", "_hash"]
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTES = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -100,7 +101,7 @@ def _coded(text) -> bytes:
 
 
 def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
-    """Of each anchor: its document, place, first digit g, and its context: from how far left (hi) to how far right (lo), and its hash c."""
+    """Of each anchor: its document, first digit g, the hash c of its context, and in one number its place and how far right (lo) and left (hi) the context reaches."""
     reach = width - anchor_width(width) + 1
 
     def rows(batches):
@@ -109,30 +110,34 @@ def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
 
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            counts, at, groups, lows, highs, contexts = [], [], [], [], [], []
-            for text in batch.column(3):
+            counts, at, groups, contexts = [], [], [], []
+            for text in batch.column(2):
                 coded = _coded(text.as_py())
                 places, hashes = anchors(coded, width)
                 low, high = np.maximum(0, places + width - len(coded)), np.minimum(reach - 1, places)
                 counts.append(len(places))
-                at.append(places)
+                at.append(places << 32 | low << 16 | high)
                 groups.append(hashes)
-                lows.append(low)
-                highs.append(high)
-                contexts.append(np.array([digest(coded[a:b]) for a, b in zip((places - high).tolist(), (places - low + width).tolist(), strict=True)], np.uint64))
-            repeat = np.repeat(np.arange(len(counts)), counts)
-            own = [batch.column(i).take(pa.array(repeat)) for i in range(3)]
-            join = lambda parts, kind: np.concatenate([np.zeros(0, kind), *parts]).astype(kind)
-            bits = lambda parts: np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*own, pa.array(join(at, np.int32)), pa.array(bits(groups)), pa.array(join(lows, np.int16)), pa.array(join(highs, np.int16)), pa.array(bits(contexts))], names=[*KEY, "at", "g", "lo", "hi", "c"])
+                cut = zip((places - high).tolist(), (places - low + width).tolist(), (low << 16 | high).tolist(), strict=True)
+                contexts.append(np.array([digest(coded[a:b], seed) for a, b, seed in cut], np.uint64))
+            repeat = pa.array(np.repeat(np.arange(len(counts)), counts))
+            bits = lambda parts: pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64))
+            places = pa.array(np.concatenate([np.zeros(0, np.int64), *at]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(repeat), batch.column(1).take(repeat), places, bits(groups), bits(contexts)], names=[*KEY, "place", "g", "c"])
 
-    return docs.select(*KEY, "text").mapInArrow(rows, "_id long, _none boolean, _hash long, at int, g long, lo short, hi short, c long")
+    return docs.select(*KEY, "text").mapInArrow(rows, "_id long, _hash long, place long, g long, c long")
+
+
+def _at() -> dict:
+    """Columns of what place packs."""
+    place = F.col("place")
+    return {"at": F.shiftright(place, 32), "lo": F.shiftright(place, 16).bitwiseAND(0xFFFF).cast("short"), "hi": place.bitwiseAND(0xFFFF).cast("short")}
 
 
 def _contexts(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     """item, g, alone, hot, lo, hi and the bytes of each item's context, cut from one text that has it."""
-    wanted = items.groupBy(*KEY).agg(F.collect_list(F.struct("item", "g", "at", "lo", "hi", "alone", "hot")).alias("_items"))  # at most the anchors of a text
-    texts = docs.select(*KEY, "text").join(wanted, KEY).select("text", "_items")
+    wanted = items.groupBy(*KEY).agg(F.collect_list(F.struct("item", "g", "place", "alone", "hot")).alias("_items"))  # at most the anchors of a text
+    texts = docs.select(*KEY, "text").join(small(wanted, items), KEY).select("text", "_items")
     again = docs.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
 
     def rows(batches):
@@ -144,9 +149,12 @@ def _contexts(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
             for text, own in zip(batch.column(0), batch.column(1), strict=True):
                 coded = _coded(text.as_py())
                 for x in own.as_py():
-                    for n in ("item", "g", "alone", "hot", "lo", "hi"):
+                    for n in ("item", "g", "alone", "hot"):
                         out[n].append(x[n])
-                    out["context"].append(coded[x["at"] - x["hi"] : x["at"] - x["lo"] + width])
+                    at, lo, hi = x["place"] >> 32, x["place"] >> 16 & 0xFFFF, x["place"] & 0xFFFF
+                    out["lo"].append(lo)
+                    out["hi"].append(hi)
+                    out["context"].append(coded[at - hi : at - lo + width])
             yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in kinds], names=list(out))
 
     found = texts.mapInArrow(rows, "item long, g long, alone boolean, hot boolean, lo short, hi short, context binary")
@@ -276,56 +284,58 @@ def _large(contexts: DataFrame, width: int, scratch: Scratch) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_none": F.col("doc_id").isNull(), "_hash": F.xxhash64(text_or_empty())})
+    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "_hash": F.xxhash64(F.col("doc_id").cast("long"), text_or_empty())})
 
 
-def spans(docs: DataFrame, width: int = WIDTH, small: int = SMALL) -> DataFrame:
-    """KEY and spans: of each document with repeated windows, their bytes' (first, end), which may overlap.
+def spans(docs: DataFrame, width: int = WIDTH, limit: int = SMALL) -> DataFrame:
+    """KEY and spans: of each document with repeated windows, the (first, end) of its maximal runs of their bytes, in order.
 
-    docs: KEY and text.
+    docs: KEY and text. Counts are written before they are joined, so that adaptive execution can split a frequent digit.
     """
     scratch = Scratch(docs.sparkSession, "radix")
     every = scratch.keep(_anchor_rows(docs, width), "anchors")
-    twice = every.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    twice = scratch.keep(every.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "twice")
     met = scratch.keep(every.join(twice, "g"), "met")
     scratch.drop("anchors")
+    scratch.drop("twice")
 
-    context = ["g", "lo", "hi", "c"]
-    items = met.groupBy(*context).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "at")).alias("one"))
-    items = scratch.keep(items.select(*context, "n", *(F.col(f"one.{k}").alias(k) for k in (*KEY, "at")), F.monotonically_increasing_id().alias("item")), "items")
-    groups = items.groupBy("g").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).filter("kinds > 1 and fewest = 1")
-    mixed = items.join(groups, "g").withColumns({"alone": F.col("n") == 1, "hot": F.col("kinds") > small})
+    items = met.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "place")).alias("one"))
+    items = scratch.keep(items.select("g", "c", "n", "one.*", F.monotonically_increasing_id().alias("item")), "items")
+    groups = scratch.keep(items.groupBy("g").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).filter("kinds > 1 and fewest = 1"), "groups")
+    mixed = items.join(groups, "g").select("item", "g", *KEY, "place", (F.col("n") == 1).alias("alone"), (F.col("kinds") > limit).alias("hot"))
+    mixed = scratch.keep(mixed, "mixed")
     cut = scratch.keep(_contexts(docs, mixed, width), "contexts")
     parts = scratch.keep(_small(cut.filter("not hot"), width), "small")
     if mixed.filter("hot").limit(1).count():
         parts = parts.unionAll(_large(cut.filter("hot"), width, scratch))
-    bounds = items.filter("n = 1").select("item", *KEY, "at", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    parts = bounds.join(parts, "item").withColumns({"lo": F.greatest("lo", "_lo"), "hi": F.least("hi", "_hi")})
-    reach = F.struct((F.col("at") - F.col("hi")).cast("long").alias("first"), (F.col("at") - F.col("lo") + width).cast("long").alias("end"))
-    single = parts.select(*KEY, reach.alias("span"))
-    whole = met.join(items.filter("n > 1").select(*context), context).select(*KEY, reach.alias("span"))
-    found = scratch.keep(single.unionAll(whole).groupBy(*KEY).agg(F.collect_set("span").alias("spans")), "spans")  # at most the anchors of a text
-    for name in ("met", "items", "contexts", "small", "runs", "hulls", "windows", "large"):
+    reach = {"first": F.col("at") - F.col("hi"), "end": F.col("at") - F.col("lo") + width}
+    bounds = items.filter("n = 1").withColumns(_at()).select("item", *KEY, "at", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    single = bounds.join(parts, "item").withColumns({"lo": F.greatest("lo", "_lo"), "hi": F.least("hi", "_hi")}).select(*KEY, *(v.alias(k) for k, v in reach.items()))
+    whole = met.join(items.filter("n > 1").select("g", "c"), ["g", "c"]).withColumns(_at()).select(*KEY, *(v.alias(k) for k, v in reach.items()))
+    runs = scratch.keep(islands(single.unionAll(whole)), "islands")
+    for name in ("met", "items", "groups", "mixed", "contexts", "small", "runs", "hulls", "windows", "large"):
         scratch.drop(name)
-    return found
+    return runs
+
+
+def islands(found: DataFrame) -> DataFrame:
+    """KEY and spans: the maximal runs of the spans (first, end) of each document."""
+    before = Window.partitionBy(*KEY).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*KEY).orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
+    rows = found.withColumn("_new", F.coalesce((F.col("first") > F.max("end").over(before)).cast("long"), F.lit(1)))
+    rows = rows.withColumn("_run", F.sum("_new").over(upto)).groupBy(*KEY, "_run").agg(F.min("first").alias("first"), F.max("end").alias("end"))
+    return rows.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("spans"))
 
 
 def merged(found) -> list[tuple[int, int]]:
-    """Maximal runs of the bytes in spans."""
-    out: list[list[int]] = []
-    for a, b in sorted((x["first"], x["end"]) for x in (found if found is not None else ())):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+    return [(x["first"], x["end"]) for x in (found if found is not None else ())]
 
 
-def with_spans(docs: DataFrame, width: int = WIDTH, small: int = SMALL) -> DataFrame:
+def with_spans(docs: DataFrame, width: int = WIDTH, limit: int = SMALL) -> DataFrame:
     """docs with KEY and _spans."""
     rows = keyed(docs)
-    found = spans(rows.select(*KEY, text_or_empty().alias("text")), width, small).withColumnRenamed("spans", "_spans")
-    return rows.join(found, KEY, "left")
+    found = spans(rows.select(*KEY, text_or_empty().alias("text")), width, limit).withColumnRenamed("spans", "_spans")
+    return rows.join(small(found, found.select(F.explode("_spans"))), KEY, "left")
 
 
 def _kept(text, runs) -> bytes:
@@ -337,23 +347,27 @@ def _kept(text, runs) -> bytes:
 
 
 def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (maximal runs removed) and the SHA-256 of what is kept."""
+    """doc_id, n_bytes, n_removed, n_spans (maximal runs removed), the SHA-256 of what is kept, and what is kept as text.
+
+    In the text half a character at a cut goes; the digest is of all bytes that are kept.
+    """
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
     def digest(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
         out = []
         for text, own in zip(texts, found, strict=True):
             runs = merged(own)
-            out.append((len(_coded(text)), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_kept(text, runs)).hexdigest()))
-        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            kept = _kept(text, runs)
+            out.append((len(_coded(text)), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    return with_spans(docs.select("doc_id", "text"), width).withColumn("_r", digest("text", "_spans")).select("doc_id", "_r.*")
+    return with_spans(docs.select("doc_id", "text"), width).select("doc_id", digest("text", "_spans").alias("_r")).select("doc_id", "_r.*")
 
 
 def apply(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs with the texts that are left, and n_chars, if there is such a column, set to their length.
 
-    Half a character at a cut goes too. A text that is wholly removed stays as an empty one.
+    Half a character at a cut goes too. A text that is wholly removed stays as an empty one; a null text stays null.
     """
 
     @F.pandas_udf("string")
@@ -361,10 +375,9 @@ def apply(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return pd.Series([t if own is None else _kept(t, merged(own)).decode("utf-8", "ignore") for t, own in zip(texts, found, strict=True)], dtype=object)
 
     names = docs.columns
-    inner = docs.select(*(F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)), F.col("doc_id").alias("doc_id"), "text") if any(n in (*KEY, "_spans") for n in names) else docs
-    found = with_spans(inner, width)
-    if inner is not docs:
-        found = found.withColumns({f"c{names.index('text')}": left("text", "_spans")}).select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
-    else:
-        found = found.withColumn("text", left("text", "_spans")).select(*(F.col(f"`{n}`") for n in names))
-    return found.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in names else found
+    text = f"c{names.index('text')}"
+    rows = renamed(docs).withColumns({"doc_id": F.col(f"c{names.index('doc_id')}"), "text": F.col(text)})
+    rows = with_spans(rows, width).withColumn(text, left("text", "_spans"))
+    if "n_chars" in names:
+        rows = rows.withColumn(f"c{names.index('n_chars')}", F.length(text).cast(dict(docs.dtypes)["n_chars"]))
+    return rows.select(*(f"c{i}" for i in range(len(names)))).toDF(*names)
