@@ -81,8 +81,16 @@ class EliasFano:
         value = np.where(over, value | (self.low[word + 1] << np.where(over, U(64) - shift, U(0))), value)
         return value & U((1 << self.bits) - 1)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of each number, -1 where it isn't there."""
+    def get(self, i: np.ndarray) -> np.ndarray:
+        """The numbers at these places: the i-th set bit of the unary code gives the high part."""
+        if not hasattr(self, "_ones"):
+            self._ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
+        word = np.searchsorted(self._ones, i, side="right") - 1
+        place = (word << 6) + _select(self.high[word], i - self._ones[word]).astype(np.int64)
+        return ((place - i).astype(U) << U(self.bits)) | self._lows(i)
+
+    def find(self, x: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Place of each number, -1 where it isn't there; with first and end only places in that range of each are searched."""
         x = x.astype(U)
         out = np.full(len(x), -1, np.int64)
         if not self.n:
@@ -98,18 +106,20 @@ class EliasFano:
             out[inside[here == low]] = at[here == low]
             on = np.flatnonzero(here < low)
             inside, low, bit, at = inside[on], low[on], bit[on] + 1, at[on] + 1
-        end = self._starts(part[inside] + U(1))[1]
+        stop = self._starts(part[inside] + U(1))[1]
+        if first is not None:
+            at, stop = np.maximum(at, first[inside]), np.minimum(stop, end[inside])
         while len(inside):  # the rest by halves
-            on = np.flatnonzero(at < end)
-            inside, low, at, end = inside[on], low[on], at[on], end[on]
-            middle = (at + end) >> 1
+            on = np.flatnonzero(at < stop)
+            inside, low, at, stop = inside[on], low[on], at[on], stop[on]
+            middle = (at + stop) >> 1
             here = self._lows(middle)
             out[inside[here == low]] = middle[here == low]
-            end = np.where(here > low, middle, end)
+            stop = np.where(here > low, middle, stop)
             at = np.where(here < low, middle + 1, at)
             on = np.flatnonzero(here != low)
-            inside, low, at, end = inside[on], low[on], at[on], end[on]
-        return out
+            inside, low, at, stop = inside[on], low[on], at[on], stop[on]
+        return out if first is None else np.where((out >= first) & (out < end), out, -1)
 
     def values(self) -> np.ndarray:
         """All numbers."""

@@ -6,7 +6,9 @@ cut, so that texts are never shuffled. A budget over a source's size takes whole
 
 Defined results: null sources form one source, ordered last; a null text has size 0; sources of size 0 have target 0.
 Rows equal in doc_id and text share one key: they are cut together, and at the cut each gets an equal part.
-An empty table gives an empty mix. Only doc_id, source and text are read, further columns pass through apply().
+An empty table gives an empty mix. Only doc_id, source and text are read, further columns pass through apply(), whatever
+their names. Texts of any length are counted on the JVM; what reaches the driver are samples for range borders (Spark's, of a
+size by partitions) and totals.
 """
 
 from __future__ import annotations
@@ -14,18 +16,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, ordered, running, text_or_empty
+from .common import WORD, Scratch, ordered, renamed, running, text_or_empty
 
 #: source, null or not, as columns that join and sort
 SOURCE = ["_none", "_source"]
 
 
-def _source() -> dict[str, Column]:
-    return {"_none": F.col("source").isNull(), "_source": F.coalesce("source", F.lit(""))}
-
-
-def _key(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
+def _sizes(docs: DataFrame, seed: int, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """docs with its words (size), its random key and its source as columns that join and sort."""
+    named = {"_none": F.col(source).isNull(), "_source": F.coalesce(source, F.lit(""))}
+    return docs.withColumns({"size": word_count(text), "_key": F.xxhash64(F.lit(seed), doc_id, F.xxhash64(text)), **named})
 
 
 def word_count(text: str = "text") -> Column:
@@ -85,8 +85,7 @@ def _extra() -> Column:
 def mix(docs: DataFrame, seed: int = 42, **shares) -> DataFrame:
     """doc_id, source, size, source_size, target, epochs, taken: what the mix takes of each document, in words."""
     scratch = Scratch(docs.sparkSession, "mix")
-    sizes = docs.select("doc_id", "source", word_count().alias("size"), _key(seed).alias("_key")).withColumns(_source())
-    sizes = scratch.keep(sizes, "sizes")
+    sizes = scratch.keep(_sizes(docs.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
     cuts = scratch.keep(plan(sizes, scratch, **shares), "plan")
     rows = sizes.join(cuts, SOURCE)
     taken = F.col("epochs") * F.col("size") + _extra()
@@ -100,9 +99,9 @@ def apply(docs: DataFrame, seed: int = 42, **shares) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "mix")
     names = docs.columns
-    keyed = docs.withColumns({"_size": word_count(), "_key": _key(seed), **_source()})
-    sizes = scratch.keep(keyed.select(*SOURCE, "_key", F.col("_size").alias("size")), "sizes")
+    keyed = _sizes(renamed(docs), seed, *(f"c{names.index(n)}" for n in ("doc_id", "text", "source")))
+    sizes = scratch.keep(keyed.select(*SOURCE, "_key", "size"), "sizes")
     cuts = scratch.keep(plan(sizes, scratch, whole=True, **shares), "plan")
     again = F.when(F.col("cut").isNull(), 0).when(F.col("_key") < F.col("cut"), 1).when((F.col("_key") == F.col("cut")) & F.col("part").isNull(), 1).otherwise(0)
     rows = keyed.join(cuts, SOURCE).withColumn("_times", (F.col("epochs") + again).cast("int"))
-    return rows.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*(F.col(f"`{n}`") for n in names))
+    return rows.filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times"))).select(*(f"c{i}" for i in range(len(names)))).toDF(*names)

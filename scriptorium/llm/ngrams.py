@@ -1,10 +1,11 @@
 """Language-model scores from a sharded Elias-Fano trie of word bigrams.
 
 Level 1 holds the words: their sorted 64-bit hashes in Elias-Fano code and their exact counts. Level 2 holds, for each
-context word, the words that follow it: contexts and pointers to their followers are monotone and in Elias-Fano code, and so
-are the followers, each as its number relative to its context (context place * vocabulary + number), so that one successor
-search finds a pair. Next to them stand the smoothed log10 probabilities, quantised to 256 values. Both levels are files in
-the folder that executors share; they map them into memory, and no executor holds a level on its heap.
+context word, the words that follow it: contexts, pointers to where their followers start, and the followers are monotone
+and in Elias-Fano code. A follower stands as its number above the last entry of the context before, so that the level rises;
+a pair is found by reading its context's two pointers and a successor search between them, relative to that entry. Next to
+the followers stand the smoothed log10 probabilities, quantised to 256 values. Both levels are files in the folder that
+executors share; they map them into memory, and no executor holds a level on its heap.
 
 Smoothing: P(w | v) = (c(v w) + k P(w)) / (c(v) + k) with P(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)); k is the one of GRID under
 which all training pairs, each left out in turn, are likeliest. Every document starts after, and ends with, the end token.
@@ -14,8 +15,9 @@ that none is too large for a task. Pairs are counted within blocks of text befor
 cover all training documents; nothing is pruned.
 
 Defined results: a null or empty text is the end token alone; a null id counts as the empty string (held out). Without
-training documents every score is that of the unigram formula. Repeated rows count and are scored each. Only doc_id and text
-are read. spark.checkpoint.dir must be a path that executors can open and map (a shared mount).
+training documents every score is that of the unigram formula. Repeated rows count and are scored each. A text of any length
+is counted and scored whole, in memory that grows with one text. Only doc_id and text
+are read. A shard's file that is lost fails the job. spark.checkpoint.dir must be a path that executors can open and map (a shared mount).
 """
 
 from __future__ import annotations
@@ -174,7 +176,9 @@ class Model:
     def build(self, shard: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> None:
         """Writes the shard of these pairs, sorted."""
         contexts, first = np.unique(a, return_index=True)
-        place = np.repeat(np.arange(len(contexts)), np.diff([*first, len(a)]))
+        last = np.append(first[1:], len(a)) - 1
+        above = np.cumsum(b[last] + 1)  # after each context's followers, the next one's start
+        base = np.repeat(np.concatenate([[0], above[:-1]]), np.diff([*first, len(a)]))
         logs = np.log10(self.smoothed(a, b, c))
         edges = np.quantile(logs, np.linspace(0, 1, 257)) if len(logs) else np.zeros(257)
         code = np.clip(np.searchsorted(edges, logs, side="right") - 1, 0, 255)
@@ -183,8 +187,8 @@ class Model:
         save(
             f"{self.path}/pairs-{shard}",
             EliasFano.build(contexts).arrays("context")
-            | EliasFano.build(first + np.arange(len(first))).arrays("pointer")  # distinct, as first ones may not rise
-            | EliasFano.build(place.astype(np.uint64) * np.uint64(self.vocabulary) + b.astype(np.uint64)).arrays("follower")
+            | EliasFano.build(np.append(first, len(a))).arrays("pointer")
+            | EliasFano.build((base + b).astype(np.uint64)).arrays("follower")
             | {"code": code.astype(np.uint8), "book": book.astype(np.float64)},
         )
 
@@ -192,12 +196,25 @@ class Model:
         return (c + self.k * self.base(self.counts(b))) / (self.counts(a) + self.k)
 
     def _level2(self, shard: int) -> dict | None:
+        """None if there are no pairs in the shard; the list of shards says so, and not that a file is missing."""
         if shard not in self._pairs:
-            path = f"{self.path}/pairs-{shard}"
-            arrays = load(path) if os.path.exists(path) else None
-            self._pairs[shard] = arrays and {"context": EliasFano.of(arrays, "context"), "follower": EliasFano.of(arrays, "follower"), "code": arrays["code"], "book": arrays["book"]}
+            if not hasattr(self, "_written"):
+                self._written = load(f"{self.path}/pairs")["shard"]
+            at = np.searchsorted(self._written, shard)
+            there = at < len(self._written) and self._written[at] == shard
+            arrays = load(f"{self.path}/pairs-{shard}") if there else None
+            self._pairs[shard] = arrays and {n: EliasFano.of(arrays, n) for n in ("context", "pointer", "follower")} | {"code": arrays["code"], "book": arrays["book"]}
         return self._pairs[shard]
 
+    @staticmethod
+    def _followers(level: dict, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the followers of the contexts at these places start and end, and what their numbers stand above."""
+        first, end = level["pointer"].get(place).astype(np.int64), level["pointer"].get(place + 1).astype(np.int64)
+        base = np.zeros(len(place), np.uint64)
+        later = np.flatnonzero(first > 0)
+        base[later] = level["follower"].get(first[later] - 1) + np.uint64(1)
+        return first, end, base
+
     def logs(self, a: np.ndarray, b: np.ndarray, number: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 P(b | a) of pairs of words, sorted by a, as places in number and counts; number -1 is an unknown word."""
         rest = self.base(counts)
@@ -214,9 +231,14 @@ class Model:
             if level is None:
                 continue
             first = np.flatnonzero(np.diff(a[lo:hi], prepend=-1))  # each context is sought once
-            place = np.repeat(level["context"].find(a[lo:hi][first].astype(np.uint64)), np.diff([*first, hi - lo]))
-            some = np.flatnonzero(place >= 0)
-            at = level["follower"].find(place[some].astype(np.uint64) * np.uint64(self.vocabulary) + b[lo:hi][some].astype(np.uint64))
+            place = level["context"].find(a[lo:hi][first].astype(np.uint64))
+            there = np.flatnonzero(place >= 0)
+            ranges = np.zeros((3, len(first)), np.int64)
+            ranges[:, there] = self._followers(level, place[there])
+            times = np.diff([*first, hi - lo])
+            some = np.flatnonzero(np.repeat(place >= 0, times))
+            start, end, base = (np.repeat(x, times)[some] for x in ranges)
+            at = level["follower"].find((base + b[lo:hi][some]).astype(np.uint64), start, end)
             met = at >= 0
             out[known[lo:hi][some[met]]] = level["book"][level["code"][at[met]]]
         return out
@@ -287,50 +309,56 @@ def _level1(words: DataFrame, path: str, bits: int, n: int) -> list[int]:
     return [found.get(s, 0) for s in range(1 << bits)]
 
 
-def _joined(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted pairs and their counts, of rows (shard, pairs, counts)."""
-    pairs = np.concatenate([np.frombuffer(r[1], np.uint64) for r in rows])
-    counts = np.concatenate([np.frombuffer(r[2], np.uint32) for r in rows]).astype(np.int64)
-    order = np.argsort(pairs, kind="stable")
-    pairs, counts = pairs[order], counts[order]
-    first = np.flatnonzero(np.diff(pairs, prepend=pairs[0] ^ np.uint64(1))) if len(pairs) else np.zeros(0, np.int64)
-    return pairs[first], np.add.reduceat(counts, first) if len(first) else counts, first
+def _counted(a: np.ndarray, b: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, sorted, and the sums of their counts (of ones if there are none)."""
+    if not len(a):
+        return a, b, np.zeros(0, np.int64)
+    if int(a.max()) >> 32 or int(b.max()) >> 32:  # numbers of a vocabulary of 2 ** 32 words or more
+        order = np.lexsort((b, a))
+    else:
+        order = np.argsort(a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64), kind="stable")
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    sums = np.diff(np.append(first, len(a))) if counts is None else np.add.reduceat(counts[order], first)
+    return a[first], b[first], sums.astype(np.int64)
 
 
-def _split(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+def _joined(rows, kind=np.int64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of packed rows (shard, firsts, seconds, counts)."""
+    return _counted(*(np.concatenate([np.frombuffer(r[i], kind) for r in rows]).astype(np.int64) for i in (1, 2, 3)))
 
 
 def _pairs(docs: DataFrame, model: Model, n: int) -> DataFrame:
-    """shard, pairs, counts (packed) and the left-out log likelihoods of GRID, of each shard."""
+    """shard, a, b, counts (packed) and the left-out log likelihoods of GRID, of each shard."""
+    kind = np.dtype(np.uint32 if model.vocabulary < 1 << 32 else np.int64)  # of numbers, and of counts within a block
 
     def blocks(batches):
         import pyarrow as pa
 
         texts = (t.as_py() for batch in batches for t in batch.column(0))
         for words, ids, sizes in Blocks(texts):
-            number = model.numbers(_digest(words)).astype(np.uint64)[ids]
-            end = model.numbers(_digest([END])).astype(np.uint64)[0]
-            pairs, counts = np.unique(_before(number, sizes, end) << np.uint64(32) | number, return_counts=True)
-            shard = model.shard(*_split(pairs))
+            number = model.numbers(_digest(words))[ids]
+            end = model.numbers(_digest([END]))[0]
+            a, b, counts = _counted(_before(number, sizes, end), number)
+            shard = model.shard(a, b)
             order = np.argsort(shard, kind="stable")
-            pairs, counts, shard = pairs[order], counts[order].astype(np.uint32), shard[order]
+            packed = [x[order].astype(kind) for x in (a, b, counts)]
+            shard = shard[order]
             borders = np.flatnonzero(np.diff(shard, prepend=-1)).tolist() + [len(shard)]
             spans = list(zip(borders, borders[1:], strict=False))
-            yield pa.RecordBatch.from_arrays([pa.array([int(shard[a]) for a, _ in spans], pa.int32()), pa.array([pairs[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary())], names=["shard", "pairs", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(shard[i]) for i, _ in spans], pa.int32()), *(pa.array([x[i:j].tobytes() for i, j in spans], pa.binary()) for x in packed)], names=["shard", "a", "b", "counts"])
 
     def join(batches):
         import pyarrow as pa
 
-        for shard, rows in _by_shard(batches, 3):
-            pairs, counts, _ = _joined(rows)
-            a, b = _split(pairs)
+        for shard, rows in _by_shard(batches, 4):
+            a, b, counts = _joined(rows, kind)
             own, rest = model.counts(a), model.base(model.counts(b))
             left = [float(counts @ np.log((counts - 1 + k * rest) / (own - 1 + k))) for k in GRID]
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([pairs.tobytes()], pa.binary()), pa.array([counts.astype(np.uint32).tobytes()], pa.binary()), pa.array([left], pa.list_(pa.float64()))], names=["shard", "pairs", "counts", "left"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (a, b, counts)), pa.array([left], pa.list_(pa.float64()))], names=["shard", "a", "b", "counts", "left"])
 
-    rows = docs.select("text").mapInArrow(blocks, "shard int, pairs binary, counts binary")
-    return rows.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(join, "shard int, pairs binary, counts binary, left array<double>")
+    rows = docs.select("text").mapInArrow(blocks, "shard int, a binary, b binary, counts binary")
+    return rows.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(join, "shard int, a binary, b binary, counts binary, left array<double>")
 
 
 def train(docs: DataFrame, scratch: Scratch) -> Model:
@@ -344,8 +372,6 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
     bits = max(0, (vocabulary // WORDS_A_SHARD).bit_length())
     parts = partitions(docs.sparkSession)
     sizes = _level1(words, path, bits, max(parts, 1 << bits))
-    if vocabulary >= 1 << 32:
-        raise ValueError("numbers of words take 32 bits")
     shards = math.ceil(total / TOKENS_A_SHARD)
     hot = words.filter(F.col("c") * shards >= total).collect()  # at most so many as there are shards
     model = Model(path, total, sizes, [(r.h & (1 << 64) - 1, math.ceil(r.c * shards / total) + 1) for r in sorted(hot)], shards)
@@ -356,12 +382,12 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
     def write(batches):
         import pyarrow as pa
 
-        for shard, rows in _by_shard(batches, 3):
-            pairs, counts, _ = _joined(rows)
-            model.build(shard, *_split(pairs), counts)
+        for shard, rows in _by_shard(batches, 4):
+            model.build(shard, *_joined(rows))
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32())], names=["shard"])
 
-    pairs.select("shard", "pairs", "counts").mapInArrow(write, "shard int").count()
+    written = pairs.select("shard", "a", "b", "counts").mapInArrow(write, "shard int").collect()  # a number for each shard
+    save(f"{path}/pairs", {"shard": np.array(sorted(r.shard for r in written), np.int64)})
     scratch.drop("pairs")
     return model
 

@@ -1,8 +1,8 @@
 """URL filters: allow and block rules on host suffixes and path prefixes.
 
 Each URL is expanded into its host suffixes (at dots) times its path prefixes (of the lengths that rules have). The
-expressions meet the rules in an equi-join on the first four bytes of their SHA-256 digests; full digests confirm, and the
-longest rule wins.
+expressions meet the rules in an equi-join on the first four bytes of their SHA-256 digests alone; of what meets, the full
+digests confirm, and the longest rule wins.
 
 Defined results: a null URL or one without "://" has an empty host and path and no rule. Of rules of one length the one with
 the longer host wins; of equal rules with both verdicts, block. Rows equal in id and URL are judged once and returned as
@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 #: Rules so many at most are broadcast (some 10 MB); more are joined by a shuffle, whose hot keys AQE splits.
 BROADCAST_RULES = 50_000
-#: Longest path of a rule. Bounds the prefixes of a URL.
-LONGEST_PATH = 2048
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -31,8 +29,9 @@ def path_of(url: Column) -> Column:
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """rules: (host, path, allow or block)."""
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    """rules: (host, path, allow or block), as literals. Long lists are better read from a table."""
+    rows = F.array(*(F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in rules))
+    return spark.range(1).select(F.inline(rows.cast("array<struct<host: string, path: string, verdict: string>>")))
 
 
 def _prefix(digest: Column) -> Column:
@@ -44,9 +43,7 @@ def judge(urls: DataFrame, rules: DataFrame, id_column: str = "page_id", url_col
     rules = rules.groupBy(F.translate("host", UPPER, LOWER).alias("_host"), F.col("path").alias("_path")).agg(F.max("verdict").alias("_verdict"))
     rules = rules.withColumn("rule", F.concat("_host", "_path")).withColumn("_full", F.sha2("rule", 256)).withColumn("_short", _prefix(F.col("_full")))
     found = rules.agg(F.count("*"), F.sort_array(F.collect_set(F.length("_path")))).first()
-    lengths = [x for x in found[1] if x <= LONGEST_PATH]
-    if len(lengths) < len(found[1]):
-        raise ValueError(f"a rule's path is longer than {LONGEST_PATH}")
+    lengths = found[1]  # as many as rules' paths have lengths
     if found[0] <= BROADCAST_RULES:
         rules = F.broadcast(rules)
 
@@ -59,8 +56,8 @@ def judge(urls: DataFrame, rules: DataFrame, id_column: str = "page_id", url_col
     expressions = F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, p))))
     rows = base.withColumn("_expression", F.explode_outer(expressions))
     rows = rows.withColumn("_digest", F.sha2("_expression", 256)).withColumn("_at", _prefix(F.col("_digest")))
-    fits = rows.join(rules, (F.col("_at") == F.col("_short")) & (F.col("_digest") == F.col("_full")), "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), F.length("_host").alias("h"), "rule", "_verdict")))
-    judged = fits.groupBy("id", "host", "path", "_rows").agg(best.alias("_best"))
+    met = rows.join(rules, F.col("_at") == F.col("_short"), "left")
+    best = F.max(F.when(F.col("_digest") == F.col("_full"), F.struct(F.length("rule").alias("n"), F.length("_host").alias("h"), "rule", "_verdict")))
+    judged = met.groupBy("id", "host", "path", "_rows").agg(best.alias("_best"))
     judged = judged.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")))
     return judged.select(F.col("id").alias(id_column), "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best._verdict", F.lit(default)).alias("verdict"))

@@ -6,8 +6,8 @@ documents where it votes, and the share of good documents. A document's posterio
 its votes and these accuracies; a rule that abstains says nothing.
 
 Defined results: a null text is an empty one; it has no words and fails the base rule. Rules without votes have accuracies
-of one half. An empty table gives an empty result. Repeated rows are judged alike. apply() keeps every
-column of its input, whatever their names.
+of one half. An empty table gives an empty result. Repeated rows are judged alike. apply() keeps every column of its input,
+whatever their names. A verdict depends on the whole text alone, read in memory that grows with one text.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, renamed, small, text_or_empty
+
 
 SYMBOLS = "#*$%&|<>"
 #: The most frequent function words of the corpus languages. Fixed values.
@@ -162,10 +164,18 @@ def fit(rows: DataFrame, at: str = "_measures") -> tuple[np.ndarray, float]:
 
 
 def apply(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents that are kept, with their own columns: the base rule passed and a posterior of `least` or more."""
-    rows = measured(docs)
-    accuracy, share = fit(rows)
-    return rows.filter(~base_failed() & (posterior(accuracy, share) >= least)).select(*(F.col(f"`{n}`") for n in docs.columns))
+    """The documents that are kept, with their own columns: the base rule passed and a posterior of `least` or more.
+
+    Each text is measured once; what is rejected is known by two hashes of its text, and goes by a join with these.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    names = docs.columns
+    text = f"c{names.index('text')}"
+    rows = renamed(docs).withColumns({"_a": F.xxhash64(text_or_empty(text)), "_b": F.xxhash64(F.lit(1), text_or_empty(text))})
+    found = scratch.keep(measured(rows.select("_a", "_b", F.col(text).alias("text"))).drop("text"), "measures")
+    accuracy, share = fit(found)
+    bad = scratch.keep(found.filter(base_failed() | (posterior(accuracy, share) < least)).select("_a", "_b").distinct(), "bad")
+    return rows.join(small(bad), ["_a", "_b"], "left_anti").drop("_a", "_b").toDF(*names)
 
 
 def score(docs: DataFrame, scratch, least: float = 0.5) -> DataFrame:

@@ -1,4 +1,6 @@
 import itertools
+import random
+import re
 
 from conftest_llm import doc
 from scriptorium.llm import licenses
@@ -17,26 +19,90 @@ limitations under the License.
 """
 
 
+def written(name):
+    """The sentence with a name where it leaves one open."""
+    return licenses.SENTENCES[name].replace("*", "Örg 7 Inc")
+
+
+def brute(text):
+    """All pieces between the ends of lines and sentences that are known, read as words; of overlapping ones the longest."""
+    words = {k: s.split() for k, s in licenses.SENTENCES.items()}
+
+    def fits(piece, known):
+        if "*" not in known:
+            return piece == known
+        i = known.index("*")
+        return any(fits_rest(piece[i + n :], known[i + 1 :]) for n in range(1, licenses.WILD + 1) if piece[:i] == known[:i] and i + n <= len(piece))
+
+    def fits_rest(piece, known):
+        return fits(piece, known)
+
+    cuts = sorted({0, len(text)} | {m.start() + 1 for m in re.finditer(r"[\n!?;]|[.:](?!\S)", text)})
+    found = []
+    for i, a in enumerate(cuts):
+        for b in cuts[i + 1 :]:
+            piece = text[a:b]
+            if licenses._APART.search(piece.strip().rstrip(".:;!?")):
+                break
+            own = licenses.normal(piece).split()
+            start = a + len(piece) - len(piece.lstrip())
+            # a name that starts a sentence is on one line and holds no stop
+            free = len(licenses.normal(re.split(r"[\n!?;]|[.:](?!\S)", piece.lstrip())[0]).split())
+            found += [(start, -len(own), b, k) for k, w in words.items() if fits(own, w) and (w[0] != "*" or free > own.index(w[1]))]
+    out, end = [], 0
+    for a, _, b, k in sorted(found):
+        if a >= end:
+            out.append(k)
+            end = b
+    return out
+
+
+def test_matches_brute_force():
+    rng = random.Random(3)
+    names = list(licenses.SENTENCES)
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            own = written(rng.choice(names)) if rng.random() < 0.7 else "some other words of no licence"
+            if rng.random() < 0.3:
+                own = own.replace(" ", "\n", 1) if rng.random() < 0.5 else own + " and more"
+            parts.append(own + rng.choice((". ", ".\n", "\n\n", "; ")))
+        text = "".join(parts)
+        assert [n for _, _, n in licenses.sentences(text)] == brute(text), text
+
+
+def test_whole_texts_with_names():
+    bsd = "Copyright (c) 2020, Acme Corp.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+    third = "3. Neither the name of Acme Corp, Inc nor the names of its\n   contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    end = '\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT'
+    assert [(m[0], m[3]) for m in licenses.recognise(bsd + third + end)] == [("bsd-3-clause", 5)]
+    assert [(m[0], m[3]) for m in licenses.recognise(bsd + end)] == [("bsd-2-clause", 4)]
+    gpl = " GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n  Preamble"
+    assert [m[0] for m in licenses.recognise(gpl)] == ["gpl-3.0"]
+    lesser = "Foo is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    assert [m[0] for m in licenses.recognise("/* Foo\n * " + lesser + " */")] == ["lgpl-3.0-or-later"]
+
+
 def test_every_sentence_has_a_mark_and_every_rule_is_known():
     assert all(any(m in s for m in licenses.MARKS) or k == "proprietary:reserved" for k, s in licenses.SENTENCES.items() if k not in ("mit:notice",))
     assert all(name in licenses.SENTENCES for _, *rule in licenses.RULES for name in rule)
-    assert all(licenses.normal(s) == s for s in licenses.SENTENCES.values())
+    assert all(" ".join(map(licenses.normal, s.split("*"))).split() == s.replace("*", " ").split() for s in licenses.SENTENCES.values())
     # any rule's sentences written out are recognised, whatever stands around them
     for licence, *rule in licenses.RULES:
         for before, after in itertools.product(("", "Words here\n", "One. "), ("", "\nmore words", " More.")):
-            text = before + ". ".join(licenses.SENTENCES[n] for n in rule) + "." + after
+            text = before + ". ".join(written(n) for n in rule) + "." + after
             assert [m[0] for m in licenses.recognise(text)] == [licence], (rule, text)
 
 
 def test_every_sentence_on_lines_of_its_own_and_wrapped_anywhere():
-    spdx = {"spdx:mit": "MIT", "spdx:apache-2.0": "Apache-2.0", "spdx:gpl-3.0-only": "GPL-3.0-only", "spdx:bsd-3-clause": "BSD-3-Clause"}
-    for name, words in licenses.SENTENCES.items():
-        own = f"SPDX-License-Identifier: {spdx[name]}" if name in spdx else words
-        spaces = [i for i, c in enumerate(own) if c == " "]
-        for written in (own, *(own[:i] + gap + own[i + 1 :] for i in spaces for gap in ("\n", "  ", "\n# "))):
+    spdx = {f"spdx:{n.lower()}": n for n in licenses.SPDX}
+    for name in licenses.SENTENCES:
+        own = f"SPDX-License-Identifier: {spdx[name]}" if name in spdx else written(name)
+        spaces = [i for i, c in enumerate(own) if c == " " and (licenses.SENTENCES[name][0] != "*" or i >= len("Örg 7 Inc"))]
+        for lines in (own, *(own[:i] + gap + own[i + 1 :] for i in spaces for gap in ("\n", "  ", "\n# "))):
             for before, after in itertools.product(("", "int a\n", "// Copyright 2020 us\n", "One. "), ("", "\nint b() {", "\nmore; words: here", ". Two")):
-                text = before + written + after
-                assert [(text[a:b].rstrip("."), n) for a, b, n in licenses.sentences(text)] == [(written, name)], text
+                text = before + lines + after
+                assert [(text[a:b].rstrip("."), n) for a, b, n in licenses.sentences(text)] == [(lines, name)], text
     for text in ("SPDX-License-Identifier: MIT OR Zlib", "not all rights reserved", "all rights\n\nreserved", "All rights. Reserved"):
         assert licenses.sentences(text) == []
 
