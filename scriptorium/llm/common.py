@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,12 +51,20 @@ def writing(spark: SparkSession):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+#: Tables after which the driver's JVM is asked to collect its garbage.
+COLLECT = 25
+
+
 class Scratch:
     """Tables written to the shared folder, which cut lineage and outlive lost executors.
 
     They go when the application ends (the folder is marked for deletion with the file system), or earlier with drop().
+    Every scan leaves a block with its settings in each executor's memory until the driver's JVM collects the scan; an idle
+    driver seldom does, so it is asked to from time to time. Shuffle files don't wait for that, see writing().
     """
 
+    written = 0
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -67,6 +77,10 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         with writing(self.spark):
             df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        Scratch.written += 1
+        if Scratch.written % COLLECT == 0:
+            gc.collect()
+            self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:
@@ -131,6 +145,31 @@ def small(df: DataFrame, counted: DataFrame | None = None, rows: int = SENT) ->
     return F.broadcast(df) if (counted or df).limit(rows + 1).count() <= rows else df
 
 
+def with_arrow(df: DataFrame, text: str, fields: str, make: Callable[[list], list], drop: bool = False) -> DataFrame:
+    """df with further columns (fields, in DDL) made of a column's texts, in Arrow batches; without that column if drop.
+
+    make gets a batch's texts and returns a list of values, or an Arrow array, for each field.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(fields)
+    kept = [f for f in df.schema if not (drop and f.name == text)]
+    schema = StructType([*kept, *new])
+    names, at = [f.name for f in kept], df.columns.index(text)
+    kinds = list(to_arrow_schema(new))
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            made = make(batch.column(at).to_pylist())
+            own = [x if isinstance(x, pa.Array) else pa.array(x, k.type) for x, k in zip(made, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *own], names=[*names, *(k.name for k in kinds)])
+
+    return df.mapInArrow(rows, schema)
+
+
 def renamed(df: DataFrame) -> DataFrame:
     """The table with its columns named c0, c1, ..., which clash with nothing."""
     return df.toDF(*(f"c{i}" for i in range(len(df.columns))))

@@ -14,10 +14,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .common import with_arrow
 
 #: Known sentences of public licences, normalised, by identifier; "*" stands for up to WILD words, as a name. Fixed values.
 SENTENCES = {
@@ -239,12 +238,13 @@ for _rule in RULES:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences (known ones) and matches (licence, start, end, sentences) of every document."""
 
-    @F.pandas_udf("n_sentences long, matches array<struct<licence: string, start: bigint, end: bigint, sentences: bigint>>")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        rows = []
+    def judge(texts: list) -> list:
+        counts, rows = [], []
         for text in (t or "" for t in texts):
             found = sentences(text)
-            rows.append((len(found), [dict(zip(("licence", "start", "end", "sentences"), m, strict=True)) for m in matched(text, found)]))
-        return pd.DataFrame(rows, columns=["n_sentences", "matches"])
+            counts.append(len(found))
+            rows.append([dict(zip(("licence", "start", "end", "sentences"), m, strict=True)) for m in matched(text, found)])
+        return [counts, rows]
 
-    return docs.select("doc_id", judge("text").alias("_r")).select("doc_id", "_r.*")
+    fields = "n_sentences long, matches array<struct<licence: string, start: bigint, end: bigint, sentences: bigint>>"
+    return with_arrow(docs.select("doc_id", "text"), "text", fields, judge, drop=True)

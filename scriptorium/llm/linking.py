@@ -211,20 +211,23 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     """node, root of every node of the edges (a, b): the smallest node it is connected with.
 
     Large-star and small-star rounds: each node's neighbours are linked to the smallest of them, until nothing changes.
-    Minima are aggregated before they are joined, and written before that, so that a node with many links is neither a group
-    in memory nor one task's join. Rounds end when the number of edges and the sum of their hashes stay.
+    Minima are aggregated before they are joined, and joined by the inverted node, for which they are dealt anew: so a node
+    with many links is neither a group in memory nor one task's join, as adaptive execution can split what a join alone
+    deals. Rounds end when the number of edges and the sum of their hashes stay.
     """
     edges, turn = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), 0
     edges = scratch.keep(edges, "star0")
     state = lambda t: t.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+
+    def joined(rows: DataFrame, minima: DataFrame) -> DataFrame:
+        return rows.withColumn("_k", F.bitwise_not("a")).join(minima.select(F.bitwise_not("a").alias("_k"), "m"), "_k").drop("_k")
+
     before = state(edges)
     while before[0]:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = scratch.keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "least")
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = scratch.keep(large.filter("a != b").distinct(), f"large{turn}")
-        least = scratch.keep(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a")
+        large = joined(both.filter("b > a"), both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
+        large = scratch.keep(large.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct(), f"large{turn}")
+        small = joined(large, large.groupBy("a").agg(F.min("b").alias("m")))
         small = small.select("a", F.col("m").alias("b")).unionAll(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).filter("a != b").distinct()
         small = scratch.keep(small, f"star{turn + 1}")
         scratch.drop(f"large{turn}")
@@ -236,5 +239,4 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     out = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
     out = scratch.keep(out, name)
     scratch.drop(f"star{turn}")
-    scratch.drop("least")
     return out

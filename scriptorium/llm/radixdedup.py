@@ -26,11 +26,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, renamed, small, text_or_empty
+from .common import Scratch, renamed, text_or_empty
 
 WIDTH = 400
 #: Different contexts of a group that is sorted in one task: their bytes are under a MB.
@@ -137,7 +136,7 @@ def _at() -> dict:
 def _contexts(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
     """item, g, alone, hot, lo, hi and the bytes of each item's context, cut from one text that has it."""
     wanted = items.groupBy(*KEY).agg(F.collect_list(F.struct("item", "g", "place", "alone", "hot")).alias("_items"))  # at most the anchors of a text
-    texts = docs.select(*KEY, "text").join(small(wanted, items), KEY).select("text", "_items")
+    texts = docs.select(*KEY, "text").join(wanted.hint("merge"), KEY).select("text", "_items")
     again = docs.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
 
     def rows(batches):
@@ -335,7 +334,7 @@ def with_spans(docs: DataFrame, width: int = WIDTH, limit: int = SMALL) -> DataF
     """docs with KEY and _spans."""
     rows = keyed(docs)
     found = spans(rows.select(*KEY, text_or_empty().alias("text")), width, limit).withColumnRenamed("spans", "_spans")
-    return rows.join(small(found, found.select(F.explode("_spans"))), KEY, "left")
+    return rows.join(found.hint("merge"), KEY, "left")  # dealt alike at every size
 
 
 def _kept(text, runs) -> bytes:
@@ -352,16 +351,21 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     In the text half a character at a cut goes; the digest is of all bytes that are kept.
     """
 
-    @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
-    def digest(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, own in zip(texts, found, strict=True):
-            runs = merged(own)
-            kept = _kept(text, runs)
-            out.append((len(_coded(text)), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-        return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+    def digest(batches):
+        import pyarrow as pa
 
-    return with_spans(docs.select("doc_id", "text"), width).select("doc_id", digest("text", "_spans").alias("_r")).select("doc_id", "_r.*")
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+        for batch in batches:
+            out = []
+            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                runs = merged(own)
+                kept = _kept(text, runs)
+                out.append((len(_coded(text)), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds))], names=["doc_id", *names])
+
+    rows = with_spans(docs.select("doc_id", "text"), width).select("doc_id", "text", "_spans")
+    return rows.mapInArrow(digest, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def apply(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -370,14 +374,20 @@ def apply(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     Half a character at a cut goes too. A text that is wholly removed stays as an empty one; a null text stays null.
     """
 
-    @F.pandas_udf("string")
-    def left(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([t if own is None else _kept(t, merged(own)).decode("utf-8", "ignore") for t, own in zip(texts, found, strict=True)], dtype=object)
-
     names = docs.columns
-    text = f"c{names.index('text')}"
-    rows = renamed(docs).withColumns({"doc_id": F.col(f"c{names.index('doc_id')}"), "text": F.col(text)})
-    rows = with_spans(rows, width).withColumn(text, left("text", "_spans"))
+    at = names.index("text")
+    rows = renamed(docs).withColumns({"doc_id": F.col(f"c{names.index('doc_id')}"), "text": F.col(f"c{at}")})
+    rows = with_spans(rows, width).select(*(f"c{i}" for i in range(len(names))), "_spans")
+
+    def left(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [t if own is None else _kept(t, merged(own)).decode("utf-8", "ignore") for t, own in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+            own = [batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(own, names=[f"c{i}" for i in range(len(names))])
+
+    rows = rows.mapInArrow(left, rows.drop("_spans").schema)
     if "n_chars" in names:
-        rows = rows.withColumn(f"c{names.index('n_chars')}", F.length(text).cast(dict(docs.dtypes)["n_chars"]))
-    return rows.select(*(f"c{i}" for i in range(len(names)))).toDF(*names)
+        rows = rows.withColumn(f"c{names.index('n_chars')}", F.length(f"c{at}").cast(dict(docs.dtypes)["n_chars"]))
+    return rows.toDF(*names)

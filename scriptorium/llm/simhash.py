@@ -17,14 +17,11 @@ however long, in memory that grows with one text. Only doc_id and text are read;
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, renamed, small
+from .common import Scratch, renamed, small, with_arrow
 from .linking import components
 from .linking import links as shard_links
 
@@ -58,15 +55,13 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(set_bits * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, name: str = "_print", words: int = WORDS) -> DataFrame:
-    """docs with the fingerprint as a signed long."""
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
 
-    @F.pandas_udf("long")
-    def prints(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
 
-    return docs.withColumn(name, prints("text"))
+def with_fingerprint(docs: DataFrame, name: str = "_print", words: int = WORDS) -> DataFrame:
+    """docs without the text and with the fingerprint as a signed long."""
+    return with_arrow(docs, "text", f"{name} long", lambda texts: [[_signed(fingerprint(t, words)) for t in texts]], drop=True)
 
 
 def blocks(radius: int) -> list[tuple[int, int]]:
@@ -95,7 +90,7 @@ def _named(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
 def group(docs: DataFrame, radius: int = 2, words: int = WORDS) -> DataFrame:
     """doc_id, _print (the fingerprint, signed) and component_id of every row."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.keep(with_fingerprint(docs.select("doc_id", "text"), words=words).select("doc_id", "_print"), "prints")
+    rows = scratch.keep(with_fingerprint(docs.select("doc_id", "text"), words=words), "prints")
     nodes = scratch.keep(rows.groupBy("_print").agg(F.min("doc_id").alias("_least")), "nodes")
     named = _named(nodes.withColumnRenamed("_print", "_node"), links(nodes, radius, scratch), scratch)
     return rows.join(named, rows["_print"] == named["_node"]).select("doc_id", "_print", "component_id")
@@ -192,31 +187,27 @@ def similar(docs: DataFrame, resemblance: float = 0.8, words: int = 5, radius: i
     scratch = Scratch(docs.sparkSession, "similar")
     needed = VALUES * (resemblance - 5 * (resemblance * (1 - resemblance) / VALUES) ** 0.5)
 
-    @F.pandas_udf("print long, keys array<bigint>, sign binary, size long")
-    def signed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            out = []
-            for t in texts:
-                hashes = shingles(t, words)
-                if hashes is None:
-                    out.append((0, [], None, 0))
-                    continue
-                own = np.unique(hashes)
-                found, value = least(own), _majority(own)
-                out.append((value - (1 << 64) if value >> 63 else value, bands(found), short(found), len(own)))
-            yield pd.DataFrame(out, columns=["print", "keys", "sign", "size"])
-
-    @F.pandas_udf("binary")
-    def distinct(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            yield pd.Series([np.unique(shingles(t, words)).astype("<u8").tobytes() for t in texts], dtype=object)
+    def signed(texts: list) -> list:
+        out = []
+        for t in texts:
+            hashes = shingles(t, words)
+            if hashes is None:
+                out.append((0, [], None, 0))
+                continue
+            own = np.unique(hashes)
+            found = least(own)
+            out.append((_signed(_majority(own)), bands(found), short(found), len(own)))
+        return list(zip(*out, strict=True)) or [[]] * 4
+
+    def distinct(texts: list) -> list:
+        return [[np.unique(shingles(t, words)).astype("<u8").tobytes() for t in texts]]
 
     def alike(a: np.ndarray, b: np.ndarray) -> bool:
         return int((a == b).sum()) >= needed
 
     hashed = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = scratch.keep(docs.select("doc_id", hashed.alias("_node"), signed("text").alias("_s")), "prints")
-    nodes = rows.groupBy("_node").agg(F.min("doc_id").alias("_least"), F.first("_s").alias("_s"))
+    rows = scratch.keep(with_arrow(docs.select("doc_id", hashed.alias("_node"), "text"), "text", "print long, keys array<bigint>, sign binary, size long", signed, drop=True), "prints")
+    nodes = rows.groupBy("_node").agg(F.min("doc_id").alias("_least"), F.first(F.struct("print", "keys", "sign", "size")).alias("_s"))
     nodes = scratch.keep(nodes.select("_node", "_least", "_s.*"), "nodes")
     at = nodes.select("_node", F.explode("keys").alias("_shard"))
     shared = scratch.keep(at.groupBy("_shard").agg(F.count("*").alias("n")).filter("n > 1").select("_shard"), "shared")
@@ -228,7 +219,7 @@ def similar(docs: DataFrame, resemblance: float = 0.8, words: int = 5, radius: i
     hit = scratch.keep(hit.select(F.col("root").alias("_shard"), "_node", "_least", F.col("print").alias("_print"), F.col("size").alias("_size")), "hit")
     own = docs.select(F.col("doc_id").alias("_id"), hashed.alias("_named"), "text")
     met = own.join(small(hit), (F.col("_named") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_least")))
-    sets = scratch.keep(met.select("_shard", "_node", "_print", "_size", distinct("text").alias("_payload")), "sets")
+    sets = scratch.keep(with_arrow(met.select("_shard", "_node", "_print", "_size", "text"), "text", "_payload binary", distinct, drop=True), "sets")
     edges = shard_links(sets, radius, shingle_cap, scratch, "exact", _matching(resemblance), lambda x: np.frombuffer(x, "<u8"))
     named = _named(nodes.select("_node", "_least"), edges, scratch)
     for name in ("shared", "banded", "sets", "hit"):

@@ -14,16 +14,13 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, renamed, small, text_or_empty
-
+from .common import Scratch, renamed, small, text_or_empty, with_arrow
 
 SYMBOLS = "#*$%&|<>"
 #: The most frequent function words of the corpus languages. Fixed values.
@@ -35,7 +32,7 @@ STOP_WORDS = {
 }
 RULES = ("length", "symbols", "repeated_lines", "repeated_words", "word_length", "stop_words", "letters", "upper_case", "bare_symbols", "doubled_words")
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-MEASURES = ", ".join(f"{n} long" for n in BASE) + ", " + ", ".join(f"v_{r} int" for r in RULES)
+MEASURES = ", ".join([*(f"{n}: long" for n in BASE), *(f"v_{r}: int" for r in RULES)])
 #: First guess of the probability of being good, by the number of bad votes: none, one, more.
 FIRST = (0.98, 0.35, 0.1)
 
@@ -104,15 +101,14 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-def measured(docs: DataFrame, name: str = "_measures") -> DataFrame:
-    """docs with a struct of the base counts and votes."""
+def measured(docs: DataFrame) -> DataFrame:
+    """docs without the text, and with a struct of the base counts and votes, _measures."""
+    names = [*BASE, *(f"v_{r}" for r in RULES)]
 
-    @F.pandas_udf(MEASURES)
-    def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            yield pd.DataFrame([measure(t) for t in texts], columns=[*BASE, *(f"v_{r}" for r in RULES)])
+    def judge(texts: list) -> list:
+        return [[dict(zip(names, measure(t), strict=True)) for t in texts]]
 
-    return docs.withColumn(name, judge("text"))
+    return with_arrow(docs, "text", f"_measures struct<{MEASURES}>", judge, drop=True)
 
 
 def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -172,7 +168,7 @@ def apply(docs: DataFrame, least: float = 0.5) -> DataFrame:
     names = docs.columns
     text = f"c{names.index('text')}"
     rows = renamed(docs).withColumns({"_a": F.xxhash64(text_or_empty(text)), "_b": F.xxhash64(F.lit(1), text_or_empty(text))})
-    found = scratch.keep(measured(rows.select("_a", "_b", F.col(text).alias("text"))).drop("text"), "measures")
+    found = scratch.keep(measured(rows.select("_a", "_b", F.col(text).alias("text"))), "measures")
     accuracy, share = fit(found)
     bad = scratch.keep(found.filter(base_failed() | (posterior(accuracy, share) < least)).select("_a", "_b").distinct(), "bad")
     return rows.join(small(bad), ["_a", "_b"], "left_anti").drop("_a", "_b").toDF(*names)
@@ -180,7 +176,7 @@ def apply(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 def score(docs: DataFrame, scratch, least: float = 0.5) -> DataFrame:
     """doc_id, the base counts, base_failed, the posterior and kept, of every document."""
-    rows = scratch.keep(measured(docs.select("doc_id", "text")).select("doc_id", "_measures"), "measures")
+    rows = scratch.keep(measured(docs.select("doc_id", "text")), "measures")
     accuracy, share = fit(rows)
     good = posterior(accuracy, share)
     return rows.select("doc_id", *(F.col(f"_measures.{n}").alias(n) for n in BASE), base_failed().alias("base_failed"), good.alias("posterior"), (~base_failed() & (good >= least)).alias("kept"))
