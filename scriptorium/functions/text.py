@@ -5,12 +5,13 @@ Character classes are spelled out: white space is ASCII's, a word character is a
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicons as L
 
 WS = r"[ \t\n\r\f\x0B]"
+NOT_WS = r"[^ \t\n\r\f\x0B]"
 SPACES = " \t\n\r\f\x0b"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 PASSIVE = rf"(?i)(^|{NOT_WORD})(is|are|was|were|be|been|being|get|gets|got)[ \t\n\r\f\x0B]+([\p{{L}}\p{{N}}_]+ly[ \t\n\r\f\x0B]+)?[\p{{L}}\p{{N}}_]+(ed|en|wn|ne)({NOT_WORD}|$)"
@@ -31,7 +32,7 @@ def tokens(t: Column) -> Column:
 
 
 def word_count(t: Column) -> Column:
-    return F.size(tokens(F.coalesce(t, F.lit(""))))
+    return F.regexp_count(F.coalesce(t, F.lit("")), F.lit(f"{NOT_WS}+"))
 
 
 def sentences(t: Column, stops: str = ".!?") -> Column:
@@ -89,19 +90,27 @@ def ascii_digits(t: Column) -> Column:
     return F.translate(t, L.INDIC_DIGITS, L.ASCII_DIGITS)
 
 
-def syllables(word: Column) -> Column:
-    """Of a word in a-z, by rule of thumb."""
-    cut = F.regexp_replace(F.regexp_replace(word, "([^laeiouy]es|ed|[^laeiouy]e)$", ""), "^y", "")
-    return F.when(F.length(word) == 0, 0).when(F.length(word) <= 3, 1).otherwise(F.greatest(F.lit(1), F.regexp_count(cut, F.lit("[aeiouy]{1,2}"))))
+def syllables(t: Column) -> Column:
+    """Syllables of all words (runs of A-Z, a-z and apostrophes) of a text, by rule of thumb.
 
+    A word of up to three letters has one; others lose a silent ending and a "y" in front, and have one for each one or two
+    vowels in a row, one at least. All words are treated at once, by passes over the text: no array of words is made.
+    """
+    words = F.lower(F.regexp_replace(F.replace(t, F.lit("'"), F.lit("")), "[^A-Za-z]+", " "))
+    long = F.regexp_replace(words, "(?<![a-z])[a-z]{1,3}(?![a-z])", "")
+    cut = F.regexp_replace(F.regexp_replace(long, "(?:[^laeiouy ]es|ed|[^laeiouy ]e)(?![a-z])", ""), "(?<![a-z])y", "")
+    silent = regex_count(long, "[a-z]+") - regex_count(cut, "[a-z]*[aeiouy][a-z]*")
+    return regex_count(words, "(?<![a-z])[a-z]{1,3}(?![a-z])") + regex_count(cut, "[aeiouy]{1,2}") + silent
 
-def flesch(t: Column) -> Column:
-    """Reading ease, 0 to 100, one decimal."""
-    words = F.regexp_extract_all(t, F.lit("[A-Za-z']+"), F.lit(0))
-    n_sentences = F.size(F.filter(sentences(t, ".!?।॥"), lambda s: word_count(s) > 1))
-    total = F.aggregate(F.transform(words, lambda w: syllables(F.regexp_replace(F.lower(w), "[^a-z]", ""))), F.lit(0), lambda a, x: a + x)
-    ease = F.lit(206.835) - F.lit(1.015) * (F.size(words) / n_sentences) - F.lit(84.6) * (total / F.size(words))
-    return F.when((n_sentences == 0) | (F.size(words) == 0), 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), ease)), 1))
+
+def with_flesch(df: DataFrame, text: str = "text", name: str = "flesch") -> DataFrame:
+    """df with the reading ease of a text, 0 to 100, one decimal."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    several = F.filter(F.split(strip(t), f"(?<=[.!?।॥]){WS}+"), lambda s: F.rlike(s, F.lit(f"{NOT_WS}{WS}+{NOT_WS}")))
+    rows = df.withColumns({"_fw": regex_count(t, "[A-Za-z']+"), "_fs": F.size(several), "_fy": syllables(t)})
+    ease = F.lit(206.835) - F.lit(1.015) * (F.col("_fw") / F.col("_fs")) - F.lit(84.6) * (F.col("_fy") / F.col("_fw"))
+    found = F.when((F.col("_fs") == 0) | (F.col("_fw") == 0), 0.0).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), ease)), 1))
+    return rows.withColumn(name, found).drop("_fw", "_fs", "_fy")
 
 
 def flesch_band(ease: Column) -> Column:
@@ -121,14 +130,29 @@ def cache_key(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32)
 
 
-#: Accented Latin letters whose decomposition leaves an ASCII letter. Fixed values.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+def _accents() -> tuple[str, str]:
+    """Letters of the Latin blocks whose compatibility decomposition is ASCII letters and marks, and those letters."""
+    import unicodedata
+
+    found = {}
+    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00)]:
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if ord(c) < 128)
+        if len(plain) == 1 and plain.isalnum():
+            found[chr(code)] = plain
+    return "".join(found), "".join(found.values())
+
+
+ACCENTED, PLAIN = _accents()
+
+
+def folded(t: Column) -> Column:
+    """Letters without their accents; other letters beyond ASCII go."""
+    return F.regexp_replace(F.translate(F.coalesce(t, F.lit("")), ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
 
 
 def slug(t: Column, most: int = 60) -> Column:
-    """Latin-1 letters lose their accents, other letters beyond ASCII go; cut before the word that passes the length."""
-    plain = F.lower(F.regexp_replace(F.translate(F.coalesce(t, F.lit("")), ACCENTED, PLAIN), r"[^\x00-\x7F]", ""))
+    """Of the whole text; cut before the word that passes the length."""
+    plain = F.lower(folded(t))
     whole = F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")
     head = F.substring(whole, 1, most)
     cut = F.when(F.length(whole) > most, F.when(F.contains(head, F.lit("-")), F.regexp_replace(head, "-[^-]*$", "")).otherwise(head)).otherwise(whole)
@@ -157,7 +181,6 @@ def norm(value: Column, good: float, bad: float) -> Column:
 
 #: Question words at the start of a line, and Hindi ones. A Python word boundary doesn't count a matra as part of the word,
 #: so words that end in one are met only before a letter.
-_MATRA_END, _LETTER_END = "क्या|कैसे", "क्यों|कब|कहाँ|कौन|किस"
 QUESTION = (
     r"(?im)[?？]|^(what|why|how|when|where|which|who|can|is|are|does|do|should|will)(?![\p{L}\p{N}_])"
     r"|(?<![\p{L}\p{N}_])(क्या|कैसे)(?=[\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(क्यों|कहाँ)(?=[\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(कब|कौन|किस)(?![\p{L}\p{N}_])"
@@ -166,3 +189,29 @@ QUESTION = (
 
 def is_question(t: Column) -> Column:
     return F.rlike(strip(F.coalesce(t, F.lit(""))), F.lit(QUESTION))
+
+
+def escape_html(t: Column) -> Column:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return t
+
+
+def utf16_length(t: Column) -> Column:
+    """Code units, in which document services count: characters beyond the first plane take two."""
+    return F.length(t) + F.regexp_count(t, F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
+def column_letter(index: int) -> str:
+    """The name of a spreadsheet's column, from 0."""
+    out, index = "", index + 1
+    while index:
+        index, rest = divmod(index - 1, 26)
+        out = chr(65 + rest) + out
+    return out
+
+
+def json_part(t: Column) -> Column:
+    """The JSON object in a reply: without a code fence, from the first brace to the last; null without one."""
+    inner = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*\})\s*```", 1)
+    return F.nullif(F.regexp_extract(F.when(inner != "", inner).otherwise(t), r"(?s)(\{.*\})", 1), F.lit(""))

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 
 
-def duplicates(pages: DataFrame, value: Column, url: str = "url") -> DataFrame:
-    """value, n, first_url: values that several pages share. Counts, not lists, so that a value all pages share is one row."""
-    rows = pages.select(value.alias("value"), F.col(url).alias("_url")).filter("value != ''")
-    return rows.groupBy("value").agg(F.count("*").alias("n"), F.min("_url").alias("first_url")).filter("n > 1")
+def duplicates(pages: DataFrame, values: dict[str, Column], url: str = "url") -> DataFrame:
+    """what, value, n, first_url: values that several pages share, one pass for all kinds; null and empty ones count for none.
+
+    Counts, not lists, so that a value all pages share is one row.
+    """
+    each = F.array(*(F.struct(F.lit(k).alias("what"), F.nullif(v, F.lit("")).alias("value")) for k, v in values.items()))
+    rows = pages.select(F.col(url).alias("_url"), F.explode(each).alias("_v")).select("_url", "_v.*").filter("value is not null")
+    return rows.groupBy("what", "value").agg(F.count("*").alias("n"), F.min("_url").alias("first_url")).filter("n > 1")
 
 
 def defects(pages: DataFrame) -> DataFrame:
@@ -35,14 +39,12 @@ def defects(pages: DataFrame) -> DataFrame:
     return counts.select(F.explode(rows).alias("_r")).select("_r.*").filter("n > 0")
 
 
-def link_rows(pages: DataFrame, most: int = 200) -> DataFrame:
-    """url, target: distinct links of each page, made absolute, no fragments, no trailing slash; so many a page at most."""
-    from ..sources.html import host
+def link_rows(pages: DataFrame, links: str = "links") -> DataFrame:
+    """url, target, internal: all distinct links of each page, made absolute, no fragments, no trailing slash."""
+    from ..sources.html import NO_PAGE, absolute, host
 
-    base = F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]*)", 1)
-    absolute = lambda x: F.rtrim(F.regexp_replace(F.when(F.startswith(x, F.lit("/")), F.concat(F.col("_base"), x)).otherwise(x), "#.*$", ""), F.lit("/"))
-    rows = pages.withColumn("_base", base).withColumn("_links", F.slice(F.array_distinct(F.transform(F.filter("links", lambda x: F.startswith(x, F.lit("/")) | F.startswith(x, F.lit("http"))), absolute)), 1, most))
-    rows = rows.select("url", F.explode("_links").alias("target"))
+    found = F.transform(F.filter(links, lambda x: ~F.rlike(x, F.lit(NO_PAGE))), lambda x: F.rtrim(absolute(x, F.col("url")), F.lit("/")))
+    rows = pages.select("url", F.explode(F.array_distinct(F.filter(found, lambda x: F.startswith(x, F.lit("http"))))).alias("target"))
     return rows.withColumn("internal", host(F.col("url")) == host(F.col("target")))
 
 
@@ -90,3 +92,9 @@ def throttled(df: DataFrame, by: str, at: str, seconds: int, attempts: int) -> D
     """Each failure with how many stand in the trailing window, and whether that locks out."""
     window = Window.partitionBy(by).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
     return df.withColumn("recent", F.count("*").over(window)).withColumn("locked", F.col("recent") >= attempts)
+
+
+def fresh(df: DataFrame, at: str, now: DataFrame, seconds: int) -> DataFrame:
+    """The entries of a cache written within so many seconds before `now`, a table of one row (_now)."""
+    rows = df.join(F.broadcast(now), F.col(at) <= F.col("_now"))
+    return rows.filter(F.col(at) > F.col("_now") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))).drop("_now")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..sources import html
+from . import similarity
+from .articles import GENERIC_ANCHORS
 
 WEIGHT = {"fail": 1.0, "warn": 0.45, "pass": 0.0}
 IMPACT = {"high": 1.6, "medium": 1.0, "low": 0.5}
@@ -17,6 +19,7 @@ STATISTIC = rf"(?i){_B}[0-9]+(\.[0-9]+)?{T.WS}*((percent|per cent|million|billio
 SOURCE = rf"(?i){_B}(according to|per the|reported by|study|research|survey|data from|published in|found that|WHO|ICMR|NIH|Lancet|journal){_E}"
 DEFINITION = rf"(?i){_B}[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_ \t\n\r\f\x0B-]{{2,40}}{T.WS}+(is|are|refers to|means|is defined as){T.WS}+(a|an|the|when){_E}"
 STEP = rf"(?im)^[ \t]*(step[ \t]*[0-9]|(first|second|third|next|then|finally){_E})"
+BLOCK_STEP = rf"(?i)^{T.WS}*(step{T.WS}*[0-9]|first|second|third|next|then|finally){_E}"
 YEAR = rf"{_B}20[0-2][0-9]{_E}"
 ENTITY = rf"(?:^|[^\p{{L}}\p{{N}}_])([A-Z][a-z]{{2,}}(?:[ \t\n\r\f\x0B]+[A-Z][a-z]{{2,}}){{0,3}})(?:[^\p{{L}}\p{{N}}_]|$)"
 ORPHAN = rf"(?i)^(this|that|these|those|it|they|he|she|such|the former|the latter|here|there|then|also|however|therefore|moreover|furthermore|additionally|as a result|in addition|consequently|meanwhile|otherwise|instead){_E}"
@@ -39,7 +42,8 @@ def _either(bad: Column, worse: str = "warn") -> Column:
 def content(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Length, readability, sentences, paragraphs (lines), padding, stock phrases and passives of a text."""
     t = F.col("_t")
-    rows = df.withColumn("_t", T.strip(F.coalesce(F.col(text), F.lit("")))).withColumns({"_sents": T.sentences(t, ".!?।॥"), "_words": T.word_count(t), "_low": F.lower(t), "_flesch": T.flesch(t)})
+    rows = T.with_flesch(df.withColumn("_t", T.strip(F.coalesce(F.col(text), F.lit("")))), "_t", "_flesch")
+    rows = rows.withColumns({"_sents": T.sentences(t, ".!?।॥"), "_words": T.word_count(t), "_low": F.lower(t)})
     words, n = F.col("_words"), F.size("_sents")
     fat = F.size(F.filter(F.split(t, "\n"), lambda p: T.word_count(p) > 150))
     long = F.size(F.filter("_sents", lambda s: T.word_count(s) > 30))
@@ -58,6 +62,181 @@ def content(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     )
 
 
+def _capitals(t: Column) -> Column:
+    """Some letters, all of them capital."""
+    return F.rlike(t, F.lit(r"\p{Lu}")) & ~F.rlike(t, F.lit(r"[\p{Ll}\p{Lt}]"))
+
+
+def _text(name: str) -> Column:
+    return T.strip(F.coalesce(F.col(name), F.lit("")))
+
+
+def title(articles: DataFrame, key: str, index: DataFrame | None = None) -> DataFrame:
+    """Length, keyword, case and, against an index of posts (entry, tokens), a near duplicate. articles: title, keyword."""
+    t, kw = _text("title"), F.col("keyword")
+    n, at = F.length(t), F.instr(F.lower(t), kw) - 1
+    has = (t != "") & (kw != "")
+    rows = _rows(
+        articles,
+        key,
+        finding("title", "present", F.when(t == "", "fail"), "high"),
+        finding("title", "length", F.when(t != "", _either((n < L.TITLE_MIN) | (n > L.TITLE_MAX))), "medium"),
+        finding("title", "keyword", F.when(has & (at < 0), "fail").when(has & (at <= 35), "pass"), "high"),
+        finding("title", "keyword_position", F.when(has & (at > 35), "warn"), "medium"),
+        finding("title", "case", F.when(_capitals(t), "warn"), "low"),
+    )
+    if index is None:
+        return rows
+    queries = articles.filter(t != "").select(key, T.token_set(t, L.SITE_STOP).alias("tokens"))
+    near = similarity.best_match(queries, index, key, "entry").filter("status = 'covered'")
+    return rows.unionByName(near.select(key, F.lit("title").alias("group"), F.lit("duplicate").alias("check"), F.lit("warn").alias("status"), F.lit("high").alias("impact")))
+
+
+def description(articles: DataFrame, key: str) -> DataFrame:
+    """Length, keyword and call to action of the meta description."""
+    d, kw = _text("meta_description"), F.col("keyword")
+    n, has = F.length(d), d != ""
+    call = rf"(?i){_B}({'|'.join(L.CALLS)}){_E}"
+    return _rows(
+        articles,
+        key,
+        finding("meta", "present", F.when(~has, "fail"), "high"),
+        finding("meta", "length", F.when(has, _either((n < L.DESCRIPTION_MIN) | (n > L.DESCRIPTION_MAX))), "medium"),
+        finding("meta", "keyword", F.when(has & (kw != ""), _either(~F.contains(F.lower(d), kw))), "medium"),
+        finding("meta", "cta", F.when(has & ~F.rlike(d, F.lit(call)), "warn"), "low"),
+    )
+
+
+def headings(articles: DataFrame, key: str) -> DataFrame:
+    """One h1, subheadings, their nesting, keyword, questions and length. articles: blocks, keyword."""
+    levels = F.filter(F.transform("blocks", lambda b: b["type"]), lambda k: k.isin("h1", "h2", "h3"))
+    heads = F.transform(F.filter("blocks", lambda b: b["type"].isin("h2", "h3")), lambda b: b["text"])
+    rows = articles.withColumns({"_levels": levels, "_heads": heads, "_h1": F.size(F.filter("blocks", lambda b: b["type"] == "h1"))})
+    n, kw = F.size("_heads"), F.col("keyword")
+    some, second = n > 0, F.array_position("_levels", F.lit("h2"))
+    skipped = F.size(F.filter("_levels", lambda k: k == "h3")) > 0
+    before = F.array_contains(F.when(second > 0, F.slice("_levels", 1, second.cast("int"))).otherwise(F.col("_levels")), F.lit("h3"))
+    hits = F.size(F.filter("_heads", lambda h: F.contains(F.lower(h), kw)))
+    asked = F.size(F.filter("_heads", T.is_question))
+    stuffed = hits > F.greatest(F.lit(2), F.floor(n / 2))
+    return _rows(
+        rows,
+        key,
+        finding("headings", "h1_count", _either(F.col("_h1") > 1, "fail"), F.when(F.col("_h1") > 1, "high").otherwise("medium")),
+        finding("headings", "structure", F.when(~some, "fail"), "high"),
+        finding("headings", "hierarchy", F.when(some, _either(skipped & before)), "medium"),
+        finding("headings", "keyword", F.when(some & (kw != "") & ~((hits > 0) & stuffed), _either(hits == 0)), "medium"),
+        finding("headings", "keyword_stuffing", F.when(some & (kw != "") & (hits > 0) & stuffed, "warn"), "medium"),
+        finding("headings", "questions", F.when(some, _either(asked / F.greatest(n, F.lit(1)) < 0.3)), "medium"),
+        finding("headings", "length", F.when(F.exists("_heads", lambda h: F.length(h) > 70), "warn"), "low"),
+    )
+
+
+def links(articles: DataFrame, key: str, broken: DataFrame | None = None) -> DataFrame:
+    """Internal and external links and anchors that say nothing; broken ones by a table of checked addresses (href, status).
+
+    Whether a link is broken is only known of addresses that were checked.
+    """
+    own = html.host(F.coalesce("source_url", F.lit("")))
+
+    def inside(x: Column) -> Column:
+        return F.startswith(x["href"], F.lit("/")) | ((own != "") & (html.host(x["href"]) == own))
+
+    internal = F.exists("links", inside)
+    external = F.exists("links", lambda x: F.startswith(x["href"], F.lit("http")) & ~inside(x))
+    generic = F.exists("links", lambda x: F.lower(T.strip(x["text"])).isin(GENERIC_ANCHORS))
+    rows = _rows(
+        articles,
+        key,
+        finding("links", "internal", _either(~internal), "medium"),
+        finding("links", "external", _either(~external), F.when(external, "low").otherwise("medium")),
+        finding("links", "anchor_text", F.when(generic, "warn"), "medium"),
+    )
+    if broken is None:
+        return rows
+    known = broken.select("href", (F.coalesce("status", F.lit(0)).between(1, 399)).alias("_ok"))
+    asked = articles.select(key, F.explode("links").alias("_l")).select(key, F.col("_l.href").alias("href")).distinct().join(known, "href")
+    found = asked.groupBy(key).agg(F.min("_ok").alias("_ok")).select(key, F.lit("links").alias("group"), F.lit("broken").alias("check"), _either(~F.col("_ok"), "fail").alias("status"), F.when(F.col("_ok"), "medium").otherwise("high").alias("impact"))
+    return rows.unionByName(found)
+
+
+def images(articles: DataFrame, key: str) -> DataFrame:
+    """Images, their alternative texts, the keyword in one of them, and file names that say something."""
+    some, kw = F.size("images") > 0, F.col("keyword")
+    missing = F.exists("images", lambda i: T.strip(F.coalesce(i["alt"], F.lit(""))) == "")
+    named = F.exists("images", lambda i: F.contains(F.lower(F.coalesce(i["alt"], F.lit(""))), kw))
+    poor = F.exists("images", lambda i: F.rlike(i["src"], F.lit(r"(?i)/(img|image|photo|dsc|screenshot)[-_]?[0-9]*\.[A-Za-z0-9_]+$")))
+    return _rows(
+        articles,
+        key,
+        finding("images", "present", F.when(~some, "warn"), "medium"),
+        finding("images", "alt", F.when(some, _either(missing, "fail")), "high"),
+        finding("images", "alt_keyword", F.when(some & (kw != "") & ~named, "warn"), "low"),
+        finding("images", "filename", F.when(some & poor, "warn"), "low"),
+    )
+
+
+def technical(articles: DataFrame, key: str, base_url: str = "") -> DataFrame:
+    """Slug, structured data and canonical address. articles: slug, schema_types, faqs, source_url."""
+    slug = F.coalesce("slug", F.lit(""))
+    has, long = slug != "", F.length(slug) > L.SLUG_MAX
+    odd = F.contains(slug, F.lit("_")) | F.rlike(slug, F.lit(r"[\p{Lu}\p{Lt}]"))
+    some = F.size("schema_types") > 0
+    whole = F.arrays_overlap("schema_types", F.array(F.lit("Article"), F.lit("MedicalWebPage"))) & ((F.size("faqs") == 0) | F.array_contains("schema_types", F.lit("FAQPage"))) & F.array_contains("schema_types", F.lit("BreadcrumbList"))
+    known = F.lit(base_url != "") | (F.coalesce("source_url", F.lit("")) != "")
+    return _rows(
+        articles,
+        key,
+        finding("technical", "slug", F.when(~has, "warn").when(~long & ~odd, "pass"), "medium"),
+        finding("technical", "slug_length", F.when(has & long, "warn"), "low"),
+        finding("technical", "slug_format", F.when(has & odd, "warn"), "low"),
+        finding("technical", "slug_encoding", F.when(F.rlike(slug, F.lit("%[0-9A-Fa-f]{2}")), "warn"), "medium"),
+        finding("technical", "schema", F.when(~some, "fail").when(whole, "pass"), "high"),
+        finding("technical", "schema_types", F.when(some & ~whole, "warn"), "medium"),
+        finding("technical", "canonical", _either(~known), "medium"),
+    )
+
+
+def answers(structured: DataFrame, key: str) -> DataFrame:
+    """The answer-engine score (aeo, flags of articles.structure) as findings."""
+    status = F.when(F.col("aeo") >= 70, "pass").when(F.col("aeo") >= 45, "warn").otherwise("fail")
+    score = F.array(F.struct(F.lit("aeo").alias("group"), F.lit("score").alias("check"), status.alias("status"), F.lit("high").alias("impact")))
+    each = F.transform("flags", lambda f: F.struct(F.lit("aeo").alias("group"), f["kind"].alias("check"), F.when(f["severity"] == "error", "fail").otherwise("warn").alias("status"), F.lit("medium").alias("impact")))
+    return structured.select(key, F.explode(F.concat(score, each)).alias("_f")).select(key, "_f.*")
+
+
+def trust(articles: DataFrame, key: str) -> DataFrame:
+    """Author, date and, on health topics, advice to see a clinician, credentials and absolute claims. articles: text (whole)."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    rows = articles.withColumn("_low", low)
+
+    def any_of(words: list[str]) -> Column:
+        return F.size(T.phrases_present(F.col("_low"), words)) > 0
+
+    health = any_of(L.HEALTH)
+    advised = F.rlike("_low", F.lit(rf"{_B}({'|'.join(L.ADVICE)}){_E}"))
+    author, date = _text("author") != "", _text("published") != ""
+    return _rows(
+        rows,
+        key,
+        finding("eeat", "author", _either(~author), "medium"),
+        finding("eeat", "date", _either(~date), F.when(date, "low").otherwise("medium")),
+        finding("eeat", "medical_disclaimer", F.when(health, _either(~advised, "fail")), "high"),
+        finding("eeat", "credentials", F.when(health & (_text("author_credentials") == ""), "warn"), "high"),
+        finding("eeat", "overclaim", F.when(health & any_of(L.OVERCLAIMS), "fail"), "high"),
+    )
+
+
+def cannibalisation(articles: DataFrame, key: str, index: DataFrame) -> DataFrame:
+    """Whether a post of the index (entry, tokens) already targets the article's keyword."""
+    queries = articles.filter("keyword != ''").select(key, T.token_set(F.col("keyword"), L.SITE_STOP).alias("tokens"))
+    rows = similarity.best_match(queries, index, key, "entry")
+    covered, partial = F.col("status") == "covered", F.col("status") == "partial"
+    check = F.when(covered, "duplicate_target").when(partial, "related_post").otherwise("unique")
+    impact = F.when(covered, "high").when(partial, "low").otherwise("medium")
+    return rows.select(key, F.lit("cannibalisation").alias("group"), check.alias("check"), F.when(covered, "warn").otherwise("pass").alias("status"), impact.alias("impact"))
+
+
 def page(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Title, description, headings, images and slug of page rows."""
     title, slug = F.col("title"), html.slug(F.col("url"))
@@ -67,7 +246,7 @@ def page(pages: DataFrame, key: str = "page_id") -> DataFrame:
         key,
         finding("title", "present", F.when(title == "", "fail"), "high"),
         finding("title", "length", F.when(title != "", _either((n < L.TITLE_MIN) | (n > L.TITLE_MAX))), "medium"),
-        finding("title", "case", F.when((title != F.lower(title)) & (title == F.upper(title)), "warn"), "low"),
+        finding("title", "case", F.when(_capitals(title), "warn"), "low"),
         finding("meta", "present", F.when(F.col("description") == "", "fail"), "high"),
         finding("meta", "length", F.when(F.col("description") != "", _either((d < L.DESCRIPTION_MIN) | (d > L.DESCRIPTION_MAX))), "medium"),
         finding("headings", "h1_count", _either(F.size("h1") > 1, "fail"), F.when(F.size("h1") > 1, "high").otherwise("medium")),
@@ -96,6 +275,22 @@ def group_scores(findings: DataFrame, by: list[str]) -> DataFrame:
     return sums.withColumn("score", F.round(100 * (F.col("n_pass") + F.lit(0.55) * F.col("n_warn")) / n, 2))
 
 
+def quotable(articles: DataFrame) -> DataFrame:
+    """How worth citing an article is, 0 to 100: figures and their sources, definitions, steps or lists, answers, years, FAQs.
+
+    articles: text (whole), blocks, faqs.
+    """
+    t = F.coalesce("text", F.lit(""))
+    stats, sourced = F.rlike(t, F.lit(STATISTIC)), F.rlike(t, F.lit(SOURCE))
+    steps = F.exists("blocks", lambda b: F.rlike(b["text"], F.lit(BLOCK_STEP)))
+    listed = steps | (F.size(F.filter("blocks", lambda b: b["type"] == "li")) >= 3)
+    answered = F.exists("blocks", lambda b: b["type"] == "answer")
+    asked = F.exists("blocks", lambda b: b["type"].isin("h2", "h3") & T.is_question(b["text"]))
+    parts = {"stats": F.when(stats, F.when(sourced, 20).otherwise(10)), "definition": F.when(F.rlike(t, F.lit(DEFINITION)), 15), "listed": F.when(listed, 15), "answers": F.when(answered, 25).when(asked, 8), "year": F.when(F.rlike(t, F.lit(YEAR)), 10), "faqs": F.when(F.size("faqs") > 0, 15)}
+    rows = articles.withColumns({f"c_{k}": F.coalesce(v, F.lit(0)).cast("long") for k, v in parts.items()})
+    return rows.withColumn("citation", F.least(F.lit(100).cast("long"), sum((F.col(f"c_{k}") for k in parts), F.lit(0))).cast("double"))
+
+
 def citation(df: DataFrame, text: str = "text") -> DataFrame:
     """How citable a text is, 0 to 100: figures, sources, definitions, steps or lists, years."""
     t = F.col(text)
@@ -144,11 +339,34 @@ def chunks(blocks: DataFrame, key: str, size: int = 320) -> DataFrame:
     return rows.select(key, "chunk", "heading", "words", F.array_join(F.transform("_t", lambda x: x["text"]), " ").alias("text"))
 
 
-def readiness(chunked: DataFrame, key: str, size: int = 320) -> DataFrame:
-    """Of each document's chunks the shares that open with a dangling reference or are too long, and the score of both."""
-    orphan, large = F.rlike("text", F.lit(ORPHAN)), F.col("words") > size * 1.6
-    rows = chunked.groupBy(key).agg(F.count("*").alias("n"), F.sum(orphan.cast("long")).alias("orphans"), F.sum(large.cast("long")).alias("oversized"))
-    return rows.withColumn("readiness", F.round(F.greatest(F.lit(0.0), 100.0 - 55.0 * F.col("orphans") / F.col("n") - 15.0 * F.col("oversized") / F.col("n")), 1))
+def readiness(chunked: DataFrame, key: str, named: DataFrame | None = None, size: int = 320) -> DataFrame:
+    """Of each document's chunks the shares that open with a dangling reference, name none of its entities (named: key,
+    entity) or are too long, and the score of all three. Documents without entities lose nothing by them."""
+    rows = chunked.withColumns({"_orphan": F.rlike("text", F.lit(ORPHAN.replace("(?i)^", rf"(?i)^{T.WS}*", 1))), "_large": F.col("words") > size * 1.6})
+    if named is None:
+        rows = rows.withColumn("_less", F.lit(False))
+    else:
+        terms = named.filter(F.length("entity") > 3).groupBy(key).agg(F.collect_list(F.lower("entity")).alias("_terms"))  # a dozen at most
+        low = F.lower(F.concat("heading", F.lit(" "), "text"))
+        rows = rows.join(terms, key, "left").withColumn("_less", F.coalesce(~F.exists("_terms", lambda e: F.contains(low, e)), F.lit(False)))
+    sums = rows.groupBy(key).agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("long")).alias(n) for c, n in (("_orphan", "orphans"), ("_less", "entityless"), ("_large", "oversized"))))
+    lost = 55.0 * (F.col("orphans") / F.col("n")) + 30.0 * (F.col("entityless") / F.col("n")) + 15.0 * (F.col("oversized") / F.col("n"))
+    return sums.withColumn("readiness", F.round(F.greatest(F.lit(0.0), 100.0 - lost), 1))
+
+
+def reach(df: DataFrame, blocked: str = "blocked", manifest: str = "manifest") -> DataFrame:
+    """geo: what answer engines can make of a page, of readiness, citation and an llms.txt; little where their crawlers are shut out.
+
+    blocked: whether a crawler is, null where nothing is known of the site.
+    """
+    total = F.round(0.45 * F.col("readiness") + 0.40 * F.col("citation") + 0.15 * F.when(F.col(manifest), 100.0).otherwise(0.0), 1)
+    return df.withColumns({"geo": F.when(F.col(blocked), F.round(total * 0.4, 1)).otherwise(total), "gated": F.coalesce(F.col(blocked), F.lit(False))})
+
+
+def headed(chunked: DataFrame, titles: DataFrame, key: str) -> DataFrame:
+    """Chunks before the first heading stand under the title (titles: key, title)."""
+    rows = chunked.join(titles.select(key, F.col("title").alias("_title")), key, "left")
+    return rows.withColumn("heading", F.when(F.col("heading") == "", F.coalesce("_title", F.lit(""))).otherwise(F.col("heading"))).drop("_title")
 
 
 def keyword_placement(df: DataFrame, key: str, body: str = "body", keyword: str = "keyword", slug: str = "slug") -> DataFrame:

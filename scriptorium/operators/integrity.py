@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,18 +42,73 @@ def canonical(kind: Column, value: Column) -> Column:
     return F.when(kind == "price_inr", F.regexp_replace(v, r"^(rs\.?|inr|₹)", "")).otherwise(v)
 
 
+#: Brackets of a span that is claimed, and where its ASCII characters are kept while other kinds are sought: private use.
+_OPEN, _SHUT, _ASCII = "\ue000", "\ue001", "".join(chr(c) for c in range(1, 128))
+_HELD = "".join(chr(0xE100 + ord(c)) for c in _ASCII)
+
+
+def claimed(t: Column, kinds: dict[str, str] = PROTECTED) -> Column:
+    """The text with every protected span in brackets, kind by kind: what an earlier kind has claimed no later one meets.
+
+    A bracketed span starts with its kind's letter and is written in private-use characters.
+    """
+    for i, pattern in enumerate(kinds.values()):
+        t = F.transform(F.array(t), _bracketing(pattern, i))[0]  # named, as it is used thrice
+    return t
+
+
+def _bracketing(pattern: str, i: int) -> Callable[[Column], Column]:
+    return lambda t: _bracketed(t, pattern, i)
+
+
+def _bracketed(t: Column, pattern: str, i: int) -> Column:
+    found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    held = F.transform(found, lambda v: F.concat(F.lit(_OPEN + chr(0xE200 + i)), F.translate(v, _ASCII, _HELD), F.lit(_SHUT)))
+    joined = F.array_join(F.zip_with(F.split(t, pattern, -1), held, lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), "")
+    return F.when(F.rlike(t, F.lit(pattern)), joined).otherwise(t)
+
+
+def _spans_of(marked: Column) -> Column:
+    return F.regexp_extract_all(marked, F.lit(f"{_OPEN}([^{_SHUT}]*){_SHUT}"), F.lit(1))
+
+
+def _value(span: Column) -> Column:
+    return F.translate(F.substring(span, 2, 1_000_000), _HELD, _ASCII)
+
+
+def spans(t: Column, kinds: dict[str, str] = PROTECTED) -> Column:
+    """Array of (kind, value), in text order."""
+    names = F.array(*map(F.lit, kinds))
+    return F.transform(_spans_of(claimed(t, kinds)), lambda x: F.struct(F.element_at(names, F.ascii(F.substring(x, 1, 1)) - 0xE200 + 1).alias("kind"), F.trim(_value(x)).alias("value")))
+
+
 def protected_spans(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """keys, kind, value: every protected span, by blanking each kind before the next is sought."""
+    """keys, kind, value: every protected span; digits of any script as ASCII's, enumerators left out."""
     rest = F.regexp_replace(T.ascii_digits(F.coalesce(F.col(text), F.lit(""))), ENUMERATOR, "  ")
-    rows = df.select(*keys, rest.alias("_rest"))
-    for kind, pattern in PROTECTED.items():
-        rows = rows.withColumn(f"_{kind}", F.regexp_extract_all("_rest", F.lit(pattern), F.lit(0)))
-        rows = rows.withColumn("_rest", F.regexp_replace("_rest", pattern, " \u0001 "))
-    def named(kind: str) -> Column:
-        return F.transform(f"_{kind}", lambda v: F.struct(F.lit(kind).alias("kind"), F.trim(v).alias("value")))
+    return df.select(*keys, F.explode(spans(rest)).alias("_s")).select(*keys, "_s.kind", "_s.value")
+
+
+def masked(df: DataFrame, text: str, token: str = "⦉{}⦊", kinds: dict[str, str] = PROTECTED) -> DataFrame:
+    """df with masked, where each span stands as a numbered token that no language has, and held, the spans by number."""
+    before, after = token.split("{}")
+    rows = df.withColumn("_m", claimed(T.ascii_digits(F.coalesce(F.col(text), F.lit(""))), kinds))
+    parts = F.split("_m", f"{_OPEN}[^{_SHUT}]*{_SHUT}", -1)
+    numbered = F.transform(parts, lambda p, i: F.when(i > 0, F.concat(F.lit(before), (i - 1).cast("string"), F.lit(after), p)).otherwise(p))
+    return rows.withColumns({"masked": F.array_join(numbered, ""), "held": F.transform(_spans_of(F.col("_m")), _value)}).drop("_m")
 
-    found = F.flatten(F.array(*map(named, PROTECTED)))
-    return rows.select(*keys, F.explode(found).alias("_s")).select(*keys, "_s.kind", "_s.value")
+
+def unmasked(df: DataFrame, text: str = "masked", held: str = "held", token: str = "⦉{}⦊") -> DataFrame:
+    """df with unmasked: the tokens replaced by the spans they stand for, also where spaces or capitals came into them."""
+    before, after = token.split("{}")
+    numbers = F.sequence(F.lit(0), F.size(held) - 1)
+    pattern = lambda i: F.concat(F.lit(f"(?i){before}\\s*"), i.cast("string"), F.lit(f"\\s*{after}"))
+    safe = lambda v: F.regexp_replace(v, r"([\\$])", r"\\$1")
+    filled = F.aggregate(numbers, F.col(text), lambda t, i: F.regexp_replace(t, pattern(i), safe(F.element_at(held, i + 1))))
+    return df.withColumn("unmasked", F.when(F.size(held) > 0, filled).otherwise(F.col(text)))
+
+
+#: What a machine translator must not reword: numbers stay visible, so that it can inflect around them.
+UNWORDED = {k: PROTECTED[k] for k in ("url", "email", "phone")}
 
 
 def protected_diff(df: DataFrame, source: str, target: str, keys: list[str]) -> DataFrame:
@@ -84,14 +141,64 @@ def guard(df: DataFrame, source: str, target: str, never: list[str] = NEVER, cla
     return df.withColumns({"missing_terms": pick(never, s, t), "new_claims": pick(claims, t, s), "hedge_lost": (count(s) > 0) & (count(t) == 0)})
 
 
-def fidelity(df: DataFrame, source: str, target: str, stop: list[str]) -> DataFrame:
-    """Content-word overlap, length ratio and the score of a round trip; every number or protected error costs 12."""
-    s, t = T.token_set(F.col(source), stop, 3, "[a-z]+"), T.token_set(F.col(target), stop, 3, "[a-z]+")
-    rows = number_diff(df, source, target).withColumns({"_a": s, "_b": t, "_ws": T.word_count(F.col(source)), "_wt": T.word_count(F.col(target))})
-    rows = rows.withColumns({"overlap": F.when(F.size("_a") == 0, 1.0).otherwise(F.size(F.array_intersect("_a", "_b")) / F.size("_a")), "length_ratio": F.when(F.col("_ws") == 0, 1.0).otherwise(F.col("_wt") / F.col("_ws"))})
-    wrong = F.size("invented") + F.size("dropped") + F.when(F.col("length_ratio") < 0.7, 1).otherwise(0)
-    raw = 0.55 * T.norm(F.col("overlap"), 0.80, 0.35) + 0.25 * T.norm(F.least("length_ratio", F.lit(1.0)), 1.0, 0.60) + 20.0 - 12.0 * wrong
-    return rows.withColumns({"fidelity": F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), 1), "overlap": F.round("overlap", 3), "length_ratio": F.round("length_ratio", 3)}).drop("_a", "_b", "_ws", "_wt")
+def guard_flags(df: DataFrame, source: str, target: str, **lists: list[str]) -> DataFrame:
+    """df with flags: a number that only one side has, a lost name, a stronger claim, a lost hedge. All are errors."""
+    rows = guard(number_diff(df, source, target), source, target, **lists)
+
+    def of(kind: str, when: Column) -> Column:
+        return F.when(when, F.array(F.struct(F.lit(kind).alias("kind"), F.lit("error").alias("severity"))))
+
+    numbers = F.transform(F.concat("invented", "dropped"), lambda _: F.struct(F.lit("protected_span").alias("kind"), F.lit("error").alias("severity")))
+    found = F.flatten(F.array_compact(F.array(numbers, of("locked_term", F.size("missing_terms") > 0), of("medical_claim", F.size("new_claims") > 0), of("hedge_lost", F.col("hedge_lost")))))
+    return rows.withColumn("flags", found).drop("invented", "dropped", "missing_terms", "new_claims", "hedge_lost")
+
+
+def _bag(t: str) -> Column:
+    rest = F.regexp_replace(T.ascii_digits(F.coalesce(F.col(t), F.lit(""))), ENUMERATOR, "  ")
+    return F.transform(spans(rest), lambda s: F.concat(s["kind"], F.lit(":"), canonical(s["kind"], s["value"])))
+
+
+def _differences(a: str, b: str) -> Column:
+    """By how much two bags differ, summed over their values."""
+    def count(bag: str, x: Column) -> Column:
+        return F.size(F.filter(bag, lambda y: y == x))
+
+    return F.aggregate(F.array_distinct(F.concat(a, b)), F.lit(0), lambda n, x: n + F.abs(count(a, x) - count(b, x)))
+
+
+def fidelity(df: DataFrame, source: str, target: str, stop: list[str], translated: str | None = None) -> DataFrame:
+    """Content-word overlap, length ratio, flags and the score of a round trip (source, target: back in its language).
+
+    Errors cost 12 each: protected spans that differ as multisets, a target under 0.7 of the length and, of the translated
+    text if there is one, what guard_flags() finds. Without a target only these count.
+    """
+    s, t = (T.token_set(T.ascii_digits(F.coalesce(F.col(c), F.lit(""))), stop, 3, "[a-z]+") for c in (source, target))
+    rows = guard_flags(df, source, translated) if translated else df.withColumn("flags", F.array().cast("array<struct<kind:string,severity:string>>"))
+    rows = rows.withColumns({"_a": s, "_b": t, "_ws": T.word_count(F.col(source)), "_wt": T.word_count(F.col(target)), "_none": F.col(target).isNull()})
+    rows = rows.withColumns({"overlap": F.when(F.size("_a") == 0, 1.0).otherwise(F.size(F.array_intersect("_a", "_b")) / F.size("_a")), "length_ratio": F.when(F.col("_ws") == 0, 1.0).otherwise(F.col("_wt") / F.col("_ws")), "_ba": _bag(source), "_bb": _bag(target)})
+    rows = rows.withColumn("_spans", _differences("_ba", "_bb"))
+    there, ratio = ~F.col("_none"), F.col("length_ratio")
+
+    def one(kind: str, severity: str, when: Column) -> Column:
+        return F.when(there & when, F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity")))
+
+    lost = F.when(there, F.transform(F.array_repeat(F.lit(0), F.col("_spans")), lambda _: F.struct(F.lit("protected_span").alias("kind"), F.lit("error").alias("severity"))))
+    drift = (F.col("overlap") < 0.55) & (F.size(F.array_except("_a", "_b")) > 0)
+    own = F.array_compact(F.array(one("meaning_drift", "warn", drift), one("truncation", "error", ratio < 0.7), one("padding", "warn", (ratio >= 0.7) & (ratio > 1.45)), F.when(F.col("_none"), F.struct(F.lit("fidelity").alias("kind"), F.lit("note").alias("severity")))))
+    rows = rows.withColumn("flags", F.flatten(F.array_compact(F.array("flags", lost, own))))
+    wrong = F.size(F.filter("flags", lambda f: f["severity"] == "error"))
+    raw = F.when(there, 0.55 * T.norm(F.col("overlap"), 0.80, 0.35) + 0.25 * T.norm(F.least("length_ratio", F.lit(1.0)), 1.0, 0.60) + 20.0).otherwise(100.0) - 12.0 * wrong
+    return rows.withColumns({"fidelity": F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), 1), "overlap": F.round("overlap", 3), "length_ratio": F.round("length_ratio", 3)}).drop("_a", "_b", "_ba", "_bb", "_ws", "_wt", "_none", "_spans")
+
+
+def claim_audit(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """key, kind, value, context: every protected span of a draft, which has no source to hold it against, with the first
+    sentence that has it, for a person to verify."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    found = F.array_distinct(spans(F.regexp_replace(T.ascii_digits(t), ENUMERATOR, "  ")))
+    rows = df.select(key, T.sentences(t, ".!?।॥").alias("_sents"), F.explode(found).alias("_s"))
+    first = F.get(F.filter("_sents", lambda s: F.contains(s, F.col("_s.value"))), F.lit(0))
+    return rows.select(key, "_s.kind", "_s.value", F.substring(F.coalesce(first, F.lit("")), 1, 180).alias("context"))
 
 
 def fix_verdict(df: DataFrame, source: str, target: str) -> DataFrame:

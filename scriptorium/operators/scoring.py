@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from .features import english, hindi
+from .features import english, indic, unlisted
 
 
 def flag(kind: str, severity: Column | str, when: Column) -> Column:
@@ -26,6 +26,11 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
 
 
+def tenth(x: Column) -> Column:
+    """One decimal of a sum; what a sum's last bits leave below a half is rounded away first."""
+    return F.round(F.round(x, 6), 1)
+
+
 def detect(df: DataFrame, text: str = "text") -> DataFrame:
     """The English detector: a score for each parameter, the composite of the rounded ones, and whether all pass."""
     rows = english(df, text)
@@ -63,11 +68,16 @@ def burstiness(df: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumns({"burstiness": F.when(F.col("_short"), 75.0).otherwise(F.round(clamp(raw), 1)), "p_cv": F.round("p_cv", 3), "flags": found}).drop("_lens", "_paras", "_short")
 
 
-def grammar(df: DataFrame, text: str = "text", script: str = "Devanagari") -> DataFrame:
-    rows = hindi(df, text, script)
+def _indic(df: DataFrame, text: str, lang: str | None) -> DataFrame:
+    return indic(df, text, lang) if lang else indic(df.withColumn("_lang", F.lit("hi")), text, "_lang").drop("_lang")
+
+
+def grammar(df: DataFrame, text: str = "text", lang: str | None = None) -> DataFrame:
+    """Script purity, spaced stops and hyphens, other mechanics. lang: the column of the language; without it all is Hindi."""
+    rows = _indic(df, text, lang)
     other = F.greatest(F.lit(0.0), F.col("mech_1k") - F.col("sp_punct_1k"))
     blank = F.exists(F.split(F.coalesce(F.col(text), F.lit("x")), "\n\n"), lambda b: T.strip(b) == "")
-    foreign = F.lit(script != "Latin")
+    foreign = F.col("_script") != "Latin"
     rows = rows.withColumn(
         "flags",
         flags(
@@ -80,25 +90,26 @@ def grammar(df: DataFrame, text: str = "text", script: str = "Devanagari") -> Da
         ),
     )
     raw = 0.28 * T.norm(F.col("purity"), 0.99, 0.70) + 0.40 * T.norm(F.col("sp_punct_1k"), 0.5, 25.0) + 0.17 * T.norm(F.col("hyphen_1k"), 0.0, 6.0) + 0.15 * T.norm(other, 0.5, 18.0)
-    return rows.withColumn("grammar", F.round(clamp(raw - 10.0 * errors()), 1))
+    return unlisted(rows.withColumn("grammar", F.round(clamp(raw - 10.0 * errors()), 1)))
 
 
-def translationese(df: DataFrame, text: str = "text") -> DataFrame:
-    rows = hindi(df, text).withColumn("_low", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    over = F.filter(F.array(*map(F.lit, L.HINDI_CONNECTIVES)), lambda c: (F.length("_low") - F.length(F.replace("_low", c, F.lit("")))) >= 3 * F.length(c))
+def translationese(df: DataFrame, text: str = "text", lang: str | None = None) -> DataFrame:
+    rows = _indic(df, text, lang)
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    over = F.filter("_connectives", lambda c: (F.length(low) - F.length(F.replace(low, c, F.lit("")))) >= 3 * F.length(c))
     rows = rows.withColumn(
         "flags",
         flags(
             flag("prep_calque", "warn", F.col("prep_calque_1k") > 2.5),
             flag("relative_clause", "warn", F.col("rel_1k") > 2.0),
             flag("comma_density", "warn", F.col("comma_1k") > 45),
-            flag("calque", "warn", F.size(T.phrases_present(F.col("_low"), L.HINDI_CALQUES)) > 0),
+            flag("calque", "warn", F.exists("_calques", lambda c: F.contains(low, c))),
             flag("connective_overuse", "warn", F.size(over) > 0),
             flag("word_order", "note", F.col("verb_final") < 0.55),
         ),
     )
     raw = 0.34 * T.norm(F.col("prep_calque_1k"), 0.4, 9.0) + 0.22 * T.norm(F.col("rel_1k"), 0.4, 3.5) + 0.20 * T.norm(F.col("comma_1k"), 22.0, 68.0) + 0.14 * T.norm(F.col("calque_1k"), 0.0, 4.0) + 0.10 * T.norm(F.col("conn_1k"), 1.2, 9.0)
-    return rows.withColumn("translationese", F.round(clamp(raw), 1)).drop("_low")
+    return unlisted(rows.withColumn("translationese", F.round(clamp(raw), 1)))
 
 
 def _honorific(form: str) -> str:
@@ -106,14 +117,27 @@ def _honorific(form: str) -> str:
     return rf"(?<![\p{{L}}\p{{N}}_]){form}(?![\p{{L}}\p{{N}}_])"
 
 
-def register(df: DataFrame, text: str = "text", expected: str = "formal") -> DataFrame:
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = df.withColumns({f"h_{level}": sum((T.regex_count(t, _honorific(f)) for f in forms), F.lit(0)).cast("long") for level, forms in L.HINDI_HONORIFICS.items()})
-    rows = rows.withColumn("_words", F.greatest(F.lit(1.0), T.word_count(t) / F.lit(1000.0)))
-    names = [f"h_{level}" for level in L.HINDI_HONORIFICS]
-    total, most = sum((F.col(n) for n in names), F.lit(0)), F.greatest(*names)
+LEVELS = ("formal", "informal", "intimate")
+
+
+def register(df: DataFrame, text: str = "text", lang: str | None = None, expected: str = "formal") -> DataFrame:
+    t, code = F.coalesce(F.col(text), F.lit("")), F.col(lang) if lang else F.lit("hi")
+
+    def count(level: str) -> Column:
+        found = F.lit(0)
+        for name, forms in L.HONORIFICS.items():
+            found = F.when(code == name, sum((T.regex_count(t, _honorific(f)) for f in forms[level]), F.lit(0))).otherwise(found)
+        return found.cast("long")
+
+    formal = F.lit(0).cast("long")
+    for name, words in L.FORMAL.items():
+        formal = F.when(code == name, T.phrase_count(F.lower(t), words)).otherwise(formal)
+    rows = df.withColumns({**{f"h_{level}": count(level) for level in LEVELS}, "_words": F.greatest(F.lit(1.0), T.word_count(t) / F.lit(1000.0)), "_f": formal})
+    names = [f"h_{level}" for level in LEVELS]
+    rows = rows.withColumns({"_total": sum((F.col(n) for n in names), F.lit(0)), "_most": F.greatest(*names)})
+    total, most = F.col("_total"), F.col("_most")
     dominant = F.coalesce(*(F.when(F.col(n) == most, F.lit(n[2:])) for n in names))
-    rows = rows.withColumns({"consistency": F.when(total >= 4, most / total).otherwise(1.0), "_formal": T.phrase_count(F.lower(t), L.HINDI_FORMAL) / F.col("_words"), "_many": total >= 4, "dominant": F.when(total >= 4, dominant)})
+    rows = rows.withColumns({"consistency": F.when(total >= 4, most / total).otherwise(1.0), "_formal": F.col("_f") / F.col("_words"), "_many": total >= 4, "dominant": F.when(total >= 4, dominant)})
     rows = rows.withColumn(
         "flags",
         flags(
@@ -123,14 +147,46 @@ def register(df: DataFrame, text: str = "text", expected: str = "formal") -> Dat
         ),
     )
     raw = 0.65 * T.norm(F.col("consistency"), 1.0, 0.55) + 0.35 * T.norm(F.col("_formal"), 2.0, 18.0)
-    return rows.withColumns({"register": F.round(clamp(raw), 1), "consistency": F.round("consistency", 3), "formal_per_1k": F.round("_formal", 1)}).drop("_words", "_formal", "_many")
+    return rows.withColumns({"register": F.round(clamp(raw), 1), "consistency": F.round("consistency", 3), "formal_per_1k": F.round("_formal", 1)}).drop("_words", "_f", "_formal", "_many", "_total", "_most")
+
+
+def reviewed(df: DataFrame, reviews: DataFrame, key: str, neutral: float = 75.0) -> DataFrame:
+    """df with native_review: the reviewer's score (reviews: key, score), or the neutral one where there was no review."""
+    return df.join(reviews.select(key, F.col("score").alias("native_review")), key, "left").withColumn("native_review", F.coalesce("native_review", F.lit(neutral)))
+
+
+def renormalised(df: DataFrame, measured: tuple[str, ...] = ("grammar", "translationese", "register", "burstiness")) -> DataFrame:
+    """hls, ai_pct: the composite over the scores that a text alone has, by their weights' share."""
+    whole = sum(L.COMPOSITE_WEIGHTS[k] for k in measured)
+    total = sum((F.col(k) * F.lit(L.COMPOSITE_WEIGHTS[k]) for k in measured), F.lit(0.0)) / F.lit(whole)
+    return df.withColumns({"hls": tenth(total), "ai_pct": tenth(F.lit(100.0) - total)})
+
+
+def verdict(separation: DataFrame, gap: str = "gap", auc: str = "auc") -> DataFrame:
+    """Whether a score tells classes apart: usable from an AUC of 0.80 and a gap of 6, weak from 0.65."""
+    usable = (F.col(auc) >= 0.80) & (F.col(gap) >= 6)
+    return separation.withColumn("verdict", F.when(usable, "usable").when(F.col(auc) >= 0.65, "weak").otherwise("not usable"))
+
+
+#: Weights of the English draft's score, its least, and the highest likeness to generated text. Fixed values.
+DRAFT_WEIGHTS, DRAFT_LEAST, DRAFT_LIKENESS = {"aeo": 0.40, "burstiness": 0.35, "native_review": 0.25}, 70.0, 20.0
+DRAFT_BLOCKING = ["locked_term", "medical_claim", "hedge_lost", "protected_span", "empty_block"]
+
+
+def english_gate(df: DataFrame) -> DataFrame:
+    """draft_score, blocking, passed of English drafts with aeo, burstiness, native_review, ai_likeness and flags."""
+    total = sum((F.col(k) * F.lit(w) for k, w in DRAFT_WEIGHTS.items()), F.lit(0.0))
+    blocking = F.size(F.filter("flags", lambda f: (f["severity"] == "error") & f["kind"].isin(DRAFT_BLOCKING)))
+    rows = df.withColumns({"_total": total, "blocking": blocking.cast("long")})
+    passed = (F.col("_total") >= DRAFT_LEAST) & (F.col("ai_likeness") <= DRAFT_LIKENESS) & (F.col("blocking") == 0)
+    return rows.withColumns({"draft_score": tenth(F.col("_total")), "passed": passed}).drop("_total")
 
 
 def composite(df: DataFrame) -> DataFrame:
     """Human likeness from the six scores, and whether no blocking error stands. Scores never gate."""
     total = sum((F.col(k) * F.lit(w) for k, w in L.COMPOSITE_WEIGHTS.items()), F.lit(0.0))
     blocking = F.filter("flags", lambda f: (f["severity"] == "error") & f["kind"].isin(L.BLOCKING))
-    return df.withColumns({"human_likeness": F.round(total, 1), "ai_pct": F.round(F.lit(100.0) - total, 1), "passed": F.size(blocking) == 0})
+    return df.withColumns({"human_likeness": tenth(total), "ai_pct": tenth(F.lit(100.0) - total), "passed": F.size(blocking) == 0})
 
 
 def brief(df: DataFrame, limit: int = 14) -> DataFrame:

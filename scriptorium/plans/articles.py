@@ -1,4 +1,4 @@
-"""Queries on article rows made of pages, and on literal Hindi texts (the tables hold none)."""
+"""Queries on article rows made of pages."""
 
 from __future__ import annotations
 
@@ -7,80 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from ..operators import articles, corpus, features, findings, scoring
-from ..session import table
+from ..operators import articles, corpus, findings
+from ..session import spread, table
 from ..sources import files, html, site_files
 from . import sql as S
 from .catalog import _LINKS, query, turn_pairs
 
-#: Literal texts for the Hindi measures: plain prose, prose with calques and spaced stops, mixed script, honorifics.
-HINDI = [
-    (1, "सुबह की हवा ठंडी थी। लोग धीरे चल रहे थे। बच्चे मैदान में खेल रहे थे।\nदोपहर तक धूप तेज हो गई।"),
-    (2, "यह रोग के रूप में जाना जाता है , जो लोगों के द्वारा फैलता है । इसके अलावा , यह जोर से बढ़ता है ।"),
-    (3, "The report अच्छा है but mostly English words stand here - इस प्रकार"),
-    (4, "आप आइए और आपको बताएँ। तुम भी आओ। तू क्या करेगा। तेरा काम। एवं तथा हेतु"),
-    (5, "बार - बार  कहा,फिर भी नहीं माना। जिसमें लोग जोखिम लेते हैं।"),
-    (6, ""),
-]
-_VALUES = "h(id, text) AS (VALUES " + ", ".join(f"({i}, {S.quoted(t)})" for i, t in HINDI) + ")"
-_W = r"[\p{L}\p{N}_]"
-
-
-def hindi_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HINDI, "id int, text string")
-
-
-def _hindi_sql() -> str:
-    relative = " + ".join(S.rx("t", rf"(^|[^\p{{L}}\p{{N}}_]){w}{_W}") for w in L.HINDI_RELATIVES)
-    ends = f"list_transform(list_filter(list_transform(sents, lambda s: {S.toks('rtrim(s, ' + S.quoted(' .।॥!?') + ')')}), lambda w: len(w) >= 4), lambda w: trim(w[len(w)], {S.quoted(' ,.।॥!?:;' + chr(34) + chr(39) + '()')}))"
-    verb = f"len(list_filter(ends, lambda w: len(list_filter({S.names(L.HINDI_VERBS)}, lambda v: ends_with(w, v))) > 0))"
-    spaced, doubled, tight, matras, halants = S.rx("t", rf"{S.WS}+[,.।;:!?]"), S.rx("t", "  +"), S.rx("t", r"[,;:][^ \t\n\r\f\x0B\p{Nd}]"), S.rx("t", "[ा-ौ]{3,}"), S.rx("t", rf"्{S.WS}")
-    letters = S.rx("t", r"\p{L}")
-    # code points that are letters of the block: RE2 has no intersection of classes
-    own = "len(list_filter(regexp_extract_all(t, '\\p{L}'), lambda c: ord(c) BETWEEN 2304 AND 2431))"
-    latin = "len(list_filter(tk, lambda w: regexp_full_match(w, '[A-Za-z][A-Za-z''.-]*')))"
-    return f"""WITH {_VALUES}, h0 AS (SELECT id, text, {S.strip("text")} AS t FROM h), h1 AS (SELECT *, lower(t) AS low, {S.sents("t", ".!?।॥")} AS sents, {S.toks("t")} AS tk, greatest(1, {S.wc("t")}) AS words FROM h0), h2 AS (SELECT *, {ends} AS ends FROM h1),
-hf AS (SELECT id, text, low, words::BIGINT AS words, len(sents)::BIGINT AS n_sents, CASE WHEN {letters} = 0 THEN 0.0 ELSE round({own} / {letters}, 3) END::DOUBLE AS purity, round({latin} / greatest(1, len(tk)), 3) AS latin,
-CASE WHEN len(sents) > 0 THEN round(len(list_filter(sents, lambda s: right(s, 1) IN ('।', '॥'))) / len(sents), 3) ELSE 0.0 END::DOUBLE AS danda_frac,
-{S.per1k(f"({spaced} + {doubled} + {tight} + {matras} + {halants})")} AS mech_1k, {S.per1k(spaced)} AS sp_punct_1k, {S.per1k(S.rx("t", f"{S.WS}-{S.WS}"))} AS hyphen_1k,
-CASE WHEN len(ends) > 0 THEN round({verb} / len(ends), 3) ELSE 1.0 END::DOUBLE AS verb_final, {S.per1k(S.hits("low", L.HINDI_CALQUES))} AS calque_1k, {S.per1k(S.hits("low", L.HINDI_CONNECTIVES))} AS conn_1k,
-{S.per1k(S.hits("low", L.HINDI_FORMAL))} AS formal_1k, {S.per1k(f"({relative})")} AS rel_1k, {S.per1k(S.hits("low", L.HINDI_PREPOSITIONS))} AS prep_calque_1k, {S.per1k(S.hits("t", [",", "،"]))} AS comma_1k FROM h2)"""
-
-
-@query(f"{_hindi_sql()} SELECT id, {', '.join(features.HINDI)} FROM hf")
-def d_hindi_features(spark, d):
-    return features.hindi(hindi_rows(spark)).select("id", *features.HINDI)
-
-
-_OTHER = "greatest(0.0::DOUBLE, mech_1k - sp_punct_1k)"
-_BLANK = f"len(list_filter(string_split(text, chr(10) || chr(10)), lambda b: {S.strip('b')} = '')) > 0"
-
-
-@query(
-    f"""{_hindi_sql()}, g AS (SELECT *, CASE WHEN purity < 0.6 THEN 1 ELSE 0 END + CASE WHEN {_BLANK} THEN 1 ELSE 0 END AS errors FROM hf)
-SELECT id, concat_ws(',', CASE WHEN purity < 0.80 THEN 'mixed_script' END, CASE WHEN latin > 0.18 THEN 'loanword_density' END, CASE WHEN sp_punct_1k > 4 THEN 'spaced_punctuation' END, CASE WHEN hyphen_1k > 2 THEN 'spaced_hyphen' END, CASE WHEN {_OTHER} > 6 THEN 'punctuation' END, CASE WHEN {_BLANK} THEN 'empty_block' END) AS flags,
-round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 0.28::DOUBLE * {S.norm("purity", 0.99, 0.70)} + 0.40::DOUBLE * {S.norm("sp_punct_1k", 0.5, 25.0)} + 0.17::DOUBLE * {S.norm("hyphen_1k", 0.0, 6.0)} + 0.15::DOUBLE * {S.norm(_OTHER, 0.5, 18.0)} - 10.0::DOUBLE * errors)), 1) AS grammar FROM g"""
-)
-def e3_grammar(spark, d):
-    return scoring.grammar(hindi_rows(spark)).select("id", F.array_join(F.transform("flags", lambda f: f["kind"]), ",").alias("flags"), "grammar")
-
-
-@query(
-    f"""{_hindi_sql()} SELECT id, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 0.34::DOUBLE * {S.norm("prep_calque_1k", 0.4, 9.0)} + 0.22::DOUBLE * {S.norm("rel_1k", 0.4, 3.5)} + 0.20::DOUBLE * {S.norm("comma_1k", 22.0, 68.0)} + 0.14::DOUBLE * {S.norm("calque_1k", 0.0, 4.0)} + 0.10::DOUBLE * {S.norm("conn_1k", 1.2, 9.0)})), 1) AS translationese FROM hf"""
-)
-def e4_translationese(spark, d):
-    return scoring.translationese(hindi_rows(spark)).select("id", "translationese")
-
-
-@query()
-def e5_register(spark, d):
-    rows = scoring.register(hindi_rows(spark))
-    return rows.select("id", "register", "consistency", "dominant", "formal_per_1k", F.array_join(F.transform("flags", lambda f: f["kind"]), ",").alias("flags"))
-
-
 def page_articles(spark: SparkSession, d: str) -> DataFrame:
     """Article rows of the pages: title, description, slug and blocks (headings of the first level left out)."""
-    pages = table(spark, d, "pages")
+    pages = spread(table(spark, d, "pages"))
     rows = html.page_rows(pages).select("page_id", "title", F.col("description").alias("meta_description"), html.slug(F.col("url")).alias("slug"), "schema_types")
     found = html.block_rows(pages, "page_id").filter("type != 'h1'").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "type", "text"))).alias("_b"))
     none = F.array().cast("array<struct<type:string,text:string>>")
@@ -88,12 +23,6 @@ def page_articles(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("faqs", F.array().cast("array<struct<q:string,a:string>>")).drop("_b")
 
 
-@query(f"{S.pages()} SELECT page_id, round(0.10::DOUBLE * CASE WHEN length(title) > 10 AND length(title) <= 60 THEN 100.0::DOUBLE ELSE 40.0::DOUBLE END + 0.05::DOUBLE * CASE WHEN length(description) > 50 AND length(description) <= 155 THEN 100.0::DOUBLE ELSE 40.0::DOUBLE END, 1) AS aeo, concat_ws(',', 'question_headings', 'faq_count', 'tldr', CASE WHEN NOT (length(title) > 10 AND length(title) <= 60) THEN 'meta_title' END, CASE WHEN NOT (length(description) > 50 AND length(description) <= 155) THEN 'meta_description' END, 'schema') AS flags FROM p")
-def e8_structure(spark, d):
-    """The pages have no second-level headings, questions or summaries: titles and descriptions decide."""
-    return articles.structure(page_articles(spark, d)).select("page_id", "aeo", F.array_join(F.transform("flags", lambda f: f["kind"]), ",").alias("flags"))
-
-
 _TERMS = f"list_filter(regexp_extract_all(lower(title), '[a-z]+'), lambda w: length(w) > 2 AND NOT list_contains({S.names(L.AUDIT_STOP)}, w))"
 _BLOCKS = f"""a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '{S.NOISE}', '', 'g'), '{S.FURNITURE}', ' ', 'g') AS h FROM pages),
 b AS (SELECT page_id, list_filter(string_split(regexp_replace(h, '(?i)<(h[1-4]|p|li|blockquote|pre)(?:[ \\t\\n][^>]*)?>', chr(1) || '\\1' || chr(2), 'g'), chr(1)), lambda x: contains(x, chr(2))) AS parts FROM a),
@@ -123,7 +52,7 @@ SELECT n.target, source, shared, round(score, 2) AS score, k::BIGINT AS k FROM n
 )
 def g3_link_suggestions(spark, d):
     """No page of the tables links to another, so that the targets are the first ones by address."""
-    rows = html.page_rows(table(spark, d, "pages"))
+    rows = html.page_rows(spread(table(spark, d, "pages")))
     links = corpus.link_rows(rows)
     found = articles.link_suggestions(rows, links.select("url", "target"), corpus.in_degree(links, rows))
     return found.select("target", "source", "shared", "score", F.col("k").cast("long").alias("k"))
@@ -149,13 +78,13 @@ def e20_keyword_findings(spark, d):
 
 
 @query(
-    f"""{S.pages()}, s AS (SELECT *, coalesce(nullif(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*/([^/?#]+)/', 1), ''), 'pages') AS section FROM p),
+    f"""{S.pages()}, s0 AS (SELECT *, string_split(trim(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/'), '/')[1] AS g FROM p), s AS (SELECT *, CASE WHEN g = '' THEN 'Pages' ELSE upper(left(g, 1)) || lower(substr(g, 2)) END AS section FROM s0),
 k AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY words DESC, url) AS k FROM s)
-SELECT section, count(*)::BIGINT AS n, string_agg('- [' || title || '](' || url || ')', chr(10) ORDER BY k) AS text FROM k WHERE k <= 40 GROUP BY section"""
+SELECT section, count(*)::BIGINT AS n, string_agg('- [' || CASE WHEN trim(title, ' ') = '' THEN url ELSE trim(title, ' ') END || '](' || url || ')', chr(10) ORDER BY k) FILTER (k <= 40) AS text FROM k GROUP BY section"""
 )
 def e31_llms_txt(spark, d):
     """The site's sections with their forty longest pages each."""
-    return site_files.llms_txt(html.page_rows(table(spark, d, "pages")))
+    return site_files.llms_txt(html.page_rows(spread(table(spark, d, "pages"))))
 
 
 @query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 200")
@@ -180,4 +109,4 @@ SELECT * FROM fs ORDER BY CASE "check" WHEN 'present' THEN 1 ELSE 2 END, page_id
 )
 def j2_first_actions(spark, d):
     """The twenty first things to do over all pages: with these tables, descriptions that are missing."""
-    return files.prioritise(findings.page(html.page_rows(table(spark, d, "pages"))), "page_id")
+    return files.prioritise(findings.page(html.page_rows(spread(table(spark, d, "pages")))), "page_id")

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import corpus, findings, similarity
-from ..session import table
+from ..session import spread, table
 from ..sources import html
 from . import sql as S
-from .catalog import _FLESCH, _SLUG, _title_sets, documents, query  # noqa: F401
+from .catalog import _FLESCH, documents, query
 
 _CONTENT = f"""fl AS ({_FLESCH}), t0 AS (SELECT doc_id, {S.strip("text")} AS t FROM documents),
 t1 AS (SELECT doc_id, t, lower(t) AS low, {S.sents("t", ".!?।॥")} AS s, {S.wc("t")} AS w FROM t0),
@@ -28,7 +28,7 @@ UNION ALL SELECT doc_id, 'content', 'formatting', 'warn', 'medium' FROM t2 WHERE
 
 @query(f"WITH {_CONTENT} SELECT * FROM fs")
 def e19_content_findings(spark, d):
-    return findings.content(documents(spark, d), "doc_id")
+    return findings.content(spread(documents(spark, d)), "doc_id")
 
 
 @query(
@@ -38,13 +38,13 @@ h AS (SELECT *, round(greatest(0.0::DOUBLE, 100.0::DOUBLE * (1 - round(lost, 6)
 SELECT doc_id, n_pass, n_warn, n_fail, score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 55 THEN 'needs work' ELSE 'poor' END AS grade FROM h"""
 )
 def e15_roll_up(spark, d):
-    return findings.roll_up(findings.content(documents(spark, d), "doc_id"), "doc_id")
+    return findings.roll_up(findings.content(spread(documents(spark, d)), "doc_id"), "doc_id")
 
 
 _PAGE = f"""s AS (SELECT *, regexp_extract(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '([^/]*)/*$', 1) AS slug FROM p),
 fs AS (SELECT page_id, 'title' AS "group", 'present' AS "check", 'fail' AS status, 'high' AS impact FROM s WHERE title = ''
 UNION ALL SELECT page_id, 'title', 'length', CASE WHEN length(title) < 30 OR length(title) > 60 THEN 'warn' ELSE 'pass' END, 'medium' FROM s WHERE title <> ''
-UNION ALL SELECT page_id, 'title', 'case', 'warn', 'low' FROM s WHERE title <> lower(title) AND title = upper(title)
+UNION ALL SELECT page_id, 'title', 'case', 'warn', 'low' FROM s WHERE regexp_matches(title, '\\p{{Lu}}') AND NOT regexp_matches(title, '[\\p{{Ll}}\\p{{Lt}}]')
 UNION ALL SELECT page_id, 'meta', 'present', 'fail', 'high' FROM s WHERE description = ''
 UNION ALL SELECT page_id, 'headings', 'h1_count', CASE WHEN len(h1) > 1 THEN 'fail' ELSE 'pass' END, CASE WHEN len(h1) > 1 THEN 'high' ELSE 'medium' END FROM s
 UNION ALL SELECT page_id, 'headings', 'structure', 'fail', 'high' FROM s WHERE len(h2) = 0
@@ -56,13 +56,13 @@ UNION ALL SELECT page_id, 'technical', 'schema', CASE WHEN len(schema_types) = 0
 
 @query(f"{S.pages()}, {_PAGE} SELECT * FROM fs")
 def e16_e23_page_findings(spark, d):
-    return findings.page(html.page_rows(table(spark, d, "pages")))
+    return findings.page(html.page_rows(spread(table(spark, d, "pages"))))
 
 
 @query(f"""{S.pages()}, {_PAGE}, g AS (SELECT "group", count(*) FILTER (status = 'pass')::BIGINT AS n_pass, count(*) FILTER (status = 'warn')::BIGINT AS n_warn, count(*) FILTER (status = 'fail')::BIGINT AS n_fail FROM fs GROUP BY "group")
 SELECT *, round(100 * (n_pass + 0.55::DOUBLE * n_warn) / (n_pass + n_warn + n_fail), 2) AS score FROM g""")
 def h6_group_scores(spark, d):
-    return findings.group_scores(findings.page(html.page_rows(table(spark, d, "pages"))), ["group"])
+    return findings.group_scores(findings.page(html.page_rows(spread(table(spark, d, "pages")))), ["group"])
 
 
 @query(
@@ -91,16 +91,6 @@ def h10_entities(spark, d):
     return findings.entities(documents(spark, d), "doc_id")
 
 
-@query()
-def i3_chunks(spark, d):
-    return findings.chunks(html.block_rows(table(spark, d, "pages"), "page_id"), "page_id")
-
-
-@query()
-def e27_chunk_readiness(spark, d):
-    return findings.readiness(findings.chunks(html.block_rows(table(spark, d, "pages"), "page_id"), "page_id"), "page_id")
-
-
 @query(
     f"""{S.pages()}, k AS (SELECT 'thin' AS kind, 'warn' AS severity, count(*) AS n FROM p WHERE words > 0 AND words < 300 UNION ALL SELECT 'missing_meta', 'fail', count(*) FROM p WHERE description = '' UNION ALL SELECT 'no_schema', 'warn', count(*) FROM p WHERE len(schema_types) = 0
 UNION ALL SELECT 'title_length', 'warn', count(*) FROM p WHERE title <> '' AND NOT length(title) BETWEEN 30 AND 60)
@@ -108,7 +98,7 @@ SELECT row_number() OVER (ORDER BY CASE severity WHEN 'fail' THEN 0 ELSE 1 END,
 )
 def j1_issue_ranking(spark, d):
     """Defects, failures first, the frequent ones before the rare. The table has a row for each kind."""
-    rows = corpus.defects(html.page_rows(table(spark, d, "pages")))
+    rows = corpus.defects(html.page_rows(spread(table(spark, d, "pages"))))
     order = Window.orderBy(F.when(F.col("severity") == "fail", 0).otherwise(1), F.desc("n"), "kind")
     return rows.withColumn("rank", F.row_number().over(order).cast("long"))
 
@@ -125,22 +115,11 @@ m AS (SELECT page_id, max(2 * len(list_intersect(s, t)) / (len(s) + len(t))) AS
 SELECT CASE WHEN f1 >= 0.85 THEN 'covered' WHEN f1 >= 0.45 THEN 'partial' ELSE 'gap' END AS status, count(*)::BIGINT AS n FROM q LEFT JOIN m USING (page_id) GROUP BY 1"""
 )
 def h13_candidate_counts(spark, d):
-    queries = html.page_rows(table(spark, d, "pages")).select("page_id", T.token_set(F.col("title"), L.SITE_STOP).alias("tokens"))
+    queries = html.page_rows(spread(table(spark, d, "pages"))).select("page_id", T.token_set(F.col("title"), L.SITE_STOP).alias("tokens"))
     index = documents(spark, d).select("doc_id", T.token_set(F.split("text", "\n")[0], L.SITE_STOP).alias("tokens"))
     return similarity.best_match(queries, index, "page_id", "doc_id").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query(
-    """WITH a AS (SELECT DISTINCT lang, regexp_extract(text, '^[^\n]*', 0) AS h FROM documents)
-SELECT h AS heading, count(*)::BIGINT AS n_langs FROM a WHERE length(h) >= 8 AND h NOT IN (SELECT regexp_extract(text, '^[^\n]*', 0) FROM benchmark) GROUP BY h HAVING count(*) > 1"""
-)
-def g4_g5_gap(spark, d):
-    """First lines that several languages have and no benchmark item opens with: an anti-join, then a count."""
-    mine = table(spark, d, "benchmark").select(F.regexp_extract("text", "^[^\n]*", 0).alias("heading"))
-    rows = documents(spark, d).select("lang", F.regexp_extract("text", "^[^\n]*", 0).alias("heading")).filter(F.length("heading") >= 8).distinct()
-    return rows.join(mine, "heading", "left_anti").groupBy("heading").agg(F.count("*").alias("n_langs")).filter("n_langs > 1")
-
-
 @query(f"WITH k(suffix, brand) AS (VALUES ('example.com', 'c'), ('example.org', 'o'), ('cheap-pills.example.com', 'p')), u AS (SELECT page_id, {S.host('url')} AS h FROM pages), m AS (SELECT page_id, brand, row_number() OVER (PARTITION BY page_id ORDER BY length(suffix) DESC) AS k FROM u JOIN k ON h = suffix OR ends_with(h, '.' || suffix)) SELECT u.page_id, coalesce(brand, '_default') AS brand FROM u LEFT JOIN m ON u.page_id = m.page_id AND k = 1")
 def g10_site_profile(spark, d):
     """The profile of the longest host suffix: an equi-join of each host's suffixes, not a comparison with every profile."""

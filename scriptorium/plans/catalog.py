@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import corpus, features, integrity, scoring, similarity
-from ..session import table
+from ..session import spread, table
 from ..sources import html
 from . import sql as S
 
@@ -48,7 +48,14 @@ def c3_sentences(spark, d):
     return rows.select("doc_id", F.size("s").cast("long").alias("n"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).cast("long").alias("longest"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
-@query()
+_LAST = "string_split(x, chr(2))[len(string_split(x, chr(2)))]"
+
+
+@query(
+    f"""WITH a AS (SELECT doc_id, {S.strip("text")} AS t FROM documents), b AS (SELECT doc_id, t, string_split(regexp_replace(t, '([.!?।॥]){S.WS}+', '\\1' || chr(1), 'g'), chr(1)) AS ps FROM a),
+c AS (SELECT doc_id, CASE WHEN t = '' THEN []::VARCHAR[] WHEN length(t) <= 900 THEN [t] ELSE list_filter(string_split(list_reduce(list_concat([''], ps), lambda x, y: CASE WHEN {_LAST} <> '' AND length({_LAST}) + 1 + length(y) > 900 THEN x || chr(2) || y ELSE left(x, length(x) - length({_LAST})) || trim({_LAST} || ' ' || y, ' ') END), chr(2)), lambda q: q <> '') END AS cs FROM b),
+e AS (SELECT doc_id, unnest(range(0, len(cs)))::BIGINT AS pos, unnest(cs) AS chunk FROM c) SELECT doc_id, pos, chunk, length(chunk)::BIGINT AS n_chars FROM e"""
+)
 def c5_chunks(spark, d):
     rows = documents(spark, d).select("doc_id", F.posexplode(T.chunk_sentences(F.col("text"), 900)).alias("pos", "chunk"))
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "chunk", F.length("chunk").cast("long").alias("n_chars"))
@@ -97,7 +104,7 @@ SELECT doc_id, flesch, CASE WHEN flesch >= 80 THEN 'very easy' WHEN flesch >= 70
 
 @query(_FLESCH)
 def c12_c13_flesch(spark, d):
-    rows = documents(spark, d).select("doc_id", T.flesch(F.col("text")).alias("flesch"))
+    rows = T.with_flesch(spread(documents(spark, d).select("doc_id", "text"))).select("doc_id", "flesch")
     return rows.withColumn("band", T.flesch_band(F.col("flesch")))
 
 
@@ -112,7 +119,7 @@ def c14_keyword_density(spark, d):
 SELECT page_id, array_to_string(a, ' ') AS site_tokens, array_to_string(b, ' ') AS topic_tokens FROM q"""
 )
 def c16_c17_token_sets(spark, d):
-    rows = html.page_rows(table(spark, d, "pages"))
+    rows = html.page_rows(spread(table(spark, d, "pages")))
     return rows.select("page_id", F.array_join(F.array_sort(T.token_set(F.col("title"), L.SITE_STOP)), " ").alias("site_tokens"), F.array_join(F.array_sort(T.token_set(F.col("title"), L.AUDIT_STOP, 3)), " ").alias("topic_tokens"))
 
 
@@ -138,13 +145,13 @@ def c24_c27_cut_and_key(spark, d):
     return documents(spark, d).select("doc_id", T.serp_cut(F.col("text"), 60).alias("shown"), T.cache_key(F.lit("en"), F.lit("hi"), F.col("text")).alias("key"))
 
 
-_SLUG = f"regexp_replace(regexp_replace(lower(regexp_replace(translate(left(text, 90), {S.quoted(T.ACCENTED)}, {S.quoted(T.PLAIN)}), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_SLUG = f"regexp_replace(regexp_replace(lower(regexp_replace(translate(text, {S.quoted(T.ACCENTED)}, {S.quoted(T.PLAIN)}), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
 @query(f"WITH a AS (SELECT doc_id, {_SLUG} AS s FROM documents), b AS (SELECT doc_id, CASE WHEN length(s) > 60 THEN regexp_replace(left(s, 60), '-[^-]*$', '') ELSE s END AS s FROM a) SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM b")
 def c2_slug(spark, d):
-    """The slug of a title: here the first 90 characters of the text."""
-    return documents(spark, d).select("doc_id", T.slug(F.substring("text", 1, 90)).alias("slug"))
+    """The slug of a title: here of the whole text."""
+    return documents(spark, d).select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 # ---------------------------------------------------------------- measurements and scores
@@ -152,17 +159,17 @@ def c2_slug(spark, d):
 
 @query(f"{S.english()} SELECT doc_id, {', '.join(features.ENGLISH)} FROM f")
 def d_english_features(spark, d):
-    return features.english(documents(spark, d)).select("doc_id", *features.ENGLISH)
+    return features.english(spread(documents(spark, d))).select("doc_id", *features.ENGLISH)
 
 
 @query(f"{S.detect()} SELECT lang, source, count(*)::BIGINT AS n, round(avg(round(100.0::DOUBLE - total, 1)), 4) AS mean_ai, sum(all_passed::BIGINT)::BIGINT AS n_passed, sum(words)::BIGINT AS words FROM d GROUP BY lang, source")
 def e11_ai_likeness_by_source(spark, d):
-    return scoring.ai_likeness_by(documents(spark, d), ["lang", "source"])
+    return scoring.ai_likeness_by(spread(documents(spark, d)), ["lang", "source"])
 
 
 @query(f"{S.detect()} SELECT doc_id, {', '.join(f'round(s_{k}, 1) AS s_{k}' for k in L.DETECT_BANDS)}, round(total, 1) AS score, round(100.0::DOUBLE - total, 1) AS ai_likeness, all_passed FROM d")
 def e11_detect(spark, d):
-    return scoring.detect(documents(spark, d)).select("doc_id", *(f"s_{k}" for k in L.DETECT_BANDS), "score", "ai_likeness", "all_passed")
+    return scoring.detect(spread(documents(spark, d))).select("doc_id", *(f"s_{k}" for k in L.DETECT_BANDS), "score", "ai_likeness", "all_passed")
 
 
 @query(
@@ -171,7 +178,7 @@ SELECT doc_id, CASE WHEN short THEN 75.0 ELSE round(greatest(0.0::DOUBLE, least(
 concat_ws(',', CASE WHEN short THEN 'too_short' END, CASE WHEN NOT short AND sent_cv < 0.42 THEN 'uniform_sentences' END, CASE WHEN NOT short AND len(paras) > 3 AND p_cv < 0.28 THEN 'uniform_paragraphs' END, CASE WHEN NOT short AND rep_open > 0.08 THEN 'repeated_openings' END) AS flags FROM g"""
 )
 def e6_burstiness(spark, d):
-    rows = scoring.burstiness(documents(spark, d))
+    rows = scoring.burstiness(spread(documents(spark, d)))
     return rows.select("doc_id", "burstiness", "p_cv", F.array_join(F.transform("flags", lambda f: f["kind"]), ",").alias("flags"))
 
 
@@ -182,7 +189,7 @@ SELECT round(sum(p * (2 * below + q)) / (2.0::DOUBLE * sum(p) * sum(q)), 6) AS a
 )
 def h7_auc(spark, d):
     """How well the type-token ratio tells good documents from others."""
-    rows = features.english(documents(spark, d)).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    rows = features.english(spread(documents(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")))
     return corpus.auc(rows, "ttr", F.col("quality") == 1)
 
 
@@ -196,7 +203,7 @@ h AS (SELECT *, sqrt(((np - 1) * vp + (nq - 1) * vq) / (np + nq - 2)) AS pooled
 SELECT feature, round(mp, 5) AS mean_pos, round(mq, 5) AS mean_neg, round((mp - mq) / greatest(abs(mp), 1e-6), 5) AS sep, CASE WHEN pooled > 0 THEN round((mp - mq) / pooled, 5) END AS d FROM h"""
 )
 def h8_separation(spark, d):
-    rows = features.english(documents(spark, d)).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    rows = features.english(spread(documents(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")))
     return corpus.separation(rows, _FEATURES, F.col("quality") == 1)
 
 
@@ -213,61 +220,12 @@ def turn_pairs(spark: SparkSession, d: str) -> DataFrame:
 _PAIRS = "pairs AS (SELECT a.conv_id, a.turn, a.text AS before, b.text AS after FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn - 1)"
 
 
-def _numbers(t: str) -> str:
-    cleaned = f"translate(coalesce({t}, ''), {S.quoted(L.INDIC_DIGITS)}, {S.quoted(L.ASCII_DIGITS)})"
-    # no look-around in RE2: each is a pass that puts back what it has read
-    cleaned = f"regexp_replace(regexp_replace({cleaned}, '([0-9]),([0-9]{{3}})($|[^\\p{{L}}\\p{{N}}_])', '\\1\\2\\3', 'g'), '([0-9]),([0-9]{{3}})($|[^\\p{{L}}\\p{{N}}_])', '\\1\\2\\3', 'g')"
-    cleaned = f"regexp_replace({cleaned}, '(^|[^0-9])[0-9]{{1,2}}[.)]([ \\t\\n\\r]|$)', '\\1 \\2', 'g')"
-    return f"list_sort(list_distinct(list_transform(regexp_extract_all({cleaned}, '[0-9]+(\\.[0-9]+)?'), lambda v: CASE WHEN ltrim(v, '0') = '' THEN '0' ELSE ltrim(v, '0') END)))"
-
-
-@query(f"WITH {_PAIRS}, n AS (SELECT conv_id, turn, {_numbers('before')} AS s, {_numbers('after')} AS t FROM pairs) SELECT conv_id, turn, array_to_string(list_filter(t, lambda x: NOT list_contains(s, x)), ',') AS invented, array_to_string(list_filter(s, lambda x: NOT list_contains(t, x)), ',') AS dropped FROM n")
-def f2_number_diff(spark, d):
-    rows = integrity.number_diff(turn_pairs(spark, d), "before", "after")
-    return rows.select("conv_id", "turn", F.array_join("invented", ",").alias("invented"), F.array_join("dropped", ",").alias("dropped"))
-
-
-@query(f"WITH {_PAIRS}, n AS (SELECT conv_id, turn, {_numbers('before')} AS s, {_numbers('after')} AS t FROM pairs) SELECT CASE WHEN len(list_filter(t, lambda x: NOT list_contains(s, x))) > 0 THEN 'blocking' WHEN len(list_filter(s, lambda x: NOT list_contains(t, x))) > 0 THEN 'review' ELSE 'safe' END AS verdict, count(*)::BIGINT AS n FROM n GROUP BY 1")
-def f6_fix_verdicts(spark, d):
-    return integrity.fix_verdict(turn_pairs(spark, d), "before", "after").groupBy("verdict").agg(F.count("*").alias("n"))
-
-
-@query()
-def f1_protected_spans(spark, d):
-    return integrity.protected_spans(documents(spark, d), "text", ["doc_id"])
-
-
-@query()
-def f3_protected_diff(spark, d):
-    return integrity.protected_diff(turn_pairs(spark, d), "before", "after", ["conv_id", "turn"])
-
-
-@query(
-    f"""WITH {_PAIRS}, g AS (SELECT conv_id, turn, lower(before) AS s, lower(after) AS t FROM pairs)
-SELECT conv_id, turn, array_to_string(list_filter({S.names(integrity.CLAIMS)}, lambda c: contains(t, c) AND NOT contains(s, c)), ',') AS new_claims,
-len(list_filter({S.names(integrity.HEDGES)}, lambda c: contains(s, c))) > 0 AND len(list_filter({S.names(integrity.HEDGES)}, lambda c: contains(t, c))) = 0 AS hedge_lost FROM g"""
-)
-def e2_guard(spark, d):
-    rows = integrity.guard(turn_pairs(spark, d), "before", "after")
-    return rows.select("conv_id", "turn", F.array_join("new_claims", ",").alias("new_claims"), "hedge_lost")
-
-
-@query(
-    f"""WITH {_PAIRS}, n AS (SELECT *, {_numbers("before")} AS ns, {_numbers("after")} AS nt, {S.token_set("before", L.OVERLAP_STOP, 3, "[a-z]+")} AS a, {S.token_set("after", L.OVERLAP_STOP, 3, "[a-z]+")} AS b, {S.wc("before")} AS ws, {S.wc("after")} AS wt FROM pairs),
-o AS (SELECT *, CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(a) END::DOUBLE AS overlap, CASE WHEN ws = 0 THEN 1.0 ELSE wt / ws END::DOUBLE AS ratio,
-    len(list_filter(nt, lambda x: NOT list_contains(ns, x))) + len(list_filter(ns, lambda x: NOT list_contains(nt, x))) AS wrong FROM n)
-SELECT conv_id, turn, round(overlap, 3) AS overlap, round(ratio, 3) AS length_ratio, round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 0.55::DOUBLE * {S.norm("overlap", 0.80, 0.35)} + 0.25::DOUBLE * {S.norm("least(ratio, 1.0)", 1.0, 0.60)} + 20.0::DOUBLE - 12.0::DOUBLE * (wrong + CASE WHEN ratio < 0.7 THEN 1 ELSE 0 END))), 1) AS fidelity FROM o"""
-)
-def e1_fidelity(spark, d):
-    return integrity.fidelity(turn_pairs(spark, d), "before", "after", L.OVERLAP_STOP).select("conv_id", "turn", "overlap", "length_ratio", "fidelity")
-
-
 # ---------------------------------------------------------------- pages
 
 
 @query(f"{S.pages()} SELECT page_id, title, description, lang, array_to_string(h1, '|') AS h1, words, content_hash, len(links)::BIGINT AS n_links, images::BIGINT AS images FROM p")
 def b12_page_rows(spark, d):
-    rows = html.page_rows(table(spark, d, "pages"))
+    rows = html.page_rows(spread(table(spark, d, "pages")))
     return rows.select("page_id", "title", "description", "lang", F.array_join("h1", "|").alias("h1"), "words", "content_hash", F.size("links").cast("long").alias("n_links"), "images")
 
 
@@ -281,7 +239,7 @@ g AS (SELECT *, lag(type) OVER w AS lt, lag(text) OVER w AS lx FROM f WINDOW w A
 SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::BIGINT AS pos, type, text FROM g WHERE NOT (lt IS NOT DISTINCT FROM type AND lx IS NOT DISTINCT FROM text)"""
 )
 def b2_b6_blocks(spark, d):
-    return html.block_rows(table(spark, d, "pages"), "page_id")
+    return html.block_rows(spread(table(spark, d, "pages")), "page_id")
 
 
 @query(f"{S.pages()} SELECT page_id, {S.host('url')} AS host, regexp_extract(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '([^/]*)/*$', 1) AS slug FROM p")
@@ -294,9 +252,8 @@ def b14_hosts_and_slugs(spark, d):
 UNION ALL SELECT 'content', content_hash, count(*)::BIGINT, min(url) FROM p WHERE words > 100 GROUP BY ALL HAVING count(*) > 1"""
 )
 def h1_duplicates(spark, d):
-    rows = html.page_rows(table(spark, d, "pages"))
-    titles = corpus.duplicates(rows, F.lower("title")).withColumn("what", F.lit("title"))
-    return titles.unionByName(corpus.duplicates(rows.filter("words > 100"), F.col("content_hash")).withColumn("what", F.lit("content")))
+    rows = html.page_rows(spread(table(spark, d, "pages")))
+    return corpus.duplicates(rows, {"title": F.lower("title"), "content": F.when(F.col("words") > 100, F.col("content_hash"))})
 
 
 def _defect(kind: str, severity: str, when: str) -> str:
@@ -318,33 +275,34 @@ def _defect(kind: str, severity: str, when: str) -> str:
     )
 )
 def h2_defects(spark, d):
-    return corpus.defects(html.page_rows(table(spark, d, "pages")))
+    return corpus.defects(html.page_rows(spread(table(spark, d, "pages"))))
 
 
-_LINKS = f"""l0 AS (SELECT url, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) AS base, list_filter(links, lambda x: starts_with(x, '/') OR starts_with(x, 'http')) AS ls FROM p),
-l1 AS (SELECT DISTINCT url, unnest(list_transform(ls, lambda x: rtrim(regexp_replace(CASE WHEN starts_with(x, '/') THEN base || x ELSE x END, '#.*$', ''), '/'))) AS target FROM l0)"""
+# the tables' links are absolute or start at the root
+_LINKS = f"""l0 AS (SELECT url, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) AS base, list_filter(links, lambda x: NOT regexp_matches(x, '(?i)^(mailto|tel|javascript|data):|^#')) AS ls FROM p),
+l1 AS (SELECT DISTINCT url, unnest(list_filter(list_transform(ls, lambda x: rtrim(regexp_replace(CASE WHEN starts_with(x, '/') THEN base || x ELSE x END, '#.*$', ''), '/')), lambda x: starts_with(x, 'http'))) AS target FROM l0)"""
 
 
 @query(f"{S.pages()}, {_LINKS} SELECT {S.host('url')} AS host, target, count(*)::BIGINT AS n FROM l1 GROUP BY ALL")
 def b4_link_targets(spark, d):
     """How many pages link to each target, furniture links too."""
-    rows = corpus.link_rows(html.page_rows(table(spark, d, "pages")))
+    rows = corpus.link_rows(html.page_rows(spread(table(spark, d, "pages"))))
     return rows.withColumn("host", html.host(F.col("url"))).groupBy("host", "target").agg(F.count("*").alias("n"))
 
 
 @query(f"{S.pages()}, {_LINKS} SELECT target, count(*)::BIGINT AS n FROM l1 WHERE {S.host('url')} = {S.host('target')} AND target IN (SELECT rtrim(url, '/') FROM p) GROUP BY target")
 def h3_in_degree(spark, d):
-    rows = html.page_rows(table(spark, d, "pages"))
+    rows = html.page_rows(spread(table(spark, d, "pages")))
     return corpus.in_degree(corpus.link_rows(rows), rows)
 
 
 @query(f"{S.pages()}, s AS (SELECT list_sort(list(words)) AS w FROM p) SELECT w[len(w) // 2 + 1] AS median FROM s")
 def h4_median_words(spark, d):
-    return corpus.upper_median(html.page_rows(table(spark, d, "pages")), "words")
+    return corpus.upper_median(html.page_rows(spread(table(spark, d, "pages"))), "words")
 
 
 def _title_sets(spark: SparkSession, d: str) -> DataFrame:
-    rows = html.page_rows(table(spark, d, "pages")).select("page_id", T.token_set(F.col("title"), L.SITE_STOP).alias("tokens"))
+    rows = html.page_rows(spread(table(spark, d, "pages"))).select("page_id", T.token_set(F.col("title"), L.SITE_STOP).alias("tokens"))
     return rows.filter(F.size("tokens") > 1)
 
 
@@ -366,7 +324,7 @@ SELECT q.page_id, CASE WHEN f1 >= 0.85 THEN 'covered' WHEN f1 >= 0.45 THEN 'part
 )
 def g2_best_match(spark, d):
     """Which document's first line covers each page's title."""
-    queries = html.page_rows(table(spark, d, "pages")).select("page_id", T.token_set(F.col("title"), L.SITE_STOP).alias("tokens"))
+    queries = html.page_rows(spread(table(spark, d, "pages"))).select("page_id", T.token_set(F.col("title"), L.SITE_STOP).alias("tokens"))
     index = documents(spark, d).select("doc_id", T.token_set(F.split("text", "\n")[0], L.SITE_STOP).alias("tokens"))
     return similarity.best_match(queries, index, "page_id", "doc_id")
 

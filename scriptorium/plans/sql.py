@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from ..functions import lexicons as L
 
 WS = r"[ \t\n\r\f\x0B]"
@@ -82,13 +84,22 @@ def detect() -> str:
     return f"{english()}, s AS (SELECT *, {scores} FROM f), d AS (SELECT *, 0.0::DOUBLE + {total} AS total, {passed} AS all_passed FROM s)"
 
 
-REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+def burstiness() -> str:
+    return f"""{english()}, g AS (SELECT *, len(list_filter(list_transform({sents("t", ".!?।॥")}, lambda s: {wc("s")}), lambda n: n > 1)) < 5 AS short, CASE WHEN len(paras) > 3 THEN {cv("paras")} ELSE 0.40::DOUBLE END AS p_cv FROM f)
+SELECT doc_id, CASE WHEN short THEN 75.0 ELSE round(greatest(0.0::DOUBLE, least(100.0::DOUBLE, 0.50::DOUBLE * {norm("sent_cv", 0.60, 0.25)} + 0.28::DOUBLE * {norm("p_cv", 0.45, 0.10)} + 0.22::DOUBLE * {norm("rep_open", 0.0, 0.20)})), 1) END::DOUBLE AS burstiness FROM g"""
+
+
+ATTRIBUTES = r"""(?:[ \t\r\n/](?:"[^"]*"|''[^'']*''|[^>"''])*)?"""
+NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
 
 
 def decode(t: str) -> str:
-    for a, b in REFERENCES:
-        t = f"replace({t}, {quoted(a)}, {quoted(b)})"
-    return t
+    names_, chars = names(list(NAMED)), names(list(NAMED.values()))
+    name, rest = (f"regexp_extract(q, '(?s)^(#[xX][0-9a-fA-F]{{1,6}}|#[0-9]{{1,7}}|[A-Za-z][A-Za-z0-9]*);(.*)$', {i})" for i in (1, 2))
+    code = f"CASE WHEN regexp_matches({name}, '^#[xX]') THEN ('0x' || substr({name}, 3))::BIGINT WHEN starts_with({name}, '#') THEN substr({name}, 2)::BIGINT END"
+    point = f"CASE WHEN {code} > 0 AND {code} < 1114112 AND NOT {code} BETWEEN 55296 AND 57343 THEN chr(({code})::INT) END"
+    one = f"coalesce(coalesce({chars}[list_position({names_}, {name})], {point}) || {rest}, '&' || q)"
+    return f"(CASE WHEN contains({t}, '&') THEN string_split({t}, '&')[1] || array_to_string(list_transform(string_split({t}, '&')[2:], lambda q: {one}), '') ELSE {t} END)"
 
 
 def clean(t: str) -> str:
@@ -96,7 +107,20 @@ def clean(t: str) -> str:
 
 
 def plain(t: str) -> str:
-    return clean(decode(f"regexp_replace({t}, '<[^>]*>', ' ', 'g')"))
+    return clean(f"replace({decode(f"regexp_replace({t}, '<[^>]*>', ' ', 'g')")}, chr(160), ' ')")
+
+
+def tags(t: str, name: str) -> str:
+    return f"regexp_extract_all({t}, '(?i)<{name}{ATTRIBUTES}>')"
+
+
+def attribute(tag: str, name: str) -> str:
+    value = f"""regexp_extract({tag}, '(?is)[ \t\r\n"''/]{name}[ \t\r\n]*=[ \t\r\n]*("[^"]*"|''[^'']*''|[^ \t\r\n"''>]+)', 1)"""
+    return decode(f"""regexp_replace({value}, '^["'']|["'']$', '', 'g')""")
+
+
+def meta(t: str, name: str, by: str = "name") -> str:
+    return clean(f"""coalesce({attribute(f"list_filter({tags(t, 'meta')}, lambda m: lower({attribute('m', by)}) = '{name}')[1]", "content")}, '')""")
 
 
 NOISE = r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>"
@@ -108,16 +132,17 @@ def host(u: str) -> str:
 
 
 def pages() -> str:
+    """CTEs up to `p`: page rows."""
     return f"""WITH p0 AS (SELECT page_id, url, html, regexp_replace(coalesce(html, ''), '{NOISE}', '', 'g') AS h FROM pages),
-p1 AS (SELECT *, {plain(f"regexp_replace(h, '{FURNITURE}', ' ', 'g')")} AS body FROM p0),
-p AS (SELECT page_id, url, {plain("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title,
-    {decode("regexp_extract(h, '(?is)<meta[^>]*name=" + '"description"[^>]*content="([^"]*)"' + "', 1)")} AS description,
+p1 AS (SELECT *, regexp_replace(h, '{FURNITURE}', ' ', 'g') AS rest, {tags("h", "img")} AS imgs, {tags("h", "a")} AS tags_a FROM p0),
+p2 AS (SELECT *, {plain("rest")} AS body FROM p1),
+p AS (SELECT page_id, url, {plain("regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title, {meta("h", "description")} AS description,
     regexp_extract(h, '(?is)<html[^>]*lang="([^"]*)"', 1) AS lang,
     list_transform(regexp_extract_all(h, '(?is)<h1[^>]*>(.*?)</h1>', 1), lambda x: {plain("x")}) AS h1,
     list_transform(regexp_extract_all(h, '(?is)<h2[^>]*>(.*?)</h2>', 1), lambda x: {plain("x")}) AS h2,
     {wc("body")}::BIGINT AS words, left(sha1(lower(body)), 16) AS content_hash,
-    regexp_extract_all(h, '(?is)<a[^>]*href="([^"]*)"', 1) AS links, len(regexp_extract_all(h, '(?i)<img[^>]*>')) AS images,
-    regexp_extract_all(coalesce(html, ''), '"@type"[ ]*:[ ]*"([^"]*)"', 1) AS schema_types FROM p1)"""
+    list_filter(list_transform(tags_a, lambda a: {attribute("a", "href")}), lambda x: x <> '') AS links, len(imgs) AS images,
+    regexp_extract_all(coalesce(html, ''), '"@type"[ ]*:[ ]*"([^"]*)"', 1) AS schema_types FROM p2)"""
 
 
 def token_set(t: str, stop: list[str], longer: int = 2, pattern: str = "[a-z0-9]+") -> str:

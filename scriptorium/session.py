@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the engine is tested with. Sizes of partitions belong to the cluster and are not set here.
@@ -31,3 +34,27 @@ def local_session(name: str = "scriptorium", cores: str = "*", memory: str = "8g
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt over all cores where a scan has fewer parts than these: for narrow, heavy work on small inputs.
+
+    A table of a cluster's size has more parts, and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that all executors share, below spark.checkpoint.dir; a temporary one only in local mode where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            root = held.get()
+        elif spark.sparkContext.master.startswith("local"):
+            root = tempfile.mkdtemp(prefix="scriptorium-")
+            spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"

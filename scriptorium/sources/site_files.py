@@ -48,6 +48,10 @@ def sitemap_of_robots(robots: Column) -> Column:
     return F.regexp_extract(robots, r"(?im)^[ \t]*sitemap:[ \t]*(\S+)", 1)
 
 
+#: Ends of addresses that are no pages. Fixed values.
+NO_PAGE = (".pdf", ".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".mp4", ".mp3", ".zip", ".xml", ".css", ".js")
+
+
 def sitemap_urls(xml: Column) -> Column:
     """The addresses of a urlset or sitemapindex, in order."""
     return F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<(?:[a-z0-9]+:)?loc>\s*(.*?)\s*</(?:[a-z0-9]+:)?loc>"), F.lit(1)), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
@@ -74,13 +78,59 @@ def walk_sitemaps(spark: SparkSession, files: DataFrame, start: list[str], most:
         if not n or not nested.limit(1).count():
             break
         read, frontier, seen = read + n, nested, seen.unionAll(nested)
-    return pages.distinct().filter(~F.rlike("url", F.lit(r"(?i)\.(jpg|jpeg|png|gif|webp|svg|pdf|zip|mp4|css|js)$")))
+    return pages.distinct().filter(~F.rlike("url", F.lit(rf"(?i)({'|'.join(x.replace('.', chr(92) + '.') for x in NO_PAGE)})$")))
+
+
+def section_of(url: Column) -> Column:
+    """The first segment of the path with a capital, or Pages."""
+    path = F.trim(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1), F.lit("/"))
+    return F.coalesce(F.nullif(F.initcap(F.split(path, "/")[0]), F.lit("")), F.lit("Pages"))
 
 
 def llms_txt(pages: DataFrame, most: int = 40) -> DataFrame:
-    """section, n, text: links of each site section (first path segment), the longest pages first, so many a section."""
-    section = F.coalesce(F.nullif(F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*/([^/?#]+)/", 1), F.lit("")), F.lit("pages"))
+    """section, n, text: links of each site section, the longest pages first, so many a section, with what they are about."""
     k = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("words"), "url"))
-    rows = pages.withColumn("section", section).withColumn("k", k).filter(F.col("k") <= most)
-    line = F.struct("k", F.format_string("- [%s](%s)", "title", "url").alias("line"))
-    return rows.groupBy("section").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("text"))
+    rows = pages.withColumn("section", section_of(F.col("url"))).withColumn("k", k)
+    total = rows.groupBy("section").agg(F.count("*").alias("n"))
+    name = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.col("url"))
+    about = F.when(F.trim("description") != "", F.concat(F.lit(": "), F.substring(F.trim("description"), 1, 110))).otherwise("")
+    line = F.struct("k", F.concat(F.lit("- ["), name, F.lit("]("), "url", F.lit(")"), about).alias("line"))
+    listed = rows.filter(F.col("k") <= most).groupBy("section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("text"))
+    return listed.join(total, "section").select("section", "n", "text")
+
+
+def llms_file(sections: DataFrame, brand: str, summary: str) -> DataFrame:
+    """text: the whole file, sections by size (a row for each section meets)."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "section", "text")))
+    parts = F.transform(ordered, lambda x: F.concat(F.lit("## "), x["section"], F.lit("\n\n"), x["text"], F.lit("\n")))
+    return sections.agg(F.concat(F.lit(f"# {brand}\n\n> {summary}\n\n"), F.array_join(parts, "\n")).alias("text"))
+
+
+def audit_llms(df: DataFrame, key: str, text: str = "llms") -> DataFrame:
+    """key, present, has_h1, has_summary, n_sections, n_links, links of a site's llms.txt; null is none."""
+    lines = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), "\n")
+    links = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\]\((https?://[^)]+)\)"), F.lit(1))
+    return df.select(
+        key,
+        F.col(text).isNotNull().alias("present"),
+        F.startswith(lines[0], F.lit("# ")).alias("has_h1"),
+        F.exists(F.slice(lines, 1, 6), lambda x: F.startswith(x, F.lit("> "))).alias("has_summary"),
+        F.size(F.filter(lines, lambda x: F.startswith(x, F.lit("## ")))).cast("long").alias("n_sections"),
+        F.size(links).cast("long").alias("n_links"),
+        links.alias("links"),
+    )
+
+
+def llms_findings(audited: DataFrame, key: str) -> DataFrame:
+    well = F.col("has_h1") & F.col("has_summary")
+    one = lambda check, status, impact, when: F.when(when, F.struct(F.lit("manifest").alias("group"), F.lit(check).alias("check"), F.lit(status).alias("status"), F.lit(impact).alias("impact")))
+    there = F.col("present")
+    found = F.array_compact(F.array(one("llms_txt", "warn", "medium", ~there), one("llms_format", "warn", "low", there & ~well), one("llms_txt", "pass", "medium", there & well), one("llms_links", "warn", "low", there & (F.col("n_links") < 5))))
+    return audited.select(key, F.explode(found).alias("_f")).select(key, "_f.*")
+
+
+def coverage(audited: DataFrame, urls: DataFrame, key: str) -> DataFrame:
+    """key, coverage: the share of a site's addresses (key, url) that its llms.txt links."""
+    listed = audited.select(key, F.explode("links").alias("url")).select(key, F.rtrim("url", F.lit("/")).alias("url")).distinct().withColumn("_in", F.lit(1))
+    rows = urls.select(key, F.rtrim("url", F.lit("/")).alias("url")).join(listed, [key, "url"], "left")
+    return rows.groupBy(key).agg(F.round(F.count("_in") / F.count("*"), 3).alias("coverage"))

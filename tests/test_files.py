@@ -35,13 +35,15 @@ def test_report(spark):
 
 
 def test_keywords(spark):
-    df = spark.createDataFrame([("Q1. What are the signs of kidney stones?",), ("The and of",), ("1) one two three four five six seven",)], "h string")
-    assert [r.t for r in df.select(keywords.topic(F.col("h")).alias("t")).collect()] == ["signs of kidney stones", "", "three four five six seven"]
-    seeds = spark.createDataFrame([("kidney diet",)], "seed string")
-    got = {r.keyword for r in keywords.expand(seeds).collect()}
-    assert "what is kidney diet" in got and "kidney diet diet" not in got and len(got) == 6
-    volumes = spark.createDataFrame([("What is Kidney Diet", 90)], "keyword string, volume int")
-    vs = {r.keyword: r.volume for r in keywords.with_volumes(keywords.expand(seeds), volumes).collect()}
-    assert vs["what is kidney diet"] == 90 and sum(v is None for v in vs.values()) == 5
+    df = spark.createDataFrame([("What are the signs of kidney stones?", False), ("The best", False), ("1) one two three four five six seven", False), ("मधुमेह के पहले लक्षण क्या हैं?", True), ("किसी को क्या", True)], "h string, i boolean")
+    assert [r.t for r in df.select(keywords.topic(F.col("h"), F.col("i")).alias("t")).collect()] == ["signs of kidney stones", "", "three four five six seven", "मधुमेह के पहले लक्षण", ""]
+    rows = spark.createDataFrame([(1, "kidney diet", [("h2", "Kidney Diet"), ("h3", "kidney ka ilaj"), ("p", "x")])], "id int, title string, blocks array<struct<type:string,text:string>>")
+    found = keywords.seeds(rows, "id")
+    assert [(r.pos, r.term, r.source) for r in found.orderBy("pos").collect()] == [(1, "kidney diet", "title"), (2, "kidney ka ilaj", "heading")]
+    got = {r.keyword for r in keywords.expand(found, "id", "hinglish").collect()}
+    assert "kidney diet ka ilaj" in got and "kidney ka ilaj ka ilaj" not in got and len(got) == 11
+    volumes = spark.createDataFrame([("Kidney Diet", 90)], "keyword string, volume int")
+    vs = {r.keyword: r.volume for r in keywords.with_volumes(keywords.expand(found, "id", "hinglish"), volumes).collect()}
+    assert vs["kidney diet"] == 90 and sum(v is None for v in vs.values()) == 10
     hits = spark.createDataFrame([("Kidney",), ("kidney pain",), ("back pain",), ("back pain",), ("kidney diet plan",)], "suggestion string")
     assert [r.suggestion for r in keywords.rank_suggestions(hits, "kidney").collect()] == ["kidney pain", "kidney diet plan", "back pain"]

@@ -72,9 +72,15 @@ def test_sitemaps_and_llms(spark):
         "url string, xml string",
     )
     assert [r.url for r in site_files.walk_sitemaps(spark, files, ["http://x/i.xml"]).collect()] == ["http://x/blog/1?a=1&b"]
-    pages = spark.createDataFrame([("http://x/blog/a", "A", 5), ("http://x/blog/b", "B", 9), ("http://x/c", "C", 1)], "url string, title string, words int")
+    pages = spark.createDataFrame([("http://x/blog/a", "A", 5, ""), ("http://x/blog/b", "B", 9, "about"), ("http://x/c", " ", 1, ""), ("http://x/", "Home", 2, "")], "url string, title string, words int, description string")
     got = {r.section: r.text for r in site_files.llms_txt(pages).collect()}
-    assert got == {"blog": "- [B](http://x/blog/b)\n- [A](http://x/blog/a)", "pages": "- [C](http://x/c)"}
+    assert got == {"Blog": "- [B](http://x/blog/b): about\n- [A](http://x/blog/a)", "C": "- [http://x/c](http://x/c)", "Pages": "- [Home](http://x/)"}
+    whole = site_files.llms_file(site_files.llms_txt(pages), "Brand", "What it is").first().text
+    assert whole.startswith("# Brand\n\n> What it is\n\n## Blog\n\n- [B]") and whole.endswith("\n")
+    audited = site_files.audit_llms(spark.createDataFrame([(1, whole), (2, None)], "id int, llms string"), "id")
+    assert [(r.present, r.has_h1, r.has_summary, r.n_sections, r.n_links) for r in audited.orderBy("id").collect()] == [(True, True, True, 3, 4), (False, False, False, 0, 0)]
+    urls = spark.createDataFrame([(1, "http://x/c/"), (1, "http://x/new")], "id int, url string")
+    assert site_files.coverage(audited, urls, "id").first().coverage == 0.5
 
 
 def test_findings(spark):
@@ -84,4 +90,4 @@ def test_findings(spark):
     assert not findings.citation(spark.createDataFrame([("50% of",)], "text string")).first().has_stats
     e = findings.entities(spark.createDataFrame([(1, text)], "id int, text string"), "id").collect()
     assert [(r.entity, r.n) for r in e] == [("Kidney Care", 2)]
-    assert spark.createDataFrame([("banana",)], "w string").select(T.flesch(F.col("w")).alias("x")).first().x == 0.0
+    assert T.with_flesch(spark.createDataFrame([("banana",)], "text string")).first().flesch == 0.0
