@@ -52,7 +52,7 @@ def writing(spark: SparkSession):
 
 
 #: Tables after which the driver's JVM is asked to collect its garbage.
-COLLECT = 25
+COLLECT = 8
 
 
 class Scratch:
@@ -145,6 +145,13 @@ def small(df: DataFrame, counted: DataFrame | None = None, rows: int = SENT) ->
     return F.broadcast(df) if (counted or df).limit(rows + 1).count() <= rows else df
 
 
+def sliced(batches, rows: int = 500):
+    """Arrow batches in parts, so that what a worker makes of them stays small whatever the session's batch size is."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def with_arrow(df: DataFrame, text: str, fields: str, make: Callable[[list], list], drop: bool = False) -> DataFrame:
     """df with further columns (fields, in DDL) made of a column's texts, in Arrow batches; without that column if drop.
 
@@ -162,7 +169,7 @@ def with_arrow(df: DataFrame, text: str, fields: str, make: Callable[[list], lis
     def rows(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             made = make(batch.column(at).to_pylist())
             own = [x if isinstance(x, pa.Array) else pa.array(x, k.type) for x, k in zip(made, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *own], names=[*names, *(k.name for k in kinds)])

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, renamed, text_or_empty
+from .common import Scratch, renamed, sliced, text_or_empty
 
 WIDTH = 400
 #: Different contexts of a group that is sorted in one task: their bytes are under a MB.
@@ -108,7 +108,7 @@ def _anchor_rows(docs: DataFrame, width: int) -> DataFrame:
         import xxhash
 
         digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
+        for batch in sliced(batches):
             counts, at, groups, contexts = [], [], [], []
             for text in batch.column(2):
                 coded = _coded(text.as_py())
@@ -143,7 +143,7 @@ def _contexts(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
         import pyarrow as pa
 
         kinds = [("item", pa.int64()), ("g", pa.int64()), ("alone", pa.bool_()), ("hot", pa.bool_()), ("lo", pa.int16()), ("hi", pa.int16()), ("context", pa.binary())]
-        for batch in batches:
+        for batch in sliced(batches):
             out: dict[str, list] = {n: [] for n, _ in kinds}
             for text, own in zip(batch.column(0), batch.column(1), strict=True):
                 coded = _coded(text.as_py())
@@ -356,7 +356,7 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 runs = merged(own)
@@ -382,7 +382,7 @@ def apply(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def left(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t if own is None else _kept(t, merged(own)).decode("utf-8", "ignore") for t, own in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
             own = [batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(own, names=[f"c{i}" for i in range(len(names))])
