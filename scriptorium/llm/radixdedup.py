@@ -308,6 +308,8 @@ def spans(docs: DataFrame, width: int = WIDTH, limit: int = SMALL) -> DataFrame:
     if mixed.filter("hot").limit(1).count():
         parts = parts.unionAll(_large(cut.filter("hot"), width, scratch))
     reach = {"first": F.col("at") - F.col("hi"), "end": F.col("at") - F.col("lo") + width}
+    # the windows at an item's places overlap one another, as the places are fewer than a window's bytes: together they are one run
+    parts = parts.groupBy("item").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     bounds = items.filter("n = 1").withColumns(_at()).select("item", *KEY, "at", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
     single = bounds.join(parts, "item").withColumns({"lo": F.greatest("lo", "_lo"), "hi": F.least("hi", "_hi")}).select(*KEY, *(v.alias(k) for k, v in reach.items()))
     whole = met.join(items.filter("n > 1").select("g", "c"), ["g", "c"]).withColumns(_at()).select(*KEY, *(v.alias(k) for k, v in reach.items()))
