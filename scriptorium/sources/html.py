@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +25,7 @@ NO_PAGE = r"(?i)^(mailto|tel|javascript|data):|^#"
 
 def decode(t: Column) -> Column:
     """Character references, each once: what a decoded one makes with its surroundings is no reference."""
-    named = F.create_map(*(F.lit(x) for kv in NAMED.items() for x in kv))
+    named = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")  # one literal in the plan
 
     def point(code: Column) -> Column:
         return F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
