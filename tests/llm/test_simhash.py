@@ -139,3 +139,36 @@ def test_similar_equals_brute_force_around_the_resemblance_asked_for(spark, fram
     want = closure(sorted(sets), lambda a, b: frozenset((a, b)) in near)
     for tree, cap in ((simhash.TREE, simhash.SHINGLES), (3, 400)):
         assert {r.doc_id: r.component_id for r in simhash.similar(frame(rows), tree=tree, shingle_cap=cap).collect()} == want
+
+
+def test_a_forest_connects_what_all_pairs_do_and_searches_little():
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    rows = []
+    for i in range(3000):
+        x = base if i % 3 else rng.getrandbits(64)
+        for _ in range(rng.randrange(5)):
+            x ^= 1 << rng.randrange(64)
+        rows.append((x, i))
+    asked = 0
+
+    def match(a, b):
+        nonlocal asked
+        asked += 1
+        return True
+
+    forest, root = linking.Forest(8, match), {}
+    for x, i in rows:
+        for other in forest.meet(x, i, x):
+            root[i] = other
+    roots = {i: forest._root(i) for _, i in rows}
+    near = [i for x, i in rows if i % 3]
+    assert len({roots[i] for i in near}) == 1
+    assert asked < 40 * len(rows)  # not the square of the group
+    alone = closure([x for x, _ in rows[:300]], lambda a, b: (a ^ b).bit_count() <= 8)
+    own, forest = {}, linking.Forest(8, None, big=5)
+    for x, i in rows[:300]:
+        forest.meet(x, i, x)
+    for x, i in rows[:300]:
+        own.setdefault(alone[x], set()).add(forest._root(i))
+    assert all(len(v) == 1 for v in own.values()) and len({next(iter(v)) for v in own.values()}) == len(own)
