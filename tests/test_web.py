@@ -8,7 +8,7 @@ PAGES = {
     "https://s.org/robots.txt": (200, b"User-agent: *\nDisallow: /private\nSitemap: https://s.org/map.xml", "text/plain"),
     "https://s.org/map.xml": (200, b"<sitemapindex><loc>https://s.org/a.xml</loc><loc>https://s.org/lost.xml</loc></sitemapindex>", "text/xml"),
     "https://s.org/a.xml": (200, b"<urlset><loc>https://s.org/1</loc><loc>https://s.org/2</loc><loc>https://s.org/private/3</loc><loc>https://s.org/x.pdf</loc><loc>https://s.org/1</loc></urlset>", "text/xml"),
-    "https://s.org/1": (200, "<html><title>Eins</title><body><p>ä b</p></body></html>".encode(), "text/html"),
+    "https://s.org/1": (200, "<html><head><title>Eins</title></head><body><p>ä b</p></body></html>".encode(), "text/html"),
     "https://s.org/2": (404, b"", "text/html"),
     "https://s.org/pdf": (200, b"%PDF", "application/pdf"),
 }
