@@ -12,6 +12,7 @@ tree that they haven't met: two rows of one component need no link. No pair of d
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -144,7 +145,7 @@ class Forest:
         self.members[x] = a
 
 
-def _dealt_links(rows: DataFrame, by: list[str], radius: int, match: Match | None, read: Callable) -> DataFrame:
+def _dealt_links(rows: DataFrame, by: list[str], make: Callable, read: Callable) -> DataFrame:
     """a, b of rows by, _role, _print, _node, _payload. Role 0 is added and searched without a report, 1 with one, 2 only searched."""
     n = len(by)
     dealt = rows.select(*by, "_role", "_print", "_node", "_payload").repartition(*by).sortWithinPartitions(*by, "_role", "_print", "_node")
@@ -152,12 +153,12 @@ def _dealt_links(rows: DataFrame, by: list[str], radius: int, match: Match | Non
     def search(batches):
         import pyarrow as pa
 
-        last, forest = None, Forest(radius, match)
+        last, forest = None, make()
         for batch in batches:
             a, b = [], []
             for *at, role, x, name, payload in zip(*(batch.column(i).to_pylist() for i in range(n + 4)), strict=True):
                 if at != last:
-                    last, forest = at, Forest(radius, match)
+                    last, forest = at, make()
                 for other in forest.meet(x & MASK, name, read(payload), role < 2):
                     if role:
                         a.append(name)
@@ -167,12 +168,14 @@ def _dealt_links(rows: DataFrame, by: list[str], radius: int, match: Match | Non
     return dealt.mapInArrow(search, "a long, b long")
 
 
-def links(rows: DataFrame, radius: int, cap: int, scratch: Scratch, name: str, match: Match | None = None, read: Callable = lambda x: x) -> DataFrame:
+def links(rows: DataFrame, radius: int, cap: int, scratch: Scratch, name: str, match: Match | None = None, read: Callable = lambda x: x, make: Callable | None = None) -> DataFrame:
     """a, b: links between nodes that connect what all matching pairs within shards connect. Names may recur between shards.
 
     rows: _shard, _node (longs), _print (a signed long), _size (what a row counts towards cap) and _payload, written.
-    Rows match if their prints differ in radius bits at most and match(read(payload), read(payload)) holds.
+    Rows match if their prints differ in radius bits at most and match(read(payload), read(payload)) holds. make, if given,
+    makes something else that meets rows as a Forest does, by its own rule.
     """
+    make = make or partial(Forest, radius, match)
     counts = rows.groupBy("_shard").agg(F.count("*").alias("n"), F.sum("_size").alias("size")).filter("n > 1")
     counts = scratch.keep(counts.select("_shard", F.greatest(F.ceil(F.col("size") / cap), F.lit(1)).cast("int").alias("_trees")), f"{name}_counts")
     own = F.pmod(F.xxhash64("_node"), F.col("_trees")).cast("int")
@@ -185,7 +188,7 @@ def links(rows: DataFrame, radius: int, cap: int, scratch: Scratch, name: str, m
         first = first.drop("_tree").withColumnRenamed("_at", "_tree")
     else:
         first = rows.withColumn("_role", F.lit(1))
-    found = scratch.keep(_dealt_links(first, ["_shard", "_tree"], radius, match, read), f"{name}_links")
+    found = scratch.keep(_dealt_links(first, ["_shard", "_tree"], make, read), f"{name}_links")
     if not several:
         return found
     hot = rows.filter("_trees > 1")
@@ -203,7 +206,7 @@ def links(rows: DataFrame, radius: int, cap: int, scratch: Scratch, name: str, m
     asked = rest.join(blocks, "_shard").withColumn("_block", F.pmod(F.xxhash64("_node", F.lit(1)), F.col("_blocks")).cast("int")).withColumn("_role", F.lit(2))
     asked = asked.withColumn("_at", F.explode(F.filter(F.sequence(F.lit(1), F.col("_trees") - 1), lambda t: t != F.col("_tree")))).drop("_tree").withColumnRenamed("_at", "_tree")
     second = inside.unionByName(asked)
-    more = scratch.keep(_dealt_links(second, ["_shard", "_tree", "_block"], radius, match, read), f"{name}_more")
+    more = scratch.keep(_dealt_links(second, ["_shard", "_tree", "_block"], make, read), f"{name}_more")
     return found.unionAll(more)
 
 
