@@ -136,15 +136,6 @@ def neighbours(dealt: DataFrame, order: list[str], carry: list[str], ring: bool
     return rows.withColumns({"_before": F.coalesce("_before", "_end_b"), "_after": F.coalesce("_after", "_end_a")}).drop("_end_b", "_end_a")
 
 
-#: Rows of a key or two that are sent to every task at most: some 20 MB.
-SENT = 500_000
-
-
-def small(df: DataFrame, counted: DataFrame | None = None, rows: int = SENT) -> DataFrame:
-    """The table, marked to be sent to every task if it, or the written table it is of, has so few narrow rows; else joined by a shuffle."""
-    return F.broadcast(df) if (counted or df).limit(rows + 1).count() <= rows else df
-
-
 def sliced(batches, rows: int = 500):
     """Arrow batches in parts, so that what a worker makes of them stays small whatever the session's batch size is."""
     for batch in batches:

@@ -11,17 +11,18 @@ with fingerprints and estimates, to find candidates; then in shards of connected
 
 Defined results: a null text is an empty one; texts without words have fingerprint zero and are near-duplicates of equal
 texts only under similar(). Null ids take part; a component's id is the smallest id in it that isn't null. Repeated rows are
-returned as often as they stand; remove() keeps one of them. An empty table gives an empty result. Whole texts are read,
+returned as often as they stand; remove() keeps one of them, and knows a row by its id and its text together. Texts are equal
+if 128 bits of hashes are. An empty table gives an empty result. Whole texts are read,
 however long, in memory that grows with one text. Only doc_id and text are read; further columns pass, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, renamed, small, with_arrow
+from .common import Scratch, renamed, text_or_empty, with_arrow
 from .linking import components
 from .linking import links as shard_links
 
@@ -79,44 +80,58 @@ def links(prints: DataFrame, radius: int, scratch: Scratch, tree: int = TREE) ->
 
 
 def _named(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """_node, component_id of nodes (_node, _least), written: the smallest _least of what edges connect."""
+    """_node, _root, component_id of nodes (_node, _least), written: the smallest _least of what edges connect."""
     roots = components(edges, scratch)
     joined = nodes.join(roots, nodes["_node"] == roots["node"], "left").select("_node", "_least", F.coalesce("root", "_node").alias("_root"))
     joined = scratch.keep(joined, "roots")
     ids = scratch.keep(joined.groupBy("_root").agg(F.min("_least").alias("component_id")), "ids")
-    return scratch.keep(joined.join(ids, "_root").select("_node", "component_id"), "named")
+    return scratch.keep(joined.join(ids, "_root").select("_node", "_root", "component_id"), "named")
 
 
-def group(docs: DataFrame, radius: int = 2, words: int = WORDS) -> DataFrame:
-    """doc_id, _print (the fingerprint, signed) and component_id of every row."""
+def _text_key(text: str = "text") -> dict[str, Column]:
+    """128 bits that stand for a text."""
+    t = text_or_empty(text)
+    return {"_a": F.xxhash64(t), "_b": F.xxhash64(F.lit(1), t)}
+
+
+def _grouped(docs: DataFrame, radius: int, words: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "simhash")
-    rows = scratch.keep(with_fingerprint(docs.select("doc_id", "text"), words=words), "prints")
+    own = docs.select("doc_id", *(c.alias(n) for n, c in _text_key().items()), "text")
+    rows = scratch.keep(with_fingerprint(own, words=words), "prints")
     nodes = scratch.keep(rows.groupBy("_print").agg(F.min("doc_id").alias("_least")), "nodes")
     named = _named(nodes.withColumnRenamed("_print", "_node"), links(nodes, radius, scratch), scratch)
-    return rows.join(named, rows["_print"] == named["_node"]).select("doc_id", "_print", "component_id")
+    return rows.join(named, rows["_print"] == named["_node"]).select("doc_id", "_a", "_b", "_print", "_root", "component_id")
+
+
+def group(docs: DataFrame, radius: int = 2, words: int = WORDS) -> DataFrame:
+    """doc_id, _print (the fingerprint, signed) and component_id of every row."""
+    return _grouped(docs, radius, words).select("doc_id", "_print", "component_id")
 
 
 def remove(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs of which found has doc_id and component_id: of each component the document with the smallest id stays.
+    """docs of which found has doc_id, _a, _b (the text's key) and _root (the component): of each component one row stays.
 
-    Of its repeated rows one stays; a component of null ids alone keeps one row.
+    It is the one of the smallest id, null ones last, then of the smallest key. A row is known by its id and its text
+    together, so that rows which share an id, or have none, go or stay each for itself; of rows equal in both one stays.
     """
-    # what goes, by id: usually few rows, so that texts are joined with these
-    key = lambda c: {"_id": F.coalesce(c.cast("long"), F.lit(0).cast("long")), "_none": c.isNull()}
-    counted = scratch.keep(found.groupBy("doc_id", "component_id").agg(F.count("*").alias("_rows")), "groups")
-    gone = counted.filter("doc_id is null and component_id is not null or doc_id != component_id").withColumns(key(F.col("doc_id"))).select("_id", "_none").distinct()
-    gone = scratch.keep(gone, "gone")
+    whole = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), "_a", "_b")
+    counted = scratch.keep(found.groupBy("doc_id", "_a", "_b", "_root").agg(F.count("*").alias("_rows")), "groups")
+    stays = counted.groupBy("_root").agg(F.min(whole).alias("_stays"))
+    judged = counted.join(stays, "_root").withColumn("_whole", whole)
+    key = ["_id", "_none", "_a", "_b"]
+    gone = scratch.keep(judged.filter("_whole != _stays").select("_whole.*").select(F.coalesce("_id", F.lit(0)).alias("_id"), *key[1:]), "gone")
     names = docs.columns
-    rows = renamed(docs)
-    rows = rows.withColumns(key(F.col(f"c{names.index('doc_id')}"))).join(small(gone), ["_id", "_none"], "left_anti")
-    if counted.filter("_rows > 1 and (doc_id = component_id or component_id is null)").limit(1).count():
-        rows = rows.dropDuplicates(["_id", "_none"])
-    return rows.drop("_id", "_none").toDF(*names)
+    ids, text = (f"c{names.index(n)}" for n in ("doc_id", "text"))
+    rows = renamed(docs).withColumns({"_id": F.coalesce(F.col(ids), F.lit(0)), "_none": F.col(ids).isNull(), **_text_key(text)})
+    rows = rows.join(gone, key, "left_anti")
+    if counted.filter("_rows > 1").limit(1).count():
+        rows = rows.dropDuplicates(key)
+    return rows.drop(*key).toDF(*names)
 
 
 def dedupe(docs: DataFrame, radius: int = 2, words: int = WORDS) -> DataFrame:
     """docs without those near to another in their fingerprints."""
-    return remove(docs, group(docs, radius, words), Scratch(docs.sparkSession, "dedupe"))
+    return remove(docs, _grouped(docs, radius, words), Scratch(docs.sparkSession, "dedupe"))
 
 
 #: Bands and values in a band of the min-hash keys that shard the trees for wide radii, and values that estimate resemblance.
@@ -176,8 +191,13 @@ def _matching(resemblance: float):
     return match
 
 
-def similar(docs: DataFrame, resemblance: float = 0.8, words: int = 5, radius: int = 24, tree: int = TREE // 4, shingle_cap: int = SHINGLES) -> DataFrame:
-    """doc_id and component_id of every row: texts are linked if the Jaccard index of their shingle sets is `resemblance` or more.
+def similar(docs: DataFrame, **how) -> DataFrame:
+    """doc_id and component_id of every row; how as of _similar()."""
+    return _similar(docs, **how).select("doc_id", "component_id")
+
+
+def _similar(docs: DataFrame, resemblance: float = 0.8, words: int = 5, radius: int = 24, tree: int = TREE // 4, shingle_cap: int = SHINGLES) -> DataFrame:
+    """doc_id, _a, _b, _root and component_id of every row: texts are linked if the Jaccard index of their shingle sets is `resemblance` or more.
 
     At a resemblance of 0.8 fingerprints differ in 9.7 bits, with a deviation of 2.9, so the radius is five of these above.
     Candidates are texts that share a min-hash band (a pair at 0.8 shares none with probability 0.0004), that a tree finds
@@ -205,28 +225,28 @@ def similar(docs: DataFrame, resemblance: float = 0.8, words: int = 5, radius: i
     def alike(a: np.ndarray, b: np.ndarray) -> bool:
         return int((a == b).sum()) >= needed
 
-    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = scratch.keep(with_arrow(docs.select("doc_id", hashed.alias("_node"), "text"), "text", "print long, keys array<bigint>, sign binary, size long", signed, drop=True), "prints")
-    nodes = rows.groupBy("_node").agg(F.min("doc_id").alias("_least"), F.first(F.struct("print", "keys", "sign", "size")).alias("_s"))
-    nodes = scratch.keep(nodes.select("_node", "_least", "_s.*"), "nodes")
+    own = docs.select("doc_id", *(c.alias(n) for n, c in _text_key().items()), "text")
+    rows = scratch.keep(with_arrow(own, "text", "print long, keys array<bigint>, sign binary, size long", signed, drop=True), "prints")
+    nodes = rows.groupBy("_a", "_b").agg(F.min("doc_id").alias("_least"), F.first(F.struct("print", "keys", "sign", "size")).alias("_s"))
+    nodes = scratch.keep(nodes.select(F.monotonically_increasing_id().alias("_node"), "_a", "_b", "_least", "_s.*"), "nodes")
     at = nodes.select("_node", F.explode("keys").alias("_shard"))
     shared = scratch.keep(at.groupBy("_shard").agg(F.count("*").alias("n")).filter("n > 1").select("_shard"), "shared")
     at = at.join(shared, "_shard")
     at = scratch.keep(at.join(nodes.select("_node", "print", "sign"), "_node").select("_shard", "_node", F.col("print").alias("_print"), F.lit(1).alias("_size"), F.col("sign").alias("_payload")), "banded")
     near = shard_links(at, radius, tree, scratch, "near", alike, lambda x: np.frombuffer(x, np.uint8))
     # candidates, by what connects them; of each text the set of one row (more only if its id is repeated or null)
-    hit = components(near, scratch, "candidates").join(nodes.select("_node", "_least", "print", "size"), F.col("node") == F.col("_node"))
-    hit = scratch.keep(hit.select(F.col("root").alias("_shard"), "_node", "_least", F.col("print").alias("_print"), F.col("size").alias("_size")), "hit")
-    own = docs.select(F.col("doc_id").alias("_id"), hashed.alias("_named"), "text")
-    met = own.join(small(hit), (F.col("_named") == F.col("_node")) & F.col("_id").eqNullSafe(F.col("_least")))
+    hit = components(near, scratch, "candidates").join(nodes.select("_node", "_a", "_b", "_least", "print", "size"), F.col("node") == F.col("_node"))
+    hit = scratch.keep(hit.select(F.col("root").alias("_shard"), "_node", "_a", "_b", "_least", F.col("print").alias("_print"), F.col("size").alias("_size")), "hit")
+    met = own.join(hit, ["_a", "_b"]).filter(F.col("doc_id").eqNullSafe(F.col("_least")))
     sets = scratch.keep(with_arrow(met.select("_shard", "_node", "_print", "_size", "text"), "text", "_payload binary", distinct, drop=True), "sets")
     edges = shard_links(sets, radius, shingle_cap, scratch, "exact", _matching(resemblance), lambda x: np.frombuffer(x, "<u8"))
     named = _named(nodes.select("_node", "_least"), edges, scratch)
+    named = scratch.keep(nodes.select("_node", "_a", "_b").join(named, "_node").drop("_node"), "texts")
     for name in ("shared", "banded", "sets", "hit"):
         scratch.drop(name)
-    return rows.select("doc_id", "_node").join(named, "_node").select("doc_id", "component_id")
+    return rows.select("doc_id", "_a", "_b").join(named, ["_a", "_b"])
 
 
 def dedupe_similar(docs: DataFrame, **how) -> DataFrame:
     """docs without near-duplicates as similar() finds them."""
-    return remove(docs, similar(docs, **how), Scratch(docs.sparkSession, "dedupe"))
+    return remove(docs, _similar(docs, **how), Scratch(docs.sparkSession, "dedupe"))

@@ -172,3 +172,26 @@ def test_a_forest_connects_what_all_pairs_do_and_searches_little():
     for x, i in rows[:300]:
         own.setdefault(alone[x], set()).add(forest._root(i))
     assert all(len(v) == 1 for v in own.values()) and len({next(iter(v)) for v in own.values()}) == len(own)
+
+
+def test_unique_rows_without_an_id_or_of_a_shared_one_stay(spark, frame):
+    rng = random.Random(14)
+    a, b, c = (" ".join("t%d" % rng.randrange(10**6) for _ in range(60)) for _ in range(3))
+    near = a.replace(a.split()[30], "other")
+    cases = [
+        ([(1, a), (None, a), (None, b), (None, c)], [(1, a), (None, b), (None, c)]),
+        ([(1, a), (5, a), (5, b), (7, c)], [(1, a), (5, b), (7, c)]),
+        ([(None, a), (None, a), (5, b), (5, b), (5, c)], [(None, a), (5, b), (5, c)]),
+        ([(None, near), (None, a), (None, b), (3, near), (3, c)], [(3, near), (None, b), (3, c)]),
+        ([(None, near), (None, a), (2, b)], None),
+    ]
+    import corpus_pipeline
+
+    for rows, want in cases:
+        docs = frame([doc(i, t) for i, t in rows])
+        for remove in (simhash.dedupe_similar, lambda d: corpus_pipeline.near_duplicates(spark, d, ""), *([simhash.dedupe] if near not in [t for _, t in rows] else [])):
+            got = sorted(((r.doc_id, r.text) for r in remove(docs).collect()), key=str)
+            if want is None:  # one of the two, whichever
+                assert (2, b) in got and len(got) == 2 and got[1][1] in (a, near)
+            else:
+                assert got == sorted(want, key=str)
