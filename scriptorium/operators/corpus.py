@@ -88,10 +88,22 @@ def last_wins(df: DataFrame, key: str, seq: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), seq).alias("_r")).select(key, *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
-def throttled(df: DataFrame, by: str, at: str, seconds: int, attempts: int) -> DataFrame:
-    """Each failure with how many stand in the trailing window, and whether that locks out."""
-    window = Window.partitionBy(by).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return df.withColumn("recent", F.count("*").over(window)).withColumn("locked", F.col("recent") >= attempts)
+def throttled(df: DataFrame, by: str, at: str, seconds: int, attempts: int, reset: Column | None = None) -> DataFrame:
+    """Each failure with how many stand in the trailing window, and whether that locks out.
+
+    With reset, rows for which it holds are successes: they clear what came before them or at their instant. Rows for which
+    it is null are successes, too, and rows without a time go.
+    """
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    since = []
+    if reset is not None:
+        df = df.withColumn("_reset", F.coalesce(reset, F.lit(True))).filter(micros.isNotNull())
+        cleared = Window.partitionBy(by).orderBy(micros).rangeBetween(Window.unboundedPreceding, -1)
+        df = df.withColumn("_since", F.coalesce(F.sum(F.col("_reset").cast("int")).over(cleared), F.lit(0))).filter("not _reset")
+        since = ["_since"]
+    window = Window.partitionBy(by, *since).orderBy(micros).rangeBetween(-(seconds * 1_000_000 - 1), 0)
+    rows = df.withColumn("recent", F.count("*").over(window)).withColumn("locked", F.col("recent") >= attempts)
+    return rows.drop("_reset", "_since")
 
 
 def fresh(df: DataFrame, at: str, now: DataFrame, seconds: int) -> DataFrame:

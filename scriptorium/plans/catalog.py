@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 from ..operators import corpus, features, integrity, scoring, similarity
-from ..session import spread, table
+from ..session import scratch_folder, spread, table
 from ..sources import html
+from ..streaming import ledger, state
 from . import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -353,3 +354,54 @@ def m6_pending(spark, d):
     """Requests without a response: users who clicked and didn't buy."""
     events = table(spark, d, "events")
     return events.filter("event_type = 'click'").select("user_id").distinct().join(events.filter("event_type = 'purchase'").select("user_id"), "user_id", "left_anti")
+
+
+# ---------------------------------------------------------------- the same as streams over all events
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    # a pattern, as a stream's plain path has to be a folder
+    return spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet{{}}")
+
+
+@query(ORACLES["m1_last_wins"])
+def m1_upserts(spark, d):
+    """The ledger's state kept up in files by a stream."""
+    folder = scratch_folder(spark)
+    rows = _streamed(spark, d).select("user_id", "event_id", "event_type", "value")
+    kept, run = ledger.stream_state(rows, f"{folder}/state", f"{folder}/checkpoint", "user_id", "event_id")
+    run.awaitTermination()
+    return kept.state().select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def m2_first_seen(spark, d):
+    """What a store that is written by runs that resume holds: each key once, as repeats come within the delay."""
+    folder = scratch_folder(spark)
+    rows = state.first_seen(_streamed(spark, d).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "3650 days")
+    return state.drained(rows.select("user_id", "event_type"), f"{folder}/out", f"{folder}/checkpoint")
+
+
+@query(
+    """WITH a AS (SELECT user_id, event_id, epoch_us(ts) AS at, event_type = 'purchase' AS reset FROM events WHERE event_type IN ('error', 'purchase')),
+b AS (SELECT *, coalesce(sum(reset::INT) OVER (PARTITION BY user_id ORDER BY at RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM a),
+c AS (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id, since ORDER BY at RANGE BETWEEN 604799999999 PRECEDING AND CURRENT ROW) AS recent FROM b WHERE NOT reset)
+SELECT user_id, event_id, recent::BIGINT AS recent, recent >= 2 AS locked FROM c"""
+)
+def m3_throttle_reset(spark, d):
+    """Errors as failed logins, purchases as successes, which clear what came before; the window is a week."""
+    rows = table(spark, d, "events").filter("event_type in ('error', 'purchase')")
+    rows = corpus.throttled(rows, "user_id", "ts", 7 * 86_400, 2, reset=F.col("event_type") == "purchase")
+    return rows.select("user_id", "event_id", "recent", "locked")
+
+
+@query(
+    f"""WITH l AS (SELECT max(ts) AS until FROM events WHERE event_type IN ('error', 'purchase')), w AS ({ORACLES["m3_throttle_reset"]})
+SELECT w.* FROM w JOIN events USING (event_id), l WHERE epoch_ms(ts) < epoch_ms(until)"""
+)
+def m3_throttle_stream(spark, d):
+    """The same by a stream's keyed state: all failures that the watermark has passed, so all but those of the last millisecond."""
+    folder = scratch_folder(spark)
+    rows = _streamed(spark, d).filter("event_type in ('error', 'purchase')")
+    found = state.throttled(rows, "user_id", "ts", "event_id", F.col("event_type") == "error", 7 * 86_400, 2, "0 seconds")
+    return state.drained(found, f"{folder}/out", f"{folder}/checkpoint").select(F.col("key").alias("user_id"), F.col("id").alias("event_id"), "recent", "locked")

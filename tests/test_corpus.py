@@ -63,6 +63,6 @@ def test_ledger_batch_and_stream(spark, tmp_path):
     wanted = spark.createDataFrame([("s0::hi",), ("s1::hi",), ("new",)], "key string")
     assert {r.key for r in ledger.pending(wanted, ledger.state(rows)).collect()} == {"s0::hi", "new"}
     stream = spark.readStream.schema(ledger.RECORD).json(str(folder)).filter("key is not null and passes is not null").withColumn("seq", F.col("passes"))
-    query = ledger.stream_state(stream, "ledger_state", str(tmp_path / "check"))
+    kept, query = ledger.stream_state(stream, str(tmp_path / "state"), str(tmp_path / "check"))
     query.awaitTermination(60)
-    assert {(r.key, r.status) for r in spark.sql("select * from ledger_state").collect()} == batch
+    assert {(r.key, r.status) for r in kept.state().collect()} == batch
