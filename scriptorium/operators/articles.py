@@ -113,30 +113,6 @@ def link_suggestions(pages: DataFrame, links: DataFrame, in_degree: DataFrame, t
     return pairs.join(top, "target", "left_semi").select("target", "source", "shared", F.round("score", 2).alias("score"), "k", "inbound")
 
 
-def leaders(pairs: DataFrame, scratch: str) -> DataFrame:
-    """leader, member: greedy clusters of pairs (a < b): in order of a, each node not taken leads those near it that aren't.
-
-    Rounds settle every node whose smaller neighbours are all settled, so that a round takes all such nodes at once; the
-    tables of the rounds are written below the folder `scratch`.
-    """
-    spark = pairs.sparkSession
-    open_, done, turn = pairs.select("a", "b"), None, 0
-    while True:
-        open_.write.mode("overwrite").parquet(f"{scratch}/open{turn}")
-        open_ = spark.read.schema("a long, b long").parquet(f"{scratch}/open{turn}")
-        if not open_.limit(1).count():
-            return done if done is not None else pairs.select(F.col("a").alias("leader"), F.col("b").alias("member")).limit(0)
-        # no smaller node near it is open: it leads
-        lead = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")), "a", "left_anti")
-        led = open_.join(lead, "a").groupBy("b").agg(F.min("a").alias("leader"))
-        led.select("leader", F.col("b").alias("member")).write.mode("overwrite").parquet(f"{scratch}/led{turn}")
-        led = spark.read.schema("leader long, member long").parquet(f"{scratch}/led{turn}")
-        done = led if done is None else done.unionAll(led)
-        gone = led.select(F.col("member").alias("x")).unionAll(lead.select(F.col("a").alias("x"))).distinct()
-        open_ = open_.join(gone.select(F.col("x").alias("a")), "a", "left_anti").join(gone.select(F.col("x").alias("b")), "b", "left_anti")
-        turn += 1
-
-
 def spread(mine: DataFrame, others: DataFrame, measures: list[str]) -> DataFrame:
     """measure, mine, best, median (upper), behind: one page's measures against those of its competitors (a handful of rows)."""
     def long(df: DataFrame) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import text as T
-from .articles import leaders
 from .findings import STATISTIC
+from .similarity import frequencies, in_order, leaders, meet
 
 #: F1 of topic words from which two headings are alike.
 ALIKE = 0.55
@@ -37,13 +37,11 @@ def profile(articles: DataFrame) -> DataFrame:
 
 
 def similar_pairs(headings: DataFrame, others: DataFrame, by: str) -> DataFrame:
-    """a, b: headings (by, seq, heading) and others of the same group whose topic words are alike, met by a common word."""
-    left = headings.select(by, F.col("seq").alias("a"), topic_tokens(F.col("heading")).alias("_t"))
-    right = others.select(by, F.col("seq").alias("b"), topic_tokens(F.col("heading")).alias("_u"))
-    x = left.select(by, "a", F.size("_t").alias("na"), F.explode("_t").alias("token"))
-    y = right.select(by, "b", F.size("_u").alias("nb"), F.explode("_u").alias("token"))
-    shared = x.join(y, [by, "token"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
-    return shared.filter(2 * F.col("n") / (F.col("na") + F.col("nb")) >= ALIKE).select("a", "b")
+    """a, b: headings (by, seq, heading) and others of the same group whose topic words are alike, met by a rare common word."""
+    left, right = (x.select(by, "seq", topic_tokens(F.col("heading")).alias("_set")) for x in (headings, others))
+    counts = frequencies(right, by=[by])
+    pairs = meet(in_order(left, "seq", counts, [by]), in_order(right, "seq", counts, [by]), "seq", "seq", ALIKE, [by])
+    return pairs.select("a", "b")
 
 
 def topic_gaps(mine: DataFrame, theirs: DataFrame, by: str, scratch: str, least: int = 8) -> DataFrame:

@@ -1,14 +1,49 @@
-"""Joins on shared tokens: an inverted index instead of comparing all pairs."""
+"""Joins of token sets by their F1: prefix filters over a global order of tokens instead of comparing all pairs, and clusters.
+
+Tokens are ordered by how many sets have them, rare ones first. Two sets of an F1 of t share at least t / (2 - t) of either's
+tokens, so that they meet in a token of both sets' prefixes, which leave out that many less one of the most frequent tokens;
+sizes and the token's places bound what the rest can add. A pair is made where it first meets, and its sets stand there, so
+that no counts of pairs are shuffled. Equal sets are one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Below any difference of an F1 of sets, above what arithmetic loses.
+_EPSILON = 1e-9
+
+
+def frequencies(sets: DataFrame, tokens: str = "_set", by: list[str] = ()) -> DataFrame:
+    """by, _token, _n: in how many rows of sets a token is."""
+    return sets.select(*by, F.explode(tokens).alias("_token")).groupBy(*by, "_token").agg(F.count("*").alias("_n"))
+
+
+def in_order(sets: DataFrame, key: str, counts: DataFrame, by: list[str] = ()) -> DataFrame:
+    """by, key, _set: tokens by frequency, those without a count first. Rows without tokens go; keys are unique."""
+    rows = sets.select(*by, key, F.explode("_set").alias("_token")).join(counts, [*by, "_token"], "left")
+    ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_token").alias("t"))))
+    return rows.groupBy(*by, key).agg(F.transform(ranked, lambda x: x["t"]).alias("_set"))
 
-def token_rows(df: DataFrame, key: str, tokens: str) -> DataFrame:
-    """key, token and how many tokens the row has."""
-    return df.select(key, F.size(tokens).alias("n"), F.explode(tokens).alias("token"))
+
+def _prefixes(rows: DataFrame, key: str, name: str, least: float, by: list[str]) -> DataFrame:
+    n = F.size("_set")
+    kept = F.least(n, n - F.ceil(n * (least / (2 - least)) - _EPSILON).cast("int") + 1)
+    own = rows.select(*by, F.col(key).alias(name), F.col("_set").alias(f"_{name}"), F.posexplode(F.slice("_set", F.lit(1), kept)).alias(f"_at_{name}", "_token"))
+    return own
+
+
+def meet(left: DataFrame, right: DataFrame, a: str, b: str, least: float, by: list[str] = (), where: Column | None = None) -> DataFrame:
+    """a, b, f1 of pairs of ordered sets (in_order() of the same counts) with an F1 of least or more, over 0 where that is 0."""
+    joined = _prefixes(left, a, "a", least, by).join(_prefixes(right, b, "b", least, by), [*by, "_token"])
+    if where is not None:
+        joined = joined.filter(where)
+    na, nb = F.size("_a"), F.size("_b")
+    bound = F.least(na - F.col("_at_a"), nb - F.col("_at_b"))  # this token and all after it
+    joined = joined.filter(2 * bound >= least * (na + nb) - _EPSILON)
+    joined = joined.withColumn("_both", F.array_intersect("_a", "_b")).filter(F.col("_both")[0] == F.col("_token"))
+    return joined.select(*by, "a", "b", (2 * F.size("_both") / (na + nb)).alias("f1")).filter(F.col("f1") >= least)
 
 
 def f1_pairs(df: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
@@ -17,29 +52,88 @@ def f1_pairs(df: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
     Rows with equal sets are one in the join (a frequent title doesn't pair with itself), and pairs of sets come back as
     pairs of the sets' first rows; members of one set pair with its first row, with an F1 of 1.
     """
-    sets = df.select(key, F.array_sort(tokens).alias("_set")).withColumn("_first", F.min(key).over(Window.partitionBy("_set")))
-    same = sets.filter(F.col(key) != F.col("_first")).select(F.col("_first").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("f1"))
-    rows = token_rows(sets.filter(F.col(key) == F.col("_first")), key, "_set")
-    left, right = rows.select(F.col(key).alias("a"), F.col("n").alias("na"), "token"), rows.select(F.col(key).alias("b"), F.col("n").alias("nb"), "token")
-    shared = left.join(right, "token").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    f1 = 2 * F.col("shared") / (F.col("na") + F.col("nb"))
-    return shared.withColumn("f1", f1).filter(F.col("f1") >= least).select("a", "b", "f1").unionAll(same)
+    rows = df.select(key, F.array_sort(tokens).alias("_set"))
+    sets = rows.groupBy("_set").agg(F.min(key).alias("_first"))
+    same = rows.join(sets, "_set").filter(F.col(key) != F.col("_first")).select(F.col("_first").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("f1"))
+    ranked = in_order(sets, "_first", frequencies(sets))
+    return meet(ranked, ranked, "_first", "_first", least, where=F.col("a") < F.col("b")).unionAll(same)
 
 
-def best_match(queries: DataFrame, index: DataFrame, key: str, entry: str) -> DataFrame:
+def best_match(queries: DataFrame, index: DataFrame, key: str, entry: str, first: float = 0.45) -> DataFrame:
     """Of each query (key, tokens) the entry (entry, tokens) of the highest F1, the smaller on ties, and its status.
 
-    status: covered from 0.85, partial from 0.45, else gap; the match is kept from 0.30.
+    status: covered from 0.85, partial from 0.45, else gap; the match is kept from 0.30. Only queries without a match of
+    `first` or more meet entries in their frequent tokens. Of equal sets of entries the smallest stands for all.
     """
-    q, s = token_rows(queries, key, "tokens").withColumnRenamed("n", "nq"), token_rows(index, entry, "tokens").withColumnRenamed("n", "ns")
-    shared = q.join(s, "token").groupBy(key, entry, "nq", "ns").agg(F.count("*").alias("shared"))
-    scored = shared.withColumn("f1", 2 * F.col("shared") / (F.col("nq") + F.col("ns")))
-    best = scored.groupBy(key).agg(F.max_by(F.struct(entry, "f1"), F.struct("f1", -F.col(entry))).alias("_b"))
-    rows = queries.select(key).join(best, key, "left")
-    f1 = F.coalesce("_b.f1", F.lit(0.0))
+    asked = queries.select(key, F.array_sort("tokens").alias("_set"))
+    sets = asked.groupBy("_set").agg(F.min(key).alias("_q"))
+    entries = index.select(entry, F.array_sort("tokens").alias("_set")).groupBy("_set").agg(F.min(entry).alias("_e"))
+    counts = frequencies(entries)
+    q, e = in_order(sets, "_q", counts), in_order(entries, "_e", counts)
+    best = lambda rows: rows.groupBy("a").agg(F.max_by(F.struct("b", "f1"), F.struct("f1", -F.col("b"))).alias("_m"))
+    near = best(meet(q, e, "_q", "_e", first))
+    open_ = q.join(near, F.col("_q") == F.col("a"), "left").filter("_m is null").select("_q", "_set")  # not an anti-join: near's shuffle is used again
+    rest = best(meet(open_, e, "_q", "_e", 0.0))
+    found = sets.join(near.unionAll(rest), F.col("_q") == F.col("a"), "left").select("_set", "_m")
+    rows = asked.join(found, "_set", "left")
+    f1 = F.coalesce("_m.f1", F.lit(0.0))
     return rows.select(
         key,
         F.when(f1 >= 0.85, "covered").when(f1 >= 0.45, "partial").otherwise("gap").alias("status"),
-        F.when(f1 >= 0.3, F.col(f"_b.{entry}")).alias("match"),
+        F.when(f1 >= 0.3, F.col("_m.b")).alias("match"),
         F.round(f1, 2).alias("score"),
     )
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clusters(pairs: DataFrame, scratch: str) -> DataFrame:
+    """node, root: the smallest node that the pairs (a < b) connect each node with, by rounds of large and small stars."""
+    edges, turn, before = _kept(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), f"{scratch}/edges"), 0, None
+    while True:
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == before or not now[0]:
+            break
+        before, turn = now, turn + 1
+        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = _kept(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{scratch}/large{turn}")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u")
+        edges = small.select("u", F.col("m").alias("v")).unionAll(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u != v").distinct()
+        edges = _kept(edges, f"{scratch}/small{turn}")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def leaders(pairs: DataFrame, scratch: str) -> DataFrame:
+    """leader, member: greedy clusters of pairs (a < b): in order, each node not taken leads those near it that aren't.
+
+    Whether a node leads hangs on all smaller ones that it is connected with, so a chain can't be cut into rounds. Pairs are
+    dealt by what is connected, in a number of jobs that grows with the logarithm of the longest chain, and a task passes over
+    each cluster once, in order, holding the numbers of its members. Tables of the rounds are written below the folder `scratch`.
+    """
+    named = clusters(pairs, scratch)
+    rows = pairs.select("a", "b").distinct().join(named.select(F.col("node").alias("b"), "root"), "b")
+    rows = rows.repartition("root").sortWithinPartitions("root", "b", "a").select("root", "a", "b")
+
+    def solve(batches):
+        import pyarrow as pa
+
+        root, members, last = None, set(), None
+        for batch in batches:
+            found = ([], [])
+            for own, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != root:
+                    root, members, last = own, set(), None
+                # the smaller node has met all that are smaller still: it leads unless one of them leads it
+                if b != last and a not in members:
+                    last = b
+                    members.add(b)
+                    found[0].append(a)
+                    found[1].append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["leader", "member"])
+
+    return rows.mapInArrow(solve, "leader long, member long")

@@ -383,9 +383,9 @@ def m2_first_seen(spark, d):
 
 
 @query(
-    """WITH a AS (SELECT user_id, event_id, epoch_us(ts) AS at, event_type = 'purchase' AS reset FROM events WHERE event_type IN ('error', 'purchase')),
-b AS (SELECT *, coalesce(sum(reset::INT) OVER (PARTITION BY user_id ORDER BY at RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM a),
-c AS (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id, since ORDER BY at RANGE BETWEEN 604799999999 PRECEDING AND CURRENT ROW) AS recent FROM b WHERE NOT reset)
+    """WITH a AS (SELECT user_id, event_id, epoch_us(ts) AS us, event_type = 'purchase' AS reset FROM events WHERE event_type IN ('error', 'purchase')),
+b AS (SELECT *, coalesce(sum(reset::INT) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS since FROM a),
+c AS (SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id, since ORDER BY us RANGE BETWEEN 604799999999 PRECEDING AND CURRENT ROW) AS recent FROM b WHERE NOT reset)
 SELECT user_id, event_id, recent::BIGINT AS recent, recent >= 2 AS locked FROM c"""
 )
 def m3_throttle_reset(spark, d):

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from scriptorium.operators import articles, rewriting
+from scriptorium.operators import articles, rewriting, similarity
 
 SCHEMA = "id int, title string, meta_description string, slug string, blocks array<struct<type:string,text:string>>, faqs array<struct<q:string,a:string>>, schema_types array<string>, keywords array<string>, links array<struct<href:string,text:string>>"
 
@@ -29,7 +29,7 @@ def test_keyword(spark):
 
 def test_leaders(spark, tmp_path):
     pairs = [(1, 2), (2, 3), (3, 4), (5, 6), (5, 7), (6, 8)]
-    got = articles.leaders(spark.createDataFrame(pairs, "a long, b long"), str(tmp_path)).collect()
+    got = similarity.leaders(spark.createDataFrame(pairs, "a long, b long"), str(tmp_path)).collect()
     assert {(r.leader, r.member) for r in got} == {(1, 2), (3, 4), (5, 6), (5, 7)}
 
 
