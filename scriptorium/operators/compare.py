@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions import text as T
 from .findings import STATISTIC
-from .similarity import frequencies, in_order, leaders, meet
+from .similarity import frequencies, in_order, kept, leaders, meet
 
 #: F1 of topic words from which two headings are alike.
 ALIKE = 0.55
@@ -50,11 +50,11 @@ def topic_gaps(mine: DataFrame, theirs: DataFrame, by: str, scratch: str, least:
     mine: by, seq, heading; theirs: also url. seq orders all headings, is unique, and decides which of like ones stands for
     the others, as a greedy pass in that order would. scratch: a folder for the rounds.
     """
-    open_ = theirs.filter(F.length("heading") >= least)
+    open_ = kept(theirs.filter(F.length("heading") >= least), f"{scratch}/open")
     known = similar_pairs(open_, mine, by).select(F.col("a").alias("seq")).distinct()
-    gaps = open_.join(known, "seq", "left_anti")
-    pairs = similar_pairs(gaps, gaps, by).filter("a < b")
-    merged = leaders(pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), scratch)
+    gaps = kept(open_.join(known, "seq", "left_anti"), f"{scratch}/gaps")
+    pairs = kept(similar_pairs(gaps, gaps, by).filter("a < b"), f"{scratch}/alike")
+    merged = kept(leaders(pairs.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), scratch), f"{scratch}/led")
     members = merged.select(F.col("member").alias("seq")).distinct()
     lead = gaps.join(members, "seq", "left_anti")
     joined = pairs.join(lead.select(F.col("seq").alias("a")), "a").join(members.select(F.col("seq").alias("b")), "b")

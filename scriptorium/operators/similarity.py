@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch_folder
+
 #: Below any difference of an F1 of sets, above what arithmetic loses.
 _EPSILON = 1e-9
 
@@ -46,16 +48,24 @@ def meet(left: DataFrame, right: DataFrame, a: str, b: str, least: float, by: li
     return joined.select(*by, "a", "b", (2 * F.size("_both") / (na + nb)).alias("f1")).filter(F.col("f1") >= least)
 
 
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """The rows, written and read again."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def f1_pairs(df: DataFrame, key: str, tokens: str, least: float) -> DataFrame:
     """a < b, f1: pairs of rows whose token sets have an F1 of `least` or more.
 
     Rows with equal sets are one in the join (a frequent title doesn't pair with itself), and pairs of sets come back as
-    pairs of the sets' first rows; members of one set pair with its first row, with an F1 of 1.
+    pairs of the sets' first rows; members of one set pair with its first row, with an F1 of 1. The sets are written to the
+    shared folder, as they are read several times and may be dear to make.
     """
-    rows = df.select(key, F.array_sort(tokens).alias("_set"))
+    folder = scratch_folder(df.sparkSession)
+    rows = kept(df.select(key, F.array_sort(tokens).alias("_set")), f"{folder}/rows")
     sets = rows.groupBy("_set").agg(F.min(key).alias("_first"))
     same = rows.join(sets, "_set").filter(F.col(key) != F.col("_first")).select(F.col("_first").alias("a"), F.col(key).alias("b"), F.lit(1.0).alias("f1"))
-    ranked = in_order(sets, "_first", frequencies(sets))
+    ranked = kept(in_order(sets, "_first", frequencies(sets)), f"{folder}/ranked")
     return meet(ranked, ranked, "_first", "_first", least, where=F.col("a") < F.col("b")).unionAll(same)
 
 
@@ -63,16 +73,18 @@ def best_match(queries: DataFrame, index: DataFrame, key: str, entry: str, first
     """Of each query (key, tokens) the entry (entry, tokens) of the highest F1, the smaller on ties, and its status.
 
     status: covered from 0.85, partial from 0.45, else gap; the match is kept from 0.30. Only queries without a match of
-    `first` or more meet entries in their frequent tokens. Of equal sets of entries the smallest stands for all.
+    `first` or more meet entries in their frequent tokens. Of equal sets of entries the smallest stands for all. Sets and
+    first matches are written to the shared folder.
     """
-    asked = queries.select(key, F.array_sort("tokens").alias("_set"))
+    folder = scratch_folder(queries.sparkSession)
+    asked = kept(queries.select(key, F.array_sort("tokens").alias("_set")), f"{folder}/asked")
     sets = asked.groupBy("_set").agg(F.min(key).alias("_q"))
-    entries = index.select(entry, F.array_sort("tokens").alias("_set")).groupBy("_set").agg(F.min(entry).alias("_e"))
-    counts = frequencies(entries)
-    q, e = in_order(sets, "_q", counts), in_order(entries, "_e", counts)
+    entries = kept(index.select(entry, F.array_sort("tokens").alias("_set")).groupBy("_set").agg(F.min(entry).alias("_e")), f"{folder}/entries")
+    counts = kept(frequencies(entries), f"{folder}/counts")
+    q, e = kept(in_order(sets, "_q", counts), f"{folder}/q"), kept(in_order(entries, "_e", counts), f"{folder}/e")
     best = lambda rows: rows.groupBy("a").agg(F.max_by(F.struct("b", "f1"), F.struct("f1", -F.col("b"))).alias("_m"))
-    near = best(meet(q, e, "_q", "_e", first))
-    open_ = q.join(near, F.col("_q") == F.col("a"), "left").filter("_m is null").select("_q", "_set")  # not an anti-join: near's shuffle is used again
+    near = kept(best(meet(q, e, "_q", "_e", first)), f"{folder}/near")
+    open_ = q.join(near.select(F.col("a").alias("_q")), "_q", "left_anti")
     rest = best(meet(open_, e, "_q", "_e", 0.0))
     found = sets.join(near.unionAll(rest), F.col("_q") == F.col("a"), "left").select("_set", "_m")
     rows = asked.join(found, "_set", "left")
@@ -85,14 +97,9 @@ def best_match(queries: DataFrame, index: DataFrame, key: str, entry: str, first
     )
 
 
-def _kept(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def clusters(pairs: DataFrame, scratch: str) -> DataFrame:
     """node, root: the smallest node that the pairs (a < b) connect each node with, by rounds of large and small stars."""
-    edges, turn, before = _kept(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), f"{scratch}/edges"), 0, None
+    edges, turn, before = kept(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), f"{scratch}/edges"), 0, None
     while True:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before or not now[0]:
@@ -100,11 +107,11 @@ def clusters(pairs: DataFrame, scratch: str) -> DataFrame:
         before, turn = now, turn + 1
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = _kept(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{scratch}/large{turn}")
+        large = kept(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{scratch}/large{turn}")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         edges = small.select("u", F.col("m").alias("v")).unionAll(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u != v").distinct()
-        edges = _kept(edges, f"{scratch}/small{turn}")
+        edges = kept(edges, f"{scratch}/small{turn}")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -115,8 +122,9 @@ def leaders(pairs: DataFrame, scratch: str) -> DataFrame:
     dealt by what is connected, in a number of jobs that grows with the logarithm of the longest chain, and a task passes over
     each cluster once, in order, holding the numbers of its members. Tables of the rounds are written below the folder `scratch`.
     """
+    pairs = kept(pairs.select("a", "b").distinct(), f"{scratch}/pairs")
     named = clusters(pairs, scratch)
-    rows = pairs.select("a", "b").distinct().join(named.select(F.col("node").alias("b"), "root"), "b")
+    rows = pairs.join(named.select(F.col("node").alias("b"), "root"), "b")
     rows = rows.repartition("root").sortWithinPartitions("root", "b", "a").select("root", "a", "b")
 
     def solve(batches):

@@ -11,12 +11,12 @@ from ..operators import articles, corpus, findings
 from ..session import spread, table
 from ..sources import files, html, site_files
 from . import sql as S
-from .catalog import _LINKS, query, turn_pairs
+from .catalog import _LINKS, page_rows, query, turn_pairs
 
 def page_articles(spark: SparkSession, d: str) -> DataFrame:
     """Article rows of the pages: title, description, slug and blocks (headings of the first level left out)."""
     pages = spread(table(spark, d, "pages"))
-    rows = html.page_rows(pages).select("page_id", "title", F.col("description").alias("meta_description"), html.slug(F.col("url")).alias("slug"), "schema_types")
+    rows = html.page_rows(pages, only=["title", "description", "schema_types"]).select("page_id", "title", F.col("description").alias("meta_description"), html.slug(F.col("url")).alias("slug"), "schema_types")
     found = html.block_rows(pages, "page_id").filter("type != 'h1'").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "type", "text"))).alias("_b"))
     none = F.array().cast("array<struct<type:string,text:string>>")
     rows = rows.join(found, "page_id", "left").withColumn("blocks", F.coalesce(F.transform("_b", lambda b: F.struct(b["type"].alias("type"), b["text"].alias("text"))), none))
@@ -52,7 +52,7 @@ SELECT n.target, source, shared, round(score, 2) AS score, k::BIGINT AS k FROM n
 )
 def g3_link_suggestions(spark, d):
     """No page of the tables links to another, so that the targets are the first ones by address."""
-    rows = html.page_rows(spread(table(spark, d, "pages")))
+    rows = page_rows(spark, d, "title", "links")
     links = corpus.link_rows(rows)
     found = articles.link_suggestions(rows, links.select("url", "target"), corpus.in_degree(links, rows))
     return found.select("target", "source", "shared", "score", F.col("k").cast("long").alias("k"))

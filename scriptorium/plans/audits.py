@@ -11,7 +11,7 @@ from ..operators import corpus, findings, similarity
 from ..session import spread, table
 from ..sources import html
 from . import sql as S
-from .catalog import _FLESCH, documents, query
+from .catalog import _FLESCH, documents, page_rows, query
 
 _CONTENT = f"""fl AS ({_FLESCH}), t0 AS (SELECT doc_id, {S.strip("text")} AS t FROM documents),
 t1 AS (SELECT doc_id, t, lower(t) AS low, {S.sents("t", ".!?।॥")} AS s, {S.wc("t")} AS w FROM t0),
@@ -115,7 +115,7 @@ m AS (SELECT page_id, max(2 * len(list_intersect(s, t)) / (len(s) + len(t))) AS
 SELECT CASE WHEN f1 >= 0.85 THEN 'covered' WHEN f1 >= 0.45 THEN 'partial' ELSE 'gap' END AS status, count(*)::BIGINT AS n FROM q LEFT JOIN m USING (page_id) GROUP BY 1"""
 )
 def h13_candidate_counts(spark, d):
-    queries = html.page_rows(spread(table(spark, d, "pages"))).select("page_id", T.token_set(F.col("title"), L.SITE_STOP).alias("tokens"))
+    queries = page_rows(spark, d, "title").select("page_id", T.token_set(F.col("title"), L.SITE_STOP).alias("tokens"))
     index = documents(spark, d).select("doc_id", T.token_set(F.split("text", "\n")[0], L.SITE_STOP).alias("tokens"))
     return similarity.best_match(queries, index, "page_id", "doc_id").groupBy("status").agg(F.count("*").alias("n"))
 

@@ -35,6 +35,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def page_rows(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    """The pages' rows, with the columns named or all."""
+    return html.page_rows(spread(table(spark, sf_dir, "pages")), only=list(only) or None)
+
+
 # ---------------------------------------------------------------- text functions
 
 
@@ -120,7 +125,7 @@ def c14_keyword_density(spark, d):
 SELECT page_id, array_to_string(a, ' ') AS site_tokens, array_to_string(b, ' ') AS topic_tokens FROM q"""
 )
 def c16_c17_token_sets(spark, d):
-    rows = html.page_rows(spread(table(spark, d, "pages")))
+    rows = page_rows(spark, d, "title")
     return rows.select("page_id", F.array_join(F.array_sort(T.token_set(F.col("title"), L.SITE_STOP)), " ").alias("site_tokens"), F.array_join(F.array_sort(T.token_set(F.col("title"), L.AUDIT_STOP, 3)), " ").alias("topic_tokens"))
 
 
@@ -190,7 +195,7 @@ SELECT round(sum(p * (2 * below + q)) / (2.0::DOUBLE * sum(p) * sum(q)), 6) AS a
 )
 def h7_auc(spark, d):
     """How well the type-token ratio tells good documents from others."""
-    rows = features.english(spread(documents(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")))
+    rows = features.english(spread(documents(spark, d)).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id"))
     return corpus.auc(rows, "ttr", F.col("quality") == 1)
 
 
@@ -204,7 +209,7 @@ h AS (SELECT *, sqrt(((np - 1) * vp + (nq - 1) * vq) / (np + nq - 2)) AS pooled
 SELECT feature, round(mp, 5) AS mean_pos, round(mq, 5) AS mean_neg, round((mp - mq) / greatest(abs(mp), 1e-6), 5) AS sep, CASE WHEN pooled > 0 THEN round((mp - mq) / pooled, 5) END AS d FROM h"""
 )
 def h8_separation(spark, d):
-    rows = features.english(spread(documents(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")))
+    rows = features.english(spread(documents(spark, d)).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id"))
     return corpus.separation(rows, _FEATURES, F.col("quality") == 1)
 
 
@@ -253,7 +258,7 @@ def b14_hosts_and_slugs(spark, d):
 UNION ALL SELECT 'content', content_hash, count(*)::BIGINT, min(url) FROM p WHERE words > 100 GROUP BY ALL HAVING count(*) > 1"""
 )
 def h1_duplicates(spark, d):
-    rows = html.page_rows(spread(table(spark, d, "pages")))
+    rows = page_rows(spark, d, "title", "words", "content_hash")
     return corpus.duplicates(rows, {"title": F.lower("title"), "content": F.when(F.col("words") > 100, F.col("content_hash"))})
 
 
@@ -287,23 +292,23 @@ l1 AS (SELECT DISTINCT url, unnest(list_filter(list_transform(ls, lambda x: rtri
 @query(f"{S.pages()}, {_LINKS} SELECT {S.host('url')} AS host, target, count(*)::BIGINT AS n FROM l1 GROUP BY ALL")
 def b4_link_targets(spark, d):
     """How many pages link to each target, furniture links too."""
-    rows = corpus.link_rows(html.page_rows(spread(table(spark, d, "pages"))))
+    rows = corpus.link_rows(page_rows(spark, d, "links"))
     return rows.withColumn("host", html.host(F.col("url"))).groupBy("host", "target").agg(F.count("*").alias("n"))
 
 
 @query(f"{S.pages()}, {_LINKS} SELECT target, count(*)::BIGINT AS n FROM l1 WHERE {S.host('url')} = {S.host('target')} AND target IN (SELECT rtrim(url, '/') FROM p) GROUP BY target")
 def h3_in_degree(spark, d):
-    rows = html.page_rows(spread(table(spark, d, "pages")))
+    rows = page_rows(spark, d, "links")
     return corpus.in_degree(corpus.link_rows(rows), rows)
 
 
 @query(f"{S.pages()}, s AS (SELECT list_sort(list(words)) AS w FROM p) SELECT w[len(w) // 2 + 1] AS median FROM s")
 def h4_median_words(spark, d):
-    return corpus.upper_median(html.page_rows(spread(table(spark, d, "pages"))), "words")
+    return corpus.upper_median(page_rows(spark, d, "words"), "words")
 
 
 def _title_sets(spark: SparkSession, d: str) -> DataFrame:
-    rows = html.page_rows(spread(table(spark, d, "pages"))).select("page_id", T.token_set(F.col("title"), L.SITE_STOP).alias("tokens"))
+    rows = page_rows(spark, d, "title").select("page_id", T.token_set(F.col("title"), L.SITE_STOP).alias("tokens"))
     return rows.filter(F.size("tokens") > 1)
 
 
@@ -325,7 +330,7 @@ SELECT q.page_id, CASE WHEN f1 >= 0.85 THEN 'covered' WHEN f1 >= 0.45 THEN 'part
 )
 def g2_best_match(spark, d):
     """Which document's first line covers each page's title."""
-    queries = html.page_rows(spread(table(spark, d, "pages"))).select("page_id", T.token_set(F.col("title"), L.SITE_STOP).alias("tokens"))
+    queries = page_rows(spark, d, "title").select("page_id", T.token_set(F.col("title"), L.SITE_STOP).alias("tokens"))
     index = documents(spark, d).select("doc_id", T.token_set(F.split("text", "\n")[0], L.SITE_STOP).alias("tokens"))
     return similarity.best_match(queries, index, "page_id", "doc_id")
 

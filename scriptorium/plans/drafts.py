@@ -521,7 +521,7 @@ SELECT topic, suggestion, hits, row_number() OVER (PARTITION BY topic ORDER BY N
 )
 def h14_a16_suggestions(spark, d):
     """What an autocomplete answers is made here: an echo, one word more, and the same answer to every "how"."""
-    topics = html.page_rows(spread(table(spark, d, "pages"))).filter("title != ''").select(F.col("title").alias("topic")).distinct()
+    topics = html.page_rows(spread(table(spark, d, "pages")), only=["title"]).filter("title != ''").select(F.col("title").alias("topic")).distinct()
     asked = keywords.queries_of(topics, "topic")
     q = F.col("query")
     given = asked.select("query").distinct().select("query", F.explode(F.array_compact(F.array(q, F.concat(q, F.lit(" really")), F.when(F.startswith(q, F.lit("how")), "kidney pain today")))).alias("suggestion"))

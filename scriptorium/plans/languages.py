@@ -263,7 +263,7 @@ def m4_fresh(spark, d):
 
 @query(f"{S.pages()}, a AS (SELECT page_id, {S.tags('regexp_replace(h0, ' + S.quoted(S.NOISE.replace(chr(39), chr(39) * 2)) + ', ' + S.quoted('') + ', ' + S.quoted('g') + ')', 'a')} AS ts FROM (SELECT page_id, coalesce(html, '') AS h0 FROM pages)) SELECT page_id, count(*)::BIGINT AS n FROM (SELECT page_id, unnest(ts) AS t FROM a) WHERE {S.attribute('t', 'href')} <> '' GROUP BY page_id")
 def b4_links_per_page(spark, d):
-    rows = html.page_rows(spread(table(spark, d, "pages")))
+    rows = html.page_rows(spread(table(spark, d, "pages")), only=["links"])
     return rows.filter(F.size("links") > 0).select("page_id", F.size("links").cast("long").alias("n"))
 
 
@@ -271,5 +271,5 @@ def b4_links_per_page(spark, d):
 def b1_articles(spark, d):
     """Article rows of the pages: their h1 is the page's title in these tables."""
     rows = html.article_rows(spread(table(spark, d, "pages")), "page_id")
-    joined = rows.join(html.page_rows(spread(table(spark, d, "pages"))).select("page_id", F.size("h1").cast("long").alias("n_h1")), "page_id")
+    joined = rows.join(html.page_rows(spread(table(spark, d, "pages")), only=["h1"]).select("page_id", F.size("h1").cast("long").alias("n_h1")), "page_id")
     return joined.select("page_id", "title", F.col("meta_description").alias("description"), html.host(F.col("source_url")).alias("host"), "n_h1")

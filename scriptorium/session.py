@@ -36,13 +36,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a scan that a core takes as one part.
+PART = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The rows dealt over all cores where a scan has fewer parts than these: for narrow, heavy work on small inputs.
+    """The rows of a scan dealt over all cores where it has fewer files than these, and little for each: for narrow, heavy
+    work on small inputs. A table of a cluster's size is left as it is.
 
-    A table of a cluster's size has more parts, and is left as it is.
+    Decided by the plan's statistics and the list of files, so that nothing runs; meant for scans, before they are joined.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * PART and len(df.inputFiles()) < cores else df
 
 
 def scratch_folder(spark: SparkSession) -> str:

@@ -122,13 +122,22 @@ def types(found: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(found, of))))
 
 
-def page_rows(pages: DataFrame, html: str = "html") -> DataFrame:
+def page_rows(pages: DataFrame, html: str = "html", only: list[str] | None = None) -> DataFrame:
     """The columns of pages without the HTML, and title, description, author, dates, canonical, robots, lang, headings, words,
-    hash, links of the page and of its body, images and types. pages has a url."""
+    hash, links of the page and of its body, images and types, or only those named. pages has a url.
+
+    Columns that aren't asked for would be pruned from the scan, but take the driver seconds to plan.
+    """
     h, raw = F.col("_h"), F.coalesce(F.col(html), F.lit(""))
     rows = pages.withColumn("_h", F.regexp_replace(raw, NOISE, ""))
-    rows = rows.withColumns({"_rest": F.regexp_replace(h, FURNITURE, " "), "_nodes": nodes(raw), "_images": tags(h, "img")})
-    rows = rows.withColumns({"_body": plain(F.col("_rest"))})
+    wanted = lambda *names: only is None or any(n in only for n in names)
+    rows = rows.withColumn("_rest", F.regexp_replace(h, FURNITURE, " "))
+    if wanted("published", "modified", "schema_types"):
+        rows = rows.withColumn("_nodes", nodes(raw))
+    if wanted("images", "images_no_alt"):
+        rows = rows.withColumn("_images", tags(h, "img"))
+    if wanted("words", "content_hash"):
+        rows = rows.withColumn("_body", plain(F.col("_rest")))
 
     def hrefs(t: Column) -> Column:
         return F.filter(F.transform(tags(t, "a"), lambda a: attribute(a, "href")), lambda x: x != "")
@@ -136,28 +145,31 @@ def page_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     def date(name: str) -> Column:
         return F.coalesce(F.get(F.filter(F.transform("_nodes", lambda n: n[name]), lambda d: F.coalesce(d, F.lit("")) != ""), F.lit(0)), F.lit(""))
 
-    canonical = F.filter(tags(h, "link"), lambda x: F.contains(F.lower(attribute(x, "rel")), F.lit("canonical")))
-    return rows.withColumns(
-        {
-            "title": first(h, r"(?is)<title[^>]*>(.*?)</title>"),
-            "description": F.coalesce(F.nullif(meta(h, "description"), F.lit("")), meta(h, "og:description", "property")),
-            "author": meta(h, "author"),
-            "published": date("datePublished"),
-            "modified": date("dateModified"),
-            "canonical": F.coalesce(attribute(F.get(canonical, F.lit(0)), "href"), F.lit("")),
-            "robots": F.lower(meta(h, "robots")),
-            "lang": F.coalesce(attribute(F.get(tags(h, "html"), F.lit(0)), "lang"), F.lit("")),
-            "h1": F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<h1[^>]*>(.*?)</h1>"), F.lit(1)), plain),
-            "h2": F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<h2[^>]*>(.*?)</h2>"), F.lit(1)), plain),
-            "words": T.word_count(F.col("_body")).cast("long"),
-            "content_hash": F.substring(F.sha1(F.lower("_body")), 1, 16),
-            "links": hrefs(h),
-            "body_links": hrefs(F.col("_rest")),
-            "images": F.size("_images").cast("long"),
-            "images_no_alt": F.size(F.filter("_images", lambda i: F.trim(attribute(i, "alt")) == "")).cast("long"),
-            "schema_types": types(F.col("_nodes")),
-        }
-    ).drop("_h", "_rest", "_nodes", "_images", "_body", html)
+    def canonical() -> Column:
+        found = F.filter(tags(h, "link"), lambda x: F.contains(F.lower(attribute(x, "rel")), F.lit("canonical")))
+        return F.coalesce(attribute(F.get(found, F.lit(0)), "href"), F.lit(""))
+
+    found = {
+        "title": lambda: first(h, r"(?is)<title[^>]*>(.*?)</title>"),
+        "description": lambda: F.coalesce(F.nullif(meta(h, "description"), F.lit("")), meta(h, "og:description", "property")),
+        "author": lambda: meta(h, "author"),
+        "published": lambda: date("datePublished"),
+        "modified": lambda: date("dateModified"),
+        "canonical": canonical,
+        "robots": lambda: F.lower(meta(h, "robots")),
+        "lang": lambda: F.coalesce(attribute(F.get(tags(h, "html"), F.lit(0)), "lang"), F.lit("")),
+        "h1": lambda: F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<h1[^>]*>(.*?)</h1>"), F.lit(1)), plain),
+        "h2": lambda: F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<h2[^>]*>(.*?)</h2>"), F.lit(1)), plain),
+        "words": lambda: T.word_count(F.col("_body")).cast("long"),
+        "content_hash": lambda: F.substring(F.sha1(F.lower("_body")), 1, 16),
+        "links": lambda: hrefs(h),
+        "body_links": lambda: hrefs(F.col("_rest")),
+        "images": lambda: F.size("_images").cast("long"),
+        "images_no_alt": lambda: F.size(F.filter("_images", lambda i: F.trim(attribute(i, "alt")) == "")).cast("long"),
+        "schema_types": lambda: types(F.col("_nodes")),
+    }
+    rows = rows.withColumns({n: make() for n, make in found.items() if only is None or n in only})
+    return rows.drop("_h", "_rest", "_nodes", "_images", "_body", html)
 
 
 def image_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
