@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,44 +44,43 @@ def canonical(kind: Column, value: Column) -> Column:
     return F.when(kind == "price_inr", F.regexp_replace(v, r"^(rs\.?|inr|₹)", "")).otherwise(v)
 
 
-#: Brackets of a span that is claimed, and where its ASCII characters are kept while other kinds are sought: private use.
-_OPEN, _SHUT, _ASCII = "\ue000", "\ue001", "".join(chr(c) for c in range(1, 128))
-_HELD = "".join(chr(0xE100 + ord(c)) for c in _ASCII)
+SPAN = "struct<kind:string,start:int,end:int,value:string>"
+_SPACES = r"[ \t\n\r\f\x0B]"
 
 
-def claimed(t: Column, kinds: dict[str, str] = PROTECTED) -> Column:
-    """The text with every protected span in brackets, kind by kind: what an earlier kind has claimed no later one meets.
+def claims(text: str, rules: list[tuple[str, regex.Pattern]]) -> list[tuple[int, int, str]]:
+    """Start, end and kind of the protected spans of a text, in text order.
 
-    A bracketed span starts with its kind's letter and is written in private-use characters.
+    Kinds are sought one after another in the whole text, from left to right; a match that overlaps what an earlier kind, or
+    an earlier match, has claimed is none, and what is left of it isn't sought again.
     """
-    for i, pattern in enumerate(kinds.values()):
-        t = F.transform(F.array(t), _bracketing(pattern, i))[0]  # named, as it is used thrice
-    return t
+    starts, taken = [], []
+    for kind, pattern in rules:
+        for m in pattern.finditer(text):
+            a, b = m.span()
+            at = bisect_left(starts, a)
+            if a < b and (at == len(taken) or taken[at][0] >= b) and (not at or taken[at - 1][1] <= a):
+                starts.insert(at, a)
+                taken.insert(at, (a, b, kind))
+    return taken
 
 
-def _bracketing(pattern: str, i: int) -> Callable[[Column], Column]:
-    return lambda t: _bracketed(t, pattern, i)
+def _rules(kinds: dict[str, str]) -> list[tuple[str, regex.Pattern]]:
+    # white space is ASCII's, as in the other engines
+    return [(k, regex.compile(p.replace(r"[\s-]", r"[ \t\n\r\f\x0B-]").replace(r"[^\s", r"[^ \t\n\r\f\x0B").replace(r"\s", _SPACES))) for k, p in kinds.items()]
 
 
-def _bracketed(t: Column, pattern: str, i: int) -> Column:
-    found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    held = F.transform(found, lambda v: F.concat(F.lit(_OPEN + chr(0xE200 + i)), F.translate(v, _ASCII, _HELD), F.lit(_SHUT)))
-    joined = F.array_join(F.zip_with(F.split(t, pattern, -1), held, lambda p, h: F.concat(p, F.coalesce(h, F.lit("")))), "")
-    return F.when(F.rlike(t, F.lit(pattern)), joined).otherwise(t)
-
-
-def _spans_of(marked: Column) -> Column:
-    return F.regexp_extract_all(marked, F.lit(f"{_OPEN}([^{_SHUT}]*){_SHUT}"), F.lit(1))
-
-
-def _value(span: Column) -> Column:
-    return F.translate(F.substring(span, 2, 1_000_000), _HELD, _ASCII)
+def spans(t: Column, kinds: dict[str, str] = PROTECTED) -> Column:
+    """Array of SPAN, in text order; places are in characters from 0, values without white space around. Null for null."""
 
+    @F.arrow_udf(f"array<{SPAN}>")
+    def found(texts: pa.Array) -> pa.Array:
+        rules, out = _rules(kinds), []
+        for text in texts.to_pylist():
+            out.append(None if text is None else [{"kind": k, "start": a, "end": b, "value": text[a:b].strip()} for a, b, k in claims(text, rules)])
+        return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())])))
 
-def spans(t: Column, kinds: dict[str, str] = PROTECTED) -> Column:
-    """Array of (kind, value), in text order."""
-    names = F.array(*map(F.lit, kinds))
-    return F.transform(_spans_of(claimed(t, kinds)), lambda x: F.struct(F.element_at(names, F.ascii(F.substring(x, 1, 1)) - 0xE200 + 1).alias("kind"), F.trim(_value(x)).alias("value")))
+    return found(t)
 
 
 def protected_spans(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
@@ -89,22 +90,44 @@ def protected_spans(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
 
 
 def masked(df: DataFrame, text: str, token: str = "⦉{}⦊", kinds: dict[str, str] = PROTECTED) -> DataFrame:
-    """df with masked, where each span stands as a numbered token that no language has, and held, the spans by number."""
+    """df with masked, where each span stands as a numbered token that no language has, and held, the spans by number.
+
+    A token that the text has of itself is held, too, so that it comes back as it is.
+    """
     before, after = token.split("{}")
-    rows = df.withColumn("_m", claimed(T.ascii_digits(F.coalesce(F.col(text), F.lit(""))), kinds))
-    parts = F.split("_m", f"{_OPEN}[^{_SHUT}]*{_SHUT}", -1)
-    numbered = F.transform(parts, lambda p, i: F.when(i > 0, F.concat(F.lit(before), (i - 1).cast("string"), F.lit(after), p)).otherwise(p))
-    return rows.withColumns({"masked": F.array_join(numbered, ""), "held": F.transform(_spans_of(F.col("_m")), _value)}).drop("_m")
+    own = {"token": f"{regex.escape(before)}[ \\t\\n\\r\\f\\x0B]*[0-9]+[ \\t\\n\\r\\f\\x0B]*{regex.escape(after)}", **kinds}
+
+    @F.arrow_udf("struct<masked:string,held:array<string>>")
+    def made(texts: pa.Array) -> pa.Array:
+        rules, out = _rules(own), []
+        for t in texts.to_pylist():
+            parts, held, end = [], [], 0
+            for a, b, _ in claims(t, rules):
+                parts += [t[end:a], before, str(len(held)), after]
+                held.append(t[a:b])
+                end = b
+            out.append({"masked": "".join([*parts, t[end:]]), "held": held})
+        return pa.array(out, pa.struct([("masked", pa.string()), ("held", pa.list_(pa.string()))]))
+
+    rows = df.withColumn("_m", made(T.ascii_digits(F.coalesce(F.col(text), F.lit("")))))
+    return rows.withColumns({"masked": F.col("_m.masked"), "held": F.col("_m.held")}).drop("_m")
 
 
 def unmasked(df: DataFrame, text: str = "masked", held: str = "held", token: str = "⦉{}⦊") -> DataFrame:
-    """df with unmasked: the tokens replaced by the spans they stand for, also where spaces or capitals came into them."""
+    """df with unmasked: the tokens replaced by the spans they stand for, also where spaces or capitals came into them.
+
+    One pass over the text; a number that nothing is held for stays as it is.
+    """
     before, after = token.split("{}")
-    numbers = F.sequence(F.lit(0), F.size(held) - 1)
-    pattern = lambda i: F.concat(F.lit(f"(?i){before}\\s*"), i.cast("string"), F.lit(f"\\s*{after}"))
-    safe = lambda v: F.regexp_replace(v, r"([\\$])", r"\\$1")
-    filled = F.aggregate(numbers, F.col(text), lambda t, i: F.regexp_replace(t, pattern(i), safe(F.element_at(held, i + 1))))
-    return df.withColumn("unmasked", F.when(F.size(held) > 0, filled).otherwise(F.col(text)))
+
+    @F.arrow_udf("string")
+    def filled(texts: pa.Array, values: pa.Array) -> pa.Array:
+        pattern, out = regex.compile(rf"(?i){regex.escape(before)}{_SPACES}*([0-9]+){_SPACES}*{regex.escape(after)}"), []
+        for t, own in zip(texts.to_pylist(), values.to_pylist(), strict=True):
+            out.append(None if t is None else pattern.sub(lambda m, own=own or []: own[int(m[1])] if int(m[1]) < len(own) else m[0], t))
+        return pa.array(out, pa.string())
+
+    return df.withColumn("unmasked", filled(F.col(text), F.col(held)))
 
 
 #: What a machine translator must not reword: numbers stay visible, so that it can inflect around them.
@@ -159,11 +182,16 @@ def _bag(t: str) -> Column:
 
 
 def _differences(a: str, b: str) -> Column:
-    """By how much two bags differ, summed over their values."""
-    def count(bag: str, x: Column) -> Column:
-        return F.size(F.filter(bag, lambda y: y == x))
+    """By how much two bags differ, summed over their values: both are sorted together, and runs of equal values are counted."""
+    signed = lambda bag, sign: F.transform(bag, lambda v: F.struct(v.alias("v"), F.lit(sign).alias("n")))
+    rows = F.array_sort(F.concat(signed(a, 1), signed(b, -1)))
+    state = lambda v, run, total: F.struct(v.alias("v"), run.alias("run"), total.alias("total"))
+
+    def add(s: Column, x: Column) -> Column:
+        same = s["v"].eqNullSafe(x["v"])
+        return state(x["v"], F.when(same, s["run"] + x["n"]).otherwise(x["n"]), s["total"] + F.when(same, 0).otherwise(F.abs(s["run"])))
 
-    return F.aggregate(F.array_distinct(F.concat(a, b)), F.lit(0), lambda n, x: n + F.abs(count(a, x) - count(b, x)))
+    return F.aggregate(rows, state(F.lit(None).cast("string"), F.lit(0), F.lit(0)), add, lambda s: s["total"] + F.abs(s["run"]))
 
 
 def fidelity(df: DataFrame, source: str, target: str, stop: list[str], translated: str | None = None) -> DataFrame:
@@ -195,7 +223,7 @@ def claim_audit(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, kind, value, context: every protected span of a draft, which has no source to hold it against, with the first
     sentence that has it, for a person to verify."""
     t = F.coalesce(F.col(text), F.lit(""))
-    found = F.array_distinct(spans(F.regexp_replace(T.ascii_digits(t), ENUMERATOR, "  ")))
+    found = F.array_distinct(F.transform(spans(F.regexp_replace(T.ascii_digits(t), ENUMERATOR, "  ")), lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value"))))
     rows = df.select(key, T.sentences(t, ".!?।॥").alias("_sents"), F.explode(found).alias("_s"))
     first = F.get(F.filter("_sents", lambda s: F.contains(s, F.col("_s.value"))), F.lit(0))
     return rows.select(key, "_s.kind", "_s.value", F.substring(F.coalesce(first, F.lit("")), 1, 180).alias("context"))

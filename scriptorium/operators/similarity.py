@@ -37,7 +37,7 @@ def _prefixes(rows: DataFrame, key: str, name: str, least: float, by: list[str])
 
 
 def meet(left: DataFrame, right: DataFrame, a: str, b: str, least: float, by: list[str] = (), where: Column | None = None) -> DataFrame:
-    """a, b, f1 of pairs of ordered sets (in_order() of the same counts) with an F1 of least or more, over 0 where that is 0."""
+    """a, b, f1 of pairs of ordered sets (in_order() of the same counts) with an F1 of least or more."""
     joined = _prefixes(left, a, "a", least, by).join(_prefixes(right, b, "b", least, by), [*by, "_token"])
     if where is not None:
         joined = joined.filter(where)
@@ -48,6 +48,13 @@ def meet(left: DataFrame, right: DataFrame, a: str, b: str, least: float, by: li
     return joined.select(*by, "a", "b", (2 * F.size("_both") / (na + nb)).alias("f1")).filter(F.col("f1") >= least)
 
 
+def overlapping(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b, f1 of all pairs that share a token, by counts of the tokens that they meet in."""
+    rows = lambda df, key, name: df.select(F.col(key).alias(name), F.size("_set").alias(f"n{name}"), F.explode("_set").alias("_token"))
+    shared = rows(left, a, "a").join(rows(right, b, "b"), "_token").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
+    return shared.select("a", "b", (2 * F.col("n") / (F.col("na") + F.col("nb"))).alias("f1"))
+
+
 def kept(df: DataFrame, path: str) -> DataFrame:
     """The rows, written and read again."""
     df.write.mode("overwrite").parquet(path)
@@ -85,7 +92,7 @@ def best_match(queries: DataFrame, index: DataFrame, key: str, entry: str, first
     best = lambda rows: rows.groupBy("a").agg(F.max_by(F.struct("b", "f1"), F.struct("f1", -F.col("b"))).alias("_m"))
     near = kept(best(meet(q, e, "_q", "_e", first)), f"{folder}/near")
     open_ = q.join(near.select(F.col("a").alias("_q")), "_q", "left_anti")
-    rest = best(meet(open_, e, "_q", "_e", 0.0))
+    rest = best(overlapping(open_, e, "_q", "_e"))
     found = sets.join(near.unionAll(rest), F.col("_q") == F.col("a"), "left").select("_set", "_m")
     rows = asked.join(found, "_set", "left")
     f1 = F.coalesce("_m.f1", F.lit(0.0))

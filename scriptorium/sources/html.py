@@ -192,7 +192,7 @@ def anchor_rows(pages: DataFrame, key: str, html: str = "html", furniture: bool
 def block_rows(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """key, pos, type, text of the blocks of at least two characters in page order, furniture out, no block twice in a row."""
     h = F.regexp_replace(F.regexp_replace(F.coalesce(F.col(html), F.lit("")), NOISE, ""), FURNITURE, " ")
-    marked = F.regexp_replace(h, BLOCK, "\u0001$1\u0002")
+    marked = F.regexp_replace(F.translate(h, "\u0001\u0002", "  "), BLOCK, "\u0001$1\u0002")  # which no text of a page holds now
     parts = F.filter(F.split(marked, "\u0001"), lambda p: F.contains(p, F.lit("\u0002")))
     kind = F.lower(F.regexp_extract(F.col("_p"), "^([^\u0002]*)\u0002", 1))
     rows = pages.select(key, F.posexplode(parts).alias("_i", "_p"))

@@ -92,3 +92,51 @@ def test_small_functions(spark):
     links = spark.createDataFrame([(1, "https://h.org/p", [("/a", "here"), ("http://gone.org", "x")])], "id int, source_url string, links array<struct<href:string,text:string>>")
     checked = spark.createDataFrame([("http://gone.org", 404)], "href string, status int")
     assert {(r.check, r.status) for r in findings.links(links, "id", checked).collect()} == {("internal", "pass"), ("external", "pass"), ("anchor_text", "warn"), ("broken", "fail")}
+
+
+def brute_spans(text):
+    """Every match of every kind, claimed character by character."""
+    import regex
+
+    taken, found = set(), []
+    for kind, pattern in integrity._rules(integrity.PROTECTED):
+        for m in regex.finditer(pattern, text):
+            own = set(range(*m.span()))
+            if own and not own & taken:
+                taken |= own
+                found.append((m.start(), kind, m.group().strip()))
+    return [(k, v) for _, k, v in sorted(found)]
+
+
+def test_spans_equal_brute_force_on_any_code_point(spark):
+    import random
+
+    rng = random.Random(8)
+    pieces = ["http://a.b/5mg", "see@x.org", "9876543210", "+91 9876543210", "5 mg", "5,5ml", "₹ 1,200.50", "Rs.99", "INR5", "12 %", "3.5%", "42", "7 8", "a5", "5a", " ", ".", ",", "", "", "\U0001f600", "é", "-", "\n", "1)", "2 kg5", "INR 9876543210", "9876543210 mg", "x@y.z5%"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randrange(12))) for _ in range(400)] + [None, "", "x" * 100_000 + " 5 mg", "7 " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {r.id: None if r.s is None else [(x.kind, x.value) for x in r.s] for r in df.select("id", integrity.spans(F.col("t")).alias("s")).collect()}
+    assert got == {i: None if t is None else brute_spans(t) for i, t in enumerate(texts)}
+    one = spark.createDataFrame([("INR 9876543210 mg, http://a.b/5% 5%",)], "t string").select(integrity.spans(F.col("t")).alias("s")).first().s
+    assert [(x.kind, x.start, x.end) for x in one] == [("phone", 4, 14), ("url", 19, 32), ("percent", 33, 35)]  # no price or dose is left of the number
+    back = integrity.unmasked(integrity.masked(df, "t")).collect()
+    assert all(r.unmasked == (r.t or "") for r in back)
+    own = spark.createDataFrame([(1, "⦉0⦊ and 5 mg, ⦉7⦊")], "id int, t string")
+    assert integrity.unmasked(integrity.masked(own, "t")).first().unmasked == "⦉0⦊ and 5 mg, ⦉7⦊"
+
+
+def test_bags_of_many_spans(spark):
+    import time
+
+    a, b = " ".join(str(i) for i in range(20_000)), " ".join(str(i) for i in range(10, 20_005)) + " 50 50"
+    rows = integrity.fidelity(spark.createDataFrame([(1, a, b), (2, "5 5 6", "5 7"), (3, None, ""), (4, "x 5", None)], "id int, s string, t string"), "s", "t", [])
+    began = time.time()
+    got = {r.id: [f.kind for f in r.flags].count("protected_span") for r in rows.collect()}
+    assert got == {1: 10 + 5 + 2, 2: 3, 3: 0, 4: 0} and time.time() - began < 60
+
+
+def test_blocks_with_control_characters(spark):
+    from scriptorium.sources import html
+
+    df = spark.createDataFrame([(1, "<p>c\x01d e</p><p>\x02f\x02 gh</p>")], "id int, html string")
+    assert [(b.type, b.text) for b in html.block_rows(df, "id").orderBy("pos").collect()] == [("p", "c d e"), ("p", "f gh")]
