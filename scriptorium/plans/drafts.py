@@ -580,13 +580,17 @@ _KIND_SQL = [
 
 
 def _spans_sql(source: str, t: str, key: str = "doc_id") -> str:
-    """CTEs up to sp_<t> (key, kind, value): kind by kind, what one has taken is out of the next one's sight."""
+    """CTEs up to sp_<t> (key, kind, value): the matches of each kind in the whole text, with their places from the lengths of
+    what stands between them; kind by kind, those that overlap a span already taken go."""
     steps = [f"{t}_0 AS (SELECT {key}, {_prepared(t)} AS r FROM {source})"]
-    for n, (_, how, pattern) in enumerate(_KIND_SQL):
+    for n, (kind, how, pattern) in enumerate(_KIND_SQL):
         seen = f"{_marked('r', _RUN)}" if how == "marked" else "r"
-        steps.append(f"{t}_{n + 1} AS (SELECT {key}, list_transform(regexp_extract_all({seen}, '{pattern}'), lambda v: trim({_unmarked('v')}, ' ')) AS f, {_unmarked(f'''regexp_replace({seen}, '{pattern}', chr(3), 'g')''')} AS r FROM {t}_{n})")
-    kinds = " UNION ALL ".join(f"SELECT {key}, '{k}' AS kind, unnest(f) AS value FROM {t}_{n + 1}" for n, (k, _, _) in enumerate(_KIND_SQL))
-    return ", ".join(steps) + f", sp_{t} AS ({kinds})"
+        plain = f"lambda v: {_unmarked('v')}"
+        steps.append(f"{t}_m{n} AS (SELECT {key}, list_transform(regexp_extract_all({seen}, '{pattern}'), {plain}) AS f, list_transform(string_split(regexp_replace({seen}, '{pattern}', chr(3), 'g'), chr(3)), {plain}) AS p FROM {t}_0)")
+        steps.append(f"{t}_u{n} AS (SELECT {key}, f[i] AS v, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS a FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM {t}_m{n}))")
+        taken = f" WHERE NOT EXISTS (SELECT 1 FROM {t}_k{n - 1} c WHERE c.{key} = u.{key} AND c.a < u.a + length(u.v) AND u.a < c.b) UNION ALL SELECT * FROM {t}_k{n - 1}" if n else ""
+        steps.append(f"{t}_k{n} AS (SELECT {key}, '{kind}' AS kind, trim(v, ' ') AS value, a, a + length(v) AS b FROM {t}_u{n} u{taken})")
+    return ", ".join(steps) + f", sp_{t} AS (SELECT {key}, kind, value FROM {t}_k{len(_KIND_SQL) - 1})"
 
 
 _CANON = "CASE WHEN kind = 'price_inr' THEN regexp_replace(regexp_replace(lower(value), '[ \\t\\n\\r\\f\\x0B,]', '', 'g'), '^(rs\\.?|inr|₹)', '') ELSE regexp_replace(lower(value), '[ \\t\\n\\r\\f\\x0B,]', '', 'g') END"
