@@ -123,7 +123,7 @@ def remove(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     names = docs.columns
     ids, text = (f"c{names.index(n)}" for n in ("doc_id", "text"))
     rows = renamed(docs).withColumns({"_id": F.coalesce(F.col(ids), F.lit(0)), "_none": F.col(ids).isNull(), **_text_key(text)})
-    rows = rows.join(gone, key, "left_anti")
+    rows = rows.join(gone.hint("merge"), key, "left_anti")  # dealt at every size, never sent whole
     if counted.filter("_rows > 1").limit(1).count():
         rows = rows.dropDuplicates(key)
     return rows.drop(*key).toDF(*names)
@@ -237,7 +237,7 @@ def _similar(docs: DataFrame, resemblance: float = 0.8, words: int = 5, radius:
     # candidates, by what connects them; of each text the set of one row (more only if its id is repeated or null)
     hit = components(near, scratch, "candidates").join(nodes.select("_node", "_a", "_b", "_least", "print", "size"), F.col("node") == F.col("_node"))
     hit = scratch.keep(hit.select(F.col("root").alias("_shard"), "_node", "_a", "_b", "_least", F.col("print").alias("_print"), F.col("size").alias("_size")), "hit")
-    met = own.join(hit, ["_a", "_b"]).filter(F.col("doc_id").eqNullSafe(F.col("_least")))
+    met = own.join(hit.hint("merge"), ["_a", "_b"]).filter(F.col("doc_id").eqNullSafe(F.col("_least")))
     sets = scratch.keep(with_arrow(met.select("_shard", "_node", "_print", "_size", "text"), "text", "_payload binary", distinct, drop=True), "sets")
     edges = shard_links(sets, radius, shingle_cap, scratch, "exact", _matching(resemblance), lambda x: np.frombuffer(x, "<u8"))
     named = _named(nodes.select("_node", "_least"), edges, scratch)

@@ -171,7 +171,7 @@ def apply(docs: DataFrame, least: float = 0.5) -> DataFrame:
     found = scratch.keep(measured(rows.select("_a", "_b", F.col(text).alias("text"))), "measures")
     accuracy, share = fit(found)
     bad = scratch.keep(found.filter(base_failed() | (posterior(accuracy, share) < least)).select("_a", "_b").distinct(), "bad")
-    return rows.join(bad, ["_a", "_b"], "left_anti").drop("_a", "_b").toDF(*names)
+    return rows.join(bad.hint("merge"), ["_a", "_b"], "left_anti").drop("_a", "_b").toDF(*names)
 
 
 def score(docs: DataFrame, scratch, least: float = 0.5) -> DataFrame:
