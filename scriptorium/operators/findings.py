@@ -9,7 +9,7 @@ from ..functions import lexicons as L
 from ..functions import text as T
 from ..sources import html
 from . import similarity
-from .articles import GENERIC_ANCHORS
+from .articles import GENERIC_ANCHORS, structure
 
 WEIGHT = {"fail": 1.0, "warn": 0.45, "pass": 0.0}
 IMPACT = {"high": 1.6, "medium": 1.0, "low": 0.5}
@@ -31,16 +31,27 @@ def finding(group: str, check: str, status: Column, impact: Column | str) -> Col
     return F.when(status.isNotNull(), F.struct(F.lit(group).alias("group"), F.lit(check).alias("check"), status.alias("status"), level.alias("impact")))
 
 
-def _rows(df: DataFrame, key: str, *found: Column) -> DataFrame:
-    return df.select(key, F.explode(F.array_compact(F.array(*found))).alias("_f")).select(key, "_f.*")
+#: Rows with what the findings need, and these, null where there is none.
+Part = tuple[DataFrame, list[Column]]
+
+
+def _rows(key: str, part: Part) -> DataFrame:
+    df, found = part
+    return _exploded(df, key, F.array_compact(F.array(*found)))
+
+
+def _exploded(df: DataFrame, key: str, found: Column) -> DataFrame:
+    """An array's findings as rows. Of a plain explode the optimiser infers that the array isn't empty and pushes that, with
+    every expression the array comes from, below the projections that would compute them once."""
+    return df.select(key, F.explode_outer(found).alias("_f")).filter("_f is not null").select(key, "_f.*")
 
 
 def _either(bad: Column, worse: str = "warn") -> Column:
     return F.when(bad, worse).otherwise("pass")
 
 
-def content(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Length, readability, sentences, paragraphs (lines), padding, stock phrases and passives of a text."""
+def with_content(df: DataFrame, text: str = "text", name: str = "found") -> DataFrame:
+    """df with an array of findings: length, readability, sentences, paragraphs (lines), padding, stock phrases and passives of a text."""
     t = F.col("_t")
     rows = T.with_flesch(df.withColumn("_t", T.strip(F.coalesce(F.col(text), F.lit("")))), "_t", "_flesch")
     rows = rows.withColumns({"_sents": T.sentences(t, ".!?।॥"), "_words": T.word_count(t), "_low": F.lower(t)})
@@ -48,9 +59,7 @@ def content(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     fat = F.size(F.filter(F.split(t, "\n"), lambda p: T.word_count(p) > 150))
     long = F.size(F.filter("_sents", lambda s: T.word_count(s) > 30))
     length = F.when(words < 300, "fail").when(words < 600, "warn").otherwise("pass")
-    return _rows(
-        rows,
-        key,
+    found = F.array(
         finding("content", "length", length, F.when(words < 300, "high").otherwise("medium")),
         finding("content", "readability", _either(F.col("_flesch") < 45), "medium"),
         finding("content", "sentence_length", _either((n > 0) & (long / F.greatest(n, F.lit(1)) > 0.18)), F.when((n > 0) & (long / F.greatest(n, F.lit(1)) > 0.18), "medium").otherwise("low")),
@@ -60,6 +69,12 @@ def content(df: DataFrame, key: str, text: str = "text") -> DataFrame:
         finding("content", "passive_voice", F.when((n > 0) & (T.regex_count(t, T.PASSIVE) / F.greatest(n, F.lit(1)) > 0.25), "warn"), "low"),
         finding("content", "formatting", F.when((words > 700) & ~F.rlike(t, F.lit("(?m)^[-*] ")), "warn"), "medium"),
     )
+    return rows.withColumn(name, F.array_compact(found)).drop("_t", "_flesch", "_sents", "_words", "_low")
+
+
+def content(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """The findings of with_content as rows."""
+    return _exploded(with_content(df, text, "_fs"), key, F.col("_fs"))
 
 
 def _capitals(t: Column) -> Column:
@@ -71,44 +86,48 @@ def _text(name: str) -> Column:
     return T.strip(F.coalesce(F.col(name), F.lit("")))
 
 
-def title(articles: DataFrame, key: str, index: DataFrame | None = None) -> DataFrame:
-    """Length, keyword, case and, against an index of posts (entry, tokens), a near duplicate. articles: title, keyword."""
+def _title(articles: DataFrame) -> Part:
     t, kw = _text("title"), F.col("keyword")
     n, at = F.length(t), F.instr(F.lower(t), kw) - 1
     has = (t != "") & (kw != "")
-    rows = _rows(
-        articles,
-        key,
+    return articles, [
         finding("title", "present", F.when(t == "", "fail"), "high"),
         finding("title", "length", F.when(t != "", _either((n < L.TITLE_MIN) | (n > L.TITLE_MAX))), "medium"),
         finding("title", "keyword", F.when(has & (at < 0), "fail").when(has & (at <= 35), "pass"), "high"),
         finding("title", "keyword_position", F.when(has & (at > 35), "warn"), "medium"),
         finding("title", "case", F.when(_capitals(t), "warn"), "low"),
-    )
+    ]
+
+
+def title(articles: DataFrame, key: str, index: DataFrame | None = None) -> DataFrame:
+    """Length, keyword, case and, against an index of posts (entry, tokens), a near duplicate. articles: title, keyword."""
+    rows = _rows(key, _title(articles))
     if index is None:
         return rows
+    t = _text("title")
     queries = articles.filter(t != "").select(key, T.token_set(t, L.SITE_STOP).alias("tokens"))
     near = similarity.best_match(queries, index, key, "entry").filter("status = 'covered'")
     return rows.unionByName(near.select(key, F.lit("title").alias("group"), F.lit("duplicate").alias("check"), F.lit("warn").alias("status"), F.lit("high").alias("impact")))
 
 
-def description(articles: DataFrame, key: str) -> DataFrame:
-    """Length, keyword and call to action of the meta description."""
+def _description(articles: DataFrame) -> Part:
     d, kw = _text("meta_description"), F.col("keyword")
     n, has = F.length(d), d != ""
     call = rf"(?i){_B}({'|'.join(L.CALLS)}){_E}"
-    return _rows(
-        articles,
-        key,
+    return articles, [
         finding("meta", "present", F.when(~has, "fail"), "high"),
         finding("meta", "length", F.when(has, _either((n < L.DESCRIPTION_MIN) | (n > L.DESCRIPTION_MAX))), "medium"),
         finding("meta", "keyword", F.when(has & (kw != ""), _either(~F.contains(F.lower(d), kw))), "medium"),
         finding("meta", "cta", F.when(has & ~F.rlike(d, F.lit(call)), "warn"), "low"),
-    )
+    ]
 
 
-def headings(articles: DataFrame, key: str) -> DataFrame:
-    """One h1, subheadings, their nesting, keyword, questions and length. articles: blocks, keyword."""
+def description(articles: DataFrame, key: str) -> DataFrame:
+    """Length, keyword and call to action of the meta description."""
+    return _rows(key, _description(articles))
+
+
+def _headings(articles: DataFrame) -> Part:
     levels = F.filter(F.transform("blocks", lambda b: b["type"]), lambda k: k.isin("h1", "h2", "h3"))
     heads = F.transform(F.filter("blocks", lambda b: b["type"].isin("h2", "h3")), lambda b: b["text"])
     rows = articles.withColumns({"_levels": levels, "_heads": heads, "_h1": F.size(F.filter("blocks", lambda b: b["type"] == "h1"))})
@@ -119,9 +138,7 @@ def headings(articles: DataFrame, key: str) -> DataFrame:
     hits = F.size(F.filter("_heads", lambda h: F.contains(F.lower(h), kw)))
     asked = F.size(F.filter("_heads", T.is_question))
     stuffed = hits > F.greatest(F.lit(2), F.floor(n / 2))
-    return _rows(
-        rows,
-        key,
+    return rows, [
         finding("headings", "h1_count", _either(F.col("_h1") > 1, "fail"), F.when(F.col("_h1") > 1, "high").otherwise("medium")),
         finding("headings", "structure", F.when(~some, "fail"), "high"),
         finding("headings", "hierarchy", F.when(some, _either(skipped & before)), "medium"),
@@ -129,14 +146,15 @@ def headings(articles: DataFrame, key: str) -> DataFrame:
         finding("headings", "keyword_stuffing", F.when(some & (kw != "") & (hits > 0) & stuffed, "warn"), "medium"),
         finding("headings", "questions", F.when(some, _either(asked / F.greatest(n, F.lit(1)) < 0.3)), "medium"),
         finding("headings", "length", F.when(F.exists("_heads", lambda h: F.length(h) > 70), "warn"), "low"),
-    )
+    ]
 
 
-def links(articles: DataFrame, key: str, broken: DataFrame | None = None) -> DataFrame:
-    """Internal and external links and anchors that say nothing; broken ones by a table of checked addresses (href, status).
+def headings(articles: DataFrame, key: str) -> DataFrame:
+    """One h1, subheadings, their nesting, keyword, questions and length. articles: blocks, keyword."""
+    return _rows(key, _headings(articles))
 
-    Whether a link is broken is only known of addresses that were checked.
-    """
+
+def _links(articles: DataFrame) -> Part:
     own = html.host(F.coalesce("source_url", F.lit("")))
 
     def inside(x: Column) -> Column:
@@ -145,13 +163,19 @@ def links(articles: DataFrame, key: str, broken: DataFrame | None = None) -> Dat
     internal = F.exists("links", inside)
     external = F.exists("links", lambda x: F.startswith(x["href"], F.lit("http")) & ~inside(x))
     generic = F.exists("links", lambda x: F.lower(T.strip(x["text"])).isin(GENERIC_ANCHORS))
-    rows = _rows(
-        articles,
-        key,
+    return articles, [
         finding("links", "internal", _either(~internal), "medium"),
         finding("links", "external", _either(~external), F.when(external, "low").otherwise("medium")),
         finding("links", "anchor_text", F.when(generic, "warn"), "medium"),
-    )
+    ]
+
+
+def links(articles: DataFrame, key: str, broken: DataFrame | None = None) -> DataFrame:
+    """Internal and external links and anchors that say nothing; broken ones by a table of checked addresses (href, status).
+
+    Whether a link is broken is only known of addresses that were checked.
+    """
+    rows = _rows(key, _links(articles))
     if broken is None:
         return rows
     known = broken.select("href", (F.coalesce("status", F.lit(0)).between(1, 399)).alias("_ok"))
@@ -160,33 +184,32 @@ def links(articles: DataFrame, key: str, broken: DataFrame | None = None) -> Dat
     return rows.unionByName(found)
 
 
-def images(articles: DataFrame, key: str) -> DataFrame:
-    """Images, their alternative texts, the keyword in one of them, and file names that say something."""
+def _images(articles: DataFrame) -> Part:
     some, kw = F.size("images") > 0, F.col("keyword")
     missing = F.exists("images", lambda i: T.strip(F.coalesce(i["alt"], F.lit(""))) == "")
     named = F.exists("images", lambda i: F.contains(F.lower(F.coalesce(i["alt"], F.lit(""))), kw))
     poor = F.exists("images", lambda i: F.rlike(i["src"], F.lit(r"(?i)/(img|image|photo|dsc|screenshot)[-_]?[0-9]*\.[A-Za-z0-9_]+$")))
-    return _rows(
-        articles,
-        key,
+    return articles, [
         finding("images", "present", F.when(~some, "warn"), "medium"),
         finding("images", "alt", F.when(some, _either(missing, "fail")), "high"),
         finding("images", "alt_keyword", F.when(some & (kw != "") & ~named, "warn"), "low"),
         finding("images", "filename", F.when(some & poor, "warn"), "low"),
-    )
+    ]
 
 
-def technical(articles: DataFrame, key: str, base_url: str = "") -> DataFrame:
-    """Slug, structured data and canonical address. articles: slug, schema_types, faqs, source_url."""
+def images(articles: DataFrame, key: str) -> DataFrame:
+    """Images, their alternative texts, the keyword in one of them, and file names that say something."""
+    return _rows(key, _images(articles))
+
+
+def _technical(articles: DataFrame, base_url: str = "") -> Part:
     slug = F.coalesce("slug", F.lit(""))
     has, long = slug != "", F.length(slug) > L.SLUG_MAX
     odd = F.contains(slug, F.lit("_")) | F.rlike(slug, F.lit(r"[\p{Lu}\p{Lt}]"))
     some = F.size("schema_types") > 0
     whole = F.arrays_overlap("schema_types", F.array(F.lit("Article"), F.lit("MedicalWebPage"))) & ((F.size("faqs") == 0) | F.array_contains("schema_types", F.lit("FAQPage"))) & F.array_contains("schema_types", F.lit("BreadcrumbList"))
     known = F.lit(base_url != "") | (F.coalesce("source_url", F.lit("")) != "")
-    return _rows(
-        articles,
-        key,
+    return articles, [
         finding("technical", "slug", F.when(~has, "warn").when(~long & ~odd, "pass"), "medium"),
         finding("technical", "slug_length", F.when(has & long, "warn"), "low"),
         finding("technical", "slug_format", F.when(has & odd, "warn"), "low"),
@@ -194,19 +217,27 @@ def technical(articles: DataFrame, key: str, base_url: str = "") -> DataFrame:
         finding("technical", "schema", F.when(~some, "fail").when(whole, "pass"), "high"),
         finding("technical", "schema_types", F.when(some & ~whole, "warn"), "medium"),
         finding("technical", "canonical", _either(~known), "medium"),
-    )
+    ]
 
 
-def answers(structured: DataFrame, key: str) -> DataFrame:
-    """The answer-engine score (aeo, flags of articles.structure) as findings."""
+def technical(articles: DataFrame, key: str, base_url: str = "") -> DataFrame:
+    """Slug, structured data and canonical address. articles: slug, schema_types, faqs, source_url."""
+    return _rows(key, _technical(articles, base_url))
+
+
+def _answers(structured: DataFrame) -> Column:
     status = F.when(F.col("aeo") >= 70, "pass").when(F.col("aeo") >= 45, "warn").otherwise("fail")
     score = F.array(F.struct(F.lit("aeo").alias("group"), F.lit("score").alias("check"), status.alias("status"), F.lit("high").alias("impact")))
     each = F.transform("flags", lambda f: F.struct(F.lit("aeo").alias("group"), f["kind"].alias("check"), F.when(f["severity"] == "error", "fail").otherwise("warn").alias("status"), F.lit("medium").alias("impact")))
-    return structured.select(key, F.explode(F.concat(score, each)).alias("_f")).select(key, "_f.*")
+    return F.concat(score, each)
 
 
-def trust(articles: DataFrame, key: str) -> DataFrame:
-    """Author, date and, on health topics, advice to see a clinician, credentials and absolute claims. articles: text (whole)."""
+def answers(structured: DataFrame, key: str) -> DataFrame:
+    """The answer-engine score (aeo, flags of articles.structure) as findings."""
+    return _exploded(structured, key, _answers(structured))
+
+
+def _trust(articles: DataFrame) -> Part:
     low = F.lower(F.coalesce("text", F.lit("")))
     rows = articles.withColumn("_low", low)
 
@@ -216,15 +247,35 @@ def trust(articles: DataFrame, key: str) -> DataFrame:
     health = any_of(L.HEALTH)
     advised = F.rlike("_low", F.lit(rf"{_B}({'|'.join(L.ADVICE)}){_E}"))
     author, date = _text("author") != "", _text("published") != ""
-    return _rows(
-        rows,
-        key,
+    return rows, [
         finding("eeat", "author", _either(~author), "medium"),
         finding("eeat", "date", _either(~date), F.when(date, "low").otherwise("medium")),
         finding("eeat", "medical_disclaimer", F.when(health, _either(~advised, "fail")), "high"),
         finding("eeat", "credentials", F.when(health & (_text("author_credentials") == ""), "warn"), "high"),
         finding("eeat", "overclaim", F.when(health & any_of(L.OVERCLAIMS), "fail"), "high"),
-    )
+    ]
+
+
+def trust(articles: DataFrame, key: str) -> DataFrame:
+    """Author, date and, on health topics, advice to see a clinician, credentials and absolute claims. articles: text (whole)."""
+    return _rows(key, _trust(articles))
+
+
+def with_audit(articles: DataFrame, name: str = "found", base_url: str = "") -> DataFrame:
+    """articles with an array of all findings that need nothing but the article: of its answers, title, description, headings,
+    links, images, technical matters and trust. One projection; the checks against other tables are title's, links' and
+    cannibalisation's. articles has what these ask for."""
+    rows = structure(articles)
+    found = [_answers(rows)]
+    for part in (_title, _description, _headings, _links, _images, lambda r: _technical(r, base_url), _trust):
+        rows, more = part(rows)
+        found.append(F.array_compact(F.array(*more)))
+    return rows.withColumn(name, F.flatten(F.array(*found))).select(*(c for c in articles.columns if c != name), name)
+
+
+def audit(articles: DataFrame, key: str, base_url: str = "") -> DataFrame:
+    """The findings of with_audit as rows (K4): one scan."""
+    return _exploded(with_audit(articles, "_fs", base_url), key, F.col("_fs"))
 
 
 def cannibalisation(articles: DataFrame, key: str, index: DataFrame) -> DataFrame:
@@ -241,9 +292,7 @@ def page(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """Title, description, headings, images and slug of page rows."""
     title, slug = F.col("title"), html.slug(F.col("url"))
     n, d = F.length(title), F.length("description")
-    return _rows(
-        pages,
-        key,
+    return _rows(key, (pages, [
         finding("title", "present", F.when(title == "", "fail"), "high"),
         finding("title", "length", F.when(title != "", _either((n < L.TITLE_MIN) | (n > L.TITLE_MAX))), "medium"),
         finding("title", "case", F.when(_capitals(title), "warn"), "low"),
@@ -256,7 +305,19 @@ def page(pages: DataFrame, key: str = "page_id") -> DataFrame:
         finding("technical", "slug_length", _either(F.length(slug) > L.SLUG_MAX), "low"),
         finding("technical", "slug_format", _either(~F.rlike(slug, F.lit("^[a-z0-9-]*$"))), "medium"),
         finding("technical", "schema", _either(F.size("schema_types") == 0), "high"),
-    )
+    ]))
+
+
+def _score(lost: Column, of: Column) -> Column:
+    return F.round(F.greatest(F.lit(0.0), 100.0 * (1 - F.round(lost, 6) / F.greatest(F.round(of, 6), F.lit(1.0))))).cast("long")
+
+
+def score_of(found: Column) -> Column:
+    """roll_up's score of an array of findings, without a shuffle."""
+    weight = F.create_map(*(F.lit(x) for kv in IMPACT.items() for x in kv))
+    share = F.create_map(*(F.lit(x) for kv in WEIGHT.items() for x in kv))
+    total = lambda of: F.aggregate(F.transform(found, of), F.lit(0.0), lambda a, x: a + x)
+    return _score(total(lambda f: weight[f["impact"]] * share[f["status"]]), total(lambda f: weight[f["impact"]]))
 
 
 def roll_up(findings: DataFrame, key: str) -> DataFrame:
@@ -264,7 +325,7 @@ def roll_up(findings: DataFrame, key: str) -> DataFrame:
     weight = F.create_map(*(F.lit(x) for kv in IMPACT.items() for x in kv))[F.col("impact")]
     lost = F.create_map(*(F.lit(x) for kv in WEIGHT.items() for x in kv))[F.col("status")]
     sums = findings.groupBy(key).agg(F.sum(weight * lost).alias("_lost"), F.sum(weight).alias("_all"), *(F.sum((F.col("status") == s).cast("long")).alias(f"n_{s}") for s in ("pass", "warn", "fail")))
-    score = F.round(F.greatest(F.lit(0.0), 100.0 * (1 - F.round("_lost", 6) / F.greatest(F.round("_all", 6), F.lit(1.0))))).cast("long")
+    score = _score(F.col("_lost"), F.col("_all"))
     rows = sums.withColumn("score", score).drop("_lost", "_all")
     return rows.withColumn("grade", F.when(F.col("score") >= 90, "excellent").when(F.col("score") >= 75, "good").when(F.col("score") >= 55, "needs work").otherwise("poor"))
 
@@ -380,11 +441,9 @@ def keyword_placement(df: DataFrame, key: str, body: str = "body", keyword: str
     status = F.when((density == 0) | (density > 3.0), "fail").when((density > 2.0) | (density < 0.3), "warn").otherwise("pass")
     impact = F.when(F.col("_density").isNull(), "medium").when((density == 0) | (density > 3.0), "high").when(density > 2.0, "medium").when(density < 0.3, "low").otherwise("medium")
     dashed = F.replace(kw, F.lit(" "), F.lit("-"))
-    return _rows(
-        rows,
-        key,
+    return _rows(key, (rows, [
         finding("keywords", "detected", F.when(~has, "warn"), "medium"),
         finding("keywords", "density", F.when(has, status), impact),
         finding("keywords", "first_paragraph", F.when(has, _either(~F.contains(first, kw))), "medium"),
         finding("keywords", "url", F.when(has & (F.col(slug) != "") & ~F.contains(F.lower(F.col(slug)), dashed), "warn"), "medium"),
-    )
+    ]))

@@ -40,11 +40,11 @@ def cached(df: DataFrame, cache: DataFrame, provider: Provider, text: str, name:
 def defects(df: DataFrame, source: str, target: str) -> DataFrame:
     """df with _defects: the blocking signatures of target against source."""
     rows = integrity.guard(integrity.number_diff(df, source, target), source, target)
-    parts = [_named("invented"), _named("dropped"), _named("missing_terms"), _named("new_claims"), F.when(F.col("hedge_lost"), F.array(F.lit("hedge_lost"))).otherwise(F.array().cast("array<string>"))]
+    parts = [named("invented"), named("dropped"), named("missing_terms"), named("new_claims"), F.when(F.col("hedge_lost"), F.array(F.lit("hedge_lost"))).otherwise(F.array().cast("array<string>"))]
     return rows.withColumn("_defects", F.array_distinct(F.flatten(F.array(*parts)))).drop("invented", "dropped", "missing_terms", "new_claims", "hedge_lost")
 
 
-def _named(column: str):
+def named(column: str):
     return F.transform(column, lambda v: F.concat(F.lit(f"{column}:"), v))
 
 

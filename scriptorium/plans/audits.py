@@ -31,10 +31,13 @@ def e19_content_findings(spark, d):
     return findings.content(spread(documents(spark, d)), "doc_id")
 
 
-@query(
-    f"""WITH {_CONTENT}, g AS (SELECT doc_id, sum(CASE impact WHEN 'high' THEN 1.6 WHEN 'medium' THEN 1.0 ELSE 0.5 END * CASE status WHEN 'fail' THEN 1.0 WHEN 'warn' THEN 0.45 ELSE 0 END)::DOUBLE AS lost,
+_ROLLED = """g AS (SELECT doc_id, sum(CASE impact WHEN 'high' THEN 1.6 WHEN 'medium' THEN 1.0 ELSE 0.5 END * CASE status WHEN 'fail' THEN 1.0 WHEN 'warn' THEN 0.45 ELSE 0 END)::DOUBLE AS lost,
 sum(CASE impact WHEN 'high' THEN 1.6 WHEN 'medium' THEN 1.0 ELSE 0.5 END)::DOUBLE AS al, count(*) FILTER (status = 'pass')::BIGINT AS n_pass, count(*) FILTER (status = 'warn')::BIGINT AS n_warn, count(*) FILTER (status = 'fail')::BIGINT AS n_fail FROM fs GROUP BY doc_id),
-h AS (SELECT *, round(greatest(0.0::DOUBLE, 100.0::DOUBLE * (1 - round(lost, 6) / greatest(round(al, 6), 1.0::DOUBLE))))::BIGINT AS score FROM g)
+h AS (SELECT *, round(greatest(0.0::DOUBLE, 100.0::DOUBLE * (1 - round(lost, 6) / greatest(round(al, 6), 1.0::DOUBLE))))::BIGINT AS score FROM g)"""
+
+
+@query(
+    f"""WITH {_CONTENT}, {_ROLLED}
 SELECT doc_id, n_pass, n_warn, n_fail, score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 55 THEN 'needs work' ELSE 'poor' END AS grade FROM h"""
 )
 def e15_roll_up(spark, d):

@@ -243,15 +243,6 @@ def e25_trust_findings(spark, d):
     return findings.trust(draft_articles(spark, d), "doc_id")
 
 
-def audit(rows: DataFrame) -> DataFrame:
-    """All findings of articles with keyword and text, one union (K4)."""
-    parts = [findings.title, findings.description, findings.headings, findings.links, findings.images, findings.technical, findings.trust]
-    found = findings.answers(articles.structure(rows), "doc_id")
-    for part in parts:
-        found = found.unionByName(part(rows, "doc_id"))
-    return found
-
-
 _ALL = " UNION ALL ".join((TITLE, META, HEADINGS, LINKS, IMAGES, TECHNICAL, ANSWERS, TRUST))
 
 
@@ -262,7 +253,7 @@ h AS (SELECT *, round(greatest(0.0::DOUBLE, 100.0::DOUBLE * (1 - round(lost, 6)
 SELECT doc_id, n_pass, n_warn, n_fail, score, CASE WHEN score >= 90 THEN 'excellent' WHEN score >= 75 THEN 'good' WHEN score >= 55 THEN 'needs work' ELSE 'poor' END AS grade FROM h"""
 )
 def e15_k4_audit(spark, d):
-    return findings.roll_up(audit(with_keyword(spark, d)), "doc_id")
+    return findings.roll_up(findings.audit(with_keyword(spark, d), "doc_id"), "doc_id")
 
 
 _STEPPED = f"len(list_filter(blocks, lambda b: regexp_matches(b.text, {S.quoted(findings.BLOCK_STEP)}))) > 0"

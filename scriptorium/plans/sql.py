@@ -77,11 +77,11 @@ f AS (SELECT {keep}, t, low, sents, lens, paras, words::BIGINT AS words, len(sen
     {per1k(rx("t", COLON))} AS colon_lists_1k FROM c)"""
 
 
-def detect() -> str:
+def detect(source: str = "documents", keep: str = "doc_id, lang, source, text") -> str:
     scores = ", ".join(f"{norm(k, g, b)} AS s_{k}" for k, (g, b) in L.DETECT_BANDS.items())
     total = " + ".join(f"round(s_{k}, 1) * {w}::DOUBLE" for k, w in L.DETECT_WEIGHTS.items())
     passed = " AND ".join(f"s_{k} >= {L.DETECT_TARGET}" for k in L.DETECT_BANDS)
-    return f"{english()}, s AS (SELECT *, {scores} FROM f), d AS (SELECT *, 0.0::DOUBLE + {total} AS total, {passed} AS all_passed FROM s)"
+    return f"{english(source, keep)}, s AS (SELECT *, {scores} FROM f), d AS (SELECT *, 0.0::DOUBLE + {total} AS total, {passed} AS all_passed FROM s)"
 
 
 def burstiness() -> str:
