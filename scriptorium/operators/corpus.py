@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from .ranks import running
 
 
 def duplicates(pages: DataFrame, values: dict[str, Column], url: str = "url") -> DataFrame:
@@ -55,19 +56,17 @@ def in_degree(links: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def upper_median(df: DataFrame, value: str) -> DataFrame:
-    """The element at n // 2 of the sorted values, from a histogram: one row for each different value meets in the window."""
+    """The element at n // 2 of the sorted values, from a histogram whose counts are summed by ranges; null of an empty table."""
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
     total = df.agg(F.count("*").alias("_total"))
-    upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = counts.withColumn("_upto", F.sum("_n").over(upto)).crossJoin(F.broadcast(total))
-    return rows.filter("_upto > floor(_total / 2)").agg(F.min(value).alias("median"))
+    rows = running(counts, value, {"_below": "_n"}).crossJoin(F.broadcast(total))
+    return rows.filter("_below + _n > floor(_total / 2)").agg(F.min(value).alias("median"))
 
 
 def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """auc, n_pos, n_neg: chance that a positive scores above a negative, ties half, by rank sums over a histogram of scores."""
     counts = df.groupBy(score).agg(F.sum(F.when(positive, 1).otherwise(0)).alias("p"), F.sum(F.when(positive, 0).otherwise(1)).alias("q"))
-    below = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    rows = counts.withColumn("_below", F.coalesce(F.sum("q").over(below), F.lit(0)))
+    rows = running(counts, score, {"_below": "q"})
     sums = rows.agg(F.sum(F.col("p") * (2 * F.col("_below") + F.col("q"))).alias("_wins"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
     return sums.select(F.round(F.col("_wins") / (2.0 * F.col("n_pos") * F.col("n_neg")), 6).alias("auc"), "n_pos", "n_neg")
 

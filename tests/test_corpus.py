@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scriptorium.operators import corpus, similarity
+from scriptorium.operators import corpus, ranks, similarity
 from scriptorium.sources import html
 from scriptorium.streaming import ledger
 
@@ -66,3 +66,19 @@ def test_ledger_batch_and_stream(spark, tmp_path):
     kept, query = ledger.stream_state(stream, str(tmp_path / "state"), str(tmp_path / "check"))
     query.awaitTermination(60)
     assert {(r.key, r.status) for r in kept.state().collect()} == batch
+
+
+def test_running_sums_by_ranges(spark):
+    """Against a sum row by row: few and many ranges, a hot range, nulls, negative values, an empty table."""
+    values = [None, -7, -3, 0, *range(5, 400, 3), 10**12]
+    rows = [(v, i % 7, None if i % 11 == 0 else i) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "v long, a int, b long").repartition(3)
+    want, a, b = {}, 0, 0
+    for v, x, y in rows:
+        want[v], a, b = (a, b), a + x, b + (y or 0)
+    for ranges in (2, 200):
+        got = ranks.running(df, "v", {"below_a": "a", "below_b": "b"}, ranges).collect()
+        assert {r.v: (r.below_a, r.below_b) for r in got} == want and len(got) == len(rows)
+    assert ranks.running(df.limit(0), "v", {"below": "a"}).count() == 0
+    assert corpus.upper_median(df.limit(0), "v").first().median is None
+    assert corpus.upper_median(spark.createDataFrame([(0.5,), (0.25,), (float("nan"),)], "v double"), "v").first().median == 0.5
