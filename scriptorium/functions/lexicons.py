@@ -19,19 +19,23 @@ TELLS = [
 AUDIT_TELLS = TELLS[:11]
 
 #: Stop words of the on-page audit, of the site analysis, and of content-word overlap.
-AUDIT_STOP = (
-    "the a an and or but if of to in on for with as is are was were be been being it its this that these those at by from can may will "
-    "would should could has have had do does did not you your we our they their he she his her i so than then there here what when which "
-    "who how why all any more most some such no nor only own same too very just also about into over"
-).split()
-SITE_STOP = (
-    "the a an and or of for in on to with at by from is are how what why when which who your you best top common guide complete know about "
-    "need everyone should not ignore signs can do does"
-).split()
-OVERLAP_STOP = (
-    "the a an and or but if of to in on for with as is are was were be been being it its this that these those at by from can may will "
-    "would should could has have had do does did not you your we our they their he she his her"
-).split()
+AUDIT_STOP = [
+    "the", "a", "an", "and", "or", "but", "if", "of", "to", "in", "on", "for", "with", "as", "is", "are", "was", "were", "be", "been",
+    "being", "it", "its", "this", "that", "these", "those", "at", "by", "from", "can", "may", "will", "would", "should", "could", "has",
+    "have", "had", "do", "does", "did", "not", "you", "your", "we", "our", "they", "their", "he", "she", "his", "her", "i", "so", "than",
+    "then", "there", "here", "what", "when", "which", "who", "how", "why", "all", "any", "more", "most", "some", "such", "no", "nor",
+    "only", "own", "same", "too", "very", "just", "also", "about", "into", "over",
+]
+SITE_STOP = [
+    "the", "a", "an", "and", "or", "of", "for", "in", "on", "to", "with", "at", "by", "from", "is", "are", "how", "what", "why", "when",
+    "which", "who", "your", "you", "best", "top", "common", "guide", "complete", "know", "about", "need", "everyone", "should", "not",
+    "ignore", "signs", "can", "do", "does",
+]
+OVERLAP_STOP = [
+    "the", "a", "an", "and", "or", "but", "if", "of", "to", "in", "on", "for", "with", "as", "is", "are", "was", "were", "be", "been",
+    "being", "it", "its", "this", "that", "these", "those", "at", "by", "from", "can", "may", "will", "would", "should", "could", "has",
+    "have", "had", "do", "does", "did", "not", "you", "your", "we", "our", "they", "their", "he", "she", "his", "her",
+]
 
 #: Weights and bands (good, bad) of the English detector.
 DETECT_WEIGHTS = {"para_cv": 0.30, "tell_1k": 0.30, "colon_lists_1k": 0.25, "passive_ratio": 0.15}

@@ -12,7 +12,7 @@ from ..session import spread, table
 from ..sources import html, site_files
 from . import drafts
 from . import sql as S
-from .catalog import documents, query
+from .catalog import _SLUG, documents, query
 
 #: Literal Hindi texts besides: plain prose, calques and spaced stops, mixed script, forms of address, mechanics, none.
 HINDI = [
@@ -161,14 +161,21 @@ def e9_g15_composite(spark, d):
     return scoring.composite(rows).select("doc_id", "human_likeness", "ai_pct", "passed")
 
 
-_SLUGS = [(f"{c}{i}", t) for c in CODES for i, t in enumerate([*L.CONNECTIVES[c], *L.CALQUES[c]])]
+def _roman_sql() -> str:
+    """CTEs up to `r`: titles in Latin letters, code point by code point with a look at what follows, not by patterns."""
+    voiced, mute, dot = (scripts._at(x) for x in ([*scripts.CONSONANTS, *scripts.NUKTA], [*scripts.SIGNS, 0x4D, 0x3C], [0x3C]))
+    known = {k: v for k, v in scripts.TABLE.items() if k >= "\x80"}
+    letter = f"coalesce({S.names(list(known.values()))}[list_position({S.names(list(known))}, c[i])], c[i])"
+    after = f"CASE WHEN i < len(c) AND contains({S.quoted(dot)}, c[i + 1]) THEN i + 2 ELSE i + 1 END"
+    vowel = f"CASE WHEN contains({S.quoted(voiced)}, c[i]) AND NOT (({after}) <= len(c) AND contains({S.quoted(mute)}, c[{after}])) THEN 'a' ELSE '' END"
+    return f"""{_TEXTS}, rc AS (SELECT doc_id, lang, list_transform(range(1, length(t) + 1), lambda i: substring(t, i, 1)) AS c FROM (SELECT doc_id, lang, string_split(text, '।')[1] AS t FROM h)),
+r AS (SELECT doc_id, lang, array_to_string(list_transform(range(1, len(c) + 1), lambda i: {letter} || {vowel}), '') AS text FROM rc)"""
 
 
-@query()
+@query(f"WITH {_roman_sql()}, a AS (SELECT doc_id, lang, {_SLUG} AS s FROM r), b AS (SELECT doc_id, lang, CASE WHEN length(s) > 60 THEN regexp_replace(left(s, 60), '-[^-]*$', '') ELSE s END AS s FROM a) SELECT doc_id, lang, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM b")
 def c21_roman_slugs(spark, d):
-    """Slugs of the connectives and calques of all languages; tests hold the table against literals."""
-    rows = F.array(*(F.struct(F.lit(k).alias("id"), F.lit(t).alias("title")) for k, t in _SLUGS))
-    return spark.range(1).select(F.inline(rows)).select("id", scripts.roman_slug(F.col("title")).alias("slug"))
+    """Slugs of what stands before a text's first full stop, in all scripts; tests hold the table against literals."""
+    return texts(spark, d).select("doc_id", "lang", scripts.roman_slug(F.substring_index("text", "।", 1)).alias("slug"))
 
 
 @query(f"{drafts.PAIRS}, {drafts._spans_sql('ep', 'before')}, ct AS (SELECT doc_id, count(*)::BIGINT AS n FROM sp_before GROUP BY doc_id) SELECT doc_id, coalesce(n, 0) AS n_spans, true AS round_trip, coalesce(n, 0) AS n_tokens FROM ep LEFT JOIN ct USING (doc_id)")
