@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from ..functions import text as T
 from .ranks import running
 
 
@@ -68,7 +69,7 @@ def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     counts = df.groupBy(score).agg(F.sum(F.when(positive, 1).otherwise(0)).alias("p"), F.sum(F.when(positive, 0).otherwise(1)).alias("q"))
     rows = running(counts, score, {"_below": "q"})
     sums = rows.agg(F.sum(F.col("p") * (2 * F.col("_below") + F.col("q"))).alias("_wins"), F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"))
-    return sums.select(F.round(F.col("_wins") / (2.0 * F.col("n_pos") * F.col("n_neg")), 6).alias("auc"), "n_pos", "n_neg")
+    return sums.select(T.rounded(F.col("_wins") / (2.0 * F.col("n_pos") * F.col("n_neg")), 6).alias("auc"), "n_pos", "n_neg")
 
 
 def separation(df: DataFrame, features: list[str], positive: Column) -> DataFrame:
@@ -78,7 +79,7 @@ def separation(df: DataFrame, features: list[str], positive: Column) -> DataFram
     agg = rows.groupBy("feature").agg(F.avg(p).alias("mp"), F.avg(q).alias("mq"), F.var_samp(p).alias("vp"), F.var_samp(q).alias("vq"), F.count(p).alias("np"), F.count(q).alias("nq"))
     pooled = F.sqrt(((F.col("np") - 1) * F.col("vp") + (F.col("nq") - 1) * F.col("vq")) / (F.col("np") + F.col("nq") - 2))
     gap = F.col("mp") - F.col("mq")
-    return agg.select("feature", F.round("mp", 5).alias("mean_pos"), F.round("mq", 5).alias("mean_neg"), F.round(gap / F.greatest(F.abs("mp"), F.lit(1e-6)), 5).alias("sep"), F.when(pooled > 0, F.round(gap / pooled, 5)).alias("d"))
+    return agg.select("feature", T.rounded("mp", 5).alias("mean_pos"), T.rounded("mq", 5).alias("mean_neg"), T.rounded(gap / F.greatest(F.abs("mp"), F.lit(1e-6)), 5).alias("sep"), F.when(pooled > 0, T.rounded(gap / pooled, 5)).alias("d"))
 
 
 def last_wins(df: DataFrame, key: str, seq: str) -> DataFrame:

@@ -309,7 +309,7 @@ def page(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def _score(lost: Column, of: Column) -> Column:
-    return F.round(F.greatest(F.lit(0.0), 100.0 * (1 - F.round(lost, 6) / F.greatest(F.round(of, 6), F.lit(1.0))))).cast("long")
+    return F.round(F.greatest(F.lit(0.0), 100.0 * (1 - T.rounded(lost, 6) / F.greatest(T.rounded(of, 6), F.lit(1.0))))).cast("long")
 
 
 def score_of(found: Column) -> Column:
@@ -333,7 +333,7 @@ def roll_up(findings: DataFrame, key: str) -> DataFrame:
 def group_scores(findings: DataFrame, by: list[str]) -> DataFrame:
     sums = findings.groupBy(*by).agg(*(F.sum((F.col("status") == s).cast("long")).alias(f"n_{s}") for s in ("pass", "warn", "fail")))
     n = F.col("n_pass") + F.col("n_warn") + F.col("n_fail")
-    return sums.withColumn("score", F.round(100 * (F.col("n_pass") + F.lit(0.55) * F.col("n_warn")) / n, 2))
+    return sums.withColumn("score", T.rounded(100 * (F.col("n_pass") + F.lit(0.55) * F.col("n_warn")) / n, 2))
 
 
 def quotable(articles: DataFrame) -> DataFrame:
@@ -412,7 +412,7 @@ def readiness(chunked: DataFrame, key: str, named: DataFrame | None = None, size
         rows = rows.join(terms, key, "left").withColumn("_less", F.coalesce(~F.exists("_terms", lambda e: F.contains(low, e)), F.lit(False)))
     sums = rows.groupBy(key).agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("long")).alias(n) for c, n in (("_orphan", "orphans"), ("_less", "entityless"), ("_large", "oversized"))))
     lost = 55.0 * (F.col("orphans") / F.col("n")) + 30.0 * (F.col("entityless") / F.col("n")) + 15.0 * (F.col("oversized") / F.col("n"))
-    return sums.withColumn("readiness", F.round(F.greatest(F.lit(0.0), 100.0 - lost), 1))
+    return sums.withColumn("readiness", T.rounded(F.greatest(F.lit(0.0), 100.0 - lost), 1))
 
 
 def reach(df: DataFrame, blocked: str = "blocked", manifest: str = "manifest") -> DataFrame:
@@ -420,8 +420,8 @@ def reach(df: DataFrame, blocked: str = "blocked", manifest: str = "manifest") -
 
     blocked: whether a crawler is, null where nothing is known of the site.
     """
-    total = F.round(0.45 * F.col("readiness") + 0.40 * F.col("citation") + 0.15 * F.when(F.col(manifest), 100.0).otherwise(0.0), 1)
-    return df.withColumns({"geo": F.when(F.col(blocked), F.round(total * 0.4, 1)).otherwise(total), "gated": F.coalesce(F.col(blocked), F.lit(False))})
+    total = T.rounded(0.45 * F.col("readiness") + 0.40 * F.col("citation") + 0.15 * F.when(F.col(manifest), 100.0).otherwise(0.0), 1)
+    return df.withColumns({"geo": F.when(F.col(blocked), T.rounded(total * 0.4, 1)).otherwise(total), "gated": F.coalesce(F.col(blocked), F.lit(False))})
 
 
 def headed(chunked: DataFrame, titles: DataFrame, key: str) -> DataFrame:
@@ -435,7 +435,7 @@ def keyword_placement(df: DataFrame, key: str, body: str = "body", keyword: str
     kw, low = F.col(keyword), F.lower(F.coalesce(F.col(body), F.lit("")))
     rows = df.withColumns({"_low": low, "_has": kw != ""})
     hits = (F.length("_low") - F.length(F.replace("_low", kw, F.lit("")))) / F.greatest(F.length(kw), F.lit(1))
-    rows = rows.withColumn("_density", F.when(F.col("_has"), F.round(hits / F.greatest(F.lit(1), T.word_count(F.col("_low"))) * 100.0, 2)))
+    rows = rows.withColumn("_density", F.when(F.col("_has"), T.rounded(hits / F.greatest(F.lit(1), T.word_count(F.col("_low"))) * 100.0, 2)))
     density, has = F.col("_density"), F.col("_has")
     first = F.array_join(F.slice(T.tokens(F.col("_low")), 1, 100), " ")
     status = F.when((density == 0) | (density > 3.0), "fail").when((density > 2.0) | (density < 0.3), "warn").otherwise("pass")

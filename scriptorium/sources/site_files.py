@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: Crawlers of answer engines that robots.txt may name. Fixed values.
 AGENTS = ["GPTBot", "OAI-SearchBot", "ChatGPT-User", "ClaudeBot", "anthropic-ai", "Claude-Web", "PerplexityBot", "Perplexity-User", "Google-Extended", "Applebot-Extended", "CCBot", "Bytespider", "meta-externalagent"]
 
@@ -133,4 +135,4 @@ def coverage(audited: DataFrame, urls: DataFrame, key: str) -> DataFrame:
     """key, coverage: the share of a site's addresses (key, url) that its llms.txt links."""
     listed = audited.select(key, F.explode("links").alias("url")).select(key, F.rtrim("url", F.lit("/")).alias("url")).distinct().withColumn("_in", F.lit(1))
     rows = urls.select(key, F.rtrim("url", F.lit("/")).alias("url")).join(listed, [key, "url"], "left")
-    return rows.groupBy(key).agg(F.round(F.count("_in") / F.count("*"), 3).alias("coverage"))
+    return rows.groupBy(key).agg(T.rounded(F.count("_in") / F.count("*"), 3).alias("coverage"))
