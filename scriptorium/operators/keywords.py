@@ -136,7 +136,7 @@ def title_options(candidates: DataFrame, by: str, of: int = 8, most: int = 5) ->
     first = Window.partitionBy(by).orderBy(gap, "pos")
     rows = candidates.filter("status != 'covered'").withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= of)
     t = T.strip(F.col("query"))
-    rows = rows.withColumn("title", F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1000))).filter((F.length("title") > 15) & (F.length("title") < 70))
+    rows = rows.withColumn("title", F.concat(T.capital(F.substring(t, 1, 1)), F.substring(t, 2, 1000))).filter((F.length("title") > 15) & (F.length("title") < 70))
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(by, F.lower("title")).orderBy("_k"))).filter("_n = 1")
     return rows.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("_k")).cast("long")).filter(F.col("k") <= most).select(by, "k", "title")
 
