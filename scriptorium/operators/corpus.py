@@ -42,11 +42,14 @@ def defects(pages: DataFrame) -> DataFrame:
 
 
 def link_rows(pages: DataFrame, links: str = "links") -> DataFrame:
-    """url, target, internal: all distinct links of each page, made absolute, no fragments, no trailing slash."""
+    """url, target, internal: all distinct links of each address, made absolute, no fragments, no trailing slash.
+
+    Pages that were stored under one address are one: a link that several of them have counts once.
+    """
     from ..sources.html import NO_PAGE, absolute, host
 
     found = F.transform(F.filter(links, lambda x: ~F.rlike(x, F.lit(NO_PAGE))), lambda x: F.rtrim(absolute(x, F.col("url")), F.lit("/")))
-    rows = pages.select("url", F.explode(F.array_distinct(F.filter(found, lambda x: F.startswith(x, F.lit("http"))))).alias("target"))
+    rows = pages.select("url", F.explode(F.array_distinct(F.filter(found, lambda x: F.startswith(x, F.lit("http"))))).alias("target")).distinct()
     return rows.withColumn("internal", host(F.col("url")) == host(F.col("target")))
 
 
