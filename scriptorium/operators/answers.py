@@ -25,17 +25,23 @@ def apply_structure(articles: DataFrame, plans: DataFrame, key: str) -> DataFram
     """articles with what a writer's plan gives for them; rows without a plan stay.
 
     plans: key, title, meta_description, tldr (array), tldr_heading, answers (map of heading to answer), blocks (null: the
-    article's own), faqs, images_alt (map of src to alt). A summary comes first, an answer right after its heading.
+    article's own), faqs, images_alt (map of src to alt). A summary comes first, an answer right after its heading: the very
+    one that the plan names where there is one, else those that differ from it by white space around.
     """
     names = ("title", "meta_description", "tldr", "tldr_heading", "answers", "blocks", "faqs", "images_alt")
     rows = articles.join(plans.select(key, *(F.col(n).alias(f"_p_{n}") for n in names), F.lit(True).alias("_planned")), key, "left")
     bullets = F.slice(F.filter(F.transform(F.coalesce("_p_tldr", F.array().cast("array<string>")), T.strip), lambda x: x != ""), 1, BULLETS)
     summary = F.when(F.size(bullets) > 0, F.concat(F.array(_block("h2", F.coalesce(_given("_p_tldr_heading"), F.lit("TL;DR")))), F.transform(bullets, lambda x: _block("tldr", x)))).otherwise(F.array().cast(BLOCK))
-    wanted = F.map_from_entries(F.filter(F.transform(F.map_entries(F.coalesce("_p_answers", F.create_map().cast("map<string,string>"))), lambda e: F.struct(T.strip(e["key"]).alias("key"), T.strip(e["value"]).alias("value"))), lambda e: e["value"] != ""))
-    rows = rows.withColumns({"_summary": summary, "_wanted": wanted, "_source": F.coalesce("_p_blocks", "blocks")})
+    answers = F.filter(F.map_entries(F.coalesce("_p_answers", F.create_map().cast("map<string,string>"))), lambda e: T.strip(e["value"]) != "")
+
+    def given(which, named) -> Column:
+        return F.map_from_entries(F.transform(F.filter(answers, which), lambda e: F.struct(named(e["key"]).alias("key"), T.strip(e["value"]).alias("value"))))
+    rows = rows.withColumn("_source", F.coalesce("_p_blocks", "blocks"))
+    rows = rows.withColumn("_named", F.transform(F.filter("_source", lambda b: b["type"].isin("h2", "h3")), lambda b: b["text"]))
+    rows = rows.withColumns({"_summary": summary, "_exact": given(lambda e: F.array_contains("_named", e["key"]), lambda k: k), "_wanted": given(lambda e: ~F.array_contains("_named", e["key"]), T.strip)})
 
     def answered(b: Column) -> Column:
-        answer = F.try_element_at("_wanted", T.strip(b["text"]))
+        answer = F.coalesce(F.try_element_at("_exact", b["text"]), F.try_element_at("_wanted", T.strip(b["text"])))
         return F.when(b["type"].isin("h2", "h3") & answer.isNotNull(), F.array(_block(b["type"], b["text"]), _block("answer", answer))).otherwise(F.array(_block(b["type"], b["text"])))
 
     faqs = F.slice(F.filter(F.coalesce("_p_faqs", F.array().cast("array<struct<q:string,a:string>>")), lambda f: (T.strip(F.coalesce(f["q"], F.lit(""))) != "") & (T.strip(F.coalesce(f["a"], F.lit(""))) != "")), 1, FAQS)
@@ -50,7 +56,7 @@ def apply_structure(articles: DataFrame, plans: DataFrame, key: str) -> DataFram
             "images": F.when(F.col("_p_images_alt").isNotNull(), F.transform("images", lambda i: F.struct(i["src"].alias("src"), alt(i).alias("alt")))).otherwise(F.col("images")),
         }
     )
-    return rows.drop("_summary", "_wanted", "_source", "_planned", *(f"_p_{n}" for n in names))
+    return rows.drop("_summary", "_exact", "_wanted", "_named", "_source", "_planned", *(f"_p_{n}" for n in names))
 
 
 def answer_fits(text: Column) -> Column:
