@@ -111,13 +111,13 @@ def suggested(asked: DataFrame, answers: DataFrame, topic_column: str) -> DataFr
     """topic_column, suggestion, hits, k: the answers (query, suggestion) to the queries of a topic, ranked.
 
     Echoes of what was asked go, and what adds no word to the topic; those that contain the topic come first, then the
-    frequent, then the short.
+    frequent, then the short. All joins are merge joins: what compresses well isn't small where it is sent whole.
     """
-    rows = asked.join(answers, "query").withColumn("suggestion", T.strip(F.col("suggestion"))).filter(F.length("suggestion") > 4)
+    rows = asked.join(answers.hint("merge"), "query").withColumn("suggestion", T.strip(F.col("suggestion"))).filter(F.length("suggestion") > 4)
     hits = rows.groupBy(topic_column, "suggestion").agg(F.count("*").alias("hits"))
     topic_low, low = F.lower(topic_column), F.lower("suggestion")
     echo = asked.select(topic_column, F.lower("query").alias("_low")).distinct()
-    hits = hits.withColumn("_low", low).join(echo.withColumn("_echo", F.lit(True)), [topic_column, "_low"], "left")
+    hits = hits.withColumn("_low", low).join(echo.withColumn("_echo", F.lit(True)).hint("merge"), [topic_column, "_low"], "left")
     new = F.size(F.array_except(T.token_set(F.col("suggestion"), L.SITE_STOP), T.token_set(F.col(topic_column), L.SITE_STOP))) > 0
     hits = hits.filter((low == topic_low) | (F.col("_echo").isNull() & new))
     order = Window.partitionBy(topic_column).orderBy(~F.contains(low, topic_low), F.desc("hits"), F.length("suggestion"), "suggestion")

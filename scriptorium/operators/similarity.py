@@ -25,7 +25,7 @@ def frequencies(sets: DataFrame, tokens: str = "_set", by: list[str] = ()) -> Da
 
 def in_order(sets: DataFrame, key: str, counts: DataFrame, by: list[str] = ()) -> DataFrame:
     """by, key, _set: tokens by frequency, those without a count first. Rows without tokens go; keys are unique."""
-    rows = sets.select(*by, key, F.explode("_set").alias("_token")).join(counts, [*by, "_token"], "left")
+    rows = sets.select(*by, key, F.explode("_set").alias("_token")).join(counts.hint("merge"), [*by, "_token"], "left")
     ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_token").alias("t"))))
     return rows.groupBy(*by, key).agg(F.transform(ranked, lambda x: x["t"]).alias("_set"))
 
