@@ -389,31 +389,93 @@ def entities(df: DataFrame, key: str, text: str = "text", most: int = 12) -> Dat
     return rows.select(key, "entity", "n", k.cast("long").alias("k")).filter(F.col("k") <= most)
 
 
-def chunks(blocks: DataFrame, key: str, size: int = 320) -> DataFrame:
-    """key, chunk, heading, words, text: blocks (key, pos, type, text) cut at headings and once a chunk has `size` words.
+def with_terms(df: DataFrame, text: str = "text", most: int = 12, name: str = "terms") -> DataFrame:
+    """df with the entities of entities(), of four letters or more and in lower case, as an array: counted within the row, as
+    run lengths of the sorted matches, so that nothing is shuffled."""
+    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(ENTITY), F.lit(1))
+    rows = df.withColumn("_m", F.filter(found, lambda e: ~F.lower(e).isin("the", "this", "these", "however", "these are")))
+    rows = rows.withColumn("_m", F.array_sort(F.transform("_m", lambda e, i: F.struct(e.alias("e"), i.alias("i")))))
+    at = lambda i: F.get("_m", i)
+    rows = rows.withColumn("_r", F.filter(F.transform("_m", lambda x, i: F.when((i == 0) | (x["e"] != at(i - 1)["e"]), i)), lambda i: i.isNotNull()))
+    runs = F.transform("_r", lambda i, k: F.struct((i - F.coalesce(F.get("_r", k + 1), F.size("_m"))).alias("n"), at(i)["i"].alias("first"), at(i)["e"].alias("e")))
+    top = F.slice(F.array_sort(F.filter(runs, lambda r: r["n"] <= -2)), 1, most)
+    return rows.withColumn(name, F.transform(F.filter(top, lambda r: F.length(r["e"]) > 3), lambda r: F.lower(r["e"]))).drop("_m", "_r")
+
+
+def cut(blocks: Column, size: int = 320) -> Column:
+    """The chunks (chunk, heading, words, text) of an array of blocks (type, text) in order, cut at headings and once a chunk
+    has `size` words: one pass, in which only the open chunk's text grows."""
+    counted = F.transform(blocks, lambda b: F.struct(F.coalesce(b["type"].isin("h2", "h3"), F.lit(False)).alias("head"), b["text"].alias("text"), T.word_count(b["text"]).alias("n")))
+    none = F.array().cast("array<struct<chunk:int,heading:string,words:bigint,text:string>>")
+    start = F.struct(F.lit("").alias("heading"), F.lit(0).alias("words"), F.lit(0).alias("chunk"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("held"), none.alias("out"))
+
+    def closed(a: Column) -> Column:
+        one = F.struct(a["chunk"].alias("chunk"), a["heading"].alias("heading"), a["words"].cast("long").alias("words"), F.coalesce(a["text"], F.lit("")).alias("text"))
+        return F.when(a["held"], F.concat(a["out"], F.array(one))).otherwise(a["out"])
+
+    def step(a: Column, b: Column) -> Column:
+        head, full = b["head"], a["words"] >= size
+        return F.struct(
+            F.when(head, b["text"]).otherwise(a["heading"]).alias("heading"),
+            F.when(head, 0).when(full, b["n"]).otherwise(a["words"] + b["n"]).alias("words"),
+            (a["chunk"] + (head | full).cast("int")).alias("chunk"),
+            F.when(head, F.lit(None)).when(full | a["text"].isNull(), b["text"]).when(b["text"].isNull(), a["text"]).otherwise(F.concat(a["text"], F.lit(" "), b["text"])).alias("text"),
+            (~head).alias("held"),
+            F.when(head | full, closed(a)).otherwise(a["out"]).alias("out"),
+        )
+
+    return F.aggregate(counted, start, step, closed)
+
+
+def _one_each(rows: DataFrame, key: str, cuts: str) -> DataFrame:
+    return rows.select(key, F.explode_outer(cuts).alias("_c")).filter("_c is not null").select(key, "_c.*")
 
-    The running length starts anew with each chunk, which no window can express: one pass over a document's ordered blocks.
-    """
+
+def chunks(blocks: DataFrame, key: str, size: int = 320) -> DataFrame:
+    """key, chunk, heading, words, text: the chunks of each document's blocks (key, pos, type, text)."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "type", "text")))
-    start = F.struct(F.lit("").alias("heading"), F.lit(0).alias("words"), F.lit(0).alias("chunk"), F.array().cast("array<struct<chunk:int,heading:string,text:string,words:int>>").alias("out"))
+    return _one_each(blocks.groupBy(key).agg(ordered.alias("_b")).withColumn("_b", cut(F.col("_b"), size)), key, "_b")
+
+
+def with_chunks(articles: DataFrame, size: int = 320, name: str = "chunks") -> DataFrame:
+    """articles (title, blocks) with their chunks as an array; those before the first heading stand under the title."""
+    of = lambda c: F.struct(c["chunk"].alias("chunk"), F.when(c["heading"] == "", F.coalesce("title", F.lit(""))).otherwise(c["heading"]).alias("heading"), c["words"].alias("words"), c["text"].alias("text"))
+    return articles.withColumn(name, F.transform(cut(F.col("blocks"), size), of))
+
 
-    def step(acc: Column, b: Column) -> Column:
-        head = b["type"].isin("h2", "h3")
-        fresh = head | (acc["words"] >= size)
-        chunk, heading = acc["chunk"] + fresh.cast("int"), F.when(head, b["text"]).otherwise(acc["heading"])
-        n = T.word_count(b["text"])
-        one = F.struct(chunk.alias("chunk"), heading.alias("heading"), b["text"].alias("text"), n.alias("words"))
-        return F.struct(heading.alias("heading"), F.when(head, 0).when(fresh, n).otherwise(acc["words"] + n).alias("words"), chunk.alias("chunk"), F.when(head, acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
+def article_chunks(articles: DataFrame, key: str, size: int = 320) -> DataFrame:
+    """key, chunk, heading, words, text of articles with title and blocks, without a shuffle."""
+    return _one_each(with_chunks(articles, size, "_chunks"), key, "_chunks")
 
-    packed = blocks.groupBy(key).agg(ordered.alias("_b")).select(key, F.posexplode(F.aggregate("_b", start, step, lambda a: a["out"])).alias("_pos", "_o"))
-    rows = packed.groupBy(key, F.col("_o.chunk").alias("chunk")).agg(F.first("_o.heading").alias("heading"), F.sum("_o.words").alias("words"), F.array_sort(F.collect_list(F.struct("_pos", "_o.text"))).alias("_t"))
-    return rows.select(key, "chunk", "heading", "words", F.array_join(F.transform("_t", lambda x: x["text"]), " ").alias("text"))
+
+def _readiness() -> Column:
+    lost = 55.0 * (F.col("orphans") / F.col("n")) + 30.0 * (F.col("entityless") / F.col("n")) + 15.0 * (F.col("oversized") / F.col("n"))
+    return T.rounded(F.greatest(F.lit(0.0), 100.0 - lost), 1)
+
+
+_OPENS = ORPHAN.replace("(?i)^", rf"(?i)^{T.WS}*", 1)
+
+
+def article_readiness(articles: DataFrame, size: int = 320) -> DataFrame:
+    """articles (title, text, blocks) that have a chunk, with n, orphans, entityless, oversized and readiness as of readiness()
+    over their chunks and entities: each article within its row."""
+    kept = articles.columns
+    rows = with_chunks(with_terms(articles, name="_terms"), size, "_chunks").withColumn("_low", F.transform("_chunks", lambda c: F.lower(F.concat(c["heading"], F.lit(" "), c["text"]))))
+    sums = {
+        "n": F.size("_chunks"),
+        "orphans": F.size(F.filter("_chunks", lambda c: F.rlike(c["text"], F.lit(_OPENS)))),
+        "entityless": F.when(F.size("_terms") > 0, F.size(F.filter("_low", lambda t: ~F.exists("_terms", lambda e: F.contains(t, e))))).otherwise(0),
+        "oversized": F.size(F.filter("_chunks", lambda c: c["words"] > size * 1.6)),
+    }
+    # behind an explode_outer a filter stays where it is; pushed below, all the above would be computed for it once more
+    rows = rows.select(*kept, F.explode_outer(F.array(F.struct(*(v.cast("long").alias(k) for k, v in sums.items())))).alias("_s")).select(*kept, "_s.*")
+    return rows.filter("n > 0").withColumn("readiness", _readiness())
 
 
 def readiness(chunked: DataFrame, key: str, named: DataFrame | None = None, size: int = 320) -> DataFrame:
     """Of each document's chunks the shares that open with a dangling reference, name none of its entities (named: key,
     entity) or are too long, and the score of all three. Documents without entities lose nothing by them."""
-    rows = chunked.withColumns({"_orphan": F.rlike("text", F.lit(ORPHAN.replace("(?i)^", rf"(?i)^{T.WS}*", 1))), "_large": F.col("words") > size * 1.6})
+    rows = chunked.withColumns({"_orphan": F.rlike("text", F.lit(_OPENS)), "_large": F.col("words") > size * 1.6})
     if named is None:
         rows = rows.withColumn("_less", F.lit(False))
     else:
@@ -421,8 +483,7 @@ def readiness(chunked: DataFrame, key: str, named: DataFrame | None = None, size
         low = F.lower(F.concat("heading", F.lit(" "), "text"))
         rows = rows.join(terms, key, "left").withColumn("_less", F.coalesce(~F.exists("_terms", lambda e: F.contains(low, e)), F.lit(False)))
     sums = rows.groupBy(key).agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("long")).alias(n) for c, n in (("_orphan", "orphans"), ("_less", "entityless"), ("_large", "oversized"))))
-    lost = 55.0 * (F.col("orphans") / F.col("n")) + 30.0 * (F.col("entityless") / F.col("n")) + 15.0 * (F.col("oversized") / F.col("n"))
-    return sums.withColumn("readiness", T.rounded(F.greatest(F.lit(0.0), 100.0 - lost), 1))
+    return sums.withColumn("readiness", _readiness())
 
 
 def reach(df: DataFrame, blocked: str = "blocked", manifest: str = "manifest") -> DataFrame:
