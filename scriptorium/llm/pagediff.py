@@ -1,11 +1,16 @@
 """The main text of web pages: structure first, then differencing against the page with the nearest URL.
 
 A page is read into blocks. What HTML marks as furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-comments) goes. Where the page marks its article, the article's blocks are the text: pages of one host may share whole
-articles, which differencing would delete. Other pages are paired, within their host and by URL path, with that of their
-next two neighbours on each side whose path shares the longest beginning; the lines of both are aligned by longest common
-subsequence, and the shared ones, the furniture of the host, are deleted. A neighbour with nearly the same lines is a copy,
-and one that shares none has other furniture; then the next nearest is taken.
+comments) goes. Every page is then held, within its host and by URL path, against its next two neighbours on each side, nearest
+(longest common beginning of the paths) first; lines are aligned by longest common subsequence.
+
+Where a page marks no article, the lines shared with the nearest, the furniture of the host, are deleted. A neighbour with
+nearly the same lines is a copy, and one that shares none has other furniture; then the next nearest is taken.
+
+Where a page marks its article, the article's blocks are its lines. Articles of one host may repeat one another's lines, which
+are text; so what the nearest page shares is only a candidate, if three neighbours or more are no versions of the article (over
+half of the lines shared) and all of them share the line. An exact check follows: a candidate is furniture if at least half of
+the host's different pages hold it, and goes from all of the host's marked articles. An article is never deleted whole.
 
 Defined results: a null html is an empty one and has an empty text. A null URL has an empty host and path; such pages are
 neighbours of one another. Repeated rows are extracted each. An empty table gives an empty result. Only the id, url and html
@@ -213,6 +218,19 @@ def unshared(lines: list[int], path: str, others: list[dict], copy: float = 0.8)
     return set(range(len(lines)))
 
 
+def furnished(lines: list[int], path: str, others: list[dict], version: float = 0.5, least: int = 3) -> set[int]:
+    """Places of the lines of a marked article that may be the host's furniture: shared with the nearest of the other pages that is
+    no version of it, and with all the others that are none, if these are so many."""
+    gone, used = set(range(len(lines))), 0
+    for other in sorted(others, key=lambda o: -_beginning(path, o["path"])):
+        shared = common_lines(lines, other["lines"])
+        if len(shared) <= version * max(len(lines), len(other["lines"])):
+            gone, used = gone & shared, used + 1
+            if not gone:
+                return gone
+    return gone if used >= least and len(gone) < len(lines) else set()
+
+
 def _read(pages: DataFrame, id_column: str) -> DataFrame:
     def rows(batches):
         import pyarrow as pa
@@ -232,28 +250,45 @@ def _read(pages: DataFrame, id_column: str) -> DataFrame:
     return given.mapInArrow(rows, f"id {kind}, url string, host string, path string, text string, blocks array<string>, lines array<bigint>")
 
 
+def _furniture_of(units: DataFrame, candidates: DataFrame) -> DataFrame:
+    """host and _common: the candidates (host, line) that half of a host's units hold, at most twice the lines of a mean unit."""
+    held = units.select("host", F.explode(F.array_distinct("lines")).alias("line")).join(candidates, ["host", "line"])
+    held = held.groupBy("host", "line").agg(F.count("*").alias("n")).join(units.groupBy("host").agg(F.count("*").alias("of")), "host")
+    return held.filter("2 * n >= of").groupBy("host").agg(F.collect_list("line").alias("_common"))
+
+
 def extract(pages: DataFrame, id_column: str = "page_id") -> DataFrame:
     """The id, url and text of every page."""
     scratch = Scratch(pages.sparkSession, "pages")
     read = scratch.keep(_read(pages, id_column).withColumn("_print", F.xxhash64("lines")), "read")
-    marked = read.filter("blocks is null").select("id", "url", "text")
     order = ["host", "path", "_print"]  # pages of one host with the same lines are one in the order, at the least of their paths
-    units = read.groupBy("host", "_print").agg(F.min("path").alias("path"), F.first("lines").alias("lines"))
-    units = scratch.keep(units.select(*order, "lines"), "units")
+    kinds = [F.max(F.col("blocks").isNull()).alias("marked"), F.max(F.col("blocks").isNotNull()).alias("open")]
+    units = read.groupBy("host", "_print").agg(F.min("path").alias("path"), F.first("lines").alias("lines"), *kinds)
+    units = scratch.keep(units.select(*order, "lines", "marked", "open"), "units")
     near = neighbours(ordered(units, order, scratch, "ordered"), order, ["host", "path", "lines"]).withColumnsRenamed({"_before": "_b", "_after": "_a"})
-    pairs = neighbours(scratch.keep(near, "near"), order, ["_b", "_a"]).select(*order, "_b", "_a", F.col("_before._b").alias("_bb"), F.col("_after._a").alias("_aa"))
+    pairs = neighbours(scratch.keep(near, "near"), order, ["_b", "_a"])
+    pairs = pairs.select("host", "_print", "path", "lines", "marked", "open", "_b", "_a", F.col("_before._b").alias("_bb"), F.col("_after._a").alias("_aa"))
 
     def differ(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = []
-            for host, path, own, lines, *others in zip(*(batch.column(i).to_pylist() for i in range(2, 10)), strict=True):
-                keep = unshared(lines, path, [o for o in others if o is not None and o["host"] == host])
-                texts.append("\n\n".join(t for i, t in enumerate(own) if i in keep))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
-
-    opened = read.filter("blocks is not null").drop("path").join(pairs, ["host", "_print"])
-    opened = opened.select("id", "url", "host", "path", "blocks", "lines", "_b", "_a", "_bb", "_aa")
-    opened = scratch.keep(opened.mapInArrow(differ, f"id {dict(pages.dtypes)[id_column]}, url string, text string"), "opened")
-    return marked.unionAll(opened).withColumnRenamed("id", id_column)
+            out = []
+            for host, kind, path, lines, marked, open_, *others in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
+                own, every = [o for o in others if o is not None and o["host"] == host], set(range(len(lines)))
+                gone = [lines[i] for i in furnished(lines, path, own)] if marked else []
+                keep = unshared(lines, path, own) if open_ else every
+                if gone or len(keep) < len(every):
+                    out.append((host, kind, gone, [i in keep for i in range(len(lines))]))
+            types = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=["host", "_print", "_gone", "_keep"])
+
+    told = scratch.keep(pairs.mapInArrow(differ, "host string, _print long, _gone array<bigint>, _keep array<boolean>"), "told")
+    common = scratch.keep(_furniture_of(units, told.select("host", F.explode("_gone").alias("line")).distinct()), "common")
+    opened = read.filter("blocks is not null").join(told.select("host", "_print", "_keep"), ["host", "_print"], "left")
+    opened = opened.withColumn("text", F.array_join(F.filter("blocks", lambda x, i: F.coalesce(F.get("_keep", i), F.lit(True))), "\n\n"))
+    # blocks hold no line feed, so that a text falls into its blocks again
+    marked = read.filter("blocks is null").join(common, "host", "left")
+    left = F.filter(F.split("text", "\n\n"), lambda x, i: ~F.array_contains("_common", F.get("lines", i)))
+    marked = marked.withColumn("text", F.when(F.col("_common").isNull() | (F.size(left) == 0), F.col("text")).otherwise(F.array_join(left, "\n\n")))
+    return marked.select("id", "url", "text").unionAll(opened.select("id", "url", "text")).withColumnRenamed("id", id_column)

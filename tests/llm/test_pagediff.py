@@ -74,3 +74,24 @@ def test_mirrors_under_other_paths_lose_their_furniture(spark):
     rows += [(20 + i, f"http://a.com/z/{i:02d}", page([f"text {i} {k}" for k in range(6)])) for i in range(4)]
     got = {r.page_id: r.text for r in pagediff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: "\n\n".join(mirrored if i < 20 else [f"text {i - 20} {k}" for k in range(6)]) for i, *_ in rows}
+
+
+def test_differencing_decides_on_marked_articles(spark):
+    def page(own):
+        return f"<nav>Menu</nav><article><h1>{own[0]}</h1><p>Follow us everywhere</p>{''.join(f'<p>{x}</p>' for x in own[1:])}<p>All rights reserved by us</p></article>"
+
+    texts = {i: [f"head {i}", *(f"text {i} {k}" for k in range(4))] for i in range(8)}
+    texts[2][3] = texts[3][3] = "a sentence that two articles share"
+    rows = [(i, f"http://a.com/d/{i}", page(x)) for i, x in texts.items()]
+    rows.append((9, "http://a.com/d/9", "<article><p>Follow us everywhere</p></article>"))
+    texts[9] = ["Follow us everywhere"]  # never deleted whole
+    rows += [(20 + i, f"http://b.com/d/{i}", page(texts[i])) for i in range(2)]  # too few pages to tell
+    # five of 14 pages in a row share a line: text, as most pages of the host don't hold it
+    texts |= {50 + i: [f"h {i}", *(f"long {i} {k}" for k in range(4)), *(["said again"] if i < 5 else [])] for i in range(14)}
+    rows += [(50 + i, f"http://d.com/d/{i:02d}", f"<article>{''.join(f'<p>{x}</p>' for x in texts[50 + i])}</article>") for i in range(14)]
+    versions = {30 + i: ["v", "one", "two", "three", "four", f"own {i}"] for i in range(6)}
+    rows += [(i, f"http://c.com/d/{i}", page(x)) for i, x in versions.items()]
+    whole = lambda x: "\n\n".join([x[0], "Follow us everywhere", *x[1:], "All rights reserved by us"])
+    want = {i: "\n\n".join(x) for i, x in texts.items()} | {20 + i: whole(texts[i]) for i in range(2)} | {i: whole(x) for i, x in versions.items()}
+    got = pagediff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == want and len(got) == len(rows)
